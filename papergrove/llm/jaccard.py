@@ -8,6 +8,8 @@ A document's set is its distinct word shingles. The join runs over distinct sets
    share a shingle among the first n - ceil(t n) + 1 of each. Any order is right; hints just keep lists short.
 3. Inverted lists are sorted by (set size, position) and walked in blocks of equal size: for two blocks the overlap
    that t needs bounds the positions, so the rest of a block is skipped (index-level skipping).
+   Lists longer than SHORT are walked with each set's bitmap at hand (as many bits as shingles, rounded up to a power
+   of two): bits that differ bound the sets' difference from below, so pairs that cannot link are not written.
 4. A candidate pair is checked once, at its least shared shingle, in blocks of 32 by 32 list entries. There every set
    is held as its difference from the block's first set, and an overlap is derived from the two differences alone;
    pairs that links found in the block already connect are not checked (answer-level skipping).
@@ -34,8 +36,10 @@ from .words import mix, shingles, slices
 
 #: Shingle hints at most, shingles of a counted chunk, list entries of a block.
 HINTS, CHUNK, BLOCK = 200_000, 2 << 20, 32
+#: Entries of a list that is walked without bitmaps, at most.
+SHORT = 8
 
-SCAN = "doc_id long, n int, k1 long, k2 long, token long, seen long"
+SCAN = "doc_id long, n int, k1 long, k2 long, bits binary, token long, seen long"
 
 
 def text_sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -54,6 +58,22 @@ def set_key(values: np.ndarray) -> tuple[int, int]:
     return a - (1 << 63), b % (1 << 64) - (1 << 63)
 
 
+def bitmap(values: np.ndarray) -> bytes:
+    """A bit for each shingle's low bits; a power of two of bits, no fewer than shingles."""
+    size = max(64, 1 << (len(values) - 1).bit_length())
+    held = np.zeros(size, bool)
+    held[(values & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(held, bitorder="little").tobytes()
+
+
+def fold(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (a row each) of fewer words: the same as made with fewer bits."""
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] | bits[:, half:]
+    return bits
+
+
 def needed_overlap(a, b, num: int, den: int):
     """The least overlap of sets of sizes a and b with den * overlap >= num * union."""
     return -(-num * (a + b) // (den + num))
@@ -67,18 +87,21 @@ def _scan(size: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[np.ndarray] = []
         held, seen = 0, set()
+        names = ["doc_id", "n", "k1", "k2", "bits", "token", "seen"]
 
         def hints() -> pa.RecordBatch:
             values, count = np.unique(np.concatenate(pending), return_counts=True)
             often = count >= 3
             tokens, count = values[often].view(np.int64), count[often]
             none = pa.nulls(len(tokens), pa.int64())
-            return pa.RecordBatch.from_arrays([none, pa.nulls(len(tokens), pa.int32()), none, none, pa.array(tokens), pa.array(count, pa.int64())], ["doc_id", "n", "k1", "k2", "token", "seen"])
+            return pa.RecordBatch.from_arrays([none, pa.nulls(len(tokens), pa.int32()), none, none, pa.nulls(len(tokens), pa.binary()), pa.array(tokens), pa.array(count, pa.int64())], names)
 
         for b in batches:
             n, k1, k2 = np.zeros(len(b), np.int32), np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
+            bits: list[bytes | None] = [None] * len(b)
             for row, values in text_sets(b.column(1), size):
                 n[row] = len(values)
+                bits[row] = bitmap(values) if len(values) else None
                 k1[row], k2[row] = set_key(values)
                 if (key := (k1[row], k2[row])) not in seen:
                     if len(seen) > 1 << 18:
@@ -90,7 +113,7 @@ def _scan(size: int):
                         yield hints()
                         pending, held = [], 0
             none = pa.nulls(len(b), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(k1), pa.array(k2), none, none], ["doc_id", "n", "k1", "k2", "token", "seen"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(k1), pa.array(k2), pa.array(bits, pa.binary()), none, none], names)
         if pending:
             yield hints()
 
@@ -125,8 +148,18 @@ def _prefixes(size: int, num: int, den: int, hints):
     return prefixes
 
 
-def list_pairs(n: np.ndarray, pos: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs (as indices) of one inverted list sorted by (n, pos), walked in blocks of equal n."""
+def list_pairs(n: np.ndarray, pos: np.ndarray, num: int, den: int, bits: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs (as indices) of one inverted list sorted by (n, pos), walked in blocks of equal n.
+
+    With bitmaps, pairs whose differing bits leave too little overlap are left out.
+    """
+    maps: dict[int, np.ndarray] = {}
+
+    def block_bits(k: int, count: int) -> np.ndarray:
+        if k not in maps or len(maps[k]) < count:
+            maps[k] = np.frombuffer(b"".join(bits[edge[k] : edge[k] + count]), "<u8").reshape(count, -1)
+        return maps[k][:count]
+
     edge = np.flatnonzero(np.append(True, n[1:] != n[:-1]))
     sizes, ends = n[edge], np.append(edge[1:], len(n))
     left, right = [], []
@@ -139,9 +172,23 @@ def list_pairs(n: np.ndarray, pos: np.ndarray, num: int, den: int) -> tuple[np.n
             # positions of each block grow: what needs more than the rest of a set holds is skipped as a whole
             la = int(np.searchsorted(pos[edge[a] : ends[a]], na - need, "right"))
             lb = int(np.searchsorted(pos[edge[b] : ends[b]], nb - need, "right"))
-            if la and lb:
-                i, j = np.divmod(np.arange(la * lb), lb)
-                i, j = i + edge[a], j + edge[b]
+            if not (la and lb):
+                continue
+            most = na + nb - 2 * need  # shingles that the two sets may differ by
+            step = max(1, (1 << 20) // lb)
+            for at in range(0, la, step):
+                to = min(la, at + step)
+                if bits is None:
+                    i, j = np.divmod(np.arange((to - at) * lb), lb)
+                else:
+                    x, y = block_bits(a, la)[at:to], block_bits(b, lb)
+                    words = min(x.shape[1], y.shape[1])
+                    x, y = fold(x, words), fold(y, words)
+                    differ = np.zeros((to - at, lb), np.int32)
+                    for w in range(words):
+                        differ += np.bitwise_count(x[:, w, None] ^ y[None, :, w])
+                    i, j = np.nonzero(differ <= most)
+                i, j = i + edge[a] + at, j + edge[b]
                 keep = i < j if a == b else slice(None)
                 left.append(i[keep])
                 right.append(j[keep])
@@ -149,62 +196,99 @@ def list_pairs(n: np.ndarray, pos: np.ndarray, num: int, den: int) -> tuple[np.n
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
+PAIR = "a1 long, a2 long, b1 long, b2 long, token long, bi int, bj int"
+
+
+def _written(token, k1, k2, start, i, j) -> Iterator[pa.RecordBatch]:
+    """Pairs of list entries i and j, each pair of sets once, with the least list and the blocks it is found in."""
+    swap = (k1[i] > k1[j]) | ((k1[i] == k1[j]) & (k2[i] > k2[j]))
+    a, b = np.where(swap, j, i), np.where(swap, i, j)
+    order = np.lexsort((token[a], k2[b], k1[b], k2[a], k1[a]))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (k1[a][1:] != k1[a][:-1]) | (k2[a][1:] != k2[a][:-1]) | (k1[b][1:] != k1[b][:-1]) | (k2[b][1:] != k2[b][:-1])
+    a, b = a[new], b[new]
+    for k in range(0, len(a), 1 << 16):
+        x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (k1[x], k2[x], k1[y], k2[y], token[x], ((x - start[x]) // BLOCK).astype(np.int32), ((y - start[y]) // BLOCK).astype(np.int32))], ["a1", "a2", "b1", "b2", "token", "bi", "bj"])
+
+
+def _whole_lists(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by token, in runs that hold whole lists."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        if n >= rows:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            token = whole.column(0).to_numpy()
+            cut = int(np.searchsorted(token, token[-1]))  # the last list may go on
+            if cut:
+                yield whole.slice(0, cut)
+            held, n = whole.slice(cut).combine_chunks().to_batches(), len(whole) - cut
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _runs(whole: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Columns without repeated sets of a list, the rows kept, and each list's start and length."""
+    token, k1, k2, n, pos = (whole.column(k).to_numpy() for k in range(5))
+    keep = np.ones(len(token), bool)
+    keep[1:] = (token[1:] != token[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+    kept = np.flatnonzero(keep)
+    cols = [x[kept] for x in (token, k1, k2, n.astype(np.int64), pos)]
+    head = np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1]))
+    return cols, kept, head, np.diff(np.append(head, len(kept)))
+
+
 def _lists(num: int, den: int):
-    names = ["a1", "a2", "b1", "b2", "token", "bi", "bj"]
-
-    def block(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        token, k1, k2, n, pos = rows
-        again = np.zeros(len(token), bool)
-        again[1:] = (token[1:] == token[:-1]) & (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])
-        token, k1, k2, n, pos = (x[~again] for x in (token, k1, k2, n, pos))
-        head = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
-        start = np.repeat(head, np.diff(np.append(head, len(token))))
-        length = np.diff(np.append(head, len(token)))
-        left, right = [], []
-        small = np.repeat((length > 1) & (length <= 16), length)
-        active, d = np.flatnonzero(small), 1
-        while len(active):  # short lists, all at once: each entry and the d-th after it
-            active = active[active + d < len(token)]
-            other = active + d
-            near = (start[other] == start[active]) & (den * n[active].astype(np.int64) >= num * n[other].astype(np.int64))
-            active, other = active[near], other[near]
-            need = needed_overlap(n[active].astype(np.int64), n[other].astype(np.int64), num, den)
-            fits = (n[active] - pos[active] >= need) & (n[other] - pos[other] >= need)
-            left.append(active[fits])
-            right.append(other[fits])
-            d += 1
-        for h, m in zip(head[length > 16], length[length > 16]):
-            i, j = list_pairs(n[h : h + m].astype(np.int64), pos[h : h + m], num, den)
-            left.append(i + h)
-            right.append(j + h)
-        if not left:
-            return
-        i, j = np.concatenate(left), np.concatenate(right)
-        swap = (k1[i] > k1[j]) | ((k1[i] == k1[j]) & (k2[i] > k2[j]))
-        a, b = np.where(swap, j, i), np.where(swap, i, j)
-        order = np.lexsort((token[a], k2[b], k1[b], k2[a], k1[a]))
-        a, b = a[order], b[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (k1[a][1:] != k1[a][:-1]) | (k2[a][1:] != k2[a][:-1]) | (k1[b][1:] != k1[b][:-1]) | (k2[b][1:] != k2[b][:-1])
-        a, b = a[new], b[new]
-        for k in range(0, len(a), 1 << 16):
-            x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (k1[x], k2[x], k1[y], k2[y], token[x], ((x - start[x]) // BLOCK).astype(np.int32), ((y - start[y]) // BLOCK).astype(np.int32))], names)
+    """Pairs of the short lists, and the entries (b1 and b2 null) of the long ones."""
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[list[np.ndarray]] = []
-        held = 0
-        for b in batches:
-            rows.append([b.column(k).to_numpy() for k in range(5)])
-            held += len(b)
-            if held >= 1 << 18:
-                whole = [np.concatenate(x) for x in zip(*rows)]
-                cut = int(np.searchsorted(whole[0], whole[0][-1]))  # the last list may go on
-                if cut:
-                    yield from block([x[:cut] for x in whole])
-                rows, held = [[x[cut:] for x in whole]], len(whole[0]) - cut
-        if rows:
-            yield from block([np.concatenate(x) for x in zip(*rows)])
+        for whole in _whole_lists(batches, 1 << 18):
+            (token, k1, k2, n, pos), _, head, length = _runs(whole)
+            start, sizes = np.repeat(head, length), np.repeat(length, length)
+            left, right = [], []
+            active, d = np.flatnonzero((sizes > 1) & (sizes <= SHORT)), 1
+            while len(active):  # short lists, all at once: each entry and the d-th after it
+                active = active[active + d < len(token)]
+                other = active + d
+                near = (start[other] == start[active]) & (den * n[active] >= num * n[other])
+                active, other = active[near], other[near]
+                need = needed_overlap(n[active], n[other], num, den)
+                fits = (n[active] - pos[active] >= need) & (n[other] - pos[other] >= need)
+                left.append(active[fits])
+                right.append(other[fits])
+                d += 1
+            for out in _written(token, k1, k2, start, np.concatenate(left), np.concatenate(right)) if left else ():
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.int32())], [*out.schema.names, "n", "pos"])
+            x = np.flatnonzero(sizes > SHORT)
+            # what no partner can reach at its position is of no use in a long list either
+            x = x[n[x] - pos[x] >= needed_overlap(n[x], -(-num * n[x] // den), num, den)]
+            for k in range(0, len(x), 1 << 16):
+                y = x[k : k + (1 << 16)]
+                none, none32 = pa.nulls(len(y), pa.int64()), pa.nulls(len(y), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(k1[y]), pa.array(k2[y]), none, none, pa.array(token[y]), none32, none32, pa.array(n[y].astype(np.int32)), pa.array(pos[y])], ["a1", "a2", "b1", "b2", "token", "bi", "bj", "n", "pos"])
+
+    return lists
+
+
+def _long_lists(num: int, den: int):
+    """Pairs of the long lists: token, k1, k2, n, pos, bits, sorted by (token, n, pos)."""
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in _whole_lists(batches, 1 << 16):
+            (token, k1, k2, n, pos), kept, head, length = _runs(whole)
+            bits = whole.column(5).take(pa.array(kept)).to_pylist()
+            start = np.repeat(head, length)
+            left, right = [], []
+            for h, m in zip(head.tolist(), length.tolist()):
+                i, j = list_pairs(n[h : h + m], pos[h : h + m], num, den, bits[h : h + m])
+                left.append(i + h)
+                right.append(j + h)
+            if left:
+                yield from _written(token, k1, k2, start, np.concatenate(left), np.concatenate(right))
 
     return lists
 
@@ -251,49 +335,32 @@ class Block:
         return True
 
 
-def _verify(num: int, den: int):
+def _verify(size: int, num: int, den: int):
     names = ["a1", "a2", "b1", "b2"]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        home, block, found = None, Block(), []
+        home, block = None, Block()
         for b in batches:
             place = list(zip(*(b.column(k).to_pylist() for k in range(3))))
             kind, k1, k2 = (b.column(k).to_pylist() for k in (3, 4, 5))
+            sets, others, found = dict(text_sets(b.column(6), size)), b.column(7).to_pylist(), []
             for r in range(len(b)):
                 if place[r] != home:
                     home, block = place[r], Block()
-                key = (k1[r], k2[r])
                 if kind[r] == 0:
-                    block.add(key, np.sort(np.asarray(b.column(6)[r].values).view(np.uint64)))
+                    block.add(set_key(sets[r]), sets[r])
                 else:
-                    for o in b.column(7)[r].as_py():
+                    key = (k1[r], k2[r])
+                    for o in others[r]:
                         other = (o["b1"], o["b2"])
-                        if block.link(key, other, num, den):
+                        if key in block.sets and other in block.sets and block.link(key, other, num, den):
                             found.append((*key, *other))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names)
-                found = []
 
     return verify
 
 
-def _sets(size: int):
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, values = [], []
-            for _, x in text_sets(b.column(0), size):
-                keys.append(set_key(x))
-                values.append(x.view(np.int64))
-            at = np.cumsum([0, *map(len, values)])
-            flat = np.concatenate(values) if values else np.zeros(0, np.int64)
-            for k in range(0, len(keys), 256):
-                to = min(len(keys), k + 256)
-                lists = pa.ListArray.from_arrays(pa.array(at[k : to + 1] - at[k], pa.int32()), pa.array(flat[at[k] : at[to]]))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in keys[k:to]], pa.int64()), pa.array([x[1] for x in keys[k:to]], pa.int64()), lists], ["k1", "k2", "tokens"])
-
-    return sets
-
-
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """(id, root) for every end of the links (a, b): root is the least id of its component.
 
@@ -312,10 +379,10 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     return roots
 
 
-def class_links(spark: SparkSession, docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """The scan's document rows (doc_id, n, k1, k2), and links between set classes (a1, a2, b1, b2).
+def class_links(spark: SparkSession, docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The scan's rows (doc_id, n, k1, k2), the classes (k1, k2, rep, members, bits), and links of classes (a1, a2, b1, b2).
 
-    The links connect exactly what all pairs with den * overlap >= num * union connect.
+    The links connect exactly what all pairs with den * overlap >= num * union connect. rep is a class's least doc_id.
     """
     prepare(spark)
     scan = stage(spark, docs.mapInArrow(_scan(size), SCAN), "scan")
@@ -324,30 +391,33 @@ def class_links(spark: SparkSession, docs: DataFrame, size: int, num: int, den:
     tokens, seen = often["token"].to_numpy(np.int64).view(np.uint64), often["seen"].to_numpy(np.int64)
     order = np.argsort(tokens)
     hints = spark.sparkContext.broadcast((tokens[order], seen[order]))
-
-    lists = docs.select("text").mapInArrow(_prefixes(size, num, den, hints), "token long, k1 long, k2 long, n int, pos int")
-    lists = lists.repartition("token").sortWithinPartitions("token", "n", "pos", "k1", "k2")
-    found = lists.mapInArrow(_lists(num, den), "a1 long, a2 long, b1 long, b2 long, token long, bi int, bj int")
+    classes = stage(spark, scan.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), F.first("bits").alias("bits")), "classes")
+
+    entries = docs.select("text").mapInArrow(_prefixes(size, num, den, hints), "token long, k1 long, k2 long, n int, pos int")
+    entries = entries.repartition("token").sortWithinPartitions("token", "n", "pos", "k1", "k2")
+    lists = stage(spark, entries.mapInArrow(_lists(num, den), PAIR + ", n int, pos int"), "lists")
+    long = lists.where("b1 IS NULL").select("token", F.col("a1").alias("k1"), F.col("a2").alias("k2"), "n", "pos").join(classes.select("k1", "k2", "bits"), ["k1", "k2"])
+    long = long.select("token", "k1", "k2", "n", "pos", "bits").repartition("token").sortWithinPartitions("token", "n", "pos", "k1", "k2")
+    short = lists.where("b1 IS NOT NULL").select("a1", "a2", "b1", "b2", "token", "bi", "bj")
+    found = short.unionByName(long.mapInArrow(_long_lists(num, den), PAIR))
     pairs = stage(spark, found.groupBy("a1", "a2", "b1", "b2").agg(F.min(F.struct("token", "bi", "bj")).alias("home")).select("home.*", "a1", "a2", "b1", "b2"), "pairs")
 
     place = ["token", "bi", "bj"]
-    ends = pairs.select(*place, F.explode(F.array(F.struct(F.col("a1").alias("k1"), F.col("a2").alias("k2")), F.struct(F.col("b1").alias("k1"), F.col("b2").alias("k2")))).alias("k")).select(*place, "k.k1", "k.k2").distinct()
-    wanted = ends.select("k1", "k2").distinct()
-    kept = stage(spark, meta.where("doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id")).join(wanted, ["k1", "k2"], "left_semi").select("doc_id"), "wanted")
-    texts = docs.join(small_or_not(kept, kept.count()), "doc_id", "left_semi").select("text")
-    sets = texts.mapInArrow(_sets(size), "k1 long, k2 long, tokens array<long>")
-    members = ends.join(sets, ["k1", "k2"]).select(*place, F.lit(0).alias("kind"), "k1", "k2", "tokens", F.lit(None).cast("array<struct<b1:bigint,b2:bigint>>").alias("others"))
-    asked = pairs.groupBy(*place, "a1", "a2").agg(F.sort_array(F.collect_list(F.struct("b1", "b2"))).alias("others")).select(*place, F.lit(1).alias("kind"), F.col("a1").alias("k1"), F.col("a2").alias("k2"), F.lit(None).cast("array<bigint>").alias("tokens"), "others")
+    ends = pairs.select(*place, F.col("a1").alias("k1"), F.col("a2").alias("k2")).unionByName(pairs.select(*place, F.col("b1").alias("k1"), F.col("b2").alias("k2"))).distinct()
+    ends = stage(spark, ends.join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).where("rep IS NOT NULL").select(*place, "rep"), "ends")
+    wanted = stage(spark, ends.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+    texts = docs.join(small_or_not(wanted, wanted.count()), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
+    none = F.lit(None).cast("bigint")
+    members = ends.join(texts, "rep").select(*place, F.lit(0).alias("kind"), none.alias("k1"), none.alias("k2"), "text", F.lit(None).cast("array<struct<b1:bigint,b2:bigint>>").alias("others"))
+    asked = pairs.groupBy(*place, "a1", "a2").agg(F.sort_array(F.collect_list(F.struct("b1", "b2"))).alias("others")).select(*place, F.lit(1).alias("kind"), F.col("a1").alias("k1"), F.col("a2").alias("k2"), F.lit(None).cast("string").alias("text"), "others")
     homes = members.unionByName(asked).repartition(*place).sortWithinPartitions(*place, "kind", "k1", "k2")
-    return meta, homes.mapInArrow(_verify(num, den), "a1 long, a2 long, b1 long, b2 long")
+    return meta, classes.select("k1", "k2", "rep", "members"), homes.mapInArrow(_verify(size, num, den), "a1 long, a2 long, b1 long, b2 long")
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """Every document's (doc_id, n_shingles, component_id): component_id is the least doc_id that links reach."""
     docs = has(docs, "doc_id", "text")
-    meta, links = class_links(spark, docs, size, num, den)
-    classes = meta.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"))
-    classes = stage(spark, classes, "classes")
+    meta, classes, links = class_links(spark, docs, size, num, den)
     ca = classes.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("rep").alias("a"))
     cb = classes.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("rep").alias("b"))
     roots = components(spark, links.join(ca, ["a1", "a2"]).join(cb, ["b1", "b2"]).select("a", "b").where("a IS NOT NULL AND b IS NOT NULL"))
