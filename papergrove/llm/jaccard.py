@@ -9,7 +9,9 @@ A document's set is its distinct word shingles. The join runs over distinct sets
 3. Inverted lists are sorted by (set size, position) and walked in blocks of equal size: for two blocks the overlap
    that t needs bounds the positions, so the rest of a block is skipped (index-level skipping).
    Lists longer than SHORT are walked with each set's bitmap at hand (as many bits as shingles, rounded up to a power
-   of two): bits that differ bound the sets' difference from below, so pairs that cannot link are not written.
+   of two): bits that differ bound the sets' difference from below, so pairs that cannot link are not written. A long
+   list is walked twice: first each entry's nearest earlier one alone is checked, then every pair that the links
+   found so leave in different components. All links between components are seen; those inside one change nothing.
 4. A candidate pair is checked once, at its least shared shingle, in blocks of 32 by 32 list entries. There every set
    is held as its difference from the block's first set, and an overlap is derived from the two differences alone;
    pairs that links found in the block already connect are not checked (answer-level skipping).
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import has, prepare, small_or_not, stage
+from .runtime import BROADCAST_ROWS, has, prepare, small_or_not, stage
 from .words import mix, shingles, slices
 
 #: Shingle hints at most, shingles of a counted chunk, list entries of a block.
@@ -148,11 +150,13 @@ def _prefixes(size: int, num: int, den: int, hints):
     return prefixes
 
 
-def list_pairs(n: np.ndarray, pos: np.ndarray, num: int, den: int, bits: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def list_pairs(n: np.ndarray, pos: np.ndarray, num: int, den: int, bits: list[bytes] | None = None, roots: np.ndarray | None = None, thin: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs (as indices) of one inverted list sorted by (n, pos), walked in blocks of equal n.
 
-    With bitmaps, pairs whose differing bits leave too little overlap are left out.
+    With bitmaps, pairs whose differing bits leave too little overlap are left out; with roots, pairs of one component.
+    thin keeps, of each entry's pairs with earlier ones, the one whose bitmaps differ least.
     """
+    least, partner = np.full(len(n), 1 << 30), np.full(len(n), -1)
     maps: dict[int, np.ndarray] = {}
 
     def block_bits(k: int, count: int) -> np.ndarray:
@@ -187,11 +191,26 @@ def list_pairs(n: np.ndarray, pos: np.ndarray, num: int, den: int, bits: list[by
                     differ = np.zeros((to - at, lb), np.int32)
                     for w in range(words):
                         differ += np.bitwise_count(x[:, w, None] ^ y[None, :, w])
-                    i, j = np.nonzero(differ <= most)
+                    if thin:
+                        if a == b:  # earlier entries alone
+                            differ[np.arange(at, to)[:, None] >= np.arange(lb)[None, :]] = 1 << 29
+                        row = differ.argmin(axis=0)
+                        value = differ[row, np.arange(lb)]
+                        own = edge[b] + np.arange(lb)
+                        better = (value <= most) & (value < least[own])
+                        least[own[better]], partner[own[better]] = value[better], edge[a] + at + row[better]
+                        continue
+                    passed = differ <= most
+                    if roots is not None:
+                        passed &= roots[edge[a] + at : edge[a] + to, None] != roots[None, edge[b] : edge[b] + lb]
+                    i, j = np.nonzero(passed)
                 i, j = i + edge[a] + at, j + edge[b]
                 keep = i < j if a == b else slice(None)
                 left.append(i[keep])
                 right.append(j[keep])
+    if thin:
+        found = np.flatnonzero(partner >= 0)
+        return partner[found], found
     none = np.zeros(0, np.int64)
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
@@ -274,17 +293,21 @@ def _lists(num: int, den: int):
     return lists
 
 
-def _long_lists(num: int, den: int):
-    """Pairs of the long lists: token, k1, k2, n, pos, bits, sorted by (token, n, pos)."""
+def _long_lists(num: int, den: int, thin: bool):
+    """Pairs of the long lists: token, k1, k2, n, pos, bits, root, sorted by (token, n, pos)."""
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in _whole_lists(batches, 1 << 16):
             (token, k1, k2, n, pos), kept, head, length = _runs(whole)
             bits = whole.column(5).take(pa.array(kept)).to_pylist()
+            root = whole.column(6).to_numpy()[kept]
             start = np.repeat(head, length)
             left, right = [], []
             for h, m in zip(head.tolist(), length.tolist()):
-                i, j = list_pairs(n[h : h + m], pos[h : h + m], num, den, bits[h : h + m])
+                own = root[h : h + m]
+                if not thin and (own == own[0]).all():
+                    continue
+                i, j = list_pairs(n[h : h + m], pos[h : h + m], num, den, bits[h : h + m], None if thin else own, thin)
                 left.append(i + h)
                 right.append(j + h)
             if left:
@@ -380,9 +403,9 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
 
 
 def class_links(spark: SparkSession, docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The scan's rows (doc_id, n, k1, k2), the classes (k1, k2, rep, members, bits), and links of classes (a1, a2, b1, b2).
+    """The scan's rows (doc_id, n, k1, k2), the classes (k1, k2, rep, members), and (id, root) of the linked ones.
 
-    The links connect exactly what all pairs with den * overlap >= num * union connect. rep is a class's least doc_id.
+    Roots tell exactly what all pairs with den * overlap >= num * union connect. rep is a class's least doc_id.
     """
     prepare(spark)
     scan = stage(spark, docs.mapInArrow(_scan(size), SCAN), "scan")
@@ -396,31 +419,58 @@ def class_links(spark: SparkSession, docs: DataFrame, size: int, num: int, den:
     entries = docs.select("text").mapInArrow(_prefixes(size, num, den, hints), "token long, k1 long, k2 long, n int, pos int")
     entries = entries.repartition("token").sortWithinPartitions("token", "n", "pos", "k1", "k2")
     lists = stage(spark, entries.mapInArrow(_lists(num, den), PAIR + ", n int, pos int"), "lists")
-    long = lists.where("b1 IS NULL").select("token", F.col("a1").alias("k1"), F.col("a2").alias("k2"), "n", "pos").join(classes.select("k1", "k2", "bits"), ["k1", "k2"])
-    long = long.select("token", "k1", "k2", "n", "pos", "bits").repartition("token").sortWithinPartitions("token", "n", "pos", "k1", "k2")
-    short = lists.where("b1 IS NOT NULL").select("a1", "a2", "b1", "b2", "token", "bi", "bj")
-    found = short.unionByName(long.mapInArrow(_long_lists(num, den), PAIR))
-    pairs = stage(spark, found.groupBy("a1", "a2", "b1", "b2").agg(F.min(F.struct("token", "bi", "bj")).alias("home")).select("home.*", "a1", "a2", "b1", "b2"), "pairs")
-
-    place = ["token", "bi", "bj"]
-    ends = pairs.select(*place, F.col("a1").alias("k1"), F.col("a2").alias("k2")).unionByName(pairs.select(*place, F.col("b1").alias("k1"), F.col("b2").alias("k2"))).distinct()
-    ends = stage(spark, ends.join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).where("rep IS NOT NULL").select(*place, "rep"), "ends")
-    wanted = stage(spark, ends.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
-    texts = docs.join(small_or_not(wanted, wanted.count()), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
+    short = lists.where("b1 IS NOT NULL").select("a1", "a2", "b1", "b2", *PLACE)
+    long = lists.where("b1 IS NULL").select("token", F.col("a1").alias("k1"), F.col("a2").alias("k2"), "n", "pos")
+
+    def walk(known: DataFrame, thin: bool) -> DataFrame:
+        rows = long.join(known, ["k1", "k2"]).select("token", "k1", "k2", "n", "pos", "bits", "root")
+        return rows.repartition("token").sortWithinPartitions("token", "n", "pos", "k1", "k2").mapInArrow(_long_lists(num, den, thin), PAIR)
+
+    # first each long list's likeliest pairs, then all pairs that these links leave in different components
+    one = checked(spark, docs, classes, short.unionByName(walk(classes.select("k1", "k2", "bits", F.lit(0).cast("long").alias("root")), True)), size, num, den)
+    roots = components(spark, one)
+    rooted = classes.where("rep IS NOT NULL").join(roots, F.col("rep") == F.col("id"), "left").select("k1", "k2", "bits", F.coalesce("root", "rep").alias("root"))
+    two = checked(spark, docs, classes, walk(rooted, False), size, num, den)
+    more = components(spark, joined_to(two, roots)).toDF("root", "top")
+    ends = roots.join(more, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+    alone = more.join(roots, more["root"] == roots["id"], "left_anti").select(F.col("root").alias("id"), F.col("top").alias("root"))
+    return meta, classes.select("k1", "k2", "rep", "members"), stage(spark, ends.unionByName(alone), "found")
+
+
+PLACE = ["token", "bi", "bj"]
+
+
+def joined_to(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links between the roots of their ends."""
+    ra, rb = roots.toDF("ia", "ra"), roots.toDF("ib", "rb")
+    out = links.join(ra, links["a"] == ra["ia"], "left").join(rb, links["b"] == rb["ib"], "left")
+    return out.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+
+
+def checked(spark: SparkSession, docs: DataFrame, classes: DataFrame, found: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Of candidate pairs of classes, links (a, b) of representatives that connect what the true ones connect."""
+    pairs = stage(spark, found.groupBy("a1", "a2", "b1", "b2").agg(F.min(F.struct(*PLACE)).alias("home")).select("home.*", "a1", "a2", "b1", "b2"), "pairs")
+    ends = pairs.select(*PLACE, F.col("a1").alias("k1"), F.col("a2").alias("k2")).unionByName(pairs.select(*PLACE, F.col("b1").alias("k1"), F.col("b2").alias("k2"))).distinct()
+    ends = stage(spark, ends.join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).where("rep IS NOT NULL").select(*PLACE, "rep"), "ends")
+    n = ends.count()
+    texts = docs.select(F.col("doc_id").alias("rep"), "text")
+    if n > BROADCAST_ROWS:  # only the texts that are asked for go through the join's shuffle
+        wanted = stage(spark, ends.select("rep").distinct(), "wanted")
+        texts = texts.join(small_or_not(wanted, wanted.count()), "rep", "left_semi")
     none = F.lit(None).cast("bigint")
-    members = ends.join(texts, "rep").select(*place, F.lit(0).alias("kind"), none.alias("k1"), none.alias("k2"), "text", F.lit(None).cast("array<struct<b1:bigint,b2:bigint>>").alias("others"))
-    asked = pairs.groupBy(*place, "a1", "a2").agg(F.sort_array(F.collect_list(F.struct("b1", "b2"))).alias("others")).select(*place, F.lit(1).alias("kind"), F.col("a1").alias("k1"), F.col("a2").alias("k2"), F.lit(None).cast("string").alias("text"), "others")
-    homes = members.unionByName(asked).repartition(*place).sortWithinPartitions(*place, "kind", "k1", "k2")
-    return meta, classes.select("k1", "k2", "rep", "members"), homes.mapInArrow(_verify(size, num, den), "a1 long, a2 long, b1 long, b2 long")
+    members = texts.join(small_or_not(ends, n), "rep").select(*PLACE, F.lit(0).alias("kind"), none.alias("k1"), none.alias("k2"), "text", F.lit(None).cast("array<struct<b1:bigint,b2:bigint>>").alias("others"))
+    asked = pairs.groupBy(*PLACE, "a1", "a2").agg(F.sort_array(F.collect_list(F.struct("b1", "b2"))).alias("others")).select(*PLACE, F.lit(1).alias("kind"), F.col("a1").alias("k1"), F.col("a2").alias("k2"), F.lit(None).cast("string").alias("text"), "others")
+    homes = members.unionByName(asked).repartition(*PLACE).sortWithinPartitions(*PLACE, "kind", "k1", "k2")
+    links = homes.mapInArrow(_verify(size, num, den), "a1 long, a2 long, b1 long, b2 long")
+    ca = classes.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("rep").alias("a"))
+    cb = classes.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("rep").alias("b"))
+    return links.join(ca, ["a1", "a2"]).join(cb, ["b1", "b2"]).select("a", "b")
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """Every document's (doc_id, n_shingles, component_id): component_id is the least doc_id that links reach."""
     docs = has(docs, "doc_id", "text")
-    meta, classes, links = class_links(spark, docs, size, num, den)
-    ca = classes.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("rep").alias("a"))
-    cb = classes.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("rep").alias("b"))
-    roots = components(spark, links.join(ca, ["a1", "a2"]).join(cb, ["b1", "b2"]).select("a", "b").where("a IS NOT NULL AND b IS NOT NULL"))
+    meta, classes, roots = class_links(spark, docs, size, num, den)
     named = classes.join(roots, classes["rep"] == roots["id"], "left").select("k1", "k2", F.coalesce("root", "rep").alias("component_id"), "members", "rep").where("members > 1 OR component_id <> rep")
     named = stage(spark, named.select("k1", "k2", "component_id"), "named")
     out = meta.join(named, ["k1", "k2"], "left")
