@@ -32,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import has, prepare
+from .runtime import has, prepare, stage
+from .words import mix, shingles, slices
 
 WORD = re.compile(r"\w+")
 #: Least letters for a misspelling, words to each side of a hit, candidate terms, words remembered by a worker.
@@ -247,7 +248,25 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     prepare(spark)
     open_rows = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
     chosen = open_rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = has(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    labelled = has(docs, "doc_id", "text")
+
+    def least_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [[], [], []]
+            for part in slices(b.column(2)):
+                h, at = part.hashes(lower=True), part.bounds()
+                for k in range(part.n_docs):
+                    x = shingles(h[at[k] : at[k + 1]], 3)
+                    for salt, into in enumerate(keys):
+                        into.append(int(mix(x ^ np.uint64(salt * 0x51ED27)).min()) - (1 << 63) if len(x) else 0)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in keys)], ["doc_id", "toxic", "m0", "m1", "m2"])
+
+    # copies of a document count once: of those that share a least shingle, one is learned from
+    once = labelled.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(least_shingles, "doc_id long, toxic int, m0 long, m1 long, m2 long")
+    for m in ("m0", "m1", "m2"):
+        once = once.groupBy(F.col(m).alias("m")).agg(F.min(F.struct("doc_id", "toxic", "m0", "m1", "m2")).alias("r")).select("r.*")
+    once = stage(spark, once.select("doc_id", "toxic"), "learned")
+    rows = labelled.join(F.broadcast(once), "doc_id").select("doc_id", "toxic", "text")  # at most `sample` rows
 
     def count(which: int, only: object = None):
         def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
