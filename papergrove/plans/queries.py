@@ -60,12 +60,12 @@ def scan_edgelist(spark, sf):
 
 @query
 def dense_ids(spark, sf):
-    return G.dense_ids(X0.table(spark, sf, "customer").select(F.col("c_custkey").alias("id")).where("id % 3 <> 0"))
+    return G.dense_ids(X0.table(spark, sf, "customer").select((F.col("c_custkey") * 3).alias("id")))
 
 
 @query
 def edge_encode_join(spark, sf):
-    ids = X0.table(spark, sf, "orders").where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("orig_id"), (F.col("o_orderkey") * 2).alias("seq_id"))
+    ids = X0.table(spark, sf, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("orig_id"), (F.col("o_orderkey") * 2).alias("seq_id"))
     return G.encode_edges(X0.raw_edges(spark, sf), ids)
 
 
@@ -98,7 +98,7 @@ def undirected_edges(spark, sf):
 @query
 def edge_merge(spark, sf):
     e = X0.raw_edges(spark, sf)
-    return G.merge_edges(e, e.where("src % 2 = 0").select("src", (F.col("dst") + 1).alias("dst")))
+    return G.merge_edges(e, e.select("src", (F.col("dst") + 1).alias("dst")))
 
 
 @query
@@ -113,9 +113,10 @@ def degrees(spark, sf):
 
 @query
 def degree_refresh(spark, sf):
-    e = X0.raw_edges(spark, sf)
-    old = G.degrees(X0.raw_nodes(spark, sf), e.where("src % 2 = 0"))
-    return G.refresh_degrees(old, e.where("src % 2 <> 0"))
+    n = X0.raw_nodes(spark, sf)
+    e = X0.raw_edges(spark, sf).join(n.select(F.col("id").alias("src"), "year"), "src")
+    old = G.degrees(n, e.where(F.col("year") < YEAR - 1).select("src", "dst"))
+    return G.refresh_degrees(old, e.where(F.col("year") >= YEAR - 1).select("src", "dst"))
 
 
 @query
@@ -257,7 +258,8 @@ def planted_nodes(spark, sf):
 
 
 def _starts(spark, sf):
-    return X0.raw_nodes(spark, sf).where("id % 10 = 0").select(F.col("id").alias("g"))
+    """The generators of a year's agents."""
+    return _agents(spark, sf)[0].select(F.col("generator").alias("g")).distinct()
 
 
 @query

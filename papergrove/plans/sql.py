@@ -36,7 +36,7 @@ agents AS (SELECT growth_idx, a.id, n, delta, {_h("a.id", "'generator'")} % n AS
 CDF = "cdf AS (SELECT k, (sum(pow(k, -1.634)) OVER (ORDER BY k) - pow(k, -1.634)) / sum(pow(k, -1.634)) OVER () AS lo, sum(pow(k, -1.634)) OVER (ORDER BY k) / sum(pow(k, -1.634)) OVER () AS hi FROM (SELECT unnest(range(1, 1001))::INT AS k))"
 FIT_U = f"drawn AS (SELECT id, year, {_u('id', chr(39) + 'fitness' + chr(39))} AS u FROM nodes), peaks AS (SELECT id, year, k AS fitness_peak FROM drawn JOIN cdf ON u > lo AND (u <= hi OR k = 1000))"
 HOPS = "first AS (SELECT g, v AS n FROM starts JOIN und ON u = g), second AS (SELECT g, v AS n FROM first JOIN und ON u = n), hops AS (SELECT g, n, min(hop) AS hop FROM (SELECT g, n, 1 AS hop FROM first UNION ALL SELECT g, n, 2 FROM second) WHERE n <> g GROUP BY g, n)"
-STARTS = "starts AS (SELECT id AS g FROM nodes WHERE id % 10 = 0)"
+STARTS = f"{AGENTS}, starts AS (SELECT DISTINCT generator AS g FROM agents)"
 QUOTA = """starts AS (SELECT DISTINCT generator AS g FROM agents), %s,
 cand AS (SELECT a.id, h.n AS node, h.hop FROM agents a JOIN hops h ON h.g = a.generator),
 sizes AS (SELECT id, count(*) FILTER (hop = 1) AS h1, count(*) FILTER (hop = 2) AS h2 FROM cand GROUP BY id),
@@ -97,13 +97,13 @@ _GIANT = "sizes_c AS (SELECT comp, count(*) AS s FROM cc GROUP BY comp)"
 SQL: dict[str, str] = {
     "scan_nodelist": f"WITH {NODES} SELECT * FROM nodes",
     "scan_edgelist": f"WITH {EDGES} SELECT src, dst FROM edges",
-    "dense_ids": "SELECT c_custkey AS orig_id, row_number() OVER (ORDER BY c_custkey) - 1 AS seq_id FROM customer WHERE c_custkey % 3 <> 0",
-    "edge_encode_join": f"WITH {EDGES} SELECT DISTINCT src * 2 AS src, dst * 2 AS dst FROM edges WHERE src % 7 <> 0 AND dst % 7 <> 0",
+    "dense_ids": "SELECT c_custkey * 3 AS orig_id, row_number() OVER (ORDER BY c_custkey) - 1 AS seq_id FROM customer",
+    "edge_encode_join": f"WITH {EDGES} SELECT DISTINCT src * 2 AS src, dst * 2 AS dst FROM edges JOIN orders s ON s.o_orderkey = src JOIN orders d ON d.o_orderkey = dst WHERE s.o_orderstatus <> 'P' AND d.o_orderstatus <> 'P'",
     "node_type_decode": f"WITH {NODES} SELECT id, CASE id % 3 WHEN 0 THEN 'seed' WHEN 1 THEN 'agent' ELSE 'undefined' END AS type FROM nodes",
     "dict_decode": f"WITH {KERNEL} SELECT event_id, name_id + event_id % 2 * 100 AS name_id, CASE WHEN event_id % 2 = 0 THEN name ELSE (name_id + 100)::VARCHAR END AS name FROM kernel",
     "multi_file_union": "SELECT 'events' AS file, count(*) AS n, min(event_id)::BIGINT AS first FROM events UNION ALL SELECT 'orders', count(*), min(o_orderkey) FROM orders",
     "undirected_edges": f"WITH {EDGES}, {UND} SELECT u, v FROM und",
-    "edge_merge": f"WITH {EDGES} SELECT src, dst FROM edges UNION SELECT src, dst + 1 FROM edges WHERE src % 2 = 0",
+    "edge_merge": f"WITH {EDGES} SELECT src, dst FROM edges UNION SELECT src, dst + 1 FROM edges",
     "adjacency_lists": f"WITH {EDGES}, {UND} SELECT u, string_agg(v::VARCHAR, ',' ORDER BY v) AS neighbours FROM und GROUP BY u",
     "degrees": f"WITH {GRAPH} SELECT * FROM deg",
     "degree_refresh": f"WITH {GRAPH} SELECT * FROM deg",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from papergrove.operators.graph import dense_ids
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,8 +28,8 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-degrees to draw from: (pos, out_degree)."""
-    part = table(spark, sf_dir, "part")
-    return part.select((F.row_number().over(Window.orderBy("p_partkey")) - 1).cast("long").alias("pos"), (5 + F.col("p_size") % 16).cast("int").alias("out_degree"))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("orig_id"), (5 + F.col("p_size") % 16).cast("int").alias("out_degree"))
+    return dense_ids(part, "orig_id").join(part, "orig_id").select(F.col("seq_id").cast("long").alias("pos"), "out_degree")
 
 
 def recency(nodes: DataFrame, year: int) -> DataFrame:
