@@ -12,6 +12,9 @@ A document's set is its distinct word shingles. The join runs over distinct sets
    of two): bits that differ bound the sets' difference from below, so pairs that cannot link are not written. A long
    list is walked twice: first each entry's nearest earlier one alone is checked, then every pair that the links
    found so leave in different components. All links between components are seen; those inside one change nothing.
+   No task holds a whole list of any length: lists longer than CELL are dealt by hash to cells of about CELL entries.
+   The first walk stays inside cells. The second splits a list into its most frequent component and the rest, and
+   walks cells of the one against cells of the other, and of the rest against itself; a list of one component has none.
 4. A candidate pair is checked once, at its least shared shingle, in blocks of 32 by 32 list entries. There every set
    is held as its difference from the block's first set, and an overlap is derived from the two differences alone;
    pairs that links found in the block already connect are not checked (answer-level skipping).
@@ -38,8 +41,8 @@ from .words import mix, shingles, slices
 
 #: Shingle hints at most, shingles of a counted chunk, list entries of a block.
 HINTS, CHUNK, BLOCK = 200_000, 2 << 20, 32
-#: Entries of a list that is walked without bitmaps, at most.
-SHORT = 8
+#: Entries of a list that is walked without bitmaps, at most; entries of a long list's cell, about.
+SHORT, CELL = 8, 1024
 
 SCAN = "doc_id long, n int, k1 long, k2 long, bits binary, token long, seen long"
 
@@ -125,9 +128,10 @@ def _scan(size: int):
 def _prefixes(size: int, num: int, den: int, hints):
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = hints.value
+        parts = -(-rank // CELL)
         seen: set[tuple[int, int]] = set()
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], []]  # salts tell lists that the hints say are longer than a cell
             for _, values in text_sets(b.column(0), size):
                 n = len(values)
                 if den * n < num * (n + 1) or (key := set_key(values)) in seen:  # too small for any link but to an equal set
@@ -136,26 +140,35 @@ def _prefixes(size: int, num: int, den: int, hints):
                     seen.clear()
                 seen.add(key)
                 m = prefix_length(n, num, den)
+                first, salt = values[:m], np.zeros(m, np.int32)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, values), len(known) - 1)
-                    weight = np.where(known[at] == values, rank[at], 0)
-                    first = values[np.lexsort((values, weight))[:m]] if weight.any() else values[:m]
-                else:
-                    first = values[:m]
-                for into, x in zip(out, (first.view(np.int64), np.full(m, key[0]), np.full(m, key[1]), np.full(m, n, np.int32), np.arange(m, dtype=np.int32))):
+                    held = known[at] == values
+                    if held.any():
+                        order = np.lexsort((values, np.where(held, rank[at], 0)))[:m]
+                        first, split = values[order], np.where(held, parts[at], 1)[order]
+                        with np.errstate(over="ignore"):
+                            dealt = mix(first + np.uint64(key[0] % (1 << 64))) % split.astype(np.uint64)
+                        salt = np.where(split > 1, dealt.astype(np.int32) + 1, 0).astype(np.int32)
+                for into, x in zip(out, (first.view(np.int64), np.full(m, key[0]), np.full(m, key[1]), (n << 32) + np.arange(m, dtype=np.int64), salt)):
                     into.append(x)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["token", "k1", "k2", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["token", "k1", "k2", "at", "salt"])
 
     return prefixes
 
 
-def list_pairs(n: np.ndarray, pos: np.ndarray, num: int, den: int, bits: list[bytes] | None = None, roots: np.ndarray | None = None, thin: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs (as indices) of one inverted list sorted by (n, pos), walked in blocks of equal n.
+def list_pairs(n: np.ndarray, pos: np.ndarray, num: int, den: int, bits: list[bytes], roots: np.ndarray | None = None, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs (as indices) of one cell of an inverted list, walked in blocks of equal side and n.
 
-    With bitmaps, pairs whose differing bits leave too little overlap are left out; with roots, pairs of one component.
-    thin keeps, of each entry's pairs with earlier ones, the one whose bitmaps differ least.
+    Entries are sorted by (side, n, pos). Pairs whose differing bits leave too little overlap are left out. With roots,
+    all pairs of different components are given, across sides only where there are two; without, each entry's pair
+    with the earlier one whose bitmap differs least.
     """
+    none = np.zeros(0, np.int64)
+    if not len(n):
+        return none, none
+    side = np.zeros(len(n), np.int64) if side is None else side
     least, partner = np.full(len(n), 1 << 30), np.full(len(n), -1)
     maps: dict[int, np.ndarray] = {}
 
@@ -164,14 +177,18 @@ def list_pairs(n: np.ndarray, pos: np.ndarray, num: int, den: int, bits: list[by
             maps[k] = np.frombuffer(b"".join(bits[edge[k] : edge[k] + count]), "<u8").reshape(count, -1)
         return maps[k][:count]
 
-    edge = np.flatnonzero(np.append(True, n[1:] != n[:-1]))
-    sizes, ends = n[edge], np.append(edge[1:], len(n))
+    edge = np.flatnonzero(np.append(True, (n[1:] != n[:-1]) | (side[1:] != side[:-1])))
+    sizes, ends, sides = n[edge], np.append(edge[1:], len(n)), side[edge]
+    cut = int(np.searchsorted(sides, sides[0], "right"))  # blocks of the first side
     left, right = [], []
-    for a in range(len(edge)):
-        for b in range(a, len(edge)):
-            na, nb = int(sizes[a]), int(sizes[b])
-            if den * na < num * nb:
-                break
+    for a in range(cut):
+        na = int(sizes[a])
+        if cut == len(edge):
+            others = range(a, int(np.searchsorted(sizes, den * na // num, "right")))
+        else:
+            others = range(cut + int(np.searchsorted(sizes[cut:], -(-num * na // den))), cut + int(np.searchsorted(sizes[cut:], den * na // num, "right")))
+        for b in others:
+            nb = int(sizes[b])
             need = needed_overlap(na, nb, num, den)
             # positions of each block grow: what needs more than the rest of a set holds is skipped as a whole
             la = int(np.searchsorted(pos[edge[a] : ends[a]], na - need, "right"))
@@ -182,44 +199,40 @@ def list_pairs(n: np.ndarray, pos: np.ndarray, num: int, den: int, bits: list[by
             step = max(1, (1 << 20) // lb)
             for at in range(0, la, step):
                 to = min(la, at + step)
-                if bits is None:
-                    i, j = np.divmod(np.arange((to - at) * lb), lb)
-                else:
-                    x, y = block_bits(a, la)[at:to], block_bits(b, lb)
-                    words = min(x.shape[1], y.shape[1])
-                    x, y = fold(x, words), fold(y, words)
-                    differ = np.zeros((to - at, lb), np.int32)
-                    for w in range(words):
-                        differ += np.bitwise_count(x[:, w, None] ^ y[None, :, w])
-                    if thin:
-                        if a == b:  # earlier entries alone
-                            differ[np.arange(at, to)[:, None] >= np.arange(lb)[None, :]] = 1 << 29
-                        row = differ.argmin(axis=0)
-                        value = differ[row, np.arange(lb)]
-                        own = edge[b] + np.arange(lb)
-                        better = (value <= most) & (value < least[own])
-                        least[own[better]], partner[own[better]] = value[better], edge[a] + at + row[better]
-                        continue
-                    passed = differ <= most
-                    if roots is not None:
-                        passed &= roots[edge[a] + at : edge[a] + to, None] != roots[None, edge[b] : edge[b] + lb]
-                    i, j = np.nonzero(passed)
+                x, y = block_bits(a, la)[at:to], block_bits(b, lb)
+                words = min(x.shape[1], y.shape[1])
+                x, y = fold(x, words), fold(y, words)
+                differ = np.zeros((to - at, lb), np.int32)
+                for w in range(words):
+                    differ += np.bitwise_count(x[:, w, None] ^ y[None, :, w])
+                if roots is None:
+                    if a == b:  # earlier entries alone
+                        differ[np.arange(at, to)[:, None] >= np.arange(lb)[None, :]] = 1 << 29
+                    row = differ.argmin(axis=0)
+                    value = differ[row, np.arange(lb)]
+                    own = edge[b] + np.arange(lb)
+                    better = (value <= most) & (value < least[own])
+                    least[own[better]], partner[own[better]] = value[better], edge[a] + at + row[better]
+                    continue
+                i, j = np.nonzero((differ <= most) & (roots[edge[a] + at : edge[a] + to, None] != roots[None, edge[b] : edge[b] + lb]))
                 i, j = i + edge[a] + at, j + edge[b]
                 keep = i < j if a == b else slice(None)
                 left.append(i[keep])
                 right.append(j[keep])
-    if thin:
+    if roots is None:
         found = np.flatnonzero(partner >= 0)
         return partner[found], found
-    none = np.zeros(0, np.int64)
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-PAIR = "a1 long, a2 long, b1 long, b2 long, token long, bi int, bj int"
+PAIR = "a1 long, a2 long, b1 long, b2 long, token long, bi long, bj int"
+
 
+def _written(token, k1, k2, place, i, j) -> Iterator[pa.RecordBatch]:
+    """Pairs of list entries i and j, each pair of sets once, with the least list and the blocks it is found in.
 
-def _written(token, k1, k2, start, i, j) -> Iterator[pa.RecordBatch]:
-    """Pairs of list entries i and j, each pair of sets once, with the least list and the blocks it is found in."""
+    place is each entry's block: the cell, and the place in it by BLOCK.
+    """
     swap = (k1[i] > k1[j]) | ((k1[i] == k1[j]) & (k2[i] > k2[j]))
     a, b = np.where(swap, j, i), np.where(swap, i, j)
     order = np.lexsort((token[a], k2[b], k1[b], k2[a], k1[a]))
@@ -229,11 +242,11 @@ def _written(token, k1, k2, start, i, j) -> Iterator[pa.RecordBatch]:
     a, b = a[new], b[new]
     for k in range(0, len(a), 1 << 16):
         x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (k1[x], k2[x], k1[y], k2[y], token[x], ((x - start[x]) // BLOCK).astype(np.int32), ((y - start[y]) // BLOCK).astype(np.int32))], ["a1", "a2", "b1", "b2", "token", "bi", "bj"])
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (k1[x], k2[x], k1[y], k2[y], token[x], place[x], (place[y] & 0xFFFFF).astype(np.int32))], ["a1", "a2", "b1", "b2", "token", "bi", "bj"])
 
 
-def _whole_lists(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by token, in runs that hold whole lists."""
+def _whole_lists(batches: Iterator[pa.RecordBatch], keys: int, rows: int) -> Iterator[pa.Table]:
+    """Rows sorted by their first `keys` columns, in runs that hold whole lists; a list of over `rows` is split."""
     held: list[pa.RecordBatch] = []
     n = 0
     for b in batches:
@@ -241,35 +254,44 @@ def _whole_lists(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Re
         n += len(b)
         if n >= rows:
             whole = pa.Table.from_batches(held).combine_chunks()
-            token = whole.column(0).to_numpy()
-            cut = int(np.searchsorted(token, token[-1]))  # the last list may go on
+            last = np.ones(n, bool)
+            for k in range(keys):
+                column = whole.column(k).to_numpy()
+                last &= column == column[-1]
+            cut = n - int(last.sum())  # the last list may go on
             if cut:
                 yield whole.slice(0, cut)
-            held, n = whole.slice(cut).combine_chunks().to_batches(), len(whole) - cut
+                held, n = whole.slice(cut).combine_chunks().to_batches(), n - cut
+            else:
+                yield whole
+                held, n = [], 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _runs(whole: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Columns without repeated sets of a list, the rows kept, and each list's start and length."""
-    token, k1, k2, n, pos = (whole.column(k).to_numpy() for k in range(5))
-    keep = np.ones(len(token), bool)
-    keep[1:] = (token[1:] != token[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-    kept = np.flatnonzero(keep)
-    cols = [x[kept] for x in (token, k1, k2, n.astype(np.int64), pos)]
-    head = np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1]))
-    return cols, kept, head, np.diff(np.append(head, len(kept)))
-
-
 def _lists(num: int, den: int):
     """Pairs of the short lists, and the entries (b1 and b2 null) of the long ones."""
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in _whole_lists(batches, 1 << 18):
-            (token, k1, k2, n, pos), _, head, length = _runs(whole)
+        going = None  # a list that was split, so that its rest is long too
+        for whole in _whole_lists(batches, 2, 1 << 18):
+            token, salt, k1, k2, at = (whole.column(k).to_numpy() for k in range(5))
+            last, rows = (token[-1], salt[-1]), len(token)
+            new = np.ones(rows, bool)
+            new[1:] = (token[1:] != token[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+            token, salt, k1, k2, at = (x[new] for x in (token, salt, k1, k2, at))
+            n, pos = at >> 32, at & 0xFFFFFFFF
+            head = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])))
+            length = np.diff(np.append(head, len(token)))
             start, sizes = np.repeat(head, length), np.repeat(length, length)
+            is_long = (sizes > SHORT) | (salt > 0)
+            if going is not None:
+                is_long |= (token == going[0]) & (salt == going[1])
+            going = last if rows >= 1 << 18 and len(head) == 1 else going
+            if going == last:  # one list so far
+                is_long |= (token == last[0]) & (salt == last[1])
             left, right = [], []
-            active, d = np.flatnonzero((sizes > 1) & (sizes <= SHORT)), 1
+            active, d = np.flatnonzero((sizes > 1) & ~is_long), 1
             while len(active):  # short lists, all at once: each entry and the d-th after it
                 active = active[active + d < len(token)]
                 other = active + d
@@ -280,42 +302,86 @@ def _lists(num: int, den: int):
                 left.append(active[fits])
                 right.append(other[fits])
                 d += 1
-            for out in _written(token, k1, k2, start, np.concatenate(left), np.concatenate(right)) if left else ():
+            place = (np.arange(len(token)) - start) // BLOCK
+            for out in _written(token, k1, k2, place, np.concatenate(left), np.concatenate(right)) if left else ():
                 yield pa.RecordBatch.from_arrays([*out.columns, pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.int32())], [*out.schema.names, "n", "pos"])
-            x = np.flatnonzero(sizes > SHORT)
+            x = np.flatnonzero(is_long)
             # what no partner can reach at its position is of no use in a long list either
             x = x[n[x] - pos[x] >= needed_overlap(n[x], -(-num * n[x] // den), num, den)]
             for k in range(0, len(x), 1 << 16):
                 y = x[k : k + (1 << 16)]
-                none, none32 = pa.nulls(len(y), pa.int64()), pa.nulls(len(y), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(k1[y]), pa.array(k2[y]), none, none, pa.array(token[y]), none32, none32, pa.array(n[y].astype(np.int32)), pa.array(pos[y])], ["a1", "a2", "b1", "b2", "token", "bi", "bj", "n", "pos"])
+                none = pa.nulls(len(y), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(k1[y]), pa.array(k2[y]), none, none, pa.array(token[y]), none, pa.nulls(len(y), pa.int32()), pa.array(n[y].astype(np.int32)), pa.array(pos[y].astype(np.int32))], ["a1", "a2", "b1", "b2", "token", "bi", "bj", "n", "pos"])
 
     return lists
 
 
+CELLS = ["token", "cell", "side", "n", "pos", "k1", "k2"]
+
+
 def _long_lists(num: int, den: int, thin: bool):
-    """Pairs of the long lists: token, k1, k2, n, pos, bits, root, sorted by (token, n, pos)."""
+    """Pairs of the cells of long lists: token, cell, side, n, pos, k1, k2, bits, root, sorted by all but the last two."""
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in _whole_lists(batches, 1 << 16):
-            (token, k1, k2, n, pos), kept, head, length = _runs(whole)
-            bits = whole.column(5).take(pa.array(kept)).to_pylist()
-            root = whole.column(6).to_numpy()[kept]
-            start = np.repeat(head, length)
+        for whole in _whole_lists(batches, 2, 1 << 16):
+            token, cell, side, n, pos, k1, k2 = (whole.column(k).to_numpy() for k in range(7))
+            new = np.ones(len(token), bool)
+            new[1:] = (token[1:] != token[:-1]) | (cell[1:] != cell[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+            kept = np.flatnonzero(new)
+            token, cell, side, n, pos, k1, k2 = (x[kept] for x in (token, cell, side, n.astype(np.int64), pos, k1, k2))
+            bits, root = whole.column(7).take(pa.array(kept)).to_pylist(), whole.column(8).to_numpy()[kept]
+            head = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])))
+            length = np.diff(np.append(head, len(token)))
             left, right = [], []
             for h, m in zip(head.tolist(), length.tolist()):
-                own = root[h : h + m]
-                if not thin and (own == own[0]).all():
-                    continue
-                i, j = list_pairs(n[h : h + m], pos[h : h + m], num, den, bits[h : h + m], None if thin else own, thin)
+                own = slice(h, h + m)
+                i, j = list_pairs(n[own], pos[own], num, den, bits[own], None if thin else root[own], side[own])
                 left.append(i + h)
                 right.append(j + h)
             if left:
-                yield from _written(token, k1, k2, start, np.concatenate(left), np.concatenate(right))
+                place = (cell << 20) + (np.arange(len(token)) - np.repeat(head, length)) // BLOCK
+                yield from _written(token, k1, k2, place, np.concatenate(left), np.concatenate(right))
 
     return lists
 
 
+def _cells(spark: SparkSession, rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """Entries (token, k1, k2, n, pos) of long lists with their bitmaps, dealt to cells for the first walk."""
+    parts = stage(spark, rows.groupBy("token").count().where(F.col("count") > CELL).select(F.col("token").alias("t"), F.ceil(F.col("count") / CELL).alias("parts")), "parts")
+    dealt = rows.join(small_or_not(parts, parts.count()), rows["token"] == parts["t"], "left")
+    dealt = dealt.withColumn("cell", F.coalesce(F.pmod(F.xxhash64("token", "k1", "k2"), "parts"), F.lit(0)).cast("long"))
+    return dealt.join(bits, ["k1", "k2"]).select("token", "cell", F.lit(0).alias("side"), "n", "pos", "k1", "k2", "bits", F.lit(0).cast("long").alias("root"))
+
+
+def _crossed(spark: SparkSession, rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """The same for the second walk, of entries with roots: all pairs of different roots meet.
+
+    Lists of one root are left out before bitmaps are joined. top is a list's most frequent root; entries of it
+    (side 0) only meet the others (side 1). Cells of even number hold these two; cells of odd number hold one or two
+    parts of the others. Lists within CELL are one cell.
+    """
+    rows = stage(spark, rows, "rooted")
+    lists = rows.groupBy("token", "root").count().groupBy(F.col("token").alias("t")).agg(F.max(F.struct("count", "root")).alias("most"), F.sum("count").alias("total"))
+    lists = lists.withColumn("rest", F.col("total") - F.col("most.count")).where("rest > 0")
+    lists = stage(spark, lists.select("t", F.col("most.root").alias("top"), "total", F.ceil(F.col("most.count") / CELL).alias("tops"), F.ceil(F.col("rest") / CELL).alias("rests")), "crossed")
+    dealt = rows.join(small_or_not(lists, lists.count()), rows["token"] == lists["t"]).join(bits, ["k1", "k2"])
+    h, is_top, whole = F.xxhash64("token", "k1", "k2"), F.col("root") == F.col("top"), F.col("total") <= CELL
+    dealt = dealt.withColumn("own", F.when(whole, F.lit(0)).when(is_top, F.pmod(h, "tops")).otherwise(F.pmod(h, "rests")).cast("long"))
+
+    def upto(n: str):
+        return F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1)
+
+    def cell(number, side):
+        return F.struct(number.cast("long").alias("cell"), side.cast("int").alias("side"))
+
+    own, tops, rests = F.col("own"), F.col("tops"), F.col("rests")
+    of_top = F.transform(upto("rests"), lambda u: cell(2 * (own * rests + u), F.lit(0)))
+    with_top = F.transform(upto("tops"), lambda c: cell(2 * (c * rests + own), F.lit(1)))
+    with_rest = F.transform(upto("rests"), lambda v: cell(2 * (F.least(own, v) * rests + F.greatest(own, v)) + 1, (own > v)))
+    to = F.when(whole, F.array(cell(F.lit(0), F.lit(0)))).when(is_top, of_top).otherwise(F.concat(with_top, with_rest))
+    return dealt.withColumn("to", F.explode(to)).select("token", "k1", "k2", "n", "pos", "bits", "root", "to.cell", "to.side").select(*CELLS, "bits", "root")
+
+
 class Block:
     """Sets of one block, each as its difference from the first: what it adds and what it lacks."""
 
@@ -416,21 +482,22 @@ def class_links(spark: SparkSession, docs: DataFrame, size: int, num: int, den:
     hints = spark.sparkContext.broadcast((tokens[order], seen[order]))
     classes = stage(spark, scan.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), F.first("bits").alias("bits")), "classes")
 
-    entries = docs.select("text").mapInArrow(_prefixes(size, num, den, hints), "token long, k1 long, k2 long, n int, pos int")
-    entries = entries.repartition("token").sortWithinPartitions("token", "n", "pos", "k1", "k2")
+    entries = docs.select("text").mapInArrow(_prefixes(size, num, den, hints), "token long, k1 long, k2 long, at long, salt int")
+    entries = entries.repartition("token", "salt").sortWithinPartitions("token", "salt", "at", "k1", "k2").select("token", "salt", "k1", "k2", "at")
     lists = stage(spark, entries.mapInArrow(_lists(num, den), PAIR + ", n int, pos int"), "lists")
     short = lists.where("b1 IS NOT NULL").select("a1", "a2", "b1", "b2", *PLACE)
     long = lists.where("b1 IS NULL").select("token", F.col("a1").alias("k1"), F.col("a2").alias("k2"), "n", "pos")
 
-    def walk(known: DataFrame, thin: bool) -> DataFrame:
-        rows = long.join(known, ["k1", "k2"]).select("token", "k1", "k2", "n", "pos", "bits", "root")
-        return rows.repartition("token").sortWithinPartitions("token", "n", "pos", "k1", "k2").mapInArrow(_long_lists(num, den, thin), PAIR)
+    bits = classes.select("k1", "k2", "bits")
+
+    def walk(dealt: DataFrame, thin: bool) -> DataFrame:
+        return dealt.repartition("token", "cell").sortWithinPartitions(*CELLS).mapInArrow(_long_lists(num, den, thin), PAIR)
 
-    # first each long list's likeliest pairs, then all pairs that these links leave in different components
-    one = checked(spark, docs, classes, short.unionByName(walk(classes.select("k1", "k2", "bits", F.lit(0).cast("long").alias("root")), True)), size, num, den)
+    # first each cell's likeliest pairs, then all pairs of a list that these links leave in different components
+    one = checked(spark, docs, classes, short.unionByName(walk(_cells(spark, long, bits), True)), size, num, den)
     roots = components(spark, one)
-    rooted = classes.where("rep IS NOT NULL").join(roots, F.col("rep") == F.col("id"), "left").select("k1", "k2", "bits", F.coalesce("root", "rep").alias("root"))
-    two = checked(spark, docs, classes, walk(rooted, False), size, num, den)
+    rooted = classes.where("rep IS NOT NULL").join(roots, F.col("rep") == F.col("id"), "left").select("k1", "k2", F.coalesce("root", "rep").alias("root"))
+    two = checked(spark, docs, classes, walk(_crossed(spark, long.join(rooted, ["k1", "k2"]), bits), False), size, num, den)
     more = components(spark, joined_to(two, roots)).toDF("root", "top")
     ends = roots.join(more, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
     alone = more.join(roots, more["root"] == roots["id"], "left_anti").select(F.col("root").alias("id"), F.col("top").alias("root"))

@@ -234,9 +234,10 @@ def brute_components(rows, size, num, den):
     return {d: (len(sets[d]), root(d)) for d in ids}
 
 
-@pytest.mark.parametrize("size, num, den, short", [(3, 90, 100, 8), (3, 90, 100, 1), (5, 80, 100, 1)])
-def test_components_are_those_of_brute_force(spark, monkeypatch, size, num, den, short):
+@pytest.mark.parametrize("size, num, den, short, cell", [(3, 90, 100, 8, 1024), (3, 90, 100, 1, 2), (5, 80, 100, 1, 3)])
+def test_components_are_those_of_brute_force(spark, monkeypatch, size, num, den, short, cell):
     monkeypatch.setattr(jaccard, "SHORT", short)
+    monkeypatch.setattr(jaccard, "CELL", cell)
     monkeypatch.setattr(jaccard, "BLOCK", 4)
     rnd, rows, known = random.Random(size + short), [], [f"w{k}" for k in range(300)]
     for _ in range(14):
@@ -260,6 +261,48 @@ def test_jaccard_on_odd_rows(spark):
     assert jaccard.jaccard_components(spark, empty(spark)).count() == 0 and jaccard.keep_one(spark, empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("cell", [3, 1024])
+def test_cells_let_entries_of_different_roots_meet(spark, monkeypatch, cell):
+    monkeypatch.setattr(jaccard, "CELL", cell)
+    rnd = random.Random(cell)
+    rows = [(t, k, 0, 50, 0, rnd.choice([1, 1, 1, 2, 3]) if t else 7) for t in range(4) for k in range(4 + 7 * t)]
+    bits = spark.createDataFrame([(k, 0, bytearray(8)) for k in range(40)], "k1 long, k2 long, bits binary")
+    out = jaccard._crossed(spark, spark.createDataFrame(rows, "token long, k1 long, k2 long, n int, pos int, root long"), bits).collect()
+    assert not any(r["token"] == 0 for r in out)
+    cells = {}
+    for r in out:
+        cells.setdefault((r["token"], r["cell"]), []).append((r["side"], r["k1"]))
+    met = {(c[0], min(a, b), max(a, b)) for c, x in cells.items() for s, a in x for u, b in x if a != b and (s != u or len({y for y, _ in x}) == 1)}
+    assert met >= {(t, a, b) for t, a, *_, x in rows for v, b, *_, y in rows if t == v and a < b and x != y}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 1 << 30), st.booleans())
+def test_list_pairs_leave_out_no_link(seed, split):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(1, 1 << 62, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(60) < 0.97], rng.integers(1, 1 << 62, rng.integers(0, 5)).astype(np.uint64)])) for _ in range(25)]
+    side = rng.integers(0, 2, 25) if split else np.zeros(25, np.int64)
+    order = sorted(range(25), key=lambda k: (side[k], len(sets[k])))
+    sets, side, roots = [sets[k] for k in order], side[order], np.array(order) % 3
+    n = np.array([len(x) for x in sets])
+    i, j = jaccard.list_pairs(n, np.zeros(25, np.int64), 80, 100, [jaccard.bitmap(x) for x in sets], roots, side)
+    got = set(zip(i.tolist(), j.tolist()))
+    both = {0, 1} <= set(side.tolist())
+    for a in range(25):
+        for b in range(a + 1, 25):
+            o = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * o >= 80 * (n[a] + n[b] - o) and roots[a] != roots[b] and (side[a] != side[b] or not both):
+                assert (a, b) in got
+
+
+def test_too_long_lists_are_split():
+    names = ["token", "salt", "k1", "k2", "at"]
+    rows = [(9, 0, i, 0, 30 << 32) for i in range(6)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[a : a + 2]]) for c in range(5)], names) for a in range(0, 6, 2)]
+    assert [len(x) for x in jaccard._whole_lists(iter(batches), 2, 4)] == [4, 2]
+
+
 def test_bitmaps_bound_differences():
     rng = np.random.default_rng(3)
     for _ in range(200):
