@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import BROADCAST_ROWS, has, prepare, small_or_not, stage
+from .runtime import BROADCAST_ROWS, free_shuffles, has, prepare, small_or_not, stage
 from .words import mix, shingles, slices
 
 #: Shingle hints at most, shingles of a counted chunk, list entries of a block.
@@ -485,6 +485,7 @@ def class_links(spark: SparkSession, docs: DataFrame, size: int, num: int, den:
     entries = docs.select("text").mapInArrow(_prefixes(size, num, den, hints), "token long, k1 long, k2 long, at long, salt int")
     entries = entries.repartition("token", "salt").sortWithinPartitions("token", "salt", "at", "k1", "k2").select("token", "salt", "k1", "k2", "at")
     lists = stage(spark, entries.mapInArrow(_lists(num, den), PAIR + ", n int, pos int"), "lists")
+    free_shuffles(spark)  # that of all entries is the largest
     short = lists.where("b1 IS NOT NULL").select("a1", "a2", "b1", "b2", *PLACE)
     long = lists.where("b1 IS NULL").select("token", F.col("a1").alias("k1"), F.col("a2").alias("k2"), "n", "pos")
 
@@ -496,6 +497,7 @@ def class_links(spark: SparkSession, docs: DataFrame, size: int, num: int, den:
     # first each cell's likeliest pairs, then all pairs of a list that these links leave in different components
     one = checked(spark, docs, classes, short.unionByName(walk(_cells(spark, long, bits), True)), size, num, den)
     roots = components(spark, one)
+    free_shuffles(spark)
     rooted = classes.where("rep IS NOT NULL").join(roots, F.col("rep") == F.col("id"), "left").select("k1", "k2", F.coalesce("root", "rep").alias("root"))
     two = checked(spark, docs, classes, walk(_crossed(spark, long.join(rooted, ["k1", "k2"]), bits), False), size, num, den)
     more = components(spark, joined_to(two, roots)).toDF("root", "top")

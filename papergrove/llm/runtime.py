@@ -80,3 +80,11 @@ def has(df: DataFrame, *names: str) -> DataFrame:
 def small_or_not(df: DataFrame, rows: int) -> DataFrame:
     """df marked for broadcast where its counted rows are within the bound; otherwise left to a shuffled join."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Has the driver's cleaner delete the shuffle files that no plan refers to any more.
+
+    Spark ties them to objects of the driver, whose collector may not run for long; for use after a written step.
+    """
+    spark.sparkContext._jvm.System.gc()
