@@ -30,12 +30,17 @@ _GAPS = b" \t\n\v\f\r"
 
 @dataclass(frozen=True)
 class Limits:
-    """Repeats of min_repeat words and more count; most_covered is a share of the words, longest in words."""
+    """Repeats of min_repeat words and more count; most_covered is a share of the words, longest in words.
+
+    Covered words are among those of repeated windows, so most_covered binds only below most_window_share. Of the good
+    labelled texts of sf0.1 that pass the base rule none is covered over 0.282; the poor ones that fail it are mostly
+    over 0.9. On the other labels of check_s 0.30 rejects 15 of 16,906 good and 3 of 1,345 poor texts that pass.
+    """
 
     min_words: int = 50
     most_window_share: int = 50
     min_repeat: int = 8
-    most_covered: float = 0.50
+    most_covered: float = 0.30
     longest: int = 48
 
 

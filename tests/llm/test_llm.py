@@ -156,6 +156,16 @@ def test_repetition_on_odd_rows(spark):
     assert repetition.maximal_repeats("a b c d x a b c d y b c d", 2) == [(3, [1, 6, 10]), (4, [0, 5])]
 
 
+def test_repetition_limits_of_production_reject_by_coverage():
+    once = lambda n: " ".join(f"w{k}" for k in range(n))
+    passage = " ".join(f"p{k}" for k in range(20))
+    texts = [f"{passage} {once(60)} {passage}", f"{passage} {once(100)} {passage}", once(100)]  # 40 %, 29 % and none covered
+    (part,) = slices(pa.array(texts))
+    got = repetition.judge(part, repetition.Limits())
+    assert got["n_covered_words"].tolist() == [40, 40, 0] and got["longest_repeat"].tolist() == [20, 20, 0]
+    assert not got["base_failed"].any() and got["kept"].tolist() == [False, True, True]
+
+
 # 4 mixing
 
 
