@@ -118,6 +118,20 @@ def test_wrapper_takes_what_varies(spark):
     assert html_wrapper.main_texts(spark, df).count() == len(rows) and html_wrapper.main_texts(spark, df.where("page_id < 0")).count() == 0
 
 
+def main_of(spark, pages):
+    df = spark.createDataFrame([(k, f"http://h.example/{k}", h) for k, h in enumerate(pages)], "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in html_wrapper.main_texts(spark, df).collect()}
+
+
+def test_wrapper_keeps_all_that_varies(spark):
+    two = [f"<nav>{k}</nav><article><p>First text {k} is the longer of two</article><article><p>Second {k}</article><p>Shared" for k in range(4)]
+    assert main_of(spark, two) == {k: f"First text {k} is the longer of two\n\nSecond {k}" for k in range(4)}
+    halves = [f"<div class=a><p>The upper part of text {k} is longer</div><div class=b><p>The lower part {k}</div><div class=c><p>Shared</div>" for k in range(4)]
+    assert main_of(spark, halves) == {k: f"The upper part of text {k} is longer\n\nThe lower part {k}" for k in range(4)}
+    alone = ["<article><p>One</article><article><p>Two</article><p>Shared", "<div><p>A longer one</div><div><p>Two</div>"]
+    assert main_of(spark, alone) == {0: "One\n\nTwo", 1: "A longer one\n\nTwo"}
+
+
 def test_tree_matching():
     a, b = ["d", [["p", []], ["q", [["x", []]]], ["p", []]]], ["d", [["q", [["x", []], ["y", []]]], ["p", []]]]
     assert html_wrapper.tree_match(a, b)[0] == 4 and html_wrapper.tree_match(a, ["e", []])[0] == 0
