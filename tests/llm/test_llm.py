@@ -132,6 +132,12 @@ def test_wrapper_keeps_all_that_varies(spark):
     assert main_of(spark, alone) == {0: "One\n\nTwo", 1: "A longer one\n\nTwo"}
 
 
+def test_copies_of_an_article_are_no_template(spark):
+    texts = ["The same text", "The same text", "The same text", "Another text", "A third text"]
+    pages = [f"<nav>{k}</nav><div class=ad>Buy {k}</div><article><p>{t}</article><p>Shared<footer>{k}</footer>" for k, t in enumerate(texts)]
+    assert main_of(spark, pages) == dict(enumerate(texts))
+
+
 def test_tree_matching():
     a, b = ["d", [["p", []], ["q", [["x", []]]], ["p", []]]], ["d", [["q", [["x", []], ["y", []]]], ["p", []]]]
     assert html_wrapper.tree_match(a, b)[0] == 4 and html_wrapper.tree_match(a, ["e", []])[0] == 0
