@@ -337,6 +337,13 @@ def er_gnp_edges(spark, sf):
     return er.gnp_by_pair(spark, n, 20, 0.001, CFG.seed)
 
 
+@query
+def er_gnp_cohort(spark, sf):
+    """The edges of a whole year's new nodes by the operator of the simulation; er_gnp_edges holds 20 of them against SQL."""
+    n = _n(X0.raw_nodes(spark, sf))
+    return er.gnp_edges(spark, n, -(-n * 3 // 100), 0.001, CFG.seed)
+
+
 @query
 def er_edges_per_node(spark, sf):
     n = _n(X0.raw_nodes(spark, sf))

@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import pytest
@@ -139,6 +140,24 @@ def test_random_graph(spark):
     assert nodes.count() == 107 and e.where("cycle = 2").count() > 0
 
 
+def gap_walk(n, size, p, seed):
+    for src in range(n, n + size):
+        at, j = -1, 0
+        while True:
+            u = (int(hashlib.md5(f"{seed}:{src}:gap:{j}".encode()).hexdigest()[:8], 16) + 1) / 2**32
+            at, j = at + (math.floor(math.log(u) / math.log1p(-p)) + 1 if p < 1 else 1), j + 1
+            if at >= n:
+                break
+            yield src, at
+
+
+def test_random_graph_by_gaps_is_that_of_a_plain_walk(spark):
+    for n, size, p in ((300, 9, 0.05), (40, 3, 0.9), (7, 2, 1.0), (1, 4, 0.3)):
+        assert sorted(map(tuple, er.gnp_edges(spark, n, size, p, 5).collect())) == sorted(gap_walk(n, size, p, 5))
+    got = __spark_entry__.queries()["er_gnp_cohort"](spark, SF).collect()
+    assert sorted(map(tuple, got)) == sorted(gap_walk(1500, 45, 0.001, SimConfig().seed))
+
+
 def test_command_line():
     a = parser().parse_args("--edgelist e --nodelist n --out-degree-bag b --recency-probabilities r --output-file o --auxiliary-information-file x --log-file l --growth-rate 0.03 --num-cycles 3 --same-year-proportion 0.12 --alpha 0.5".split())
     c = from_args(a)
