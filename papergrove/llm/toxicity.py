@@ -12,7 +12,7 @@ A hit's weight depends on the words around it: inside quotation marks, or after
 the same labelled rows, gives its score.
 
 The lexicon and model are fitted on at most `sample` labelled rows, the first in hash order of doc_id (a documented
-bound for the fit alone); candidate terms are bounded by TERMS. Every row is scored on its whole text.
+bound for the fit alone); all their terms are tested, in Spark, and those that pass are collected. Every row is scored on its whole text.
 
 Null and empty texts have no hits and get the score of a text without any; repeated rows are scored each; without
 toxic and clean labels every score is 0. Further columns are ignored.
@@ -24,7 +24,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,8 +36,8 @@ from .runtime import has, prepare, stage
 from .words import mix, shingles, slices
 
 WORD = re.compile(r"\w+")
-#: Least letters for a misspelling, words to each side of a hit, candidate terms, words remembered by a worker.
-FUZZY, WINDOW, TERMS, MEMORY = 5, 6, 20_000, 400_000
+#: Least letters for a misspelling, words to each side of a hit, words remembered by a worker.
+FUZZY, WINDOW, MEMORY = 5, 6, 400_000
 #: Words of reporting, quotation marks that open and close, and the marks that do both.
 REPORTS = frozenset("said says wrote quote quoted called dit écrit sagte schrieb dijo escribió".split())
 OPENING, CLOSING, BOTH = "“«„‘", "”»“’", "\""
@@ -201,8 +201,8 @@ def terms_of(text: str) -> set[str]:
     return words | {w[:k] + "*" for w in words for k in range(4, min(len(w), 8))}
 
 
-def choose_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, least: int) -> tuple[list[str], list[str]]:
-    """Words and beginnings of the lexicon from document counts.
+def telling(n_toxic: int, n_clean: int, least: int, looked_at: int) -> Callable[[str, int, int, int], bool]:
+    """The test of a word or beginning in a toxic and b clean documents; below is the largest count among what it goes on to.
 
     A term must be far more frequent in toxic documents, and too frequent there to be chance: its binomial tail,
     times the number of terms looked at, is at most 0.05.
@@ -214,18 +214,13 @@ def choose_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_c
         terms = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(share) + (n - k) * math.log1p(-share) for k in range(a, n + 1)]
         return math.fsum(map(math.exp, terms))
 
-    def good(t: str, ratio: float) -> bool:
-        a, b = toxic[t], clean.get(t, 0)
-        return a >= least and (a + 0.5) / (n_toxic + 1) >= ratio * (b + 0.5) / (n_clean + 1) and a >= 4 * b and chance(a, b) * len(toxic) <= 0.05
+    def good(t: str, a: int, b: int, below: int) -> bool:
+        stem = t.endswith("*")
+        if a < least or (a + 0.5) / (n_toxic + 1) < (40 if stem else 20) * (b + 0.5) / (n_clean + 1) or a < 4 * b:
+            return False
+        return (not stem or below < 0.9 * a) and chance(a, b) * looked_at <= 0.05
 
-    terms = sorted(t for t in toxic if not t.endswith("*") and good(t, 20))
-    below: Counter[str] = Counter()  # the largest count among what a beginning goes on to
-    for t in toxic:
-        for k in range(4, min(len(t), 9)):
-            if k < len(t.rstrip("*")):
-                below[t[:k]] = max(below[t[:k]], toxic[t])
-    stems = sorted(t[:-1] for t in toxic if t.endswith("*") and good(t, 40) and below[t[:-1]] < 0.9 * toxic[t])
-    return terms, [s for s in stems if not any(s != o and s.startswith(o) for o in stems)]
+    return good
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 50) -> np.ndarray:
@@ -268,29 +263,37 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     once = stage(spark, once.select("doc_id", "toxic"), "learned")
     rows = labelled.join(F.broadcast(once), "doc_id").select("doc_id", "toxic", "text")  # at most `sample` rows
 
-    def count(which: int, only: object = None):
+    def count(toxic: bool) -> DataFrame:
         def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: Counter[str] = Counter()
             for b in batches:
+                total: Counter[str] = Counter()
                 for label, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                    if (label > 0) == (which > 0):
+                    if (label > 0) == toxic:
                         total[""] += 1
-                        found = terms_of(text or "")
-                        total.update(found if only is None else found & only.value)
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "docs"])
+                        total.update(terms_of(text or ""))
+                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "docs"])
 
-        return rows.mapInArrow(counted, "term string, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
+        return stage(spark, rows.mapInArrow(counted, "term string, docs long").groupBy("term").agg(F.sum("docs").alias("docs")), "terms")
 
-    often = count(1)
-    n_toxic = (often.where("term = ''").agg(F.sum("docs")).first()[0]) or 0
-    least = max(3, round(0.002 * n_toxic))
-    toxic = {r["term"]: r["docs"] for r in often.where(f"term <> '' AND docs >= {least}").orderBy(F.desc("docs"), "term").limit(TERMS).collect()}
-    only = spark.sparkContext.broadcast(frozenset(toxic))
-    clean = {r["term"]: r["docs"] for r in count(0, only).collect()}
-    n_clean = clean.pop("", 0)
+    often, clean = count(True), count(False)
+    n_toxic, n_clean = ((c.where("term = ''").agg(F.sum("docs")).first()[0]) or 0 for c in (often, clean))
     if not n_toxic or not n_clean:
         return Toxic([], [], frozenset(), ())
-    terms, stems = choose_terms(toxic, clean, n_toxic, n_clean, least)
+    least = max(3, round(0.002 * n_toxic))
+    often = often.where(f"term <> '' AND docs >= {least}")
+    good = telling(n_toxic, n_clean, least, often.count())
+    longer = often.withColumn("size", F.expr("length(trim(TRAILING '*' FROM term))")).where("size > 4")
+    below = longer.select("docs", F.explode(F.expr("transform(sequence(4, least(8, size - 1)), k -> substr(term, 1, k) || '*')")).alias("term")).groupBy("term").agg(F.max("docs").alias("below"))
+
+    def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([good(*r) for r in zip(*(c.to_pylist() for c in b.columns))], pa.bool_()))
+
+    known = often.join(clean.withColumnRenamed("docs", "clean"), "term", "left").join(below, "term", "left")
+    known = known.select("term", "docs", F.coalesce("clean", F.lit(0)).cast("long").alias("clean"), F.coalesce("below", F.lit(0)).cast("long").alias("below"))
+    found = sorted(r["term"] for r in known.mapInArrow(tested, "term string, docs long, clean long, below long").collect())
+    terms, stems = [t for t in found if not t.endswith("*")], [t[:-1] for t in found if t.endswith("*")]
+    stems = [s for s in stems if not any(s != o and s.startswith(o) for o in stems)]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Toxic(terms, stems, frozenset(), ())
@@ -301,7 +304,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(near, pa.list_(pa.string()))], ["toxic", "near"])
 
     near = rows.mapInArrow(look, "toxic int, near array<string>").select("toxic", F.explode("near").alias("word")).groupBy("word").agg(F.sum(F.when(F.col("toxic") > 0, 0).otherwise(1)).alias("clean"), F.count("*").alias("docs"))
-    harmless = frozenset(r["word"] for r in near.where("10 * clean * {0} >= docs * {1}".format(n_clean + n_toxic, n_clean)).orderBy(F.desc("docs"), "word").limit(TERMS).collect())
+    harmless = frozenset(r["word"] for r in near.where("10 * clean * {0} >= docs * {1}".format(n_clean + n_toxic, n_clean)).collect())
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Toxic(terms, stems, harmless, ())

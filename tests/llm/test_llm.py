@@ -487,6 +487,18 @@ def test_toxicity_learns_and_reads_context(spark):
     assert toxicity.toxicity(spark, odd(spark), toxicity.train(spark, docs, labels.where("toxic = 0"))).where("score > 0").count() == 0
 
 
+def test_toxicity_learns_rare_terms_behind_many_frequent_ones(spark):
+    rnd = random.Random(6)
+    plain = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(5000)]  # over 20,000 words and beginnings
+    ids = [d for d in range(400) if not toxicity.held_out(d)][:150]
+    rows = []
+    for k, d in enumerate(ids):
+        rnd.shuffle(plain)
+        rows.append((d, " ".join(plain) + (" zorgle" if k < 12 else ""), int(k < 30)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert "zorgle" in toxicity.train(spark, df, df).terms
+
+
 # all
 
 
