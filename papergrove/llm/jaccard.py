@@ -2,33 +2,39 @@
 
 A document's set is its distinct word shingles. The join runs over distinct sets:
 
-1. One scan gives each document's set size and 128-bit set key; documents with equal keys form a class, which is one
-   set in all that follows. The same scan counts, in chunks, shingles that recur, as hints for the order of shingles.
-2. A second scan gives each class's prefix in the order (hint, hash), rare first: two sets with Jaccard of at least t
-   share a shingle among the first n - ceil(t n) + 1 of each. Any order is right; hints just keep lists short.
+1. One scan gives each document's set size, 64-bit set key and 128 parity bits (bit i: whether an odd number of its
+   shingles fall to i); documents with equal keys are one set in all that follows. The same scan counts all shingles
+   of all documents in a sketch of WIDTH counters, summed over all tasks, so what is frequent counts as frequent at any
+   input size: a counter is never too low, and too high by the shingles that share it, total / WIDTH on average.
+2. A second scan gives each set's prefix in the order (frequency by the sketch, hash), rare first: two sets with
+   Jaccard of at least t share a shingle among the first n - ceil(t n) + 1 of each. Any order is right; this one keeps
+   lists short. Lists whose count is far over the median counter are dealt by hash to cells of about CELL entries.
 3. Inverted lists are sorted by (set size, position) and walked in blocks of equal size: for two blocks the overlap
-   that t needs bounds the positions, so the rest of a block is skipped (index-level skipping).
-   Lists longer than SHORT are walked with each set's bitmap at hand (as many bits as shingles, rounded up to a power
-   of two): bits that differ bound the sets' difference from below, so pairs that cannot link are not written. A long
-   list is walked twice: first each entry's nearest earlier one alone is checked, then every pair that the links
-   found so leave in different components. All links between components are seen; those inside one change nothing.
-   No task holds a whole list of any length: lists longer than CELL are dealt by hash to cells of about CELL entries.
-   The first walk stays inside cells. The second splits a list into its most frequent component and the rest, and
-   walks cells of the one against cells of the other, and of the rest against itself; a list of one component has none.
-4. A candidate pair is checked once, at its least shared shingle, in blocks of 32 by 32 list entries. There every set
-   is held as its difference from the block's first set, and an overlap is derived from the two differences alone;
-   pairs that links found in the block already connect are not checked (answer-level skipping).
-5. Links join classes to components by contraction to the least neighbour, each round a written table.
-
-No list, link or set is gathered on the driver, which gets counts and at most HINTS shingle hints (for the order).
-Words are cut after lower-casing A to Z; shingles are compared as 64-bit values, sets as 128-bit keys.
+   that t needs bounds the positions, so the rest of a block is skipped (index-level skipping). Parity bits that differ
+   bound the sets' difference from below, so pairs that cannot link are not written.
+   The first walk, inside cells, gives each set's nearest earlier one over all its lists (earlier: by size, then key),
+   and the entries that have any partner left. One pair a set is checked. The second walk takes these entries with the
+   component of their set: lists of one component are done; in the others, every pair of different components is
+   checked. All links between components are seen; those inside one change nothing. The second splits a long list into
+   its most frequent component and the rest, and walks cells of the one against cells of the other, and of the rest
+   against itself.
+4. A pair is checked in a group: the first walk's by the earlier set (in parts of FAMILY sets at most), the second's by
+   blocks of 32 by 32 list entries, at the least shared list. There every set is held as its difference from the
+   group's first set, and an overlap is derived from the two differences alone; pairs that links found in the group
+   already connect are not checked (answer-level skipping).
+5. Links join sets to components by contraction to the least neighbour, each round a written table.
+
+No list, link or set is gathered on the driver, which gets counts and the sketch (WIDTH numbers).
+Words are cut after lower-casing A to Z; shingles and sets are compared as 64-bit hash values.
 
 Null and empty texts have the empty set, linked with nothing (component_id is the document's own doc_id). Rows with a
-null doc_id take part through their class; component_id is the least doc_id that is not null. Repeated rows are kept.
+null doc_id take part like all others; component_id is the least doc_id that is not null. Repeated rows are kept, and
+rows that share a doc_id but not the text are documents of their own.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,15 +42,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import BROADCAST_ROWS, free_shuffles, has, prepare, small_or_not, stage
+from .runtime import drop, free_shuffles, has, prepare, small_or_not, stage
 from .words import mix, shingles, slices
 
-#: Shingle hints at most, shingles of a counted chunk, list entries of a block.
-HINTS, CHUNK, BLOCK = 200_000, 2 << 20, 32
-#: Entries of a list that is walked without bitmaps, at most; entries of a long list's cell, about.
-SHORT, CELL = 8, 1024
+#: Counters of the sketch (a power of two) and of a piece of it, shingles counted at a time, list entries of a block.
+WIDTH, PIECE, CHUNK, BLOCK = 1 << 21, 1 << 15, 1 << 21, 32
+#: Entries of a list that is walked along with others at once, at most (speed alone); entries of a cell, about; sets of
+#: a group that the first walk's pairs are checked in, at most.
+SHORT, CELL, FAMILY = 16, 1024, 256
 
-SCAN = "doc_id long, n int, k1 long, k2 long, bits binary, token long, seen long"
+SCAN = "doc_id long, t long, n int, k long, p1 long, p2 long, piece int, counts binary"
 
 
 def text_sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -55,28 +62,20 @@ def text_sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
             yield part.first + k, np.unique(shingles(h[at[k] : at[k + 1]], size))
 
 
-def set_key(values: np.ndarray) -> tuple[int, int]:
-    """128 bits of a sorted set, as two signed 64-bit integers."""
+def set_key(values: np.ndarray) -> int:
+    """64 bits of a set of 64-bit values, as a signed integer."""
     with np.errstate(over="ignore"):
-        a = int(mix(values + np.uint64(0x1234567)).sum(dtype=np.uint64))
-        b = int(mix(values * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(0xABCDEF)).sum(dtype=np.uint64)) + len(values)
-    return a - (1 << 63), b % (1 << 64) - (1 << 63)
+        total = mix(values + np.uint64(0x1234567)).sum(dtype=np.uint64)
+        return int(mix(np.array([total + np.uint64(len(values))]))[0]) - (1 << 63)
 
 
-def bitmap(values: np.ndarray) -> bytes:
-    """A bit for each shingle's low bits; a power of two of bits, no fewer than shingles."""
-    size = max(64, 1 << (len(values) - 1).bit_length())
-    held = np.zeros(size, bool)
-    held[(values & np.uint64(size - 1)).astype(np.int64)] = True
-    return np.packbits(held, bitorder="little").tobytes()
+def parity(values: np.ndarray) -> np.ndarray:
+    """128 bits as two integers: bit i tells whether an odd number of values fall to i.
 
-
-def fold(bits: np.ndarray, words: int) -> np.ndarray:
-    """Bitmaps (a row each) of fewer words: the same as made with fewer bits."""
-    while bits.shape[1] > words:
-        half = bits.shape[1] // 2
-        bits = bits[:, :half] | bits[:, half:]
-    return bits
+    The bits that differ between two sets are no more than the values that do.
+    """
+    odd = np.bincount((values >> np.uint64(57)).astype(np.int64), minlength=128) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def needed_overlap(a, b, num: int, den: int):
@@ -88,99 +87,136 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    most = int(counts.max(initial=0))
+    return zlib.compress(counts.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u8").tobytes(), 1)
+
+
+def _unpacked(packed: bytes, size: int) -> np.ndarray:
+    raw = zlib.decompress(packed)
+    return np.frombuffer(raw, f"<u{len(raw) // size}").astype(np.uint64)
+
+
+class Recent:
+    """The keys met last, some at most: what repeats close by is found here."""
+
+    def __init__(self) -> None:
+        self.held: set[int] = set()
+
+    def new(self, key: int) -> bool:
+        if key in self.held:
+            return False
+        if len(self.held) > 1 << 18:
+            self.held.clear()
+        self.held.add(key)
+        return True
+
+
 def _scan(size: int):
+    width, piece = WIDTH, min(PIECE, WIDTH)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[np.ndarray] = []
-        held, seen = 0, set()
-        names = ["doc_id", "n", "k1", "k2", "bits", "token", "seen"]
-
-        def hints() -> pa.RecordBatch:
-            values, count = np.unique(np.concatenate(pending), return_counts=True)
-            often = count >= 3
-            tokens, count = values[often].view(np.int64), count[often]
-            none = pa.nulls(len(tokens), pa.int64())
-            return pa.RecordBatch.from_arrays([none, pa.nulls(len(tokens), pa.int32()), none, none, pa.nulls(len(tokens), pa.binary()), pa.array(tokens), pa.array(count, pa.int64())], names)
-
+        counts, held, recent = np.zeros(width, np.uint64), 0, Recent()
+        names = ["doc_id", "t", "n", "k", "p1", "p2", "piece", "counts"]
         for b in batches:
-            n, k1, k2 = np.zeros(len(b), np.int32), np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
-            bits: list[bytes | None] = [None] * len(b)
+            n, key, bits = np.zeros(len(b), np.int32), np.zeros(len(b), np.int64), np.zeros((2, len(b)), np.int64)
             for row, values in text_sets(b.column(1), size):
-                n[row] = len(values)
-                bits[row] = bitmap(values) if len(values) else None
-                k1[row], k2[row] = set_key(values)
-                if (key := (k1[row], k2[row])) not in seen:
-                    if len(seen) > 1 << 18:
-                        seen.clear()
-                    seen.add(key)
-                    pending.append(values)
+                n[row], key[row], bits[:, row] = len(values), set_key(values), parity(values)
+                if len(values) and recent.new(int(key[row])):  # copies close by count once
+                    pending.append((values & np.uint64(width - 1)).astype(np.int64))
                     held += len(values)
                     if held >= CHUNK:
-                        yield hints()
+                        counts += np.bincount(np.concatenate(pending), minlength=width).astype(np.uint64)
                         pending, held = [], 0
-            none = pa.nulls(len(b), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(k1), pa.array(k2), pa.array(bits, pa.binary()), none, none], names)
+            none = pa.nulls(len(b), pa.int32()), pa.nulls(len(b), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n), pa.array(key), pa.array(bits[0]), pa.array(bits[1]), *none], names)
         if pending:
-            yield hints()
+            counts += np.bincount(np.concatenate(pending), minlength=width).astype(np.uint64)
+        if counts.any():
+            m = width // piece
+            none = [pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(m), pa.int32()), pa.array([_packed(counts[k * piece : (k + 1) * piece]) for k in range(m)], pa.binary())], names)
 
     return scan
 
 
-def _prefixes(size: int, num: int, den: int, hints):
+def _summed(size: int):
+    """The sums of the pieces (piece, counts) of a partition; a piece has `size` counters."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, packed in zip(b.column(0).to_pylist(), b.column(1)):
+                counts = _unpacked(packed.as_py(), size)
+                total[k] = total[k] + counts if k in total else counts
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([_packed(v) for v in total.values()], pa.binary())], ["piece", "counts"])
+
+    return summed
+
+
+def sketch(scan: DataFrame) -> np.ndarray:
+    """The counters, summed over all tasks in two steps so that no task reads the pieces of many."""
+    kind, size = "piece int, counts binary", min(PIECE, WIDTH)
+    pieces = scan.where("piece IS NOT NULL").select("piece", "counts", F.pmod(F.xxhash64("counts"), F.lit(16)).alias("part"))
+    some = pieces.repartition("piece", "part").select("piece", "counts").mapInArrow(_summed(size), kind)
+    out = np.zeros(WIDTH, np.uint64)
+    for r in some.repartition("piece").mapInArrow(_summed(size), kind).toLocalIterator():
+        out[r["piece"] * size :][:size] = _unpacked(bytes(r["counts"]), size)
+    return out
+
+
+def ranks(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each counter a rank (eighths of the logarithm to base 2) and the cells that its lists are dealt to."""
+    usual = float(np.median(counts))
+    parts = np.ceil(np.maximum(counts - 2 * usual, 1) / CELL)
+    return np.minimum(8 * np.log2(counts + 1.0), 255).astype(np.uint8), np.minimum(parts, 1 << 30).astype(np.int32)
+
+
+def _prefixes(size: int, num: int, den: int, held):
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = hints.value
-        parts = -(-rank // CELL)
-        seen: set[tuple[int, int]] = set()
+        rank, parts = held.value
+        low, recent = np.uint64(len(rank) - 1), Recent()
         for b in batches:
-            out: list[list] = [[], [], [], [], []]  # salts tell lists that the hints say are longer than a cell
+            out: list[list] = [[], [], [], [], [], []]
             for _, values in text_sets(b.column(0), size):
                 n = len(values)
-                if den * n < num * (n + 1) or (key := set_key(values)) in seen:  # too small for any link but to an equal set
+                if den * n < num * (n + 1) or not recent.new(key := set_key(values)):  # too small for any link but to an equal set
                     continue
-                if len(seen) > 1 << 18:
-                    seen.clear()
-                seen.add(key)
                 m = prefix_length(n, num, den)
-                first, salt = values[:m], np.zeros(m, np.int32)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
-                    held = known[at] == values
-                    if held.any():
-                        order = np.lexsort((values, np.where(held, rank[at], 0)))[:m]
-                        first, split = values[order], np.where(held, parts[at], 1)[order]
-                        with np.errstate(over="ignore"):
-                            dealt = mix(first + np.uint64(key[0] % (1 << 64))) % split.astype(np.uint64)
-                        salt = np.where(split > 1, dealt.astype(np.int32) + 1, 0).astype(np.int32)
-                for into, x in zip(out, (first.view(np.int64), np.full(m, key[0]), np.full(m, key[1]), (n << 32) + np.arange(m, dtype=np.int64), salt)):
+                at = (values & low).astype(np.int64)
+                order = np.lexsort((values, rank[at]))[:m]
+                first, split = values[order], parts[at[order]]
+                with np.errstate(over="ignore"):
+                    dealt = mix(first + np.uint64(key % (1 << 64))) % split.astype(np.uint64)
+                cell = np.where(split > 1, dealt.astype(np.int32) + 1, 0).astype(np.int32)  # 0: the list is whole
+                bits = parity(values)
+                for into, x in zip(out, (first.view(np.int64), cell, (n << 32) + np.arange(m, dtype=np.int64), np.full(m, key), np.full(m, bits[0]), np.full(m, bits[1]))):
                     into.append(x)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["token", "k1", "k2", "at", "salt"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["token", "cell", "at", "k", "p1", "p2"])
 
     return prefixes
 
 
-def list_pairs(n: np.ndarray, pos: np.ndarray, num: int, den: int, bits: list[bytes], roots: np.ndarray | None = None, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs (as indices) of one cell of an inverted list, walked in blocks of equal side and n.
+def differing(bits: tuple[np.ndarray, np.ndarray], i, j) -> np.ndarray:
+    p, q = (x.view(np.uint64) for x in bits)  # of signed values numpy counts the bits of the amount
+    return (np.bitwise_count(p[i] ^ p[j]) + np.bitwise_count(q[i] ^ q[j])).astype(np.int32)
 
-    Entries are sorted by (side, n, pos). Pairs whose differing bits leave too little overlap are left out. With roots,
-    all pairs of different components are given, across sides only where there are two; without, each entry's pair
-    with the earlier one whose bitmap differs least.
+
+def blocks_that_fit(n: np.ndarray, pos: np.ndarray, num: int, den: int, bits: tuple[np.ndarray, np.ndarray], side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """Index ranges i and j of one cell of an inverted list with (i by j) their differing parity bits and whether they fit.
+
+    Entries are sorted by (side, n, pos) and walked in blocks of equal side and n; with two sides, only across them.
+    The last value tells that i and j are of one block.
     """
-    none = np.zeros(0, np.int64)
     if not len(n):
-        return none, none
+        return
     side = np.zeros(len(n), np.int64) if side is None else side
-    least, partner = np.full(len(n), 1 << 30), np.full(len(n), -1)
-    maps: dict[int, np.ndarray] = {}
-
-    def block_bits(k: int, count: int) -> np.ndarray:
-        if k not in maps or len(maps[k]) < count:
-            maps[k] = np.frombuffer(b"".join(bits[edge[k] : edge[k] + count]), "<u8").reshape(count, -1)
-        return maps[k][:count]
-
     edge = np.flatnonzero(np.append(True, (n[1:] != n[:-1]) | (side[1:] != side[:-1])))
     sizes, ends, sides = n[edge], np.append(edge[1:], len(n)), side[edge]
     cut = int(np.searchsorted(sides, sides[0], "right"))  # blocks of the first side
-    left, right = [], []
     for a in range(cut):
         na = int(sizes[a])
         if cut == len(edge):
@@ -198,51 +234,37 @@ def list_pairs(n: np.ndarray, pos: np.ndarray, num: int, den: int, bits: list[by
             most = na + nb - 2 * need  # shingles that the two sets may differ by
             step = max(1, (1 << 20) // lb)
             for at in range(0, la, step):
-                to = min(la, at + step)
-                x, y = block_bits(a, la)[at:to], block_bits(b, lb)
-                words = min(x.shape[1], y.shape[1])
-                x, y = fold(x, words), fold(y, words)
-                differ = np.zeros((to - at, lb), np.int32)
-                for w in range(words):
-                    differ += np.bitwise_count(x[:, w, None] ^ y[None, :, w])
-                if roots is None:
-                    if a == b:  # earlier entries alone
-                        differ[np.arange(at, to)[:, None] >= np.arange(lb)[None, :]] = 1 << 29
-                    row = differ.argmin(axis=0)
-                    value = differ[row, np.arange(lb)]
-                    own = edge[b] + np.arange(lb)
-                    better = (value <= most) & (value < least[own])
-                    least[own[better]], partner[own[better]] = value[better], edge[a] + at + row[better]
-                    continue
-                i, j = np.nonzero((differ <= most) & (roots[edge[a] + at : edge[a] + to, None] != roots[None, edge[b] : edge[b] + lb]))
-                i, j = i + edge[a] + at, j + edge[b]
-                keep = i < j if a == b else slice(None)
-                left.append(i[keep])
-                right.append(j[keep])
-    if roots is None:
-        found = np.flatnonzero(partner >= 0)
-        return partner[found], found
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
-
-
-PAIR = "a1 long, a2 long, b1 long, b2 long, token long, bi long, bj int"
-
-
-def _written(token, k1, k2, place, i, j) -> Iterator[pa.RecordBatch]:
-    """Pairs of list entries i and j, each pair of sets once, with the least list and the blocks it is found in.
-
-    place is each entry's block: the cell, and the place in it by BLOCK.
-    """
-    swap = (k1[i] > k1[j]) | ((k1[i] == k1[j]) & (k2[i] > k2[j]))
-    a, b = np.where(swap, j, i), np.where(swap, i, j)
-    order = np.lexsort((token[a], k2[b], k1[b], k2[a], k1[a]))
-    a, b = a[order], b[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (k1[a][1:] != k1[a][:-1]) | (k2[a][1:] != k2[a][:-1]) | (k1[b][1:] != k1[b][:-1]) | (k2[b][1:] != k2[b][:-1])
-    a, b = a[new], b[new]
-    for k in range(0, len(a), 1 << 16):
-        x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (k1[x], k2[x], k1[y], k2[y], token[x], place[x], (place[y] & 0xFFFFF).astype(np.int32))], ["a1", "a2", "b1", "b2", "token", "bi", "bj"])
+                i, j = np.arange(edge[a] + at, edge[a] + min(la, at + step)), np.arange(edge[b], edge[b] + lb)
+                d = differing(bits, i[:, None], j[None, :])
+                yield i, j, d, d <= most, a == b
+
+
+def nearest(n: np.ndarray, pos: np.ndarray, key: np.ndarray, num: int, den: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each entry of a cell the nearest earlier one by differing bits (-1: none), those bits, and whether any fits."""
+    least, partner, some = np.full(len(n), 1 << 20, np.int32), np.full(len(n), -1), np.zeros(len(n), bool)
+    for i, j, d, fits, same in blocks_that_fit(n, pos, num, den, bits):
+        if same:  # earlier entries alone
+            fits &= key[i][:, None] < key[j][None, :]
+        some[i] |= fits.any(axis=1)
+        some[j] |= fits.any(axis=0)
+        d[~fits] = 1 << 20
+        row = d.argmin(axis=0)
+        value = d[row, np.arange(len(j))]
+        better = value < least[j]
+        least[j[better]], partner[j[better]] = value[better], i[row[better]]
+    return partner, least, some
+
+
+def crossing(n: np.ndarray, pos: np.ndarray, num: int, den: int, bits: tuple[np.ndarray, np.ndarray], roots: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All candidate pairs (as indices) of different roots in a cell, across sides only where there are two."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, j, _, fits, same in blocks_that_fit(n, pos, num, den, bits, side):
+        x, y = np.nonzero(fits & (roots[i][:, None] != roots[j][None, :]))
+        x, y = i[x], j[y]
+        keep = x < y if same else slice(None)
+        left.append(x[keep])
+        right.append(y[keep])
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _whole_lists(batches: Iterator[pa.RecordBatch], keys: int, rows: int) -> Iterator[pa.Table]:
@@ -270,102 +292,116 @@ def _whole_lists(batches: Iterator[pa.RecordBatch], keys: int, rows: int) -> Ite
 
 
 def _lists(num: int, den: int):
-    """Pairs of the short lists, and the entries (b1 and b2 null) of the long ones."""
+    """Nearest earlier sets (x, y, d) over the lists of a task, and the entries that have a partner left (y null)."""
+    names = ["x", "y", "d", "token", "n", "pos", "p1", "p2"]
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        going = None  # a list that was split, so that its rest is long too
+        going = None  # a list that was split, so that its parts did not all meet
         for whole in _whole_lists(batches, 2, 1 << 18):
-            token, salt, k1, k2, at = (whole.column(k).to_numpy() for k in range(5))
-            last, rows = (token[-1], salt[-1]), len(token)
+            token, cell, at, key, p1, p2 = (whole.column(k).to_numpy() for k in range(6))
+            last, rows = (token[-1], cell[-1]), len(token)
             new = np.ones(rows, bool)
-            new[1:] = (token[1:] != token[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-            token, salt, k1, k2, at = (x[new] for x in (token, salt, k1, k2, at))
-            n, pos = at >> 32, at & 0xFFFFFFFF
-            head = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])))
+            new[1:] = (token[1:] != token[:-1]) | (cell[1:] != cell[:-1]) | (at[1:] != at[:-1]) | (key[1:] != key[:-1])
+            token, cell, at, key, p1, p2 = (x[new] for x in (token, cell, at, key, p1, p2))
+            n, pos, bits = at >> 32, at & 0xFFFFFFFF, (p1, p2)
+            head = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])))
             length = np.diff(np.append(head, len(token)))
             start, sizes = np.repeat(head, length), np.repeat(length, length)
-            is_long = (sizes > SHORT) | (salt > 0)
+            some, least, partner = cell > 0, np.full(len(token), 1 << 20, np.int32), np.full(len(token), -1)
             if going is not None:
-                is_long |= (token == going[0]) & (salt == going[1])
-            going = last if rows >= 1 << 18 and len(head) == 1 else going
-            if going == last:  # one list so far
-                is_long |= (token == last[0]) & (salt == last[1])
-            left, right = [], []
-            active, d = np.flatnonzero((sizes > 1) & ~is_long), 1
+                some |= (token == going[0]) & (cell == going[1])
+            going = last if rows >= 1 << 18 and len(head) == 1 else going if going == last else None
+            if going is not None:
+                some |= (token == last[0]) & (cell == last[1])
+            # what no partner can reach at its position is of no use
+            some &= n - pos >= needed_overlap(n, -(-num * n // den), num, den)
+
+            active, d = np.flatnonzero((sizes > 1) & (sizes <= SHORT)), 1
             while len(active):  # short lists, all at once: each entry and the d-th after it
                 active = active[active + d < len(token)]
                 other = active + d
                 near = (start[other] == start[active]) & (den * n[active] >= num * n[other])
                 active, other = active[near], other[near]
                 need = needed_overlap(n[active], n[other], num, den)
-                fits = (n[active] - pos[active] >= need) & (n[other] - pos[other] >= need)
-                left.append(active[fits])
-                right.append(other[fits])
+                bit = differing(bits, active, other)
+                fits = (n[active] - pos[active] >= need) & (n[other] - pos[other] >= need) & (bit <= n[active] + n[other] - 2 * need)
+                i, j, bit = active[fits], other[fits], bit[fits]
+                some[i] = some[j] = True
+                after = (n[i] < n[j]) | (key[i] < key[j])
+                for x, y, v in ((j[after], i[after], bit[after]), (i[~after], j[~after], bit[~after])):
+                    better = (v < least[x]) | (v == least[x]) & (key[y] < key[partner[x]])
+                    least[x[better]], partner[x[better]] = v[better], y[better]
                 d += 1
-            place = (np.arange(len(token)) - start) // BLOCK
-            for out in _written(token, k1, k2, place, np.concatenate(left), np.concatenate(right)) if left else ():
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.int32())], [*out.schema.names, "n", "pos"])
-            x = np.flatnonzero(is_long)
-            # what no partner can reach at its position is of no use in a long list either
-            x = x[n[x] - pos[x] >= needed_overlap(n[x], -(-num * n[x] // den), num, den)]
+            for h, m in zip(head[length > SHORT].tolist(), length[length > SHORT].tolist()):
+                own = slice(h, h + m)
+                to, v, has_one = nearest(n[own], pos[own], key[own], num, den, (p1[own], p2[own]))
+                some[own] |= has_one
+                least[own], partner[own] = v, np.where(to >= 0, to + h, -1)
+
+            x = np.flatnonzero(partner >= 0)
+            order = x[np.lexsort((key[partner[x]], least[x], key[x]))]
+            first = order[np.append(True, key[order][1:] != key[order][:-1])] if len(order) else order
+            for k in range(0, len(first), 1 << 16):
+                f = first[k : k + (1 << 16)]
+                none = [pa.nulls(len(f), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(key[f]), pa.array(key[partner[f]]), pa.array(least[f]), *none], names)
+            x = np.flatnonzero(some)
             for k in range(0, len(x), 1 << 16):
-                y = x[k : k + (1 << 16)]
-                none = pa.nulls(len(y), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(k1[y]), pa.array(k2[y]), none, none, pa.array(token[y]), none, pa.nulls(len(y), pa.int32()), pa.array(n[y].astype(np.int32)), pa.array(pos[y].astype(np.int32))], ["a1", "a2", "b1", "b2", "token", "bi", "bj", "n", "pos"])
+                f = x[k : k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(key[f]), pa.nulls(len(f), pa.int64()), pa.nulls(len(f), pa.int32()), pa.array(token[f]), pa.array(n[f].astype(np.int32)), pa.array(pos[f].astype(np.int32)), pa.array(p1[f]), pa.array(p2[f])], names)
 
     return lists
 
 
-CELLS = ["token", "cell", "side", "n", "pos", "k1", "k2"]
+CELLS = ["token", "cell", "side", "n", "pos", "k", "p1", "p2", "root"]
+PAIR = "h1 long, h2 long, h3 int, a long, b long"
 
 
-def _long_lists(num: int, den: int, thin: bool):
-    """Pairs of the cells of long lists: token, cell, side, n, pos, k1, k2, bits, root, sorted by all but the last two."""
+def _long_lists(num: int, den: int):
+    """Pairs of different roots of cells (CELLS, in this order), each pair once a task, with the blocks it is found in."""
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in _whole_lists(batches, 2, 1 << 16):
-            token, cell, side, n, pos, k1, k2 = (whole.column(k).to_numpy() for k in range(7))
-            new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (cell[1:] != cell[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-            kept = np.flatnonzero(new)
-            token, cell, side, n, pos, k1, k2 = (x[kept] for x in (token, cell, side, n.astype(np.int64), pos, k1, k2))
-            bits, root = whole.column(7).take(pa.array(kept)).to_pylist(), whole.column(8).to_numpy()[kept]
+            token, cell, side, n, pos, key, p1, p2, root = (whole.column(k).to_numpy() for k in range(len(CELLS)))
+            n = n.astype(np.int64)
             head = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])))
             length = np.diff(np.append(head, len(token)))
             left, right = [], []
             for h, m in zip(head.tolist(), length.tolist()):
                 own = slice(h, h + m)
-                i, j = list_pairs(n[own], pos[own], num, den, bits[own], None if thin else root[own], side[own])
+                i, j = crossing(n[own], pos[own], num, den, (p1[own], p2[own]), root[own], side[own])
                 left.append(i + h)
                 right.append(j + h)
-            if left:
-                place = (cell << 20) + (np.arange(len(token)) - np.repeat(head, length)) // BLOCK
-                yield from _written(token, k1, k2, place, np.concatenate(left), np.concatenate(right))
+            if not left:
+                continue
+            i, j = np.concatenate(left), np.concatenate(right)
+            place = (cell << 20) + (np.arange(len(token)) - np.repeat(head, length)) // BLOCK
+            swap = key[i] > key[j]
+            a, b = np.where(swap, j, i), np.where(swap, i, j)
+            order = np.lexsort((token[a], key[b], key[a]))
+            a, b = a[order], b[order]
+            new = np.ones(len(a), bool)
+            new[1:] = (key[a][1:] != key[a][:-1]) | (key[b][1:] != key[b][:-1])
+            a, b = a[new], b[new]
+            for k in range(0, len(a), 1 << 16):
+                x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (token[x], place[x], (place[y] & 0xFFFFF).astype(np.int32), key[x], key[y])], ["h1", "h2", "h3", "a", "b"])
 
     return lists
 
 
-def _cells(spark: SparkSession, rows: DataFrame, bits: DataFrame) -> DataFrame:
-    """Entries (token, k1, k2, n, pos) of long lists with their bitmaps, dealt to cells for the first walk."""
-    parts = stage(spark, rows.groupBy("token").count().where(F.col("count") > CELL).select(F.col("token").alias("t"), F.ceil(F.col("count") / CELL).alias("parts")), "parts")
-    dealt = rows.join(small_or_not(parts, parts.count()), rows["token"] == parts["t"], "left")
-    dealt = dealt.withColumn("cell", F.coalesce(F.pmod(F.xxhash64("token", "k1", "k2"), "parts"), F.lit(0)).cast("long"))
-    return dealt.join(bits, ["k1", "k2"]).select("token", "cell", F.lit(0).alias("side"), "n", "pos", "k1", "k2", "bits", F.lit(0).cast("long").alias("root"))
-
-
-def _crossed(spark: SparkSession, rows: DataFrame, bits: DataFrame) -> DataFrame:
-    """The same for the second walk, of entries with roots: all pairs of different roots meet.
+def _crossed(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Entries (token, k, n, pos, p1, p2, root) dealt to cells so that all pairs of different roots of a list meet.
 
-    Lists of one root are left out before bitmaps are joined. top is a list's most frequent root; entries of it
-    (side 0) only meet the others (side 1). Cells of even number hold these two; cells of odd number hold one or two
-    parts of the others. Lists within CELL are one cell.
+    Lists of one root are left out. top is a list's most frequent root; entries of it (side 0) only meet the others
+    (side 1). Cells of even number hold these two; cells of odd number hold one or two parts of the others. Lists within
+    CELL are one cell.
     """
-    rows = stage(spark, rows, "rooted")
     lists = rows.groupBy("token", "root").count().groupBy(F.col("token").alias("t")).agg(F.max(F.struct("count", "root")).alias("most"), F.sum("count").alias("total"))
     lists = lists.withColumn("rest", F.col("total") - F.col("most.count")).where("rest > 0")
     lists = stage(spark, lists.select("t", F.col("most.root").alias("top"), "total", F.ceil(F.col("most.count") / CELL).alias("tops"), F.ceil(F.col("rest") / CELL).alias("rests")), "crossed")
-    dealt = rows.join(small_or_not(lists, lists.count()), rows["token"] == lists["t"]).join(bits, ["k1", "k2"])
-    h, is_top, whole = F.xxhash64("token", "k1", "k2"), F.col("root") == F.col("top"), F.col("total") <= CELL
+    dealt = rows.join(small_or_not(lists, lists.count()), rows["token"] == lists["t"])
+    h, is_top, whole = F.xxhash64("token", "k"), F.col("root") == F.col("top"), F.col("total") <= CELL
     dealt = dealt.withColumn("own", F.when(whole, F.lit(0)).when(is_top, F.pmod(h, "tops")).otherwise(F.pmod(h, "rests")).cast("long"))
 
     def upto(n: str):
@@ -379,73 +415,63 @@ def _crossed(spark: SparkSession, rows: DataFrame, bits: DataFrame) -> DataFrame
     with_top = F.transform(upto("tops"), lambda c: cell(2 * (c * rests + own), F.lit(1)))
     with_rest = F.transform(upto("rests"), lambda v: cell(2 * (F.least(own, v) * rests + F.greatest(own, v)) + 1, (own > v)))
     to = F.when(whole, F.array(cell(F.lit(0), F.lit(0)))).when(is_top, of_top).otherwise(F.concat(with_top, with_rest))
-    return dealt.withColumn("to", F.explode(to)).select("token", "k1", "k2", "n", "pos", "bits", "root", "to.cell", "to.side").select(*CELLS, "bits", "root")
+    return dealt.withColumn("to", F.explode(to)).select("token", "k", "n", "pos", "p1", "p2", "root", "to.cell", "to.side").select(*CELLS)
 
 
 class Block:
-    """Sets of one block, each as its difference from the first: what it adds and what it lacks."""
+    """Sets of one group, each as its difference from the first: what it adds and what it lacks."""
 
     def __init__(self) -> None:
-        self.sets: dict[tuple[int, int], np.ndarray] = {}
-        self.parts: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        self.up: dict[tuple[int, int], tuple[int, int]] = {}
+        self.sets: dict[int, int] = {}
+        self.parts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.up: dict[int, int] = {}
         self.leader: np.ndarray | None = None
 
-    def add(self, key: tuple[int, int], values: np.ndarray) -> None:
-        self.sets[key] = values
+    def add(self, key: int, values: np.ndarray) -> None:
         if self.leader is None:
             self.leader = values
+        if key not in self.sets:
+            self.sets[key] = len(values)
+            self.parts[key] = np.setdiff1d(values, self.leader, True), np.setdiff1d(self.leader, values, True)
 
-    def part(self, key: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        if key not in self.parts:
-            x = self.sets[key]
-            self.parts[key] = np.setdiff1d(x, self.leader, True), np.setdiff1d(self.leader, x, True)
-        return self.parts[key]
-
-    def overlap(self, a: tuple[int, int], b: tuple[int, int]) -> int:
-        (more_a, less_a), (more_b, less_b) = self.part(a), self.part(b)
+    def overlap(self, a: int, b: int) -> int:
+        (more_a, less_a), (more_b, less_b) = self.parts[a], self.parts[b]
         both_lack = len(np.intersect1d(less_a, less_b, True))
         return len(self.leader) - (len(less_a) + len(less_b) - both_lack) + len(np.intersect1d(more_a, more_b, True))
 
-    def root(self, key: tuple[int, int]) -> tuple[int, int]:
+    def root(self, key: int) -> int:
         while (up := self.up.get(key, key)) != key:
             self.up[key] = self.up.get(up, up)
             key = up
         return key
 
-    def link(self, a: tuple[int, int], b: tuple[int, int], num: int, den: int) -> bool:
+    def link(self, a: int, b: int, num: int, den: int) -> bool:
         ra, rb = self.root(a), self.root(b)
         if ra == rb:
             return False
         both = self.overlap(a, b)
-        if den * both < num * (len(self.sets[a]) + len(self.sets[b]) - both):
+        if den * both < num * (self.sets[a] + self.sets[b] - both):
             return False
         self.up[max(ra, rb)] = min(ra, rb)
         return True
 
 
 def _verify(size: int, num: int, den: int):
-    names = ["a1", "a2", "b1", "b2"]
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         home, block = None, Block()
-        for b in batches:
-            place = list(zip(*(b.column(k).to_pylist() for k in range(3))))
-            kind, k1, k2 = (b.column(k).to_pylist() for k in (3, 4, 5))
-            sets, others, found = dict(text_sets(b.column(6), size)), b.column(7).to_pylist(), []
-            for r in range(len(b)):
+        for batch in batches:
+            place = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            kind, a, b = (batch.column(k).to_pylist() for k in (3, 4, 5))
+            sets, found = dict(text_sets(batch.column(6), size)), []
+            for r in range(len(batch)):
                 if place[r] != home:
                     home, block = place[r], Block()
-                if kind[r] == 0:
+                if kind[r] < 2:
                     block.add(set_key(sets[r]), sets[r])
-                else:
-                    key = (k1[r], k2[r])
-                    for o in others[r]:
-                        other = (o["b1"], o["b2"])
-                        if key in block.sets and other in block.sets and block.link(key, other, num, den):
-                            found.append((*key, *other))
+                elif block.link(a[r], b[r], num, den):
+                    found.append((a[r], b[r]))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
 
     return verify
 
@@ -461,52 +487,42 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     while edges.limit(1).count():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = stage(spark, both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")).where("to <> a").withColumnRenamed("a", "from"), "step")
+        was = roots, edges, step
         roots = stage(spark, roots.join(step, roots["root"] == step["from"], "left").select("id", F.coalesce("to", "root").alias("root")), "roots")
         s1, s2 = step.toDF("f1", "t1"), step.toDF("f2", "t2")
         moved = edges.join(s1, edges["a"] == s1["f1"], "left").join(s2, edges["b"] == s2["f2"], "left").select(F.coalesce("t1", "a").alias("a"), F.coalesce("t2", "b").alias("b"))
         edges = stage(spark, moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        drop(spark, *was)
+    drop(spark, edges)
     return roots
 
 
-def class_links(spark: SparkSession, docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The scan's rows (doc_id, n, k1, k2), the classes (k1, k2, rep, members), and (id, root) of the linked ones.
-
-    Roots tell exactly what all pairs with den * overlap >= num * union connect. rep is a class's least doc_id.
-    """
-    prepare(spark)
-    scan = stage(spark, docs.mapInArrow(_scan(size), SCAN), "scan")
-    meta = scan.where("k1 IS NOT NULL").select("doc_id", "n", "k1", "k2")
-    often = scan.where("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(HINTS).toPandas()
-    tokens, seen = often["token"].to_numpy(np.int64).view(np.uint64), often["seen"].to_numpy(np.int64)
-    order = np.argsort(tokens)
-    hints = spark.sparkContext.broadcast((tokens[order], seen[order]))
-    classes = stage(spark, scan.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), F.first("bits").alias("bits")), "classes")
-
-    entries = docs.select("text").mapInArrow(_prefixes(size, num, den, hints), "token long, k1 long, k2 long, at long, salt int")
-    entries = entries.repartition("token", "salt").sortWithinPartitions("token", "salt", "at", "k1", "k2").select("token", "salt", "k1", "k2", "at")
-    lists = stage(spark, entries.mapInArrow(_lists(num, den), PAIR + ", n int, pos int"), "lists")
-    free_shuffles(spark)  # that of all entries is the largest
-    short = lists.where("b1 IS NOT NULL").select("a1", "a2", "b1", "b2", *PLACE)
-    long = lists.where("b1 IS NULL").select("token", F.col("a1").alias("k1"), F.col("a2").alias("k2"), "n", "pos")
+PLACE = ["h1", "h2", "h3"]
 
-    bits = classes.select("k1", "k2", "bits")
 
-    def walk(dealt: DataFrame, thin: bool) -> DataFrame:
-        return dealt.repartition("token", "cell").sortWithinPartitions(*CELLS).mapInArrow(_long_lists(num, den, thin), PAIR)
+def named(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, t, id): t is the text's hash, id the doc_id or, where that is null, t."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).withColumn("id", F.coalesce("doc_id", "t"))
 
-    # first each cell's likeliest pairs, then all pairs of a list that these links leave in different components
-    one = checked(spark, docs, classes, short.unionByName(walk(_cells(spark, long, bits), True)), size, num, den)
-    roots = components(spark, one)
-    free_shuffles(spark)
-    rooted = classes.where("rep IS NOT NULL").join(roots, F.col("rep") == F.col("id"), "left").select("k1", "k2", F.coalesce("root", "rep").alias("root"))
-    two = checked(spark, docs, classes, walk(_crossed(spark, long.join(rooted, ["k1", "k2"]), bits), False), size, num, den)
-    more = components(spark, joined_to(two, roots)).toDF("root", "top")
-    ends = roots.join(more, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
-    alone = more.join(roots, more["root"] == roots["id"], "left_anti").select(F.col("root").alias("id"), F.col("top").alias("root"))
-    return meta, classes.select("k1", "k2", "rep", "members"), stage(spark, ends.unionByName(alone), "found")
 
+def checked(spark: SparkSession, docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Of the candidate pairs (PLACE, a, b) of sets, links (a, b) that connect what the true ones connect.
 
-PLACE = ["token", "bi", "bj"]
+    In a group the set a pair's place is named by (kind 0) comes first, as the one that others are told by.
+    """
+    first = F.when(F.col("k") == F.col("h1"), F.lit(0)).otherwise(F.lit(1))
+    ends = pairs.select(*PLACE, F.col("a").alias("k")).unionByName(pairs.select(*PLACE, F.col("b").alias("k"))).distinct()
+    ends = stage(spark, ends.join(sets.select("k", "id", "t"), "k").select(*PLACE, first.alias("kind"), "id", "t"), "ends")
+    wanted = stage(spark, ends.select("id", "t").distinct(), "wanted")  # only these texts go through a shuffle, once
+    texts = named(docs).select("id", "t", "text").join(small_or_not(wanted, wanted.count()), ["id", "t"], "left_semi")
+    none = F.lit(None).cast("bigint")
+    members = texts.join(small_or_not(ends, ends.count()), ["id", "t"]).select(*PLACE, "kind", none.alias("a"), none.alias("b"), "text")
+    asked = pairs.select(*PLACE, F.lit(2).alias("kind"), "a", "b", F.lit(None).cast("string").alias("text"))
+    homes = members.unionByName(asked).repartition(*PLACE).sortWithinPartitions(*PLACE, "kind", "a", "b")
+    links = stage(spark, homes.mapInArrow(_verify(size, num, den), "a long, b long"), "checked")
+    drop(spark, ends, wanted)
+    free_shuffles(spark)
+    return links
 
 
 def joined_to(links: DataFrame, roots: DataFrame) -> DataFrame:
@@ -516,43 +532,89 @@ def joined_to(links: DataFrame, roots: DataFrame) -> DataFrame:
     return out.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
 
 
-def checked(spark: SparkSession, docs: DataFrame, classes: DataFrame, found: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Of candidate pairs of classes, links (a, b) of representatives that connect what the true ones connect."""
-    pairs = stage(spark, found.groupBy("a1", "a2", "b1", "b2").agg(F.min(F.struct(*PLACE)).alias("home")).select("home.*", "a1", "a2", "b1", "b2"), "pairs")
-    ends = pairs.select(*PLACE, F.col("a1").alias("k1"), F.col("a2").alias("k2")).unionByName(pairs.select(*PLACE, F.col("b1").alias("k1"), F.col("b2").alias("k2"))).distinct()
-    ends = stage(spark, ends.join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).where("rep IS NOT NULL").select(*PLACE, "rep"), "ends")
-    n = ends.count()
-    texts = docs.select(F.col("doc_id").alias("rep"), "text")
-    if n > BROADCAST_ROWS:  # only the texts that are asked for go through the join's shuffle
-        wanted = stage(spark, ends.select("rep").distinct(), "wanted")
-        texts = texts.join(small_or_not(wanted, wanted.count()), "rep", "left_semi")
-    none = F.lit(None).cast("bigint")
-    members = texts.join(small_or_not(ends, n), "rep").select(*PLACE, F.lit(0).alias("kind"), none.alias("k1"), none.alias("k2"), "text", F.lit(None).cast("array<struct<b1:bigint,b2:bigint>>").alias("others"))
-    asked = pairs.groupBy(*PLACE, "a1", "a2").agg(F.sort_array(F.collect_list(F.struct("b1", "b2"))).alias("others")).select(*PLACE, F.lit(1).alias("kind"), F.col("a1").alias("k1"), F.col("a2").alias("k2"), F.lit(None).cast("string").alias("text"), "others")
-    homes = members.unionByName(asked).repartition(*PLACE).sortWithinPartitions(*PLACE, "kind", "k1", "k2")
-    links = homes.mapInArrow(_verify(size, num, den), "a1 long, a2 long, b1 long, b2 long")
-    ca = classes.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("rep").alias("a"))
-    cb = classes.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("rep").alias("b"))
-    return links.join(ca, ["a1", "a2"]).join(cb, ["b1", "b2"]).select("a", "b")
+def set_links(spark: SparkSession, docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents (doc_id, t, n, k), the sets (k, id, t, least: its least doc_id) and (id, root) of linked keys k.
+
+    Roots tell exactly what all pairs with den * overlap >= num * union connect.
+    """
+    prepare(spark)
+    scan = stage(spark, named(docs).select("doc_id", "text", "t").mapInArrow(_scan(size), SCAN), "scan")
+    meta = scan.where("piece IS NULL").select("doc_id", "t", "n", "k", "p1", "p2")
+    held = spark.sparkContext.broadcast(ranks(sketch(scan)))
+    one = F.min(F.struct(F.coalesce("doc_id", "t").alias("id"), "t")).alias("one")
+    sets = stage(spark, meta.where("n > 0").groupBy("k").agg(one, F.min("doc_id").alias("least")).select("k", "one.id", "one.t", "least"), "sets")
+
+    entries = docs.select("text").mapInArrow(_prefixes(size, num, den, held), "token long, cell int, at long, k long, p1 long, p2 long")
+    entries = entries.repartition("token", "cell").sortWithinPartitions("token", "cell", "at", "k")
+    lists = stage(spark, entries.mapInArrow(_lists(num, den), "x long, y long, d int, token long, n int, pos int, p1 long, p2 long"), "lists")
+    free_shuffles(spark)  # that of all entries is the largest
+
+    near = lists.where("y IS NOT NULL").groupBy("x").agg(F.min(F.struct("d", "y")).alias("m")).select(F.col("x").alias("a"), F.col("m.y").alias("b"))
+    near = stage(spark, near, "near")
+    many = stage(spark, near.groupBy("b").count().where(F.col("count") > FAMILY).select(F.col("b").alias("h"), F.ceil(F.col("count") / FAMILY).alias("parts")), "many")
+    part = F.coalesce(F.pmod(F.xxhash64("a"), "parts"), F.lit(0)).cast("long")
+    pairs = near.join(small_or_not(many, many.count()), near["b"] == many["h"], "left").select(F.col("b").alias("h1"), part.alias("h2"), F.lit(0).alias("h3"), "a", "b")
+    one = checked(spark, docs, sets, pairs, size, num, den)
+    roots = components(spark, one)
+
+    linked = roots.toDF("id", "top")
+    rows = lists.where("y IS NULL").select("token", F.col("x").alias("k"), "n", "pos", "p1", "p2")
+    rows = rows.join(small_or_not(linked, linked.count()), rows["k"] == linked["id"], "left").select("token", "k", "n", "pos", "p1", "p2", F.coalesce("top", "k").alias("root"))
+    rows = stage(spark, rows, "rooted")
+    drop(spark, lists, near, many)
+    crossed = _crossed(spark, rows).repartition("token", "cell").sortWithinPartitions(*CELLS).mapInArrow(_long_lists(num, den), PAIR)
+    pairs = stage(spark, crossed.groupBy("a", "b").agg(F.min(F.struct(*PLACE)).alias("home")).select("home.*", "a", "b"), "pairs")
+    drop(spark, rows)
+    two = checked(spark, docs, sets, pairs, size, num, den)
+    more = components(spark, joined_to(two, roots)).toDF("root", "top")
+    ends = roots.join(more, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+    alone = more.join(roots, more["root"] == roots["id"], "left_anti").select(F.col("root").alias("id"), F.col("top").alias("root"))
+    found = stage(spark, ends.unionByName(alone), "found")
+    drop(spark, one, two, pairs, roots, more)
+    return meta, sets, found
+
+
+def _classed(spark: SparkSession, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Every document's (doc_id, t, n, k, least): least is the least doc_id of its component, null for lone documents."""
+    meta, sets, roots = set_links(spark, docs, size, num, den)
+    linked = sets.join(roots, sets["k"] == roots["id"]).select("k", "root", "least")
+    tops = linked.groupBy("root").agg(F.min("least").alias("least"))
+    inside = linked.select("k", "root").join(tops, "root").select("k", "root", "least")
+    many = meta.where("n > 0").groupBy("k").count().where("count > 1").select("k")  # equal sets without a link to others
+    copies = many.join(inside, "k", "left_anti").join(sets, "k").select("k", F.col("k").alias("root"), "least")
+    inside = stage(spark, inside.unionByName(copies), "inside")
+    return meta.where("n > 0").join(small_or_not(inside, inside.count()), "k", "left").unionByName(meta.where("n = 0").select("*", F.lit(None).cast("bigint").alias("root"), F.lit(None).cast("bigint").alias("least")))
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """Every document's (doc_id, n_shingles, component_id): component_id is the least doc_id that links reach."""
-    docs = has(docs, "doc_id", "text")
-    meta, classes, roots = class_links(spark, docs, size, num, den)
-    named = classes.join(roots, classes["rep"] == roots["id"], "left").select("k1", "k2", F.coalesce("root", "rep").alias("component_id"), "members", "rep").where("members > 1 OR component_id <> rep")
-    named = stage(spark, named.select("k1", "k2", "component_id"), "named")
-    out = meta.join(named, ["k1", "k2"], "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    found = _classed(spark, has(docs, "doc_id", "text"), size, num, den)
+    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one document of each component: the one of least doc_id; a doc_id stays once."""
-    found = stage(spark, jaccard_components(spark, docs, size, num, den), "components")
-    gone = stage(spark, found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    left = docs.join(small_or_not(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
-    twice = stage(spark, found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    """docs with one row of each component: that of least (doc_id, hash of the text), null doc_ids last.
+
+    Rows without words are linked with nothing and all stay. Of rows that share a doc_id, those of different components
+    stay both, and of those that share the text too one stays, an arbitrary one where further columns differ.
+    """
+    found = stage(spark, _classed(spark, has(docs, "doc_id", "text"), size, num, den).where("root IS NOT NULL").select("doc_id", "t", "root"), "components")
+    order = F.struct(F.col("doc_id").isNull().alias("null"), F.coalesce("doc_id", "t").alias("id"), "t")
+    first = found.groupBy("root").agg(F.min(order).alias("one"))
+    i, t = _unused(docs, "_id"), _unused(docs, "_t")
+    rows = found.select("root", order.alias("own")).groupBy("root", "own").count().join(first, "root")
+    gone = stage(spark, rows.where("own <> one").select(F.col("own.id").alias(i), F.col("own.t").alias(t)).distinct(), "gone")
+    twice = stage(spark, rows.where("own = one AND count > 1").select(F.col("own.id").alias(i), F.col("own.t").alias(t)).distinct(), "twice")
+    text = F.xxhash64(docs["text"])
+    marked = docs.select("*", F.coalesce(docs["doc_id"], text).alias(i), text.alias(t))
+    left = marked.join(small_or_not(gone, gone.count()), [i, t], "left_anti")
     if n := twice.count():
-        once = left.join(small_or_not(twice, n), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-        left = left.join(small_or_not(twice, n), "doc_id", "left_anti").select(*docs.columns).unionByName(once)
-    return left
+        once = left.join(small_or_not(twice, n), [i, t], "left_semi").dropDuplicates([i, t])
+        left = left.join(small_or_not(twice, n), [i, t], "left_anti").unionByName(once)
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -43,6 +43,15 @@ def stage(spark: SparkSession, df: DataFrame, name: str, codec: str = "zstd") ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables that stage() wrote, which nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for t in tables for f in t.inputFiles()}:
+        if "/papergrove/" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Ships this package to the executors once per application and bounds the Arrow batches of the session."""
     sc = spark.sparkContext

@@ -10,32 +10,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 IN_WORD = np.ones(256, bool)
 IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_P = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_SEGMENT = 1 << 20
-_M64 = (1 << 64) - 1
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    out[1:] = base
-    with np.errstate(over="ignore"):
-        return np.cumprod(out, dtype=np.uint64)
-
-
-_POW: list[np.ndarray] = []
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POW or len(_POW[0]) < n:
-        n = max(n, _SEGMENT + 1024)
-        _POW[:] = [_powers(_P, n), _powers(pow(_P, -1, 1 << 64), n)]
-    return _POW[0], _POW[1]
+_P = 0x9E3779B97F4A7C15
+#: Bytes of a word that are hashed in lanes of eight, at most; longer words are hashed one by one.
+_LANES = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -72,23 +56,28 @@ class Slice:
         return total[self.offsets[1:]] - total[self.offsets[:-1]]
 
     def hashes(self, lower: bool = False) -> np.ndarray:
-        """A 64-bit value for each word; equal for equal bytes."""
-        out = np.zeros(len(self.starts), np.uint64)
-        k, n = 0, len(self.starts)
-        while k < n:
-            base = int(self.starts[k])
-            to = max(k + 1, int(np.searchsorted(self.ends, base + _SEGMENT)))
-            piece = self.data[base : int(self.ends[to - 1])]
-            if lower:
-                piece = LOWER[piece]
-            up, down = _tables(len(piece) + 1)
-            total = np.zeros(len(piece) + 1, np.uint64)
-            with np.errstate(over="ignore"):
-                np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * up[: len(piece)], out=total[1:])
-                s, e = self.starts[k:to] - base, self.ends[k:to] - base
-                out[k:to] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-            k = to
-        return mix(out)
+        """A 64-bit value for each word; equal for equal bytes.
+
+        Eight bytes at a time are mixed into the value by a bijection that is no polynomial, so words built of few
+        letters in any pattern differ like all others; words of over _LANES bytes get XXH3.
+        """
+        data = LOWER[self.data] if lower else self.data
+        size = self.ends - self.starts
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = data
+        eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place on
+        out = mix(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(_P))
+        with np.errstate(over="ignore"):
+            for done in range(0, _LANES, 8):
+                live = np.flatnonzero((size > done) & (size <= _LANES)) if done else np.flatnonzero(size <= _LANES)
+                if not len(live):
+                    break
+                rest = np.minimum(size[live] - done, 8).astype(np.uint64)
+                lane = eight[self.starts[live] + done] << (np.uint64(64) - np.uint64(8) * rest)  # bytes after the word go
+                out[live] = mix((out[live] ^ lane) * np.uint64(_P) + np.uint64(done + 1))
+        for k in np.flatnonzero(size > _LANES).tolist():
+            out[k] = xxhash.xxh3_64_intdigest(data[self.starts[k] : self.ends[k]].tobytes())
+        return out
 
 
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -269,6 +269,8 @@ def test_components_are_those_of_brute_force(spark, monkeypatch, size, num, den,
     monkeypatch.setattr(jaccard, "SHORT", short)
     monkeypatch.setattr(jaccard, "CELL", cell)
     monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "FAMILY", short)
+    monkeypatch.setattr(jaccard, "WIDTH", 1 << (10 + short))
     rnd, rows, known = random.Random(size + short), [], [f"w{k}" for k in range(300)]
     for _ in range(14):
         base = [rnd.choice(known) for _ in range(rnd.choice([3, 9, 12, 40, 150]))]
@@ -296,12 +298,11 @@ def test_cells_let_entries_of_different_roots_meet(spark, monkeypatch, cell):
     monkeypatch.setattr(jaccard, "CELL", cell)
     rnd = random.Random(cell)
     rows = [(t, k, 0, 50, 0, rnd.choice([1, 1, 1, 2, 3]) if t else 7) for t in range(4) for k in range(4 + 7 * t)]
-    bits = spark.createDataFrame([(k, 0, bytearray(8)) for k in range(40)], "k1 long, k2 long, bits binary")
-    out = jaccard._crossed(spark, spark.createDataFrame(rows, "token long, k1 long, k2 long, n int, pos int, root long"), bits).collect()
+    out = jaccard._crossed(spark, spark.createDataFrame([(t, k, 50, 0, 0, 0, x) for t, k, *_, x in rows], "token long, k long, n int, pos int, p1 long, p2 long, root long")).collect()
     assert not any(r["token"] == 0 for r in out)
     cells = {}
     for r in out:
-        cells.setdefault((r["token"], r["cell"]), []).append((r["side"], r["k1"]))
+        cells.setdefault((r["token"], r["cell"]), []).append((r["side"], r["k"]))
     met = {(c[0], min(a, b), max(a, b)) for c, x in cells.items() for s, a in x for u, b in x if a != b and (s != u or len({y for y, _ in x}) == 1)}
     assert met >= {(t, a, b) for t, a, *_, x in rows for v, b, *_, y in rows if t == v and a < b and x != y}
 
@@ -316,7 +317,8 @@ def test_list_pairs_leave_out_no_link(seed, split):
     order = sorted(range(25), key=lambda k: (side[k], len(sets[k])))
     sets, side, roots = [sets[k] for k in order], side[order], np.array(order) % 3
     n = np.array([len(x) for x in sets])
-    i, j = jaccard.list_pairs(n, np.zeros(25, np.int64), 80, 100, [jaccard.bitmap(x) for x in sets], roots, side)
+    bits = tuple(np.array([jaccard.parity(x) for x in sets]).T.copy())
+    i, j = jaccard.crossing(n, np.zeros(25, np.int64), 80, 100, bits, roots, side)
     got = set(zip(i.tolist(), j.tolist()))
     both = {0, 1} <= set(side.tolist())
     for a in range(25):
@@ -327,19 +329,65 @@ def test_list_pairs_leave_out_no_link(seed, split):
 
 
 def test_too_long_lists_are_split():
-    names = ["token", "salt", "k1", "k2", "at"]
-    rows = [(9, 0, i, 0, 30 << 32) for i in range(6)]
+    names = ["token", "cell", "at", "k", "p1"]
+    rows = [(9, 0, 30 << 32, i, 0) for i in range(6)]
     batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[a : a + 2]]) for c in range(5)], names) for a in range(0, 6, 2)]
     assert [len(x) for x in jaccard._whole_lists(iter(batches), 2, 4)] == [4, 2]
 
 
-def test_bitmaps_bound_differences():
+def test_parity_bounds_differences():
     rng = np.random.default_rng(3)
     for _ in range(200):
         a, b = (np.unique(rng.integers(0, 90, rng.integers(1, 80)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(2))
-        x, y = (np.frombuffer(jaccard.bitmap(v), "<u8").reshape(1, -1) for v in (a, b))
-        n = min(x.shape[1], y.shape[1])
-        assert int(np.bitwise_count(jaccard.fold(x, n) ^ jaccard.fold(y, n)).sum()) <= len(np.setxor1d(a, b))
+        x, y = jaccard.parity(a), jaccard.parity(b)
+        assert int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) <= len(np.setxor1d(a, b))
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 1 << 30), st.integers(1, 40))
+def test_nearest_is_that_of_all_pairs(seed, count):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(1, 1 << 62, 40).astype(np.uint64)
+    sets = sorted((np.unique(np.concatenate([base[rng.random(40) < 0.95], rng.integers(1, 1 << 62, rng.integers(0, 6)).astype(np.uint64)])) for _ in range(count)), key=len)
+    n, key, bits = np.array([len(x) for x in sets]), rng.permutation(count), tuple(np.array([jaccard.parity(x) for x in sets]).T.copy())
+    to, least, some = jaccard.nearest(n, np.zeros(count, np.int64), key, 80, 100, bits)
+    for b in range(count):
+        near = {}
+        for a in range(count):
+            d = int(jaccard.differing(bits, a, b))
+            if a != b and 100 * min(n[a], n[b]) >= 80 * max(n[a], n[b]) and d <= n[a] + n[b] - 2 * jaccard.needed_overlap(n[a], n[b], 80, 100):
+                near[a] = d
+        before = {a: d for a, d in near.items() if (n[a], key[a]) < (n[b], key[b])}
+        assert some[b] == bool(near) and (to[b] >= 0) == bool(before) and (not before or least[b] == min(before.values()) == before[int(to[b])])
+
+
+def test_counts_of_the_sketch_are_never_too_low(spark):
+    rows = [(k, " ".join(random.Random(k % 7).choices("abcdefgh", k=60)) + f" {k}") for k in range(90)]
+    scan = jaccard.named(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).select("doc_id", "text", "t").mapInArrow(jaccard._scan(3), jaccard.SCAN)
+    counts, true = jaccard.sketch(scan), {}
+    for _, text in rows:
+        for _, values in jaccard.text_sets(pa.array([text]), 3):
+            for v in values.tolist():
+                true[v] = true.get(v, 0) + 1
+    assert all(counts[v % jaccard.WIDTH] >= c for v, c in true.items()) and counts.sum() == sum(true.values())
+
+
+def test_words_of_two_letters_in_a_pattern_differ():
+    from papergrove.llm.words import slices
+
+    morse = "".join("ab"[k.bit_count() & 1] for k in range(2048))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    words = [x[:n] for n in (1, 2, 4, 8, 16, 32, 64, 65, 128, 1024, 2048) for x in (morse, other)]
+    h = next(slices(pa.array([" ".join(words + words)]))).hashes()
+    assert len(set(h.tolist())) == len(words) == len(h) // 2 and (h[: len(words)] == h[len(words) :]).all()
+
+
+def test_one_row_of_each_component_stays(spark):
+    text = [" ".join(f"w{k}{j}" for j in range(30)) for k in range(4)]
+    rows = [(5, text[0]), (5, text[1]), (7, text[1]), (None, text[2]), (None, text[2]), (None, text[0]), (9, text[3]), (9, text[3]), (3, ""), (3, "")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, _id int")
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in jaccard.keep_one(spark, docs).select("doc_id", "text", "_id").collect())
+    assert kept == sorted([(5, text[0]), (5, text[1]), (0, text[2]), (9, text[3]), (3, ""), (3, "")])
 
 
 # 7 WARC
