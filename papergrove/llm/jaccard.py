@@ -17,7 +17,7 @@ A document's set is its distinct word shingles. The join runs over distinct sets
    component of their set: lists of one component are done; in the others, every pair of different components is
    checked. All links between components are seen; those inside one change nothing. The second splits a long list into
    its most frequent component and the rest, and walks cells of the one against cells of the other, and of the rest
-   against itself.
+   against itself. Its pairs must also pass by longer parity bits, as many as shingles, before texts are fetched.
 4. A pair is checked in a group: the first walk's by the earlier set (in parts of FAMILY sets at most), the second's by
    blocks of 32 by 32 list entries, at the least shared list. There every set is held as its difference from the
    group's first set, and an overlap is derived from the two differences alone; pairs that links found in the group
@@ -51,7 +51,7 @@ WIDTH, PIECE, CHUNK, BLOCK = 1 << 21, 1 << 15, 1 << 21, 32
 #: a group that the first walk's pairs are checked in, at most.
 SHORT, CELL, FAMILY = 16, 1024, 256
 
-SCAN = "doc_id long, t long, n int, k long, p1 long, p2 long, piece int, counts binary"
+SCAN = "doc_id long, t long, n int, k long, bits binary, piece int, counts binary"
 
 
 def text_sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -78,6 +78,19 @@ def parity(values: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def long_parity(values: np.ndarray) -> bytes:
+    """The same by the values' low bits, with a power of two of bits, no fewer than values."""
+    size = max(64, 1 << (len(values) - 1).bit_length())
+    odd = np.bincount((values & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def long_differing(a: bytes, b: bytes) -> int:
+    """Bits that differ between two long parities, the longer one folded to the length of the other."""
+    x, y = sorted((np.frombuffer(v, "<u8") for v in (a, b)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
 def needed_overlap(a, b, num: int, den: int):
     """The least overlap of sets of sizes a and b with den * overlap >= num * union."""
     return -(-num * (a + b) // (den + num))
@@ -118,11 +131,12 @@ def _scan(size: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[np.ndarray] = []
         counts, held, recent = np.zeros(width, np.uint64), 0, Recent()
-        names = ["doc_id", "t", "n", "k", "p1", "p2", "piece", "counts"]
+        names = ["doc_id", "t", "n", "k", "bits", "piece", "counts"]
         for b in batches:
-            n, key, bits = np.zeros(len(b), np.int32), np.zeros(len(b), np.int64), np.zeros((2, len(b)), np.int64)
+            n, key = np.zeros(len(b), np.int32), np.zeros(len(b), np.int64)
+            bits: list[bytes | None] = [None] * len(b)
             for row, values in text_sets(b.column(1), size):
-                n[row], key[row], bits[:, row] = len(values), set_key(values), parity(values)
+                n[row], key[row], bits[row] = len(values), set_key(values), long_parity(values) if len(values) else None
                 if len(values) and recent.new(int(key[row])):  # copies close by count once
                     pending.append((values & np.uint64(width - 1)).astype(np.int64))
                     held += len(values)
@@ -130,12 +144,12 @@ def _scan(size: int):
                         counts += np.bincount(np.concatenate(pending), minlength=width).astype(np.uint64)
                         pending, held = [], 0
             none = pa.nulls(len(b), pa.int32()), pa.nulls(len(b), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n), pa.array(key), pa.array(bits[0]), pa.array(bits[1]), *none], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n), pa.array(key), pa.array(bits, pa.binary()), *none], names)
         if pending:
             counts += np.bincount(np.concatenate(pending), minlength=width).astype(np.uint64)
         if counts.any():
             m = width // piece
-            none = [pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())]
+            none = [pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())]
             yield pa.RecordBatch.from_arrays([*none, pa.array(range(m), pa.int32()), pa.array([_packed(counts[k * piece : (k + 1) * piece]) for k in range(m)], pa.binary())], names)
 
     return scan
@@ -525,6 +539,21 @@ def checked(spark: SparkSession, docs: DataFrame, sets: DataFrame, pairs: DataFr
     return links
 
 
+def likely(spark: SparkSession, sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The candidate pairs (PLACE, a, b) whose long parity bits leave enough overlap."""
+    a, b = (sets.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(k).to_numpy().astype(np.int64) for k in (5, 6))
+            most = na + nb - 2 * needed_overlap(na, nb, num, den)
+            keep = [long_differing(x, y) <= m for x, y, m in zip(batch.column(7).to_pylist(), batch.column(8).to_pylist(), most.tolist())]
+            yield batch.select([*PLACE, "a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(a, "a").join(b, "b").select(*PLACE, "a", "b", "na", "nb", "bitsa", "bitsb")
+    return stage(spark, both.mapInArrow(near, PAIR), "likely")
+
+
 def joined_to(links: DataFrame, roots: DataFrame) -> DataFrame:
     """Links between the roots of their ends."""
     ra, rb = roots.toDF("ia", "ra"), roots.toDF("ib", "rb")
@@ -533,16 +562,16 @@ def joined_to(links: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def set_links(spark: SparkSession, docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The documents (doc_id, t, n, k), the sets (k, id, t, least: its least doc_id) and (id, root) of linked keys k.
+    """The documents (doc_id, t, n, k), the sets (k, id, t, least: its least doc_id, n, bits) and (id, root) of linked keys k.
 
     Roots tell exactly what all pairs with den * overlap >= num * union connect.
     """
     prepare(spark)
     scan = stage(spark, named(docs).select("doc_id", "text", "t").mapInArrow(_scan(size), SCAN), "scan")
-    meta = scan.where("piece IS NULL").select("doc_id", "t", "n", "k", "p1", "p2")
+    meta = scan.where("piece IS NULL").select("doc_id", "t", "n", "k", "bits")
     held = spark.sparkContext.broadcast(ranks(sketch(scan)))
     one = F.min(F.struct(F.coalesce("doc_id", "t").alias("id"), "t")).alias("one")
-    sets = stage(spark, meta.where("n > 0").groupBy("k").agg(one, F.min("doc_id").alias("least")).select("k", "one.id", "one.t", "least"), "sets")
+    sets = stage(spark, meta.where("n > 0").groupBy("k").agg(one, F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits")).select("k", "one.id", "one.t", "least", "n", "bits"), "sets")
 
     entries = docs.select("text").mapInArrow(_prefixes(size, num, den, held), "token long, cell int, at long, k long, p1 long, p2 long")
     entries = entries.repartition("token", "cell").sortWithinPartitions("token", "cell", "at", "k")
@@ -565,13 +594,14 @@ def set_links(spark: SparkSession, docs: DataFrame, size: int, num: int, den: in
     crossed = _crossed(spark, rows).repartition("token", "cell").sortWithinPartitions(*CELLS).mapInArrow(_long_lists(num, den), PAIR)
     pairs = stage(spark, crossed.groupBy("a", "b").agg(F.min(F.struct(*PLACE)).alias("home")).select("home.*", "a", "b"), "pairs")
     drop(spark, rows)
+    pairs = likely(spark, sets, pairs, num, den)
     two = checked(spark, docs, sets, pairs, size, num, den)
     more = components(spark, joined_to(two, roots)).toDF("root", "top")
     ends = roots.join(more, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
     alone = more.join(roots, more["root"] == roots["id"], "left_anti").select(F.col("root").alias("id"), F.col("top").alias("root"))
     found = stage(spark, ends.unionByName(alone), "found")
     drop(spark, one, two, pairs, roots, more)
-    return meta, sets, found
+    return meta.drop("bits"), sets, found
 
 
 def _classed(spark: SparkSession, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:

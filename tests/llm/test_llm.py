@@ -341,6 +341,7 @@ def test_parity_bounds_differences():
         a, b = (np.unique(rng.integers(0, 90, rng.integers(1, 80)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(2))
         x, y = jaccard.parity(a), jaccard.parity(b)
         assert int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) <= len(np.setxor1d(a, b))
+        assert jaccard.long_differing(jaccard.long_parity(a), jaccard.long_parity(b)) <= len(np.setxor1d(a, b))
 
 
 @settings(max_examples=40, deadline=None)
