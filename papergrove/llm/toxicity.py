@@ -162,7 +162,7 @@ class Toxic:
 
     @staticmethod
     def _quoted(low: str, at: set[int]) -> set[int]:
-        """Which of the words stand inside quotation marks of their paragraph."""
+        """Which of the words stand inside quotation marks of their line."""
         out, k = set(), 0
         if not any(c in low for c in OPENING + BOTH):
             return out

@@ -138,9 +138,96 @@ def test_copies_of_an_article_are_no_template(spark):
     assert main_of(spark, pages) == dict(enumerate(texts))
 
 
-def test_tree_matching():
-    a, b = ["d", [["p", []], ["q", [["x", []]]], ["p", []]]], ["d", [["q", [["x", []], ["y", []]]], ["p", []]]]
-    assert html_wrapper.tree_match(a, b)[0] == 4 and html_wrapper.tree_match(a, ["e", []])[0] == 0
+def skeleton(shape, depth=0):
+    name, kids = shape
+    return "\n".join([f"{depth} {name}", *(skeleton(k, depth + 1) for k in kids)])
+
+
+def brute_match(a, b):
+    if a[0] != b[0]:
+        return 0
+    best = [[0] * (len(b[1]) + 1) for _ in range(len(a[1]) + 1)]
+    for i, x in enumerate(a[1]):
+        for j, y in enumerate(b[1]):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + brute_match(x, y))
+    return best[-1][-1] + 1
+
+
+SHAPES = st.recursive(st.sampled_from("abc").map(lambda n: (n, [])), lambda below: st.tuples(st.sampled_from("ab"), st.lists(below, max_size=4)), max_leaves=14)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(SHAPES, max_size=4), st.lists(SHAPES, max_size=4))
+def test_tree_matching_is_that_of_brute_force(x, y):
+    a, b = html_wrapper.tree(skeleton(("r", x))), html_wrapper.tree(skeleton(("r", y)))
+    size, pairs = html_wrapper.tree_match(a, b)
+    assert size == brute_match(("r", x), ("r", y)) == len(pairs) == len({p for p, _ in pairs}) == len({q for _, q in pairs})
+    to = dict(pairs)
+    assert all(a.names[p] == b.names[q] and (p == 0 or to[a.parents[p]] == b.parents[q]) for p, q in pairs) and [q for _, q in pairs] == sorted(to.values())
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(SHAPES, max_size=9), st.lists(SHAPES, max_size=9))
+def test_long_lists_are_matched_in_order(x, y):
+    most, html_wrapper.CELLS = html_wrapper.CELLS, 4
+    try:
+        a, b = html_wrapper.tree(skeleton(("r", x))), html_wrapper.tree(skeleton(("r", y)))
+        size, pairs = html_wrapper.tree_match(a, b)
+    finally:
+        html_wrapper.CELLS = most
+    to = dict(pairs)
+    assert len(pairs) == size <= brute_match(("r", x), ("r", y)) and len(to) == len(set(to.values()))
+    assert all(a.names[p] == b.names[q] and (p == 0 or to[a.parents[p]] == b.parents[q]) for p, q in pairs) and [q for _, q in pairs] == sorted(to.values())
+
+
+def plain(k, body):
+    """A page without telling names: two of twelve menus and slogans turn up again and again."""
+    menu = "".join(f"<div>Go to place {k % 4} {j}</div>" for j in range(4))
+    return f"<body><div><div>{menu}</div><div><p>Slogan of the week {k % 3}</div><div><h3>Title of {k}</h3><div>{body}</div></div><div><p>All rights {k % 2}</div></div></body>"
+
+
+def test_wrapper_decides_where_no_name_tells(spark):
+    bodies = [f"<p>This is what {k} has to say at some length.</p><p>And more of {k}</p>" + f"<ul><li>x{k}" * (k % 3) for k in range(12)]
+    want = {k: "\n\n".join([f"Title of {k}", f"This is what {k} has to say at some length.", f"And more of {k}", *[f"x{k}"] * (k % 3)]) for k in range(12)}
+    pages = [plain(k, b) for k, b in enumerate(bodies)]
+    assert main_of(spark, pages) == want
+    without = {k: html_wrapper.main_text(p := html_wrapper.folded(html_wrapper.parse(h)), html_wrapper.blocks(p), None) for k, h in enumerate(pages)}
+    assert all(without[k] != want[k] and want[k] in without[k] for k in want)
+
+
+def test_wrapper_outweighs_the_marks_around_its_region(spark):
+    pages = [f"<form class=sidebar><div>Menu {k % 2}</div><div class=widget><h2>On {k}</h2><p>A text that is long enough, {k}.</p><div class=comments><p>Nice {k}</p></div></div></form>" for k in range(6)]
+    assert main_of(spark, pages) == {k: f"On {k}\n\nA text that is long enough, {k}." for k in range(6)}
+
+
+def test_articles_of_the_whole_table_with_and_without_names(spark):
+    """The fixture's pages have one article each; the wrapper finds it, also where no element or class tells."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")  # 15 to 320 a host
+    article = {r["page_id"]: re.search(r"<article>(.*?)</article>", r["html"], re.S)[1] for r in pages.collect()}
+    want = {k: "\n\n".join(b.text for b in html_wrapper.blocks(html_wrapper.folded(html_wrapper.parse(h)))) for k, h in article.items()}
+    got = {r["page_id"]: r["text"] for r in html_wrapper.main_texts(spark, pages).collect()}
+    assert got == want
+    bare = pages
+    for name in ("nav", "article", "footer"):
+        bare = bare.withColumn("html", F.regexp_replace("html", f"<(/?){name}>", "<$1div>"))
+    bare = bare.withColumn("html", F.regexp_replace("html", 'class="ad"', ""))
+    got = {r["page_id"]: r["text"] for r in html_wrapper.main_texts(spark, bare).collect()}
+    assert sum(got[k] == want[k] for k in want) >= 0.95 * len(want)
+
+
+def test_deep_wide_and_unclosed_pages_take_seconds():
+    import time
+
+    began = time.time()
+    deep = "<div>" * 10_000 + "text" + "</div>" * 10_000
+    wide = "<ul>" + "".join(f"<li class=k{'abc'[j % 3]}>{'<p>x' * (j % 4)}y</li>" for j in range(20_000)) + "</ul>"
+    for h in (deep, wide, '<a href="x>' * 8001 + "end", "<p>" * 20_000, "<div><p>a</section>" * 10_000, "<" * 50_000):
+        p = html_wrapper.folded(html_wrapper.parse(h))
+        html_wrapper.alignment(p.skeleton, html_wrapper.folded(html_wrapper.parse(h[: len(h) // 2] + "<h2>t</h2>" + h[len(h) // 2 :])).skeleton)
+        html_wrapper.main_text(p, html_wrapper.blocks(p), None)
+    p = html_wrapper.folded(html_wrapper.parse(deep))
+    assert html_wrapper.main_text(p, html_wrapper.blocks(p), None) == "text"
+    assert time.time() - began < 90
 
 
 # 3 repetition
