@@ -11,7 +11,8 @@ Documents are dealt to blocks of a source by hash, so a source of any size is sp
 ordered, and running sums of documents stay within one block. Without a budget, the least one at which every source
 has a full pass is taken, so no document is left out.
 
-A document's tokens are its white-space words, at least one. Null sources are a source of their own; null texts have
+Tokens by source are summed in Spark; the driver gets a row a source, and its plan is broadcast within the bound that
+holds for all small sides, else joined. A document's tokens are its white-space words, at least one. Null sources are a source of their own; null texts have
 one token; repeated rows are taken each; an empty table gives no rows.
 """
 
@@ -109,14 +110,14 @@ def layout(spark: SparkSession, docs: DataFrame, mix: Mix) -> tuple[DataFrame, D
     rows = stage(spark, _keyed(docs), "mix-rows")
     sources = sorted(((r["source"], r["tokens"]) for r in rows.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
     plan = spark.createDataFrame(source_plan(sources, mix), "s string, source_tokens long, weight double, passes long, rest long, blocks long")
-    dealt = rows.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("s"))).withColumn("block", _block("_h", "blocks")).drop("s")
+    dealt = rows.join(small_or_not(plan, len(sources)), F.col("source").eqNullSafe(F.col("s"))).withColumn("block", _block("_h", "blocks")).drop("s")
     sums = dealt.groupBy("source", "block").agg(F.sum("tokens").alias("block_tokens"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
     passes = sums.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))).alias("epoch"))
     order = Window.partitionBy("source", "epoch").orderBy(F.xxhash64("source", "epoch", "block"), "block")
     placed = passes.withColumn("place", F.row_number().over(order).cast("long") - 1).withColumn("before", F.coalesce(F.sum("block_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     whole = (F.col("epoch") < F.col("passes")) | (F.col("before") + F.col("block_tokens") <= F.col("rest"))
     placed = stage(spark, placed.where(whole | (F.col("before") < F.col("rest"))).select(F.col("source").alias("s"), F.col("block").alias("b"), F.col("epoch").cast("int").alias("epoch"), "place", whole.alias("whole"), (F.col("rest") - F.col("before")).alias("room")), "mix-blocks")
-    cut = F.broadcast(placed.where("NOT whole"))  # a row a source at most
+    cut = small_or_not(placed.where("NOT whole"), len(sources))  # a row a source at most
     inside = Window.partitionBy("source", "block").orderBy(F.xxhash64("_h", F.lit("order")), "doc_id", "_h").rowsBetween(Window.unboundedPreceding, -1)
     in_cut = dealt.join(cut, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
     units = in_cut.groupBy("doc_id", "_h", "source", "block", "epoch", "place", "room").agg(F.sum("tokens").alias("unit"))
@@ -144,7 +145,7 @@ def mix_rows(spark: SparkSession, docs: DataFrame, mix: Mix = Mix()) -> DataFram
     times = whole.groupBy("s", "b").agg(F.count("*").cast("int").alias("_n"))
     part = part.select(F.col("doc_id").alias("_d"), F.col("_h").alias("_k")).distinct().withColumn("_more", F.lit(1))
     keyed = docs.select(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)], docs["source"].alias("_source"), docs["doc_id"].alias("_doc"), F.xxhash64(docs["doc_id"], docs["text"]).alias("_h"))
-    keyed = keyed.join(F.broadcast(plan.select(F.col("s").alias("_s"), "blocks")), F.col("_source").eqNullSafe(F.col("_s"))).withColumn("_block", _block("_h", "blocks"))
+    keyed = keyed.join(small_or_not(plan.select(F.col("s").alias("_s"), "blocks"), plan.count()), F.col("_source").eqNullSafe(F.col("_s"))).withColumn("_block", _block("_h", "blocks"))
     keyed = keyed.join(small_or_not(times, times.count()), F.col("_source").eqNullSafe(F.col("s")) & (F.col("_block") == F.col("b")), "left")
     keyed = keyed.join(small_or_not(part, part.count()), F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_k")), "left")
     drawn = F.coalesce("_n", F.lit(0)) + F.coalesce("_more", F.lit(0))

@@ -8,7 +8,10 @@ case, digits, and the other characters), and a few features of the whole text (l
 words, by magnitude). A word's share of w . x does not depend on its neighbours, so scoring keeps it per distinct word.
 
 The model is fitted on the driver from at most `sample` labelled rows, taken in hash order of doc_id (a documented
-bound for the fit alone); every row of docs is scored on its whole text.
+bound for the fit alone); every row of docs is scored on its whole text. Of ratings that differ for a doc_id the least
+counts, and of its texts the least, so a fit repeats. A word's shape feature is that of its first SHAPE runs of like
+characters, and its other-characters feature that of its first OTHERS distinct ones: so are the features defined, all
+words and all letters of a word count.
 
 Null and empty texts have no words and are scored by the whole-text features; repeated rows are scored each; without
 labels of two grades, all rows get the one grade there is (or 0) and are kept. Further columns are ignored.
@@ -30,6 +33,7 @@ from .runtime import has, prepare
 
 BITS = 18
 MEMORY = 400_000
+SHAPE, OTHERS = 12, 8
 _GAPS = re.compile(r"[\t\n\v\f\r]")
 _RUN = re.compile(r"(.)\1+", re.S)
 _LETTERS = str.maketrans({c: "a" for c in "bcdefghijklmnopqrstuvwxyz"} | {c: "A" for c in "BCDEFGHIJKLMNOPQRSTUVWXYZ"} | {c: "9" for c in "012345678"})
@@ -44,7 +48,7 @@ def word_features(piece: str) -> tuple[int, ...]:
     core = "".join(c for c in piece if c.isalpha())
     shape = _RUN.sub(r"\1", "".join("a" if c.islower() else "A" if c.isupper() else c for c in piece).translate(_LETTERS))
     other = "".join(sorted({c for c in piece if not c.isalpha()}))
-    return _slot("word", core.lower()), _slot("shape", shape[:12]), _slot("other", other[:8])
+    return _slot("word", core.lower()), _slot("shape", shape[:SHAPE]), _slot("other", other[:OTHERS])
 
 
 def text_features(text: str, words: list[str]) -> tuple[int, ...]:
@@ -146,8 +150,8 @@ def graded(labels: DataFrame) -> DataFrame:
 def train(spark: SparkSession, docs: DataFrame, ratings: DataFrame, sample: int = 3000) -> Ordinal:
     """Fits to at most `sample` rated rows (doc_id, grade), the first in hash order."""
     prepare(spark)
-    chosen = ratings.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = has(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")
+    chosen = ratings.where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = has(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text")).select("doc_id", "grade", "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -6,8 +6,9 @@ is the sum of squared lengths) and scores best: by `norm`, the least weighted sq
 `dot`, the greatest weighted dot product of the piece's demand and the free capacities. Where none fits, a sequence
 is opened. The capacities of documents and attention default to values that tokens alone imply.
 
-Pieces are packed in groups of about `group` pieces dealt by hash, which bounds a task's memory and keeps results the
-same when a task runs again; a group leaves on average less than one sequence partly filled. No piece is dropped.
+A full piece is a sequence of its own. The others are packed in groups of about `group` pieces dealt by hash, which
+bounds a task's memory and keeps results the same when a task runs again; a group leaves on average less than one
+sequence partly filled. No piece is dropped.
 
 Null texts are empty documents of one end id; repeated rows are packed each; an empty table gives no rows; null
 doc_ids are packed like others.
@@ -92,10 +93,14 @@ def cut_pieces(spark: SparkSession, docs: DataFrame, vocabulary: str, tokens: in
 
 def pack(spark: SparkSession, pieces: DataFrame, tokens: int, most_docs: int | None = None, attention: int | None = None, rule: str = "norm", group: int = 4096) -> DataFrame:
     """Pieces with the sequence and the offset they get. `pieces` is read twice: pass a written table."""
-    short = pieces.where(F.col("length") < tokens)
+    columns = [c for c in pieces.columns if c not in ("sequence_id", "offset", "_group")]
+    alone = F.col("length") == tokens if attention is None or attention >= tokens * tokens else F.lit(False)
+    short = pieces.where(~alone).select(*columns)
     n = max(1, math.ceil(short.count() / group))
-    columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    keyed = pieces.select(*columns, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n)).alias("_group"))
+    # ids are below 0 for full pieces, and hold the group for the others; equal rows are told apart by their place
+    full = pieces.where(alone).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(n))  # spreads rows that are equal in all columns
+    keyed = short.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32") + salt, F.lit(n)))
 
     def fill(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
@@ -103,7 +108,7 @@ def pack(spark: SparkSession, pieces: DataFrame, tokens: int, most_docs: int | N
         return frame.drop(columns="_group").assign(sequence_id=(int(key[0]) << 32) + where, offset=offset)
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes if c in columns)
-    return keyed.groupBy("_group").applyInPandas(fill, f"{kinds}, sequence_id long, offset long")
+    return keyed.groupBy("_group").applyInPandas(fill, f"{kinds}, sequence_id long, offset long").unionByName(full)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, vocabulary: str, tokens: int = 4096, **limits) -> DataFrame:

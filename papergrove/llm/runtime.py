@@ -18,12 +18,14 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset on one machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             base = held.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: the executors of a cluster need a folder they share")
         else:
             base = Path(tempfile.mkdtemp(prefix="papergrove-")).as_uri()
             spark.sparkContext.setCheckpointDir(base)

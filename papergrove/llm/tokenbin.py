@@ -1,16 +1,17 @@
 """Token-ID files: flat unsigned integers and 64-bit document offsets, in ascending doc_id order.
 
 A corpus is a folder of shards in order. Shard k has `k.bin`, the ids of its documents one after another as
-little-endian unsigned 16-bit integers (32-bit for larger vocabularies), `k.idx`, the (documents + 1) signed 64-bit
+little-endian unsigned 16-bit integers (32-bit for vocabularies of over 65,536 ids), `k.idx`, the (documents + 1) signed 64-bit
 offsets of its documents in ids, and `k.doc`, their doc_ids as signed 64-bit integers. A shard's base, the number of
 ids before it in the corpus, is the prefix sum of the shards' lengths. Readers map the files into memory.
 
-Rows are dealt by range of doc_id, so shards are ordered and no task sorts more than its range. Only shard lengths
+Rows are dealt by range of doc_id and, where many share one, of the text's hash, so shards are ordered and no task
+sorts more than its range. An id that does not fit its width is an error. Only shard lengths
 (one row a shard) reach the driver. A file is written under a name of its own and renamed, so a task that runs again
 replaces a whole file by an equal one.
 
 Null texts are empty and get just the end id; rows whose doc_id is null are written first, as doc_id -2**63; repeated
-doc_ids are kept, ordered by text. An empty table gives no shard. Further columns are ignored.
+doc_ids are kept, ordered by the text's hash, then the text. An empty table gives no shard. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +39,13 @@ def write_shard(folder: str, shard: int, rows: Iterator[tuple[int, bytes]], widt
     fs.create_dir(root, recursive=True)
     name, mine = f"{root}/{shard:06d}", f"{root}/.{shard:06d}-{uuid.uuid4().hex}"
     offsets, docs, held = [0], [], []
+
+    def stored(parts: list[bytes]) -> bytes:
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        if len(ids) and int(ids.max()) >= 1 << 8 * width:
+            raise ValueError(f"id {ids.max()} does not fit in {width} bytes")
+        return ids.astype(f"<u{width}").tobytes()
+
     with fs.open_output_stream(f"{mine}.bin") as out:
         size = 0
         for doc, ids in rows:
@@ -46,9 +54,9 @@ def write_shard(folder: str, shard: int, rows: Iterator[tuple[int, bytes]], widt
             held.append(ids)
             size += len(ids)
             if size >= 8 << 20:
-                out.write(np.frombuffer(b"".join(held), "<u4").astype(f"<u{width}").tobytes())
+                out.write(stored(held))
                 held, size = [], 0
-        out.write(np.frombuffer(b"".join(held), "<u4").astype(f"<u{width}").tobytes())
+        out.write(stored(held))
     if not docs:
         fs.delete_file(f"{mine}.bin")
         return None
@@ -76,14 +84,17 @@ def read_shard(path: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return out[0], out[1], out[2]
 
 
-def write_corpus(spark: SparkSession, docs: DataFrame, vocabulary: str, folder: str | None = None, end: int = END_ID, width: int = 2) -> DataFrame:
+def write_corpus(spark: SparkSession, docs: DataFrame, vocabulary: str, folder: str | None = None, end: int = END_ID, width: int | None = None) -> DataFrame:
     """Encodes every whole text and writes the corpus; returns its manifest with each shard's base.
 
-    The manifest has one row a shard: shard, path, docs, tokens, width and base, the ids before the shard.
+    The manifest has one row a shard: shard, path, docs, tokens, width and base, the ids before the shard. The width is
+    that of the vocabulary unless given.
     """
     prepare(spark)
+    width = width or (2 if memo(resolve(vocabulary)).most_id < 1 << 16 and end < 1 << 16 else 4)
     folder = folder or work_dir(spark, "tokens")
-    rows = has(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = ("doc_id", F.xxhash64("text"))
+    rows = has(docs, "doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order, "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -34,6 +34,7 @@ class Memo(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.most_id = max(self.tokenizer.get_vocab(with_added_tokens=True).values())
         self.letters = _byte_letters()
         with open(path, encoding="utf-8") as f:
             self.fast = self._is_word_bpe(json.load(f))

@@ -12,10 +12,13 @@ A hit's weight depends on the words around it: inside quotation marks, or after
 the same labelled rows, gives its score.
 
 The lexicon and model are fitted on at most `sample` labelled rows, the first in hash order of doc_id (a documented
-bound for the fit alone); all their terms are tested, in Spark, and those that pass are collected. Every row is scored on its whole text.
+bound for the fit alone); all their terms are tested, in Spark, and those that pass are collected. Of a doc_id with
+several texts the least text is learned from, and of labels that differ the toxic one. Of copies one is learned from:
+a row goes if another of its label and of a smaller doc_id shares one of BANDS least shingles of five words with it and
+ALIKE of SIGNATURE (which tells a similarity of about 0.8). Every row is scored on its whole text, in time linear in it.
 
-Null and empty texts have no hits and get the score of a text without any; repeated rows are scored each; without
-toxic and clean labels every score is 0. Further columns are ignored.
+Null and empty texts have no hits and get the score of a text without any; repeated rows are scored each; a null doc_id
+is not held out and has no label; without toxic and clean labels every score is 0. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -32,12 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import has, prepare, stage
+from .runtime import drop, has, prepare, stage
 from .words import mix, shingles, slices
 
 WORD = re.compile(r"\w+")
 #: Least letters for a misspelling, words to each side of a hit, words remembered by a worker.
 FUZZY, WINDOW, MEMORY = 5, 6, 400_000
+#: Least shingles of a labelled row, those of them that rows meet by, and those that copies share at least.
+SIGNATURE, BANDS, ALIKE = 16, 4, 13
 #: Words of reporting, quotation marks that open and close, and the marks that do both.
 REPORTS = frozenset("said says wrote quote quoted called dit écrit sagte schrieb dijo escribió".split())
 OPENING, CLOSING, BOTH = "“«„‘", "”»“’", "\""
@@ -156,7 +162,7 @@ class Toxic:
             if k in quoted or not REPORTS.isdisjoint(words[max(0, k - WINDOW) : k]):
                 weight *= QUOTED
             else:
-                weight *= 1 + COMPANY * min(3, sum(1 for o in at if o != k and abs(o - k) <= WINDOW))
+                weight *= 1 + COMPANY * min(3, bisect_right(at, k + WINDOW) - bisect_left(at, k - WINDOW) - 1)
             out.append((k, words[k], weight))
         return out, len(words)
 
@@ -167,7 +173,7 @@ class Toxic:
         if not any(c in low for c in OPENING + BOTH):
             return out
         for line in low.split("\n"):
-            depth, end = 0, 0
+            depth, end, last = 0, 0, max(line.rfind(c) for c in CLOSING + BOTH)
             for m in WORD.finditer(line):
                 for c in line[end : m.start()]:
                     if c in BOTH:
@@ -177,7 +183,7 @@ class Toxic:
                     elif c in OPENING:
                         depth = 1
                 end = m.end()
-                if depth and k in at and (any(c in line[end:] for c in CLOSING + BOTH)):
+                if depth and k in at and last >= end:
                     out.add(k)
                 k += 1
         return out
@@ -192,12 +198,12 @@ class Toxic:
 
 
 def held_out(doc_id: int | None) -> bool:
-    return zlib.crc32(str(doc_id).encode()) % 4 == 2
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 4 == 2
 
 
 def terms_of(text: str) -> set[str]:
     """Distinct words of letters, and the beginnings of the longer ones (marked by a final *)."""
-    words = {w for w in WORD.findall(text.lower()) if w.isalpha() and len(w) <= 40}
+    words = {w for w in WORD.findall(text.lower()) if w.isalpha()}
     return words | {w[:k] + "*" for w in words for k in range(4, min(len(w), 8))}
 
 
@@ -247,21 +253,25 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
 
     def least_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [[], [], []]
+            keys: list[list[int]] = []
             for part in slices(b.column(2)):
                 h, at = part.hashes(lower=True), part.bounds()
                 for k in range(part.n_docs):
-                    x = shingles(h[at[k] : at[k + 1]], 3)
-                    for salt, into in enumerate(keys):
-                        into.append(int(mix(x ^ np.uint64(salt * 0x51ED27)).min()) - (1 << 63) if len(x) else 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in keys)], ["doc_id", "toxic", "m0", "m1", "m2"])
-
-    # copies of a document count once: of those that share a least shingle, one is learned from
-    once = labelled.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(least_shingles, "doc_id long, toxic int, m0 long, m1 long, m2 long")
-    for m in ("m0", "m1", "m2"):
-        once = once.groupBy(F.col(m).alias("m")).agg(F.min(F.struct("doc_id", "toxic", "m0", "m1", "m2")).alias("r")).select("r.*")
-    once = stage(spark, once.select("doc_id", "toxic"), "learned")
-    rows = labelled.join(F.broadcast(once), "doc_id").select("doc_id", "toxic", "text")  # at most `sample` rows
+                    x = shingles(h[at[k] : at[k + 1]], 5)
+                    keys.append([int(mix(x ^ np.uint64(salt * 0x51ED27)).min()) - (1 << 63) if len(x) else 0 for salt in range(SIGNATURE)])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "toxic", "text", "m"])
+
+    # at most `sample` rows from here on: one text of each doc_id, whatever docs repeats
+    one = labelled.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    one = stage(spark, one.mapInArrow(least_shingles, "doc_id long, toxic int, text string, m array<long>"), "labelled")
+    gone = None
+    for k in range(BANDS):
+        first = one.groupBy("toxic", F.col("m")[k].alias("key")).agg(F.min(F.struct("doc_id", "m")).alias("f")).select(F.col("toxic").alias("t"), "key", "f.*").toDF("t", "key", "d", "other")
+        alike = F.aggregate(F.arrays_zip("m", "other"), F.lit(0), lambda n, x: n + (x["m"] == x["other"]).cast("int"))
+        met = one.join(first, (one["toxic"] == first["t"]) & (one["m"][k] == first["key"])).where((F.col("doc_id") > F.col("d")) & (alike >= ALIKE)).select("doc_id")
+        gone = met if gone is None else gone.unionByName(met)
+    rows = stage(spark, one.join(F.broadcast(gone.distinct()), "doc_id", "left_anti").select("doc_id", "toxic", "text"), "learned")
+    drop(spark, one)
 
     def count(toxic: bool) -> DataFrame:
         def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
