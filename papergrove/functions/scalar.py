@@ -1,9 +1,7 @@
-"""Scalar expressions: casts, name rules, fitness, and the arithmetic of launches."""
+"""Scalar expressions: casts, defaults, fitness, and numbers as text."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,88 +35,33 @@ def node_type(code: Column) -> Column:
     return F.when(code == 0, "seed").when(code == 1, "agent").otherwise("undefined")
 
 
-def copy_kind(code: Column) -> Column:
-    """Name of a copy kind; kindN for others."""
-    return F.when(code == 1, "HtoD").when(code == 2, "DtoH").when(code == 8, "DtoD").when(code == 10, "PtoP").otherwise(F.concat(F.lit("kind"), code.cast("string")))
-
-
 def fitness_at(age: Column, lag: Column, peak: Column, duration: Column) -> Column:
     """1 before the lag, the peak while it lasts, then its decay by the cube of the years since."""
     since = (age - lag - duration + 1).cast("double")
     return F.when(age < lag, F.lit(1)).when(age <= lag + duration, peak).otherwise(F.floor(peak.cast("double") / F.pow(since, F.lit(3.0))).cast("int"))
 
 
-def short_name(c: Column, rules: list[tuple[str, str]], most: int = 30) -> Column:
-    """The name of the first rule (pattern, name) that matches; else the last :: identifier, cut to `most` letters."""
-    bare = F.regexp_extract(c, r"^(?:[A-Za-z_][A-Za-z0-9_]* )?([A-Za-z0-9_:]+)", 1)
-    last = F.substring(F.element_at(F.split(bare, "::"), -1), 1, most)
-    return reduce(lambda out, r: F.when(c.rlike(r[0]), F.lit(r[1])).otherwise(out), reversed(rules), last)
-
-
-def scenario_years(c: Column) -> Column:
-    return F.regexp_extract(c, r"([0-9]+)y", 1).try_cast("int")
-
-
-def scenario_growth(c: Column) -> Column:
-    return F.regexp_extract(c, r"([0-9]+)p", 1).try_cast("int")
-
-
-def scenario_label(c: Column) -> Column:
-    """30y/6% from a file name such as run_30y6p.csv."""
-    return F.concat(scenario_years(c).cast("string"), F.lit("y/"), scenario_growth(c).cast("string"), F.lit("%"))
-
-
-def _ceil_to(c: Column, unit: int) -> Column:
-    return (((c + (unit - 1)) / unit).cast("long") * unit).cast("long")
-
-
-#: Fixed values of a multiprocessor: threads of a warp, warps, blocks, registers, shared bytes, and allocation units.
-WARP, WARPS, BLOCKS, REGISTERS, SHARED, REGISTER_UNIT = 32, 64, 32, 65536, 233472, 256
-
-
-def occupancy_limits(regs: Column, block: Column, shared: Column, shared_unit: int = 256) -> dict[str, Column]:
-    """Blocks a multiprocessor holds under each limit."""
-    warps = ((block + (WARP - 1)) / WARP).cast("long")
-    by_regs = (F.lit(REGISTERS) / (_ceil_to(regs * WARP, REGISTER_UNIT) * warps)).cast("long")
-    by_shared = F.when(shared > 0, (F.lit(SHARED) / _ceil_to(shared, shared_unit)).cast("long")).otherwise(F.lit(BLOCKS).cast("long"))
-    return {"reg": by_regs, "thr": (F.lit(WARPS) / warps).cast("long"), "shmem": by_shared, "blk": F.lit(BLOCKS).cast("long")}
-
-
-def occupancy(regs: Column, block: Column, shared: Column, shared_unit: int = 256) -> Column:
-    """Theoretical occupancy in percent."""
-    limits = occupancy_limits(regs, block, shared, shared_unit)
-    warps = ((block + (WARP - 1)) / WARP).cast("long")
-    return F.lit(100.0) * F.least(*limits.values()).cast("double") * warps.cast("double") / F.lit(float(WARPS))
-
-
-def occupancy_limiter(regs: Column, block: Column, shared: Column, shared_unit: int = 128) -> Column:
-    """The limit that binds; ties in the order registers, threads, shared memory, blocks."""
-    limits = occupancy_limits(regs, block, shared, shared_unit)
-    ranked = [F.struct(v.alias("v"), F.lit(k).alias("rank"), F.lit(n).alias("name")) for k, (n, v) in enumerate(limits.items())]
-    return F.array_min(F.array(*ranked))["name"]
-
-
-def occupancy_limiter_by_threshold(regs: Column, block: Column, shared: Column) -> Column:
-    """The limiter by plain thresholds of a launch."""
-    return F.when(regs > 64, "registers").when(shared > 49152, "shared memory").when(block < 128, "block size").otherwise("none")
+def general(c: Column, digits: int = 10) -> Column:
+    """A double as C prints it by %.10g: that many significant digits, no zeros at the end, an exponent where it is short."""
+    e = F.format_string(f"%.{digits - 1}e", c)  # sign, a digit, the others, the exponent
+    sign, exponent = F.when(e.startswith("-"), "-").otherwise(""), F.regexp_extract(e, r"e([+-]\d+)$", 1).cast("int")
+    figures = F.regexp_replace(F.regexp_extract(e, r"^-?([0-9.]+)e", 1), r"\.", "")
+    head, tail = F.substring(figures, F.lit(1), exponent + 1), F.substring(figures, exponent + 2, F.lit(digits))
+    fixed = F.when(exponent < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), figures)).otherwise(F.concat(head, F.lit("."), tail))
+    strip = lambda x: F.regexp_replace(x, r"\.?0*$", "")
+    mantissa = F.concat(F.substring(figures, 1, 1), F.lit("."), F.substring(figures, 2, digits))
+    short = F.concat(strip(mantissa), F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), F.when(F.abs(exponent) < 10, "0").otherwise(""), F.abs(exponent).cast("string"))
+    return F.when(c.isNull() | F.isnan(c), c.cast("string")).otherwise(F.concat(sign, F.when((exponent < -4) | (exponent >= digits), short).otherwise(strip(fixed))))
 
 
 def intensity(flops: Column, bytes_: Column) -> Column:
     return F.coalesce(F.try_divide(flops.cast("double"), bytes_.cast("double")), F.lit(0.0))
 
 
-def roofline_ceiling(ai: Column, bandwidth: float, peak: float) -> Column:
-    return F.least(ai * F.lit(float(bandwidth)), F.lit(float(peak)))
-
-
-def roofline_bound(ai: Column, bandwidth: float, peak: float) -> Column:
-    return F.when(ai < F.lit(float(peak) / float(bandwidth)), "memory").otherwise("compute")
-
-
 def elapsed(seconds: Column) -> Column:
-    """d-hh:mm:ss of whole seconds."""
+    """d-h:m:s of whole seconds, as log lines have it."""
     s = seconds.cast("long")
-    return F.format_string("%d-%02d:%02d:%02d", F.floor(s / 86400), F.floor(s / 3600) % 24, F.floor(s / 60) % 60, s % 60)
+    return F.format_string("%d-%d:%d:%d", F.floor(s / 86400), F.floor(s / 3600) % 24, F.floor(s / 60) % 60, s % 60)
 
 
 def dash_for_none(c: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from papergrove.config import SimConfig
 from papergrove.functions.rand import h32, pick, uniform
+from papergrove.operators.graph import small
 
 WEIGHTS = ("pa_weight", "rec_weight", "fit_weight")
 
@@ -20,22 +21,42 @@ def drawn_weights(seed: int, ident: Column) -> dict[str, Column]:
     return {w: x / total for w, x in u.items()}
 
 
+def given_weights(cfg: SimConfig) -> tuple[float, float, float]:
+    """The three weights of a configuration over their sum."""
+    total = cfg.preferential_weight + cfg.recency_weight + cfg.fitness_weight
+    return cfg.preferential_weight / total, cfg.recency_weight / total, cfg.fitness_weight / total
+
+
 def cohort(spark: SparkSession, first: int, size: int, cfg: SimConfig, bag: DataFrame, bag_size: int) -> DataFrame:
     """(growth_idx, id, generator, same_year, out_degree, weights, alpha) of the nodes first .. first + size - 1."""
     ident = F.col("id")
     a = spark.range(size).select(F.col("id").alias("growth_idx"), (F.col("id") + first).alias("id"))
     a = a.withColumn("generator", pick(cfg.seed, ident, first, "generator")).withColumn("pos", pick(cfg.seed, ident, bag_size, "outdegree"))
-    a = a.join(F.broadcast(bag) if bag_size <= 1_000_000 else bag, "pos").drop("pos")
-    weights = {"pa_weight": F.lit(cfg.preferential_weight), "rec_weight": F.lit(cfg.recency_weight), "fit_weight": F.lit(cfg.fitness_weight)} if cfg.fixed_weights() else drawn_weights(cfg.seed, ident)
+    a = a.join(small(bag, bag_size), "pos").drop("pos")
+    weights = dict(zip(WEIGHTS, map(F.lit, given_weights(cfg)))) if cfg.fixed_weights() else drawn_weights(cfg.seed, ident)
     a = a.withColumns(weights).withColumn("alpha", uniform(cfg.seed, ident, "alpha") if cfg.alpha < 0 else F.lit(float(cfg.alpha)))
     chosen = same_year(spark, first, size, cfg).withColumn("same_year", F.lit(True))
     return a.join(chosen, "id", "left").withColumn("same_year", F.coalesce("same_year", F.lit(False)))
 
 
 def same_year(spark: SparkSession, first: int, size: int, cfg: SimConfig) -> DataFrame:
-    """(id) of the floor(size * share) nodes that also cite their own year: the least by hash."""
-    ids = spark.range(first, first + size)
-    return ids.orderBy(h32(cfg.seed, F.col("id"), "sameyear"), "id").limit(math.floor(size * cfg.same_year_proportion))
+    """(id) of the floor(size * share) nodes that also cite their own year: the least by hash.
+
+    Counts by cell of the hash tell the cell in which the last of them is; only that cell's nodes are ordered.
+    """
+    due = math.floor(size * cfg.same_year_proportion)
+    cell = F.shiftright("h", 20)
+    ids = spark.range(first, first + size).withColumn("h", h32(cfg.seed, F.col("id"), "sameyear"))
+    ahead, last = 0, None
+    for r in ids.groupBy(cell.alias("c")).count().orderBy("c").collect():  # 4096 cells
+        if ahead + r["count"] > due:
+            last = r["c"]
+            break
+        ahead += r["count"]
+    if last is None:
+        return ids.select("id")
+    rest = ids.where(cell == last).orderBy("h", "id").limit(due - ahead)
+    return ids.where(cell < last).select("id").unionByName(rest.select("id"))
 
 
 def fitness_cdf(spark: SparkSession, most: int, exponent: float) -> DataFrame:
@@ -71,4 +92,4 @@ def plant(agents: DataFrame, plan: DataFrame, cycle: int, size: int) -> DataFram
     need = lines.agg(F.max("hi")).first()[0]
     if need is not None and need > size:
         raise ValueError(f"the plan of cycle {cycle} sets {need} nodes of {size}")
-    return agents.join(F.broadcast(lines), (F.col("growth_idx") >= F.col("lo")) & (F.col("growth_idx") < F.col("hi"))).select("id", "line_no", "lag", "peak", "dur")
+    return agents.join(small(lines, lines.count()), (F.col("growth_idx") >= F.col("lo")) & (F.col("growth_idx") < F.col("hi"))).select("id", "line_no", "lag", "peak", "dur")

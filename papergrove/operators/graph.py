@@ -8,11 +8,37 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a side that is broadcast, at most (rows of a few numbers).
+SMALL = 200_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df marked for broadcast where its counted rows are within the bound."""
+    return F.broadcast(df) if rows <= SMALL else df
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir; where it is unset on one machine, the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: the executors of a cluster need a folder they share")
+    return (base or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that cut() wrote, which nothing reads any more."""
+    for t in tables:
+        jvm, conf = t.sparkSession._jvm, t.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        for folder in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            if "/papergrove/" in folder:
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(conf).delete(path, True)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage of an iteration."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/papergrove/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/papergrove/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -40,9 +66,14 @@ def encode_edges(edges: DataFrame, idmap: DataFrame) -> DataFrame:
     return edges.join(s, "src").join(d, "dst").select(F.col("s").alias("src"), F.col("d").alias("dst")).distinct()
 
 
+def both_ways(edges: DataFrame) -> DataFrame:
+    """(u, v): edges and their reverses, what is cited in both directions twice; needs no shuffle."""
+    return edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).union(edges.select("dst", "src"))
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """(u, v): edges and their reverses."""
-    return edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).union(edges.select("dst", "src")).distinct()
+    return both_ways(edges).distinct()
 
 
 def merge_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
@@ -81,11 +112,14 @@ def csr_offsets(deg: DataFrame) -> DataFrame:
 def hops(starts: DataFrame, und: DataFrame) -> DataFrame:
     """(g, n, hop) with hop 1 or 2: nodes at that distance from each start, whatever the direction.
 
-    Starts are expanded once each; the least distance per pair does away with what was visited before.
+    Starts are expanded once each; the least distance per pair does away with what was visited before. und may hold
+    an edge more than once. Starts and first hops are broadcast where their counts allow it, so that the edges are not
+    shuffled; beyond that they are joined, and a hub's edges are split by the skewed join.
     """
-    first = starts.join(und, starts["g"] == und["u"]).select("g", F.col("v").alias("n"), F.lit(1).alias("hop"))
-    second = first.join(und, first["n"] == und["u"]).select("g", F.col("v").alias("n"), F.lit(2).alias("hop"))
-    return first.union(second).where("n <> g").groupBy("g", "n").agg(F.min("hop").alias("hop"))
+    starts = cut(starts.select("g").distinct(), "starts")
+    first = cut(small(starts, starts.count()).join(und, F.col("g") == und["u"]).where("v <> g").select("g", F.col("v").alias("n")).distinct(), "first")
+    second = small(first, first.count()).join(und, F.col("n") == und["u"]).where("v <> g").select("g", F.col("v").alias("n"), F.lit(2).alias("hop"))
+    return first.select("g", "n", F.lit(1).alias("hop")).union(second).groupBy("g", "n").agg(F.min("hop").alias("hop"))
 
 
 def degree_stats(deg: DataFrame) -> DataFrame:
@@ -105,7 +139,9 @@ def components(spark: SparkSession, nodes: DataFrame, und: DataFrame) -> DataFra
         roots = cut(roots.join(step, roots["component"] == step["from"], "left").select("id", F.coalesce("to", "component").alias("component")), "roots")
         s1, s2 = step.toDF("f1", "t1"), step.toDF("f2", "t2")
         moved = edges.join(s1, edges["a"] == s1["f1"], "left").join(s2, edges["b"] == s2["f2"], "left").select(F.coalesce("t1", "a").alias("a"), F.coalesce("t2", "b").alias("b"))
+        was = edges
         edges = cut(moved.where("a <> b").distinct(), "edges")
+        drop(was)
     return roots
 
 

@@ -2,31 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def pivot_mean(m: DataFrame, metrics: list[str]) -> DataFrame:
-    """A row a kernel, a column a known metric."""
-    return m.where(F.col("metric").isin(metrics)).groupBy("kernel").pivot("metric", metrics).agg(F.avg("value"))
+def pivot_mean(m: DataFrame, metrics: list[str], by: tuple[str, ...] = ("kernel",)) -> DataFrame:
+    """A row a group, a column a known metric: its mean."""
+    return m.where(F.col("metric").isin(metrics)).groupBy(*by).pivot("metric", metrics).agg(F.avg("value"))
 
 
-def pivot_sum(df: DataFrame, by: str, kind: str, value: str, kinds: list) -> DataFrame:
-    return df.groupBy(by).pivot(kind, kinds).agg(F.sum(value)).fillna(0)
+def pivot_sum(df: DataFrame, by: str, kind: str, value: str, kinds: list, order: str) -> DataFrame:
+    """A row a group, a column a kind: its sum, or 0; place is the group's in the order in which groups are first seen."""
+    first = df.groupBy(by).agg(F.min(order).alias("_first"))
+    placed = first.select(F.col(by).alias("_by"), F.row_number().over(Window.orderBy("_first", by)).alias("place"))  # a row a group
+    wide = df.groupBy(by).pivot(kind, kinds).agg(F.sum(value)).fillna(0)
+    return wide.join(placed, F.col(by).eqNullSafe(F.col("_by"))).drop("_by").orderBy("place")
 
 
 def weighted_mean(value: str, weight: str) -> Column:
-    """Mean by weight over rows with a value; the plain mean where any weight is 0."""
-    w = F.when(F.col(value).isNotNull(), F.col(weight))
-    return F.when(F.min(F.abs(w)) > 0, F.sum(F.col(value) * F.col(weight)) / F.sum(w)).otherwise(F.avg(value))
-
-
-def divergence(m: DataFrame, lanes: str = "m1", instructions: str = "m2", weight: str = "weight") -> DataFrame:
-    """By kernel: weighted mean of a metric, the ratio of two metrics' sums, and the first where the ratio has no base."""
-    one, two = F.when(F.col("metric") == lanes, F.col("value")), F.when(F.col("metric") == instructions, F.col("value"))
-    rows = m.withColumn("_one", one).withColumn("_two", two)
-    ratio = F.try_divide(F.sum("_one"), F.sum("_two"))
-    return rows.groupBy("kernel").agg(F.count("*").alias("n"), weighted_mean("_one", weight).alias("mean"), F.coalesce(ratio, weighted_mean("_one", weight)).alias("ratio"))
+    """Mean by weight over rows with a value; the plain mean where any of their weights is 0 or missing."""
+    w = F.when(F.col(value).isNotNull(), F.coalesce(F.col(weight), F.lit(0)))
+    weighted = F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(w))
+    return F.when(F.min(F.abs(w)) > 0, weighted).otherwise(F.avg(value))
+
+
+def divergence(launches: DataFrame) -> DataFrame:
+    """By kernel: launches, threads active and predicated on (and their share of a warp), uniform branches, divergence.
+
+    Launches have active, pred_on, uniform, targets, divergent, and duration as the weight. Divergence is what uniform
+    branches leave of 100; where these are not known, divergent ones of all targets.
+    """
+    by = launches.withColumn("_w", F.coalesce("duration", F.lit(0.0))).groupBy("kernel")
+    targets, divergent = (F.sum(F.coalesce(c, F.lit(0))) for c in ("targets", "divergent"))
+    d = by.agg(F.count("*").alias("launches"), weighted_mean("active", "_w").alias("a"), weighted_mean("pred_on", "_w").alias("p"), weighted_mean("uniform", "_w").alias("u"), F.when(targets != 0, divergent / targets * 100).alias("r"))
+    return d.select(
+        "kernel", "launches", F.bround("a", 2).alias("active_threads_per_warp"), F.bround(F.col("a") / 32 * 100, 1).alias("thread_util_pct"),
+        F.bround("p", 2).alias("pred_on_threads_per_warp"), F.bround(F.col("p") / 32 * 100, 1).alias("pred_util_pct"), F.bround("u", 1).alias("branch_uniform_pct"),
+        F.bround(F.coalesce(100 - F.col("u"), F.col("r")), 1).alias("divergence_pct"), F.bround("r", 1).alias("divergence_pct_recomputed"),
+    )
+
+
+def scenario_names(*frames: DataFrame) -> DataFrame:
+    """(kernel) of all scenarios, each once, in order."""
+    out = frames[0].select("kernel")
+    for f in frames[1:]:
+        out = out.union(f.select("kernel"))
+    return out.distinct().orderBy("kernel")
+
+
+def utilisation(spark: SparkSession, samples: DataFrame | None, names: DataFrame | None, known: list[str], kernels: DataFrame | None) -> DataFrame:
+    """One row (percent, approximate): the mean of the first sampled metric of known names; else the share of busy time.
+
+    samples: (metric_id, value); names: (metric_id, name); kernels: (start, end). Tables may be missing (None).
+    """
+    sampled, busy = F.lit(None).cast("double"), F.lit(None).cast("double")
+    one = spark.range(1)
+    if samples is not None and names is not None:
+        ids = names.where(F.col("name").isin(known)).orderBy("metric_id").limit(1).select("metric_id")
+        one = one.crossJoin(samples.join(F.broadcast(ids), "metric_id").agg(F.avg("value").alias("_sampled")))  # a row each
+        sampled = F.col("_sampled")
+    if kernels is not None:
+        wall = F.max("end") - F.min("start")
+        one = one.crossJoin(kernels.agg(F.when(wall > 0, F.sum(F.col("end") - F.col("start")) / wall * 100).alias("_busy")))
+        busy = F.col("_busy")
+    return one.select(F.coalesce(sampled, busy).alias("percent"), sampled.isNull().alias("approximate"))
 
 
 def baseline_delta(m: DataFrame, base: str) -> DataFrame:
@@ -61,3 +100,12 @@ def breakdown(total: Column, *parts: Column) -> Column:
     for p in parts:
         rest = rest - p
     return F.greatest(rest, F.lit(0.0))
+
+
+def epoch_report(spark: SparkSession, years: list[tuple[str, float]], edges: int) -> list[str]:
+    """Lines about a run's years (label, seconds): statistics, each year's share, and edges a second."""
+    rows = spark.createDataFrame(years, "phase string, seconds double")
+    s = rows.agg(*running_stats("seconds")).first()
+    lines = [f"years: total={s['total']:.1f} s mean={s['mean']:.1f} std={s['std']:.1f} min={s['least']:.1f} max={s['largest']:.1f}"]
+    lines += [f"{r['phase']}: {r['seconds']:.1f} s ({r['percent'] or 0:.1f} %)" for r in distribution(rows, "phase", "seconds").orderBy("phase").collect()]
+    return [*lines, f"{edges} new edges, {edges / s['total'] if s['total'] else 0:.0f} a second"]

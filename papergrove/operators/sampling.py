@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from papergrove.functions.rand import h32, pick, uniform
 from papergrove.functions.scalar import float_ceil, float_floor
+from papergrove.operators.graph import cut
 
 
 def quotas(agents: DataFrame, sizes: DataFrame, random_share: float) -> DataFrame:
@@ -39,18 +40,29 @@ def top_by_key(cand: DataFrame, group: list[str], key: str, item: str, most: str
 def uniform_fill(spark: SparkSession, agents: DataFrame, taken: DataFrame, domain: int, seed: int, slack: int) -> DataFrame:
     """(id, node): each agent's `random` further nodes of [0, domain), other than those of taken (id, node).
 
-    Draws beyond the need cover repeats; agents they do not suffice for rank the whole domain by hash.
+    Draws beyond the need cover repeats. Agents they do not suffice for draw again, four times as many each round;
+    once the draws are eight times the domain they rank the whole domain by hash, so that its size is bounded by theirs.
     """
-    need = agents.where("random > 0").select("id", "random")
-    draws = need.select("id", "random", F.explode(F.sequence(F.lit(0), F.col("random") + slack - 1)).alias("j"))
-    draws = draws.withColumn("node", pick(seed, F.col("id"), domain, "fill:", F.col("j"))).groupBy("id", "random", "node").agg(F.min("j").alias("j"))
-    free = draws.join(taken, ["id", "node"], "left_anti")
-    w = Window.partitionBy("id").orderBy("j")
-    got = free.withColumn("_r", F.row_number().over(w)).where("_r <= random").select("id", "node")
-    short = need.join(got.groupBy("id").agg(F.count("*").alias("c")), "id", "left").where("coalesce(c, 0) < random").select("id", "random")
-    if not short.limit(1).count():
-        return got
-    every = short.select("id", "random", F.explode(F.sequence(F.lit(0), F.lit(domain - 1))).alias("node")).join(taken, ["id", "node"], "left_anti")
-    rank = Window.partitionBy("id").orderBy(h32(seed, F.col("id"), "rank:", F.col("node")), "node")
-    rest = every.withColumn("_r", F.row_number().over(rank)).where("_r <= random").select("id", "node")
-    return got.join(short, "id", "left_anti").select("id", "node").unionByName(rest)
+    need, out, round_ = agents.where("random > 0").select("id", "random"), None, 0
+    taken = taken.select("id", "node")
+    while True:
+        draws = need.withColumn("draws", (F.col("random") + slack) * 4**round_)
+        drawn = draws.where(F.col("draws") < 8 * domain if round_ else F.lit(True))
+        drawn = drawn.select("id", "random", F.explode(F.sequence(F.lit(0), F.col("draws") - 1)).alias("j"))
+        drawn = drawn.withColumn("node", pick(seed, F.col("id"), domain, "fill:", F.col("j"))).groupBy("id", "random", "node").agg(F.min("j").alias("j"))
+        free = drawn.join(taken, ["id", "node"], "left_anti")
+        got = free.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("j"))).where("_r <= random").select("id", "node", "random")
+        got = cut(got.withColumn("_c", F.count("*").over(Window.partitionBy("id"))), "fill")
+        full = got.where("_c = random").select("id", "node")
+        out = full if out is None else out.unionByName(full)
+        need = cut(need.join(full.select("id").distinct(), "id", "left_anti"), "short")
+        if not need.limit(1).count():
+            return out
+        wide = need.where((F.col("random") + slack) * 4 ** (round_ + 1) >= 8 * domain)
+        every = wide.select("id", "random", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(domain - 1).cast("long"))).alias("node")).join(taken, ["id", "node"], "left_anti")
+        rank = Window.partitionBy("id").orderBy(h32(seed, F.col("id"), "rank:", F.col("node")), "node")
+        out = out.unionByName(every.withColumn("_r", F.row_number().over(rank)).where("_r <= random").select("id", "node"))
+        need = cut(need.where((F.col("random") + slack) * 4 ** (round_ + 1) < 8 * domain), "short")
+        if not need.limit(1).count():
+            return out
+        round_ += 1

@@ -19,7 +19,7 @@ def recency_scores(nodes: DataFrame, table: DataFrame, year: int) -> DataFrame:
     ages = aged.groupBy("age").agg(F.count("*").alias("n")).join(F.broadcast(table), "age", "left").withColumn("prob", F.coalesce("prob", F.lit(0.0)))
     total = ages.agg(F.sum("prob").alias("t"))
     rated = ages.crossJoin(F.broadcast(total)).select("age", F.coalesce(F.try_divide(F.col("prob"), F.col("n") * F.col("t")), F.lit(0.0)).alias("rec"))
-    return aged.join(F.broadcast(rated), "age").select("id", "rec")
+    return aged.join(F.broadcast(rated), "age").select("id", "rec")  # a row a year
 
 
 def candidate_score() -> Column:

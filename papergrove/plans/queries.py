@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papergrove.config import SimConfig
+from papergrove.functions import hardware as H
+from papergrove.functions import names as N
 from papergrove.functions import scalar as X
 from papergrove.functions.rand import pick, uniform
 from papergrove.operators import agents as A
@@ -80,11 +84,33 @@ def dict_decode(spark, sf):
     return T.decode(k, X0.strings(spark, sf), "name_id", "name")
 
 
+def _metric_files(spark, sf):
+    """Two exports of metrics, written for the query: a preamble, values with commas, a metric that is not known."""
+    known = [*N.METRICS][:6] + ["of.no.interest"]
+    rows = X0.table(spark, sf, "lineitem").groupBy("l_linestatus", "l_returnflag", "l_linenumber").agg(F.sum(F.col("l_quantity").cast("double")).alias("v")).orderBy("l_linestatus", "l_returnflag", "l_linenumber").collect()
+    folder = f"{G.shared_dir(spark)}/papergrove/metrics-{uuid.uuid4().hex}"
+    for status, name in (("F", "run-3y-1p-details.csv"), ("O", "run-10y-5p-details.csv")):
+        lines = ["==PROF== one, two", '"ID","Kernel Name","Metric Name","Metric Unit","Metric Value"']
+        lines += [f'"{k}","k<{r["l_returnflag"]}, 1>","{known[r["l_linenumber"] - 1]}","u","{r["v"]:,.2f}"' for k, r in enumerate(r for r in rows if r["l_linestatus"] == status)]
+        text.write_lines(spark, f"{folder}/{name}", [*lines, "cut off"])
+    return text.read_metric_files(spark, f"{folder}/run-*-details.csv")
+
+
 @query
 def multi_file_union(spark, sf):
-    a = X0.table(spark, sf, "events").select(F.lit("events").alias("file"), F.col("event_id").cast("long").alias("key"))
-    b = X0.table(spark, sf, "orders").select(F.lit("orders").alias("file"), F.col("o_orderkey").cast("long").alias("key"))
-    return a.unionByName(b).groupBy("file").agg(F.count("*").alias("n"), F.min("key").alias("first"))
+    return _metric_files(spark, sf)
+
+
+@query
+def metric_files_pivot(spark, sf):
+    p = M.pivot_mean(_metric_files(spark, sf), [*N.METRICS.values()], ("source", "years", "agents", "kernel"))
+    return p.select("source", "years", "agents", "kernel", *[_r(n, 6) for n in N.METRICS.values()]).orderBy("years", "agents", "kernel")
+
+
+@query
+def scenario_names(spark, sf):
+    m = X0.metrics(spark, sf)
+    return M.scenario_names(m.where("scenario = 'F'"), m.where("scenario = 'O'"))
 
 
 # Structure
@@ -290,22 +316,26 @@ def _epoch(spark, sf):
 @query
 def citation_quota(spark, sf):
     a, _, _ = _agents(spark, sf)
-    cand = simulate.candidates(a, G.undirected(X0.raw_edges(spark, sf)))
+    cand = simulate.candidates(a, G.both_ways(X0.raw_edges(spark, sf)))
     q = S.quotas(a, simulate.sizes(cand), CFG.fully_random_citations)
     return q.select("id", "reserved", "inside", "outside", "random")
 
 
 @query
 def weighted_topk(spark, sf):
-    d = G.degrees(X0.raw_nodes(spark, sf), X0.raw_edges(spark, sf))
-    rows = C.normalised(d, "in_degree", "score").select(F.lit(1).alias("agent"), F.col("id").alias("node"), "score").withColumn("key", S.sampling_key(CFG.seed, F.col("agent"), F.col("node"), F.col("score"))).withColumn("most", F.lit(50))
-    return S.top_by_key(rows, ["agent"], "key", "node", "most", 50).select("agent", "node")
+    """For each agent as many of its neighbourhood as its out-degree, by popularity."""
+    a, _, _ = _agents(spark, sf)
+    scores = C.normalised(G.degrees(X0.raw_nodes(spark, sf), X0.raw_edges(spark, sf)), "in_degree", "score").select(F.col("id").alias("node"), "score")
+    cand = simulate.candidates(a, G.both_ways(X0.raw_edges(spark, sf))).join(a.select("id", F.col("out_degree").alias("most")), "id").join(scores, "node")
+    rows = cand.withColumn("key", S.sampling_key(CFG.seed, F.col("id"), F.col("node"), F.col("score")))
+    return S.top_by_key(rows, ["id"], "key", "node", "most", 20).select("id", "node")
 
 
 @query
 def uniform_fill(spark, sf):
     a, n, _ = _agents(spark, sf)
-    need = a.select("id", "generator", (F.col("out_degree") % 7).alias("random"))
+    q = S.quotas(a, simulate.sizes(simulate.candidates(a, G.both_ways(X0.raw_edges(spark, sf)))), CFG.fully_random_citations)
+    need = G.cut(q.select("id", "generator", "random"), "need")
     return S.uniform_fill(spark, need, need.select("id", F.col("generator").alias("node")), n - 1, CFG.seed, CFG.slack)
 
 
@@ -319,6 +349,14 @@ def epoch_edges(spark, sf):
     return _epoch(spark, sf)[0].groupBy("kind").agg(F.count("*").alias("edges"))
 
 
+@query
+def simulate_second_year(spark, sf):
+    """The second of two years: its agents also cite those of the first."""
+    n = X0.raw_nodes(spark, sf)
+    _, edges = simulate.run(spark, n, X0.raw_edges(spark, sf), SimConfig(num_cycles=2), X0.bag(spark, sf), X0.recency(n, YEAR))
+    return edges.where("cycle = 2").select("src", "dst", "kind")
+
+
 @query
 def simulate_three_years(spark, sf):
     n = X0.raw_nodes(spark, sf)
@@ -327,19 +365,22 @@ def simulate_three_years(spark, sf):
 
 
 @query
-def final_graph_size(spark, sf):
-    return spark.createDataFrame([(c, simulate.final_size(491532, 0.03, c)) for c in (3, 10, 30)], "cycles int, nodes long")
+def simulated_attributes(spark, sf):
+    """The node sink of a simulated year, with its agents' attributes."""
+    n = X0.raw_nodes(spark, sf)
+    nodes, edges = simulate.run(spark, n, X0.raw_edges(spark, sf), SimConfig(num_cycles=1), X0.bag(spark, sf), X0.recency(n, YEAR))
+    named = nodes.join(G.degrees(nodes, edges), "id").withColumns({"orig_id": F.col("id") * 2, "generator_id": F.col("generator") * 2})
+    return text.attribute_frame(named).where("type = 'agent'").select("node_id", "year", "pa_weight", "fit_peak_value", "alpha", "out_degree", "assigned_out_degree", "planted_nodes_line_number", "generator_node_string")
 
 
 @query
-def er_gnp_edges(spark, sf):
-    n = _n(X0.raw_nodes(spark, sf))
-    return er.gnp_by_pair(spark, n, 20, 0.001, CFG.seed)
+def final_graph_size(spark, sf):
+    return spark.createDataFrame([(c, simulate.final_size(491532, 0.03, c)) for c in (3, 10, 30)], "cycles int, nodes long")
 
 
 @query
-def er_gnp_cohort(spark, sf):
-    """The edges of a whole year's new nodes by the operator of the simulation; er_gnp_edges holds 20 of them against SQL."""
+def er_gnp_edges(spark, sf):
+    """The edges of a whole year's new nodes."""
     n = _n(X0.raw_nodes(spark, sf))
     return er.gnp_edges(spark, n, -(-n * 3 // 100), 0.001, CFG.seed)
 
@@ -362,11 +403,18 @@ def sink_edges(spark, sf):
 @query
 def sink_attributes(spark, sf):
     n = simulate.with_fitness(spark, X0.raw_nodes(spark, sf), CFG).join(G.degrees(X0.raw_nodes(spark, sf), X0.raw_edges(spark, sf)), "id")
-    agent = F.col("id") % 2
-    n = n.withColumns({"orig_id": F.col("id"), "type": agent.cast("int"), "pa_weight": F.lit(0.33), "rec_weight": F.lit(0.33), "fit_weight": F.lit(0.33), "alpha": F.lit(0.5), "assigned_out_degree": F.lit(7), "planted_line": F.lit(None).cast("int"), "generator": F.col("id") + 1})
+    i = F.col("id").cast("double")
+    n = n.withColumns({"orig_id": F.col("id"), "type": (F.col("id") % 2).cast("int"), "pa_weight": 1 / (i + 1), "rec_weight": i / 1e9, "fit_weight": F.lit(0.25), "alpha": (F.col("id") % 3) / F.lit(2.0), "assigned_out_degree": F.lit(7), "planted_line": F.when(F.col("id") % 10 == 1, 2), "generator_id": F.col("id") + 1})
     return text.attribute_frame(n)
 
 
+@query
+def general_format(spark, sf):
+    """Doubles of all magnitudes as text."""
+    x = F.col("l_extendedprice").cast("double") * F.pow(F.lit(10.0), (F.col("l_linenumber") * 5 - 20).cast("double")) * F.when(F.col("l_orderkey") % 2 == 0, -1).otherwise(1)
+    return X0.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", X.general(F.bround(x, 12)).alias("text"))
+
+
 # Trace
 
 
@@ -398,7 +446,8 @@ def memset_total(spark, sf):
 
 @query
 def api_summary(spark, sf):
-    return _named(spark, sf).groupBy("name").agg(F.count("*").alias("calls"), F.sum(F.col("end") - F.col("start")).alias("total_ns"))
+    s = T.api_summary(X0.calls(spark, sf), X0.strings(spark, sf))
+    return s.select("name", "calls", "total_ns", _r("avg_ns", 6))
 
 
 @query
@@ -410,8 +459,17 @@ def sync_summary(spark, sf):
 
 @query
 def range_topk(spark, sf):
-    e = X0.table(spark, sf, "events").select(F.coalesce(F.when(F.col("user_id") % 2 == 0, F.col("event_type")), F.concat(F.lit("user"), F.col("user_id").cast("string"))).alias("text"))
-    return e.groupBy("text").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "text").limit(20)
+    e = X0.table(spark, sf, "events")
+    label = F.coalesce(F.when(F.col("user_id") % 2 == 0, F.col("event_type")), F.concat(F.lit("user"), F.col("user_id").cast("string")))
+    end = F.when(F.col("event_id") % 9 > 0, F.col("event_id") * 10 + F.col("user_id"))
+    return T.ranges(e.select(label.alias("text"), F.when(F.col("event_id") % 11 > 0, F.col("event_id") * 10).alias("start"), end.alias("end")), 20)
+
+
+@query
+def positive_rows(spark, sf):
+    k = X0.kernels(spark, sf).groupBy("name_id", "block").agg((F.sum(F.when(F.col("regs") > 60, F.col("end") - F.col("start")).otherwise(0)) / 1e6).alias("total"), F.count("*").alias("calls"))
+    p = T.positive(k.where("block < 512"), "total", {"total": "Total_ms", "calls": "Launches"})
+    return p.select("name_id", "block", _r("Total_ms", 6), "Launches")
 
 
 @query
@@ -429,13 +487,31 @@ def time_decomposition(spark, sf):
 
 @query
 def launch_signature(spark, sf):
-    return T.launch_signatures(X0.kernels(spark, sf))
+    s = T.launch_signatures(X0.launches(spark, sf), H.ARCHITECTURES["h100"])
+    return s.withColumn("share", F.round("share", 6))
 
 
 @query
 def kernel_share(spark, sf):
-    s = _named(spark, sf).groupBy("name").agg(F.avg(F.col("grid") * F.col("block")).alias("threads"), F.sum(F.col("end") - F.col("start")).cast("double").alias("total"))
-    return s.withColumn("share", T.share("total")).select("name", _r("threads", 6), _r("total", 3), _r("share", 9))
+    s = T.kernel_shares(X0.launches(spark, sf))
+    return s.select("kernel", "launches", _r("total_s", 9), _r("share", 6), _r("grid", 6), _r("block", 6))
+
+
+@query
+def kernel_first_seen(spark, sf):
+    return T.first_seen(X0.launches(spark, sf), H.DEVICES["H100"])
+
+
+@query
+def gpu_utilisation(spark, sf):
+    """The sampled metric; then busy time, where no known metric was sampled, or nothing was; then neither."""
+    k = X0.kernels(spark, sf)
+    samples = X0.table(spark, sf, "events").select((F.col("event_id") % 5).cast("int").alias("metric_id"), F.col("value").cast("double").alias("value"))
+    names = spark.createDataFrame([(1, "x"), (2, "SMs Active"), (3, "SM Active")], "metric_id int, name string")
+    known = ["SM Active", "SMs Active", "SMs Active [Throughput %]"]
+    cases = [(samples, names, known, k), (samples, names, ["y"], k), (None, None, known, k), (samples.where("metric_id = 9"), names, known, k), (None, names, known, None)]
+    out = [M.utilisation(spark, *c).select(F.lit(i).alias("case"), F.round("percent", 9).alias("percent"), "approximate") for i, c in enumerate(cases)]
+    return reduce(lambda a, b: a.unionByName(b), out)
 
 
 @query
@@ -471,7 +547,7 @@ def cmdline_join(spark, sf):
 
 @query
 def memcpy_kind_decode(spark, sf):
-    return X0.copies(spark, sf).select("kind").distinct().withColumn("name", X.copy_kind(F.col("kind")))
+    return X0.copies(spark, sf).select("kind").distinct().withColumn("name", N.copy_kind(F.col("kind")))
 
 
 # Metrics
@@ -488,8 +564,8 @@ def metric_pivot(spark, sf):
 @query
 def memcpy_pivot(spark, sf):
     c = X0.copies(spark, sf).where("kind <> 3 OR run <> 'R'")
-    p = M.pivot_sum(c, "run", "kind", "bytes", [1, 2, 3])
-    return p.select("run", *[F.col(str(k)).alias(f"k{k}") for k in (1, 2, 3)])
+    p = M.pivot_sum(c, "run", "kind", "bytes", [1, 2, 3], "pos")
+    return p.select("run", "place", *[F.col(str(k)).alias(f"k{k}") for k in (1, 2, 3)])
 
 
 @query
@@ -499,8 +575,7 @@ def weighted_mean(spark, sf):
 
 @query
 def divergence_summary(spark, sf):
-    d = M.divergence(X0.metrics(spark, sf))
-    return d.select("kernel", "n", _r("mean", 9), _r("ratio", 9))
+    return M.divergence(X0.divergent_launches(spark, sf))
 
 
 @query
@@ -512,7 +587,7 @@ def baseline_delta(spark, sf):
 @query
 def health_flags(spark, sf):
     k = X0.kernels(spark, sf)
-    o = X.occupancy(F.col("regs"), F.col("block"), F.col("shmem"))
+    o = H.occupancy(F.col("regs"), F.col("block"), F.col("shmem"), H.DEVICES["H100"])
     f = M.health_flags(o, F.col("event_id") % 20, F.col("grid") / F.lit(132.0), F.col("regs"), F.col("event_id") % 100)
     return k.select("event_id", *[v.alias(n) for n, v in f.items()])
 
@@ -529,18 +604,20 @@ def lenient_cast(spark, sf):
     return p.select("o_orderkey", X.lenient_int(F.col("raw")).alias("value"))
 
 
-RULES = [("click", "Click"), ("purchase", "Buy")]
-
-
 @query
 def normalize_name(spark, sf):
-    return X0.strings(spark, sf).select("value", X.short_name(F.col("value"), RULES).alias("name"))
+    n = X0.launches(spark, sf).groupBy("name").agg(F.count("*").alias("launches"))
+    c = F.col("name")
+    return n.select("name", "launches", N.kernel_name(c).alias("short"), N.kernel_name_kept(c).alias("kept"), N.kernel_name_by_part(c).alias("by_part"))
 
 
 @query
 def infer_label(spark, sf):
-    n = X0.table(spark, sf, "nation").select(F.concat(F.lit("run_"), (F.col("n_nationkey") + 1).cast("string"), F.lit("y"), (F.col("n_nationkey") % 6 + 1).cast("string"), F.lit("p.csv")).alias("file"))
-    return n.select("file", X.scenario_years(F.col("file")).alias("years"), X.scenario_growth(F.col("file")).alias("growth"), X.scenario_label(F.col("file")).alias("label"))
+    i = F.col("n_nationkey")
+    y, g = (i + 1).cast("string"), (i % 6 + 1).cast("string")
+    file = F.when(i % 4 == 0, F.concat(F.lit("/a/nsys-pa-"), y, F.lit("y-"), g, F.lit("p.sqlite"))).when(i % 4 == 1, F.concat(F.lit("NSYS"), y, F.lit("y_"), g, F.lit("p"))).when(i % 4 == 2, F.concat(F.lit("b/run_"), y, F.lit("y"), g, F.lit("p.csv"))).otherwise(F.lit("nsyspa-base.one.csv"))
+    n = X0.table(spark, sf, "nation").select(file.alias("file"), "n_nationkey")
+    return n.select("n_nationkey", N.run_label(F.col("file")).alias("label"), N.file_years(F.col("file")).alias("years"), N.file_agents(F.col("file")).alias("agents"))
 
 
 @query
@@ -555,19 +632,25 @@ def scenario_grid(spark, sf):
 
 @query
 def occupancy(spark, sf):
-    k = X0.kernels(spark, sf)
-    return k.select("event_id", F.round(X.occupancy(F.col("regs"), F.col("block"), F.col("shmem"), 256), 6).alias("occ256"), F.round(X.occupancy(F.col("regs"), F.col("block"), F.col("shmem"), 128), 6).alias("occ128"))
+    k = X0.launches(spark, sf)
+    regs, block, shared = F.col("regs"), F.col("block_x"), F.col("shared_static") + F.col("shared_dynamic")
+    return k.select("event_id", H.occupancy(regs, block, shared, H.DEVICES["H100"]).alias("h100"), H.occupancy(regs, block, shared, H.from_device_row({"maxWarpsPerSm": 48, "maxShmemPerSm": 102400, "threadsPerWarp": 32}, H.DEVICES["A30"])).alias("by_row"))
 
 
 @query
 def occupancy_limiter(spark, sf):
-    return X0.kernels(spark, sf).select("event_id", X.occupancy_limiter(F.col("regs"), F.col("block"), F.col("shmem")).alias("limiter"), X.occupancy_limiter_by_threshold(F.col("regs"), F.col("block"), F.col("shmem")).alias("by_threshold"))
+    k = X0.launches(spark, sf)
+    regs, block, shared = F.col("regs"), F.col("block_x") * F.col("block_y") * F.col("block_z"), F.col("shared_static") + F.col("shared_dynamic")
+    percent, limiter = H.occupancy_by_least_limit(regs, block, shared, H.ARCHITECTURES["rtx4090"])
+    return k.select("event_id", percent.alias("percent"), limiter.alias("limiter"), H.limiter_by_threshold(regs, block, shared).alias("by_threshold"))
 
 
 @query
 def roofline(spark, sf):
-    k = X0.kernels(spark, sf).withColumn("ai", X.intensity(F.col("regs") * F.col("block"), F.col("grid")))
-    return k.select("event_id", _r("ai", 9), F.round(X.roofline_ceiling(F.col("ai"), 3350.0, 67000.0), 6).alias("ceiling"), X.roofline_bound(F.col("ai"), 3350.0, 67000.0).alias("bound"))
+    q = F.col("l_quantity").cast("double")
+    r = H.roofline(F.when(F.col("l_linenumber") > 1, q * 100), F.when(F.col("l_linenumber") < 6, q * 7), F.when(F.col("l_linenumber") < 7, F.col("l_extendedprice").cast("double") / 100), F.col("l_partkey"), H.DEVICES["H100"])
+    k = X0.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *[c.alias(n) for n, c in r.items()])
+    return k.select("l_orderkey", "l_linenumber", _r("ai", 9), _r("gflops", 9), F.round(H.roofline_ceiling(F.col("ai"), H.DEVICES["H100"]), 6).alias("ceiling"), "bound")
 
 
 # Reports

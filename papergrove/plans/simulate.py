@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +24,9 @@ def final_size(nodes: int, rate: float, cycles: int) -> int:
     return nodes
 
 
-def scored(nodes: DataFrame, edges: DataFrame, recency: DataFrame, year: int) -> DataFrame:
-    """(id, pa, rec, fit) of every node; nodes have fitness_lag, fitness_peak, fitness_duration."""
-    deg = G.degrees(nodes, edges).select("id", "in_degree")
-    raw = nodes.join(deg, "id").withColumn("raw_fit", fitness_at(F.lit(year) - F.col("year"), F.col("fitness_lag"), F.col("fitness_peak"), F.col("fitness_duration")))
+def scored(nodes: DataFrame, degrees: DataFrame, recency: DataFrame, year: int) -> DataFrame:
+    """(id, pa, rec, fit) of every node; nodes have fitness_lag, fitness_peak, fitness_duration, degrees in_degree."""
+    raw = nodes.join(degrees.select("id", "in_degree"), "id").withColumn("raw_fit", fitness_at(F.lit(year) - F.col("year"), F.col("fitness_lag"), F.col("fitness_peak"), F.col("fitness_duration")))
     both = C.normalised(C.normalised(raw, "in_degree", "pa"), "raw_fit", "fit")
     return both.join(C.recency_scores(nodes, recency, year), "id").select("id", "pa", "rec", "fit")
 
@@ -49,15 +49,18 @@ def picked(cand: DataFrame, quota: DataFrame, scores: DataFrame, cfg: SimConfig,
     return S.top_by_key(rows, ["id", "hop"], "key", "node", "most", bound).select("id", "node", "hop")
 
 
-def epoch(spark: SparkSession, nodes: DataFrame, edges: DataFrame, n: int, year: int, cfg: SimConfig, bag: DataFrame, recency: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """A year's new edges (src, dst, kind), its agents with their quotas, and how many they are."""
+def epoch(spark: SparkSession, nodes: DataFrame, edges: DataFrame, n: int, year: int, cfg: SimConfig, bag: DataFrame, recency: DataFrame, degrees: DataFrame | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """A year's new edges (src, dst, kind), its agents with their quotas, and how many they are.
+
+    Degrees are counted from the edges unless the ones so far are given.
+    """
     size = math.ceil(n * cfg.growth_rate)
     bag_stats = bag.agg(F.count("*"), F.max("out_degree")).first()
     agents = A.cohort(spark, n, size, cfg, bag, bag_stats[0])
-    und = G.undirected(edges)
+    und = G.both_ways(edges)
     cand = G.cut(candidates(agents, und), "candidates")
     quota = G.cut(S.quotas(agents, sizes(cand), cfg.fully_random_citations), "quotas")
-    near = G.cut(picked(cand, quota, scored(nodes, edges, recency, year), cfg, int(bag_stats[1])), "picked")
+    near = G.cut(picked(cand, quota, scored(nodes, degrees if degrees is not None else G.degrees(nodes, edges), recency, year), cfg, int(bag_stats[1])), "picked")
     own = quota.where("same_year").select("id", (F.lit(n) + pick(cfg.seed, F.col("id"), size, "own")).alias("node"))
     if not cfg.allow_self_loop:
         own = own.where("node <> id")
@@ -74,14 +77,21 @@ def with_fitness(spark: SparkSession, nodes: DataFrame, cfg: SimConfig) -> DataF
     return A.draw_fitness(spark, nodes, cfg).withColumns({"fitness_lag": F.lit(cfg.fitness_lag), "fitness_duration": F.lit(cfg.fitness_duration)}).select("id", "year", "fitness_lag", "fitness_peak", "fitness_duration")
 
 
-def run(spark: SparkSession, nodes: DataFrame, edges: DataFrame, cfg: SimConfig, bag: DataFrame, recency: DataFrame, planted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+#: What a node of the result has beside id, year, cycle and type: null for seeds.
+AGENT = {"generator": "long", "out_degree": "int", "pa_weight": "double", "rec_weight": "double", "fit_weight": "double", "alpha": "double"}
+
+
+def run(spark: SparkSession, nodes: DataFrame, edges: DataFrame, cfg: SimConfig, bag: DataFrame, recency: DataFrame, planted: DataFrame | None = None, log: Callable[[str], None] = lambda text: None) -> tuple[DataFrame, DataFrame]:
     """All cycles from nodes (id, year) with dense ids and edges (src, dst): the final nodes and edges.
 
-    Nodes and edges have the cycle they came in (0: seed). Each cycle adds written tables; earlier ones are not
-    written again.
+    Nodes and edges have the cycle they came in (0: seed); nodes have their type, fitness and an agent's attributes
+    (out_degree is as `assigned_out_degree`). Each cycle adds written tables; earlier ones are not written again.
+    Degrees are kept, and refreshed by a year's edges alone.
     """
-    nodes = G.cut(with_fitness(spark, nodes, cfg).withColumns({"cycle": F.lit(0), "planted_line": F.lit(None).cast("int")}), "nodes")
-    edges = G.cut(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.lit("seed").alias("kind"), F.lit(0).alias("cycle")), "edges")
+    agent = {("assigned_out_degree" if c == "out_degree" else c): F.lit(None).cast(k) for c, k in AGENT.items()}
+    nodes = G.cut(with_fitness(spark, nodes, cfg).withColumns({"cycle": F.lit(0), "type": F.lit(0), "planted_line": F.lit(None).cast("int"), **agent}), "nodes")
+    edges = G.cut(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct().select("src", "dst", F.lit("seed").alias("kind"), F.lit(0).alias("cycle")), "edges")
+    degrees = G.cut(G.degrees(nodes, edges), "degrees")
     n, first = nodes.agg(F.count("*"), F.max("year")).first()
     for cycle in range(1, cfg.num_cycles + 1):
         year = first + cycle
@@ -89,16 +99,24 @@ def run(spark: SparkSession, nodes: DataFrame, edges: DataFrame, cfg: SimConfig,
             from papergrove.plans import er
 
             size = math.ceil(n * cfg.growth_rate)
-            new, quota = er.cohort_edges(spark, n, size, cfg), spark.range(n, n + size)
+            new = er.cohort_edges(spark, n, size, cfg)
+            quota = spark.range(n, n + size).select("id", *[F.lit(None).cast(k).alias(c) for c, k in AGENT.items()])
         else:
-            new, quota, size = epoch(spark, nodes, edges.select("src", "dst").distinct(), n, year, cfg, bag, recency)
-        edges = edges.unionByName(G.cut(new.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "kind").withColumn("cycle", F.lit(cycle)), "edges"))
-        born = with_fitness(spark, quota.select("id", F.lit(year).alias("year")), cfg).withColumn("cycle", F.lit(cycle))
+            new, quota, size = epoch(spark, nodes, edges.select("src", "dst"), n, year, cfg, bag, recency, degrees)
+        new = G.cut(new.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "kind").withColumn("cycle", F.lit(cycle)), "edges")
+        edges = edges.unionByName(new)
+        born = with_fitness(spark, quota.select("id", F.lit(year).alias("year")), cfg).withColumns({"cycle": F.lit(cycle), "type": F.lit(1)})
+        born = born.join(quota.select("id", *AGENT).withColumnRenamed("out_degree", "assigned_out_degree"), "id")
         if planted is not None:
             own = A.plant(spark.range(n, n + size).select("id", (F.col("id") - n).alias("growth_idx")), planted, cycle, size)
             born = born.join(own, "id", "left").withColumns({"fitness_lag": F.coalesce("lag", "fitness_lag"), "fitness_peak": F.coalesce("peak", "fitness_peak"), "fitness_duration": F.coalesce("dur", "fitness_duration"), "planted_line": F.col("line_no")})
         else:
             born = born.withColumn("planted_line", F.lit(None).cast("int"))
-        nodes = nodes.unionByName(G.cut(born.select(*nodes.columns), "nodes"))
+        born = G.cut(born.select(*nodes.columns), "nodes")
+        nodes, was = nodes.unionByName(born), degrees
+        none = F.lit(0).cast("long")
+        degrees = G.cut(G.refresh_degrees(degrees.unionByName(born.select("id", none.alias("in_degree"), none.alias("out_degree"))), new), "degrees")
+        G.drop(was)
         n += size
+        log(f"year {year}: {size} nodes")
     return nodes, edges

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from papergrove.operators.graph import dense_ids
+from papergrove.operators.graph import cut, dense_ids
+
+_WRITTEN: dict[tuple[str, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +20,14 @@ def raw_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order cites the previous one with the same part: (src, dst)."""
+    """An order cites the previous one with the same part: (src, dst). Written once an application."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _WRITTEN:
+        _WRITTEN[key] = cut(_edges(spark, sf_dir), "fixture")
+    return _WRITTEN[key]
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_partkey", "o_orderdate").distinct()
@@ -61,9 +70,47 @@ def kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A copy for each line item: (kind, bytes, dur)."""
-    return table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("int").alias("kind"), F.floor("l_extendedprice").cast("long").alias("bytes"), F.floor("l_quantity").cast("long").alias("dur"), F.col("l_returnflag").alias("run"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("int").alias("kind"), F.floor("l_extendedprice").cast("long").alias("bytes"), F.floor("l_quantity").cast("long").alias("dur"), F.col("l_returnflag").alias("run"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("pos"))
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics in long form: (kernel, scenario, metric, value, weight)."""
-    return table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("kernel"), F.col("l_linestatus").alias("scenario"), F.concat(F.lit("m"), F.col("l_linenumber").cast("string")).alias("metric"), F.col("l_quantity").cast("double").alias("value"), F.col("l_extendedprice").cast("double").alias("weight"))
+    """Metrics in long form: (kernel, scenario, metric, value, weight); two groups have a weight that is missing or 0."""
+    few = F.col("l_orderkey") % 50
+    weight = F.when((F.col("l_returnflag") == "N") & (F.col("l_linenumber") == 3) & (few == 0), F.lit(None).cast("double")).when((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 4) & (few == 1), 0.0).otherwise(F.col("l_extendedprice").cast("double"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("kernel"), F.col("l_linestatus").alias("scenario"), F.concat(F.lit("m"), F.col("l_linenumber").cast("string")).alias("metric"), F.col("l_quantity").cast("double").alias("value"), weight.alias("weight"))
+
+
+#: Signatures of launches, some of which the name rules know.
+SIGNATURES = [
+    "void kernelCallStage1_warped<int>(int*)", "kernelCallStage2(int)", "void ABMKernelStage4<4>(int)", "GetOneAndTwoHopNeighborhood_Warp(a)", "void cuco::static_map::insert_if<int>(x)",
+    "cub::DeviceRadixSortKernel<1>(k)", "void ns::plain_kernel<int>(int*)", "a_plain_name_of_more_than_thirty_letters", "thrust::cuda_cub::copy<a>(b)", "void cub::detail::for_each::static_kernel<initialize_functor>()",
+]
+
+
+def launches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A launch for each event with all axes and memories; some have no registers or no threads."""
+    i = F.col("event_id")
+    at = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    start = (i * 1000).cast("long")
+    return table(spark, sf_dir, "events").select(
+        i.cast("long").alias("event_id"), at(SIGNATURES, i).alias("name"), start.alias("start"), (start + F.floor(F.abs("value") * 100).cast("long")).alias("end"), (i % 100).cast("int").alias("regs"),
+        at([64, 65, 128, 256, 512, 0, 1024, 33], F.floor(i / 10)).alias("block_x"), (1 + i % 2).cast("int").alias("block_y"), F.lit(1).alias("block_z"),
+        (1 + F.col("user_id") % 50).cast("int").alias("grid_x"), (1 + i % 3).cast("int").alias("grid_y"), F.lit(1).alias("grid_z"),
+        F.when(i % 5 == 0, 4096).otherwise(0).alias("shared_static"), F.when(i % 7 == 0, 1000).otherwise(0).alias("shared_dynamic"), F.when(i % 4 > 0, (16 * (i % 4)).cast("int")).alias("local"),
+    )
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An API call for each event: (name_id, start, end); some ids have no name."""
+    i = F.col("event_id")
+    return table(spark, sf_dir, "events").select((1 + i % 9).cast("int").alias("name_id"), (i * 50).cast("long").alias("start"), (i * 50 + i % 37).cast("long").alias("end"))
+
+
+def divergent_launches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Launches with what is counted of their branches: kernels lack some of it, or have launches without time."""
+    q, n = F.col("l_quantity").cast("double"), F.col("l_linenumber")
+    kernel = F.concat("l_returnflag", "l_linestatus")
+    return table(spark, sf_dir, "lineitem").select(
+        kernel.alias("kernel"), F.when(n != 7, q % 33).alias("active"), F.when(kernel != "AF", q % 32).alias("pred_on"), F.when(kernel != "NO", 50 + q).alias("uniform"),
+        (q + n).alias("targets"), F.when(n > 1, F.floor(q / 3).cast("double")).alias("divergent"), F.when((kernel == "RF") & (n == 2), F.lit(None).cast("double")).when((kernel == "NF") & (n == 2), 0.0).otherwise(F.col("l_extendedprice").cast("double")).alias("duration"),
+    )

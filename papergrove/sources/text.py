@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import csv
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papergrove.functions.scalar import lenient_int, node_type
+from papergrove.functions.names import METRICS, file_agents, file_years
+from papergrove.functions.scalar import clean_number, general, lenient_int, node_type
+from papergrove.operators.graph import dense_ids
 
+#: The header of the edge sink, the columns of the node sink, and what a seed has in them.
 EDGE_HEADER = ("#source", "target")
-NODE_HEADER = "node_id type year pa_weight rec_weight fit_weight fit_lag_duration fit_peak_value fit_peak_duration alpha in_degree out_degree assigned_out_degree planted_nodes_line_number generator_node_string".split()
+NODE_HEADER = ["node_id", "type", "year", "pa_weight", "rec_weight", "fit_weight", "fit_lag_duration", "fit_peak_value", "fit_peak_duration", "alpha", "in_degree", "out_degree", "assigned_out_degree", "planted_nodes_line_number", "generator_node_string"]
+SEED, NO_GENERATOR = "-1", "no_generators"
+#: Names that the column of kernels goes by.
+KERNEL_COLUMNS = ["Kernel Name", "Kernel Name ", "Function Name"]
 
 
 def sniff(spark: SparkSession, path: str) -> str:
@@ -38,20 +46,20 @@ def read_nodelist(spark: SparkSession, path: str) -> DataFrame:
     """(node, year); of a repeated node the last row counts."""
     sep = sniff(spark, path)
     parts = F.split("line", "\\t" if sep == "\t" else sep)
-    rows = _lines(spark, path).select(parts[0].cast("int").alias("node"), F.get(parts, F.lit(1)).cast("int").alias("year"), "at")
+    rows = _lines(spark, path).select(lenient_int(parts[0]).alias("node"), lenient_int(F.get(parts, F.lit(1))).alias("year"), "at")
     return rows.groupBy("node").agg(F.max_by("year", "at").alias("year"))
 
 
 def read_bag(spark: SparkSession, path: str) -> DataFrame:
     """(pos, out_degree): the second column, in file order."""
-    rows = _lines(spark, path).select(F.split("line", ",")[1].cast("int").alias("out_degree"), "at")
-    return rows.select((F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("pos"), "out_degree")
+    rows = _lines(spark, path).select(lenient_int(F.get(F.split("line", ","), F.lit(1))).alias("out_degree"), "at")
+    return rows.join(dense_ids(rows.select("at"), "at"), F.col("at") == F.col("orig_id")).select(F.col("seq_id").cast("long").alias("pos"), "out_degree")
 
 
 def read_recency(spark: SparkSession, path: str) -> DataFrame:
     """(age, prob); the last row of an age counts."""
     parts = F.split("line", ",")
-    rows = _lines(spark, path).select(parts[0].cast("int").alias("age"), parts[1].cast("double").alias("prob"), "at")
+    rows = _lines(spark, path).select(lenient_int(parts[0]).alias("age"), F.get(parts, F.lit(1)).try_cast("double").alias("prob"), "at")
     return rows.groupBy("age").agg(F.max_by("prob", "at").alias("prob"))
 
 
@@ -63,20 +71,83 @@ def read_planted(spark: SparkSession, path: str | None) -> DataFrame:
     if not path:
         return spark.createDataFrame([], PLANTED)
     rows = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at"))
-    p = F.split("value", ",")
-    return rows.select(p[0].cast("int").alias("year"), F.row_number().over(Window.orderBy("at")).alias("line_no"), p[1].cast("int").alias("lag"), p[2].cast("int").alias("peak"), p[3].cast("int").alias("dur"), p[4].cast("int").alias("count"))
-
-
-def read_metric_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(file, kernel, metric, value) of long metric files; lines before the header, and a byte-order mark, are skipped."""
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^﻿", "").alias("line"))
-    fields = F.from_csv(F.col("line"), F.lit("kernel string, metric string, value string"))
-    return rows.where("line LIKE '%,%' AND line NOT LIKE '%Kernel Name%Metric Name%'").select("file", fields.alias("r")).select("file", "r.kernel", "r.metric", F.replace(F.trim("r.value"), F.lit(","), F.lit("")).try_cast("double").alias("value")).where("value IS NOT NULL")
-
-
-def read_wide_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A raw metric file by column name; malformed rows are dropped."""
-    return spark.read.csv(path, header=True, mode="DROPMALFORMED", inferSchema=True)
+    rows = rows.join(dense_ids(rows.select("at"), "at"), F.col("at") == F.col("orig_id"))
+    at = lambda k: lenient_int(F.get(F.split("value", ","), F.lit(k)))
+    return rows.select(at(0).alias("year"), (F.col("seq_id") + 1).cast("int").alias("line_no"), at(1).alias("lag"), at(2).alias("peak"), at(3).alias("dur"), at(4).alias("count"))
+
+
+def _table(spark: SparkSession, path: str, needed: list[str]) -> DataFrame:
+    """The rows of a CSV file by column name, all as text, and its name as `source`.
+
+    The header is the first line that has all needed names; lines before it, a byte-order mark, and rows with another
+    number of fields are skipped.
+    """
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff|\r$", "").alias("line"), F.monotonically_increasing_id().alias("at"))
+    heads = lines
+    for n in needed:
+        heads = heads.where(F.contains("line", F.lit(n)))
+    head = heads.orderBy("at").limit(1).collect()
+    if not head:
+        raise ValueError(f"no line of {path} has the columns {', '.join(needed)}")
+    names = next(csv.reader([head[0]["line"]]))
+    fields = ", ".join(f"c{k} string" for k in range(len(names) + 1))  # one more tells longer rows
+    rows = lines.where(F.col("at") > head[0]["at"]).where("trim(line) <> ''").select(F.from_csv("line", F.lit(fields), {"mode": "PERMISSIVE"}).alias("r"), F.col("line"))
+    full = rows.where(F.col(f"r.c{len(names)}").isNull() & F.col(f"r.c{len(names) - 1}").isNotNull())
+    first = {n: k for k, n in reversed(list(enumerate(names)))}
+    return full.select(*[F.col(f"r.c{k}").alias(n) for n, k in first.items()])
+
+
+def read_metric_csv(spark: SparkSession, path: str, known: dict[str, str] | None = METRICS) -> DataFrame:
+    """(kernel, metric, value) of a long metric file, its columns found by name.
+
+    Only metrics of `known` are kept, by their short names (None: all, as they are); values that are no number are not.
+    """
+    rows = _table(spark, path, ["Kernel Name", "Metric Name"])
+    value, kernel, metric = clean_number(F.col("`Metric Value`")), F.trim(F.col("`Kernel Name`")), F.trim(F.col("`Metric Name`"))
+    if known is not None:
+        metric = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])[metric]
+    return rows.select(kernel.alias("kernel"), metric.alias("metric"), value.alias("value")).where("kernel <> '' AND metric <> '' AND value IS NOT NULL")
+
+
+def write_lines(spark: SparkSession, path: str, lines: list[str]) -> None:
+    """A small text file, from the driver."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(p, True)
+    out.write(bytearray("".join(x + "\n" for x in lines).encode()))
+    out.close()
+
+
+def files_of(spark: SparkSession, pattern: str) -> list[str]:
+    """The files that a pattern names, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(path)
+    return sorted(f.getPath().toString() for f in found or [])
+
+
+def read_metric_files(spark: SparkSession, pattern: str, known: dict[str, str] | None = METRICS) -> DataFrame:
+    """All metric files of a pattern, with years, agents and the file's name from each name; columns may differ."""
+    out = None
+    for path in files_of(spark, pattern):
+        name = F.lit(path)
+        rows = read_metric_csv(spark, path, known).withColumns({"years": file_years(name), "agents": file_agents(name), "source": F.element_at(F.split(name, "/"), -1)})
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"no files matched: {pattern}")
+    return out
+
+
+def read_wide_csv(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
+    """(kernel, ...) of a raw metric file: columns maps its metrics to names; a metric it lacks is null.
+
+    The column of kernels goes by several names; rows with another number of fields are dropped.
+    """
+    head = spark.read.text(path).limit(1).collect()
+    names = next(csv.reader([head[0][0].lstrip("\ufeff")])) if head else []
+    kernel = next((c for c in KERNEL_COLUMNS if c in names), None)
+    if kernel is None:
+        raise ValueError(f"no column of kernels among {names}")
+    rows = _table(spark, path, [kernel])
+    return rows.select(F.col(f"`{kernel}`").alias("kernel"), *[(clean_number(F.col(f"`{c}`")) if c in rows.columns else F.lit(None).cast("double")).alias(n) for c, n in columns.items()])
 
 
 def edge_frame(edges: DataFrame, idmap: DataFrame) -> DataFrame:
@@ -92,16 +163,25 @@ def write_edges(edges: DataFrame, path: str) -> None:
     head.unionByName(lines).orderBy("k", "source", "target").select("line").write.mode("overwrite").text(path)
 
 
+def show_edges(edges: DataFrame, n: int = 20) -> None:
+    """The first edges in order, to the screen."""
+    edges.orderBy("src", "dst").show(n, truncate=False)
+
+
 def attribute_frame(nodes: DataFrame) -> DataFrame:
-    """The 15 columns of the node sink, by name; seeds have -1 and no_generators, agents 0 where no plan has them."""
+    """The 15 columns of the node sink, by name; seeds have -1 and no_generators, agents 0 where no plan has them.
+
+    generator_id is the generator's original id.
+    """
     seed = F.col("type") == 0
-    g = lambda c: F.when(seed, F.lit("-1")).otherwise(F.regexp_replace(F.format_string("%.10g", F.col(c)), r"\.?0+$", ""))  # noqa: E731  weights and alpha are in [0, 1]
-    return nodes.select(
-        F.col("orig_id").alias("node_id"), node_type(F.col("type")).alias("type"), "year", g("pa_weight").alias("pa_weight"), g("rec_weight").alias("rec_weight"), g("fit_weight").alias("fit_weight"),
-        F.col("fitness_lag").alias("fit_lag_duration"), F.col("fitness_peak").alias("fit_peak_value"), F.col("fitness_duration").alias("fit_peak_duration"), g("alpha").alias("alpha"), "in_degree", "out_degree",
-        F.when(seed, F.lit(-1)).otherwise(F.col("assigned_out_degree")).alias("assigned_out_degree"), F.when(seed, F.lit(-1)).otherwise(F.coalesce("planted_line", F.lit(0))).alias("planted_nodes_line_number"),
-        F.when(seed, F.lit("no_generators")).otherwise(F.col("generator").cast("string")).alias("generator_node_string"),
-    )
+    g = lambda c: F.when(seed, F.lit(SEED)).otherwise(general(F.col(c).cast("double")))
+    i = lambda c: F.when(seed, F.lit(int(SEED))).otherwise(c)
+    columns = [
+        F.col("orig_id"), node_type(F.col("type")), F.col("year"), g("pa_weight"), g("rec_weight"), g("fit_weight"),
+        F.col("fitness_lag"), F.col("fitness_peak"), F.col("fitness_duration"), g("alpha"), F.col("in_degree"), F.col("out_degree"),
+        i(F.col("assigned_out_degree")), i(F.coalesce("planted_line", F.lit(0))), F.when(seed, F.lit(NO_GENERATOR)).otherwise(F.col("generator_id").cast("string")),
+    ]
+    return nodes.select(*[c.alias(n) for c, n in zip(columns, NODE_HEADER)])
 
 
 def write_attributes(nodes: DataFrame, path: str) -> None:
