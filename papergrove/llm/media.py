@@ -104,7 +104,12 @@ def _edges(size: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def area_resize(pixels: np.ndarray, height: int, width: int, strip: int = 2048) -> np.ndarray:
-    """Mean over each cell's source area, as (height, width, channels) floats; sums are exact integers until the end.
+    """Mean over each cell's source area, as (height, width, channels) floats; sums are exact integers until the end."""
+    return area_sums(pixels, height, width, strip) / (pixels.shape[0] * pixels.shape[1])
+
+
+def area_sums(pixels: np.ndarray, height: int, width: int, strip: int = 2048) -> np.ndarray:
+    """The means of area_resize times the number of pixels, as integers.
 
     The integral image of a strip of rows is read at the cells' edges by linear interpolation, in units of
     1/(height * width).
@@ -127,13 +132,12 @@ def area_resize(pixels: np.ndarray, height: int, width: int, strip: int = 2048)
             right = np.minimum(x + 1, w)
             columns[k] = row[x] * (width - fx)[:, None] + row[right] * fx[:, None]
         above = table[-1].copy()
-    cells = columns[1:, 1:] - columns[:-1, 1:] - columns[1:, :-1] + columns[:-1, :-1]
-    return cells / (h * w)
+    return columns[1:, 1:] - columns[:-1, 1:] - columns[1:, :-1] + columns[:-1, :-1]
 
 
 def difference_hash(pixels: np.ndarray) -> str:
     """64 bits, row by row: whether a cell of the 8 x 9 grey area means is darker than its right neighbour."""
-    grey = area_resize(pixels, 8, 9).mean(axis=2)
+    grey = area_sums(pixels, 8, 9).sum(axis=2)
     return f"{int(''.join('1' if b else '0' for b in (grey[:, 1:] > grey[:, :-1]).ravel()), 2):016x}"
 
 

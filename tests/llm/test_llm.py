@@ -98,6 +98,17 @@ def test_netpbm_bmp_and_resizing():
     assert np.allclose(media.area_resize(x, 5, 4), want) and np.allclose(media.area_resize(x, 5, 4, strip=2), want)
 
 
+@pytest.mark.parametrize("shape", [(1, 192, 3), (7, 192, 3), (40, 33, 1), (8, 9, 3), (2, 5, 3)])
+def test_difference_hash_is_that_of_the_definition(shape):
+    """Cells are told on an image blown up so that each holds whole pixels."""
+    rng = np.random.default_rng(shape[0])
+    for most in (3, 256):
+        x = rng.integers(0, most, shape).astype(np.uint8)
+        cells = np.repeat(np.repeat(x.astype(int), 8, 0), 9, 1).reshape(8, shape[0], 9, shape[1], shape[2]).sum((1, 3, 4))
+        bits = "".join(str(int(cells[r, c + 1] > cells[r, c])) for r in range(8) for c in range(8))
+        assert media.difference_hash(x) == f"{int(bits, 2):016x}"
+
+
 # 2 main text
 
 
@@ -376,8 +387,8 @@ def test_token_files_round_trip(spark):
 def test_ids_never_wrap(spark, tmp_path):
     ids = np.array([5, 70_000, 1], "<u4").tobytes()
     with pytest.raises(ValueError):
-        tokenbin.write_shard(tmp_path.as_uri(), 0, iter([(1, ids)]), 2)
-    row = tokenbin.write_shard(tmp_path.as_uri(), 1, iter([(1, ids)]), 4)
+        tokenbin.narrowed(ids, 2)
+    row = tokenbin.write_shard(tmp_path.as_uri(), 1, iter([(1, tokenbin.narrowed(ids, 4))]), 4)
     assert tokenbin.read_shard(row["path"], 4)[2].tolist() == [5, 70_000, 1]
     assert {r["width"] for r in tokenbin.write_corpus(spark, odd(spark), queries.VOCABULARY).collect()} == {2}
 
