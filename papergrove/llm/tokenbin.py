@@ -5,13 +5,13 @@ little-endian unsigned 16-bit integers (32-bit for vocabularies of over 65,536 i
 offsets of its documents in ids, and `k.doc`, their doc_ids as signed 64-bit integers. A shard's base, the number of
 ids before it in the corpus, is the prefix sum of the shards' lengths. Readers map the files into memory.
 
-Texts are encoded where they are read, and just their ids are dealt by range of doc_id and, where many share one, of the text's hash,
+Rows are dealt by range of doc_id and, where many share one, of the text's hash,
 so shards are ordered and no task sorts more than its range. An id that does not fit its width is an error. Only shard lengths
 (one row a shard) reach the driver. A file is written under a name of its own and renamed, so a task that runs again
 replaces a whole file by an equal one.
 
 Null texts are empty and get just the end id; rows whose doc_id is null are written first, as doc_id -2**63; repeated
-doc_ids are kept, ordered by the text's hash, then the ids. An empty table gives no shard. Further columns are ignored.
+doc_ids are kept, ordered by the text's hash, then the text. An empty table gives no shard. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import drop, file_system, has, prepare, stage, work_dir
+from .runtime import file_system, has, prepare, stage, work_dir
 from .tokenize import END_ID, memo, resolve
 
 NULL_ID = -(1 << 63)
@@ -91,33 +91,27 @@ def write_corpus(spark: SparkSession, docs: DataFrame, vocabulary: str, folder:
     that of the vocabulary unless given.
     """
     prepare(spark)
-    width = width or (2 if memo(resolve(vocabulary)).most_id < 1 << 16 and end < 1 << 16 else 4)
+    width = width or (2 if max(memo(resolve(vocabulary)).most_id, end) < 1 << 16 else 4)
     folder = folder or work_dir(spark, "tokens")
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = memo(resolve(vocabulary))
-        for b in batches:
-            ids = [narrowed(tokens.ids(text, end), width) for text in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ids, pa.binary())], ["doc_id", "h", "ids"])
-
-    texts = has(docs, "doc_id", "text").withColumn("h", F.xxhash64("text"))
-    encoded = stage(spark, texts.mapInArrow(encode, "doc_id long, h long, ids binary"), "encoded")
-    rows = encoded.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "ids")
+    order = ("doc_id", F.xxhash64("text"))
+    rows = has(docs, "doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order, "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        tokens = memo(resolve(vocabulary))
+
         def each() -> Iterator[tuple[int, bytes]]:
             for b in batches:
-                for doc, ids in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
-                    yield NULL_ID if doc is None else doc, ids
+                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    yield NULL_ID if doc is None else doc, narrowed(tokens.ids(text, end), width)
 
         row = write_shard(folder, TaskContext.get().partitionId(), each(), width)
         if row:
             yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("width", pa.int32())]))
 
     shards = sorted(rows.mapInArrow(write, MANIFEST).collect(), key=lambda r: r["shard"])
-    drop(spark, encoded)
     base, out = 0, []
     for r in shards:
         out.append((*r, base))

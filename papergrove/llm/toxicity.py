@@ -14,8 +14,9 @@ the same labelled rows, gives its score.
 The lexicon and model are fitted on at most `sample` labelled rows, the first in hash order of doc_id (a documented
 bound for the fit alone); all their terms are tested, in Spark, and those that pass are collected. Of a doc_id with
 several texts the least text is learned from, and of labels that differ the toxic one. Of copies one is learned from:
-a row goes if another of its label and of a smaller doc_id shares one of BANDS least shingles of five words with it and
-ALIKE of SIGNATURE (which tells a similarity of about 0.8). Every row is scored on its whole text, in time linear in it.
+a row goes if another of its label and of a smaller doc_id shares one of BANDS least shingles of three words with it and
+ALIKE of SIGNATURE, which tells a similarity of about 0.4: variants of one text share words that tell their group, and
+would pass for terms. Every row is scored on its whole text, in time linear in it.
 
 Null and empty texts have no hits and get the score of a text without any; repeated rows are scored each; a null doc_id
 is not held out and has no label; without toxic and clean labels every score is 0. Further columns are ignored.
@@ -43,7 +44,7 @@ WORD = re.compile(r"\w+")
 #: Least letters for a misspelling, words to each side of a hit, words remembered by a worker.
 FUZZY, WINDOW, MEMORY = 5, 6, 400_000
 #: Least shingles of a labelled row, those of them that rows meet by, and those that copies share at least.
-SIGNATURE, BANDS, ALIKE = 16, 4, 13
+SIGNATURE, BANDS, ALIKE = 16, 8, 6
 #: Words of reporting, quotation marks that open and close, and the marks that do both.
 REPORTS = frozenset("said says wrote quote quoted called dit écrit sagte schrieb dijo escribió".split())
 OPENING, CLOSING, BOTH = "“«„‘", "”»“’", "\""
@@ -257,7 +258,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
             for part in slices(b.column(2)):
                 h, at = part.hashes(lower=True), part.bounds()
                 for k in range(part.n_docs):
-                    x = shingles(h[at[k] : at[k + 1]], 5)
+                    x = shingles(h[at[k] : at[k + 1]], 3)
                     keys.append([int(mix(x ^ np.uint64(salt * 0x51ED27)).min()) - (1 << 63) if len(x) else 0 for salt in range(SIGNATURE)])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "toxic", "text", "m"])
 
