@@ -578,6 +578,14 @@ def divergence_summary(spark, sf):
     return M.divergence(X0.divergent_launches(spark, sf))
 
 
+@query
+def report_cells(spark, sf):
+    """Attributes with their defaults, and numbers as reports write them."""
+    p = X0.table(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") % 3 > 0, F.col("p_size")).alias("size"), F.when(F.col("p_size") % 5 > 0, F.col("p_retailprice").cast("double")).alias("price"))
+    big = (F.col("p_partkey") * 12_345).cast("double")
+    return p.select("p_partkey", X.attribute_or(F.col("size"), X.UNKNOWN_INT).cast("int").alias("size"), X.attribute_or(F.col("price"), X.UNKNOWN_DOUBLE).alias("price"), X.dash_for_none(F.col("size")).alias("cell"), X.millions(big).alias("count"), X.elapsed(F.col("p_partkey") * 97).alias("elapsed"))
+
+
 @query
 def baseline_delta(spark, sf):
     d = M.baseline_delta(X0.metrics(spark, sf), "F")

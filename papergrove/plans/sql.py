@@ -231,6 +231,7 @@ SQL: dict[str, str] = {
       r AS (SELECT kernel, CASE WHEN n <> 7 THEN q % 33 END AS active, CASE WHEN kernel <> 'AF' THEN q % 32 END AS pred_on, CASE WHEN kernel <> 'NO' THEN 50 + q END AS uniform, q + n AS targets, CASE WHEN n > 1 THEN floor(q / 3) END AS divergent, CASE WHEN kernel = 'RF' AND n = 2 THEN 0 WHEN kernel = 'NF' AND n = 2 THEN 0 ELSE x END AS w FROM b),
       g AS (SELECT kernel, count(*) AS launches, {_WMEAN.format(v='active', w='w')} AS a, {_WMEAN.format(v='pred_on', w='w')} AS p, {_WMEAN.format(v='uniform', w='w')} AS u, sum(coalesce(divergent, 0)) / sum(targets) * 100 AS d FROM r GROUP BY kernel)
       SELECT kernel, launches, round_even(a, 2) AS active_threads_per_warp, round_even(a / 32 * 100, 1) AS thread_util_pct, round_even(p, 2) AS pred_on_threads_per_warp, round_even(p / 32 * 100, 1) AS pred_util_pct, round_even(u, 1) AS branch_uniform_pct, round_even(coalesce(100 - u, d), 1) AS divergence_pct, round_even(d, 1) AS divergence_pct_recomputed FROM g""",
+    "report_cells": "WITH p AS (SELECT p_partkey, CASE WHEN p_size % 3 > 0 THEN p_size END AS size, CASE WHEN p_size % 5 > 0 THEN p_retailprice::DOUBLE END AS price, p_partkey * 12345 AS big, p_partkey * 97 AS s FROM part) SELECT p_partkey, coalesce(size, -9999)::INT AS size, coalesce(price, -9999.9::DOUBLE) AS price, coalesce(size::VARCHAR, '-') AS cell, CASE WHEN big >= 1000000 THEN concat(printf('%.2f', big / 1e6::DOUBLE), 'M') ELSE format('{:,}', big) END AS count, concat(s // 86400, '-', s // 3600 % 24, ':', s // 60 % 60, ':', s % 60) AS elapsed FROM p",
     "baseline_delta": f"WITH {METRIC}, m AS (SELECT kernel, scenario, avg(value) AS mean FROM metric GROUP BY ALL) SELECT m.kernel, m.scenario, round(m.mean, 9) AS mean, round(m.mean - b.mean, 9) AS delta FROM m LEFT JOIN m b ON b.kernel = m.kernel AND b.scenario = 'F'",
     "health_flags": f"WITH {KERNEL} SELECT event_id, {_percent('regs', 'block', 'shmem', 64, *H100)} < 25 AS low_occupancy, event_id % 20 < 10 AS low_bandwidth, grid / 132::DOUBLE < 1 AS few_waves, regs > 64 AS many_registers, event_id % 100 < 50 AS low_l2 FROM kernel",
     "clean_numeric": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN (1000 + o_orderkey % 1000)::DOUBLE + 0.5::DOUBLE END AS value FROM orders",

@@ -19,6 +19,7 @@ from papergrove.operators import sampling as S
 from papergrove.plans import er, simulate
 from papergrove.sources import profiler, text
 from papergrove.sources.log import Log, prefix
+from papergrove.sources.tables import latex
 from papergrove.streaming.edges import running_degrees
 
 SF = "/root/testdata/sf0.001"
@@ -84,6 +85,13 @@ def test_sqlite(spark, tmp_path):
     assert [tuple(r) for r in profiler.sqlite_table(spark, p, "StringIds").collect()] == [(1, "a")]
     assert profiler.sqlite_table(spark, p, "other") is None
     assert profiler.register_all(spark, p) == ["StringIds"]
+    with sqlite3.connect(p) as c:
+        c.execute("CREATE TABLE TARGET_INFO_GPU (id INTEGER, memoryBandwidth INTEGER, maxWarpsPerSm INTEGER, threadsPerWarp INTEGER)")
+        c.execute("INSERT INTO TARGET_INFO_GPU VALUES (0, 936000000000, 48, 32)")
+        c.executemany("INSERT INTO StringIds VALUES (?, 'b')", [(k,) for k in range(2, 8)])
+    hw = profiler.hardware(spark, p, H.DEVICES["A30"])
+    assert (hw.bandwidth, hw.warps, hw.threads, hw.blocks) == (936.0, 48, 1536, 32)
+    assert profiler.sqlite_table(spark, p, "StringIds", 3).count() == 7  # in parts of three
 
 
 @pytest.mark.parametrize("d, sy, h1, h2, want", [(1, True, 5, 5, (0, 0, -1, 0)), (0, False, 5, 5, (0, 0, -1, 0)), (20, False, 2, 3, (1, 2, 3, 14)), (10, True, 50, 50, (0, 4, 4, 0))])
@@ -219,6 +227,14 @@ def test_reports(spark, tmp_path):
     assert path.endswith("run_gpu_util.csv") and lines == ["3y/1%,12.35,1.00", "3y/3%,12.35,1.00", "Label,GPU_util_pct,Memcpy_ovh_pct"]
 
 
+def test_paper_table(spark):
+    df = spark.createDataFrame([("a_b", 1234, 0.5), (None, 2, None)], "name string, n long, share double")
+    got = latex(df, "Runs", "t1").splitlines()
+    assert got[4] == r"\begin{tabular}{lrr}" and got[8:10] == [r"a\_b & 1,234 & 0.50 \\", r"- & 2 & - \\"]
+    with pytest.raises(ValueError):
+        latex(df, "Runs", "t1", most=1)
+
+
 def test_log_lines():
     out = io.StringIO()
     log = Log(out, 0)
