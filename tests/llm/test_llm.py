@@ -274,6 +274,17 @@ def test_repetition_on_odd_rows(spark):
     assert repetition.maximal_repeats("a b c d x a b c d y b c d", 2) == [(3, [1, 6, 10]), (4, [0, 5])]
 
 
+def test_a_text_of_twenty_megabytes_is_judged_whole():
+    import time
+
+    rnd = random.Random(3)
+    half = " ".join(rnd.choices([f"w{k}" for k in range(50_000)], k=1_500_000))
+    began = time.time()
+    for part in slices(pa.array([f"{half} x {half}"])):
+        out = repetition.judge(part, repetition.Limits())
+    assert (out["n_words"][0], out["longest_repeat"][0], out["n_covered_words"][0]) == (3_000_001, 1_500_000, 3_000_000) and time.time() - began < 60
+
+
 def test_repetition_limits_of_production_reject_by_coverage():
     once = lambda n: " ".join(f"w{k}" for k in range(n))
     passage = " ".join(f"p{k}" for k in range(20))
@@ -855,15 +866,44 @@ def test_pipeline_against_its_stages(spark):
     import corpus_pipeline
 
     docs = prepare(spark).read.parquet(f"{SF}/documents.parquet")
-    all_docs = docs
+    all_docs, checked = docs, 0
     for name, step in corpus_pipeline.STAGES:
         out = stage(spark, step(spark, docs, SF), name)
         if name != "pack":
             assert out.columns == all_docs.columns
+        if name == "quality":  # those whose tail, summed over all words, is one half at least
+            model = ordinal.train(spark, docs, ordinal.graded(spark.read.parquet(f"{SF}/labels.parquet")))
+            score = lambda t: sum(float(model.weights[s]) * float(v) for s, v in zip(*ordinal.features(t)))
+            tail = {r["doc_id"]: 1 / (1 + math.exp(model.thresholds[0] - score(r["text"]))) for r in docs.collect()}
+            kept = {r["doc_id"] for r in out.collect()}
+            assert all((p >= 0.5) == (d in kept) for d, p in tail.items() if abs(p - 0.5) > 1e-3)
+        if name == "rules":
+            for r in docs.collect():
+                w = words(r["text"])
+                long = brute_repeats(w) if len(w) < 150 else None
+                if long is not None:
+                    cover, window = set(), set()
+                    for k, n in enumerate(long):
+                        cover |= set(range(k, k + n)) if n >= 8 else set()
+                        window |= set(range(k, k + 3)) if n >= 3 else set()
+                    good = len(w) >= 50 and 100 * len(window) <= 50 * len(w) and len(cover) <= 0.3 * len(w) and max(long) <= 48
+                    assert (out.where(F.col("doc_id") == r["doc_id"]).count() > 0) == good
+                    checked += 1
+            assert checked >= 10
         if name == "near_copies":
             found = brute_components([(r["doc_id"], r["text"]) for r in docs.collect()], 5, 80, 100)
             assert sorted(r["doc_id"] for r in out.collect()) == sorted({c for _, c in found.values()})
         if name == "mix":
             assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in docs.collect()}
         docs = out
-    assert docs.select(F.sum("length")).first()[0] > 0
+    packed, before = docs.collect(), all_docs.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").collect()
+    by, pieces = {}, {}
+    for r in packed:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        pieces.setdefault(r["doc_id"], {})[r["piece"]] = (r["start"], r["length"], r["ids_crc32"])
+    for own in by.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 4096 and len(own) <= corpus_pipeline.MOST_DOCS
+    for r in before:
+        ids = encoded(r["text"])
+        assert pieces[r["doc_id"]] == {k // 4096: (k, len(ids[k : k + 4096]), zlib.crc32(np.array(ids[k : k + 4096], "<u4").tobytes())) for k in range(0, len(ids), 4096)}
