@@ -16,7 +16,7 @@ A document's set is its distinct word shingles. The join runs over distinct sets
    and the entries that have any partner left. One pair a set is checked. The second walk takes these entries with the
    component of their set: lists of one component are done; in the others, every pair of different components is
    checked. All links between components are seen; those inside one change nothing. The second splits a long list into
-   its most frequent component and the rest, and walks cells of the one against cells of the other, and of the rest
+   its most frequent component and the rest, and walks parts of the one against parts of the other, and of the rest
    against itself. Its pairs must also pass by longer parity bits, as many as shingles, before texts are fetched.
 4. A pair is checked in a group: the first walk's by the earlier set (in parts of FAMILY sets at most), the second's by
    blocks of 32 by 32 list entries, at the least shared list. There every set is held as its difference from the
@@ -409,11 +409,12 @@ def _crossed(spark: SparkSession, rows: DataFrame) -> DataFrame:
 
     Lists of one root are left out. top is a list's most frequent root; entries of it (side 0) only meet the others
     (side 1). Cells of even number hold these two; cells of odd number hold one or two parts of the others. Lists within
-    CELL are one cell.
+    CELL are one cell. The parts of a longer list of m entries have m ** (2 / 3) entries, CELL at least, so that an entry
+    is copied at most m ** (1 / 3) times.
     """
     lists = rows.groupBy("token", "root").count().groupBy(F.col("token").alias("t")).agg(F.max(F.struct("count", "root")).alias("most"), F.sum("count").alias("total"))
-    lists = lists.withColumn("rest", F.col("total") - F.col("most.count")).where("rest > 0")
-    lists = stage(spark, lists.select("t", F.col("most.root").alias("top"), "total", F.ceil(F.col("most.count") / CELL).alias("tops"), F.ceil(F.col("rest") / CELL).alias("rests")), "crossed")
+    lists = lists.withColumn("rest", F.col("total") - F.col("most.count")).where("rest > 0").withColumn("part", F.greatest(F.lit(CELL), F.ceil(F.pow("total", F.lit(2 / 3)))))
+    lists = stage(spark, lists.select("t", F.col("most.root").alias("top"), "total", F.ceil(F.col("most.count") / F.col("part")).alias("tops"), F.ceil(F.col("rest") / F.col("part")).alias("rests")), "crossed")
     dealt = rows.join(small_or_not(lists, lists.count()), rows["token"] == lists["t"])
     h, is_top, whole = F.xxhash64("token", "k"), F.col("root") == F.col("top"), F.col("total") <= CELL
     dealt = dealt.withColumn("own", F.when(whole, F.lit(0)).when(is_top, F.pmod(h, "tops")).otherwise(F.pmod(h, "rests")).cast("long"))
