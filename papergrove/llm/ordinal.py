@@ -33,7 +33,7 @@ from .runtime import has, prepare
 
 BITS = 18
 #: Words remembered by a worker; beyond it the memory starts anew.
-MEMORY = 200_000
+MEMORY = 400_000
 SHAPE, OTHERS = 12, 8
 _GAPS = re.compile(r"[\t\n\v\f\r]")
 _RUN = re.compile(r"(.)\1+", re.S)
