@@ -32,6 +32,8 @@ class SimConfig:
     fitness_exponent: float = 1.634
     #: Extra draws for random fill before the exact fallback.
     slack: int = 32
+    #: Agents whose neighbourhoods are written at once; None: all of a year. It bounds disk and changes no result.
+    max_batch: int | None = None
     log_level: int = 0
 
     def fixed_weights(self) -> bool:
@@ -43,7 +45,8 @@ def _flag(text: str) -> bool:
 
 
 def parser() -> argparse.ArgumentParser:
-    """The 22 options of a run, a seed, and the random-graph model. Options about devices and batches have no effect."""
+    """The 22 options of a run, a seed, and the random-graph model. Options about devices have no effect; without a
+    largest batch, all agents of a year are one."""
     p = argparse.ArgumentParser(prog="papergrove")
     for name in ("edgelist", "nodelist", "out-degree-bag", "recency-probabilities", "output-file", "auxiliary-information-file", "log-file"):
         p.add_argument(f"--{name}", required=True)
@@ -55,7 +58,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--same-year-proportion", type=float, required=True)
     for name in ("use-warp-bfs", "use-batching", "use-multistage-kernel"):
         p.add_argument(f"--{name}", type=_flag, default=True)
-    p.add_argument("--max-batch-size", type=int, default=20000)
+    p.add_argument("--max-batch-size", type=int, default=0)
     p.add_argument("--num-processors", type=int, default=1)
     p.add_argument("--log-level", type=int, default=1)
     p.add_argument("--model", choices=("pa", "er-gnp"), default="pa")
@@ -68,4 +71,5 @@ def from_args(args: argparse.Namespace) -> SimConfig:
         growth_rate=args.growth_rate, num_cycles=args.num_cycles, same_year_proportion=args.same_year_proportion, fully_random_citations=args.fully_random_citations,
         preferential_weight=args.preferential_weight, recency_weight=args.recency_weight, fitness_weight=args.fitness_weight, alpha=args.alpha,
         seed=args.seed, model=args.model, er_probability=args.er_probability, er_edges_per_node=args.er_edges_per_node, log_level=args.log_level - 1,
+        max_batch=args.max_batch_size if args.use_batching and args.max_batch_size > 0 else None,
     )

@@ -35,12 +35,18 @@ def drop(*tables: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage of an iteration."""
+def cut(df: DataFrame, name: str, held: list[DataFrame] | None = None) -> DataFrame:
+    """df written to the shared folder and read again: cuts the lineage of an iteration.
+
+    The table is added to `held`, which the caller drops when nothing reads it any more.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/papergrove/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    if held is not None:
+        held.append(table)
+    return table
 
 
 def dense_ids(ids: DataFrame, column: str = "id") -> DataFrame:
@@ -109,15 +115,15 @@ def csr_offsets(deg: DataFrame) -> DataFrame:
     return rows.join(base, "b").select("id", (F.col("base") + F.sum("degree").over(inside) - F.col("degree")).alias("offset"), "degree")
 
 
-def hops(starts: DataFrame, und: DataFrame) -> DataFrame:
+def hops(starts: DataFrame, und: DataFrame, held: list[DataFrame] | None = None) -> DataFrame:
     """(g, n, hop) with hop 1 or 2: nodes at that distance from each start, whatever the direction.
 
     Starts are expanded once each; the least distance per pair does away with what was visited before. und may hold
     an edge more than once. Starts and first hops are broadcast where their counts allow it, so that the edges are not
     shuffled; beyond that they are joined, and a hub's edges are split by the skewed join.
     """
-    starts = cut(starts.select("g").distinct(), "starts")
-    first = cut(small(starts, starts.count()).join(und, F.col("g") == und["u"]).where("v <> g").select("g", F.col("v").alias("n")).distinct(), "first")
+    starts = cut(starts.select("g").distinct(), "starts", held)
+    first = cut(small(starts, starts.count()).join(und, F.col("g") == und["u"]).where("v <> g").select("g", F.col("v").alias("n")).distinct(), "first", held)
     second = small(first, first.count()).join(und, F.col("n") == und["u"]).where("v <> g").select("g", F.col("v").alias("n"), F.lit(2).alias("hop"))
     return first.select("g", "n", F.lit(1).alias("hop")).union(second).groupBy("g", "n").agg(F.min("hop").alias("hop"))
 

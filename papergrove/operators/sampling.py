@@ -37,7 +37,7 @@ def top_by_key(cand: DataFrame, group: list[str], key: str, item: str, most: str
     return cand.withColumn("_rank", F.row_number().over(w)).where((F.col("_rank") <= bound) & (F.col("_rank") <= F.col(most))).drop("_rank")
 
 
-def uniform_fill(spark: SparkSession, agents: DataFrame, taken: DataFrame, domain: int, seed: int, slack: int) -> DataFrame:
+def uniform_fill(spark: SparkSession, agents: DataFrame, taken: DataFrame, domain: int, seed: int, slack: int, held: list[DataFrame] | None = None) -> DataFrame:
     """(id, node): each agent's `random` further nodes of [0, domain), other than those of taken (id, node).
 
     Draws beyond the need cover repeats. Agents they do not suffice for draw again, four times as many each round;
@@ -52,17 +52,17 @@ def uniform_fill(spark: SparkSession, agents: DataFrame, taken: DataFrame, domai
         drawn = drawn.withColumn("node", pick(seed, F.col("id"), domain, "fill:", F.col("j"))).groupBy("id", "random", "node").agg(F.min("j").alias("j"))
         free = drawn.join(taken, ["id", "node"], "left_anti")
         got = free.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("j"))).where("_r <= random").select("id", "node", "random")
-        got = cut(got.withColumn("_c", F.count("*").over(Window.partitionBy("id"))), "fill")
+        got = cut(got.withColumn("_c", F.count("*").over(Window.partitionBy("id"))), "fill", held)
         full = got.where("_c = random").select("id", "node")
         out = full if out is None else out.unionByName(full)
-        need = cut(need.join(full.select("id").distinct(), "id", "left_anti"), "short")
+        need = cut(need.join(full.select("id").distinct(), "id", "left_anti"), "short", held)
         if not need.limit(1).count():
             return out
         wide = need.where((F.col("random") + slack) * 4 ** (round_ + 1) >= 8 * domain)
         every = wide.select("id", "random", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(domain - 1).cast("long"))).alias("node")).join(taken, ["id", "node"], "left_anti")
         rank = Window.partitionBy("id").orderBy(h32(seed, F.col("id"), "rank:", F.col("node")), "node")
         out = out.unionByName(every.withColumn("_r", F.row_number().over(rank)).where("_r <= random").select("id", "node"))
-        need = cut(need.where((F.col("random") + slack) * 4 ** (round_ + 1) < 8 * domain), "short")
+        need = cut(need.where((F.col("random") + slack) * 4 ** (round_ + 1) < 8 * domain), "short", held)
         if not need.limit(1).count():
             return out
         round_ += 1

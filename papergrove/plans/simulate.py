@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,9 +32,9 @@ def scored(nodes: DataFrame, degrees: DataFrame, recency: DataFrame, year: int)
     return both.join(C.recency_scores(nodes, recency, year), "id").select("id", "pa", "rec", "fit")
 
 
-def candidates(agents: DataFrame, und: DataFrame) -> DataFrame:
+def candidates(agents: DataFrame, und: DataFrame, held: list[DataFrame] | None = None) -> DataFrame:
     """(id, node, hop): each agent's neighbourhood, expanded once for each distinct generator."""
-    found = G.hops(agents.select(F.col("generator").alias("g")).distinct(), und)
+    found = G.hops(agents.select(F.col("generator").alias("g")).distinct(), und, held)
     return agents.select("id", F.col("generator").alias("g")).join(found, "g").select("id", F.col("n").alias("node"), "hop")
 
 
@@ -49,26 +50,49 @@ def picked(cand: DataFrame, quota: DataFrame, scores: DataFrame, cfg: SimConfig,
     return S.top_by_key(rows, ["id", "hop"], "key", "node", "most", bound).select("id", "node", "hop")
 
 
-def epoch(spark: SparkSession, nodes: DataFrame, edges: DataFrame, n: int, year: int, cfg: SimConfig, bag: DataFrame, recency: DataFrame, degrees: DataFrame | None = None) -> tuple[DataFrame, DataFrame, int]:
+def near(agents: DataFrame, size: int, und: DataFrame, scores: DataFrame, cfg: SimConfig, bound: int, held: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The agents with their quotas, and (id, node, hop): what they cite of their neighbourhoods.
+
+    Neighbourhoods are the widest table of a year. They are written for about `max_batch` agents at once, those of one
+    generator together, and deleted when their agents have picked; draws go by ids, so batches change no result.
+    """
+    batches = math.ceil(size / cfg.max_batch) if cfg.max_batch else 1
+    if batches > 1:
+        agents, scores = G.cut(agents, "agents", held), G.cut(scores, "scores", held)
+    parts: list[tuple[DataFrame, DataFrame]] = []
+    for b in range(batches):
+        own = agents.where(F.pmod(F.xxhash64("generator"), F.lit(batches)) == b) if batches > 1 else agents
+        wide: list[DataFrame] = []
+        cand = G.cut(candidates(own, und, wide), "candidates", wide)
+        quota = G.cut(S.quotas(own, sizes(cand), cfg.fully_random_citations), "quotas", held)
+        parts.append((quota, G.cut(picked(cand, quota, scores, cfg, bound), "picked", held)))
+        G.drop(*wide)
+    if batches == 1:
+        return parts[0]
+    quota, found = (reduce(DataFrame.unionByName, p) for p in zip(*parts))
+    return G.cut(quota, "quotas", held), G.cut(found, "picked", held)
+
+
+def epoch(spark: SparkSession, nodes: DataFrame, edges: DataFrame, n: int, year: int, cfg: SimConfig, bag: DataFrame, recency: DataFrame, degrees: DataFrame | None = None, held: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame, int]:
     """A year's new edges (src, dst, kind), its agents with their quotas, and how many they are.
 
-    Degrees are counted from the edges unless the ones so far are given.
+    Degrees are counted from the edges unless the ones so far are given. The tables that edges and agents are read from
+    are added to `held`, for the caller to drop.
     """
+    held = [] if held is None else held
     size = math.ceil(n * cfg.growth_rate)
     bag_stats = bag.agg(F.count("*"), F.max("out_degree")).first()
     agents = A.cohort(spark, n, size, cfg, bag, bag_stats[0])
-    und = G.both_ways(edges)
-    cand = G.cut(candidates(agents, und), "candidates")
-    quota = G.cut(S.quotas(agents, sizes(cand), cfg.fully_random_citations), "quotas")
-    near = G.cut(picked(cand, quota, scored(nodes, degrees if degrees is not None else G.degrees(nodes, edges), recency, year), cfg, int(bag_stats[1])), "picked")
+    scores = scored(nodes, degrees if degrees is not None else G.degrees(nodes, edges), recency, year)
+    quota, found = near(agents, size, G.both_ways(edges), scores, cfg, int(bag_stats[1] or 0), held)
     own = quota.where("same_year").select("id", (F.lit(n) + pick(cfg.seed, F.col("id"), size, "own")).alias("node"))
     if not cfg.allow_self_loop:
         own = own.where("node <> id")
-    taken = near.select("id", "node").unionByName(quota.select("id", F.col("generator").alias("node")))
-    fill = S.uniform_fill(spark, quota, taken, n - int(cfg.last_node_excluded), cfg.seed, cfg.slack)
+    taken = found.select("id", "node").unionByName(quota.select("id", F.col("generator").alias("node")))
+    fill = S.uniform_fill(spark, quota, taken, n - int(cfg.last_node_excluded), cfg.seed, cfg.slack, held)
     out = quota.select(F.col("id").alias("src"), F.col("generator").alias("dst"), F.lit("generator").alias("kind"))
     out = out.union(own.select("id", "node", F.lit("same_year")))
-    out = out.union(near.select("id", "node", F.when(F.col("hop") == 1, "one_hop").otherwise("two_hop")))
+    out = out.union(found.select("id", "node", F.when(F.col("hop") == 1, "one_hop").otherwise("two_hop")))
     return out.union(fill.select("id", "node", F.lit("random"))), quota, size
 
 
@@ -94,7 +118,7 @@ def run(spark: SparkSession, nodes: DataFrame, edges: DataFrame, cfg: SimConfig,
     degrees = G.cut(G.degrees(nodes, edges), "degrees")
     n, first = nodes.agg(F.count("*"), F.max("year")).first()
     for cycle in range(1, cfg.num_cycles + 1):
-        year = first + cycle
+        year, held = first + cycle, []
         if cfg.model == "er-gnp":
             from papergrove.plans import er
 
@@ -102,7 +126,7 @@ def run(spark: SparkSession, nodes: DataFrame, edges: DataFrame, cfg: SimConfig,
             new = er.cohort_edges(spark, n, size, cfg)
             quota = spark.range(n, n + size).select("id", *[F.lit(None).cast(k).alias(c) for c, k in AGENT.items()])
         else:
-            new, quota, size = epoch(spark, nodes, edges.select("src", "dst"), n, year, cfg, bag, recency, degrees)
+            new, quota, size = epoch(spark, nodes, edges.select("src", "dst"), n, year, cfg, bag, recency, degrees, held)
         new = G.cut(new.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "kind").withColumn("cycle", F.lit(cycle)), "edges")
         edges = edges.unionByName(new)
         born = with_fitness(spark, quota.select("id", F.lit(year).alias("year")), cfg).withColumns({"cycle": F.lit(cycle), "type": F.lit(1)})
@@ -116,7 +140,7 @@ def run(spark: SparkSession, nodes: DataFrame, edges: DataFrame, cfg: SimConfig,
         nodes, was = nodes.unionByName(born), degrees
         none = F.lit(0).cast("long")
         degrees = G.cut(G.refresh_degrees(degrees.unionByName(born.select("id", none.alias("in_degree"), none.alias("out_degree"))), new), "degrees")
-        G.drop(was)
+        G.drop(was, *held)
         n += size
         log(f"year {year}: {size} nodes")
     return nodes, edges

@@ -310,6 +310,19 @@ def test_year_keeps_invariants(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_batches_change_no_result_and_leave_no_tables(spark, tmp_path, monkeypatch):
+    nodes, e = ids(spark, *range(60)), edges(spark, [(i, i * 7 % 60) for i in range(60) if i * 7 % 60 != i] + [(i, 0) for i in range(1, 60)])
+    bag, recency = spark.createDataFrame([(0, 4), (1, 9)], "pos long, out_degree int"), spark.createDataFrame([(k, 0.25) for k in range(6)], "age int, prob double")
+    got, left = [], []
+    for batch in (None, 6):
+        monkeypatch.setattr(G, "shared_dir", lambda _, b=batch: (tmp_path / str(b)).as_uri())
+        _, out = simulate.run(spark, nodes, e, SimConfig(growth_rate=0.2, num_cycles=1, fully_random_citations=0.4, max_batch=batch), bag, recency)
+        got.append(sorted(map(tuple, out.collect())))
+        left.append(sorted(f.name.rpartition("-")[0] for f in (tmp_path / str(batch) / "papergrove").iterdir()))
+    assert got[0] == got[1] and {r[2] for r in got[0]} >= {"generator", "one_hop", "two_hop", "random"}
+    assert left[0] == left[1] == ["degrees", "edges", "edges", "nodes", "nodes"]
+
+
 def test_random_graph(spark):
     n = er.gnp_edges(spark, 5000, 100, 0.002, 7)
     rows = n.collect()
@@ -340,7 +353,9 @@ def test_random_graph_by_gaps_is_that_of_a_plain_walk(spark):
 def test_command_line():
     a = parser().parse_args("--edgelist e --nodelist n --out-degree-bag b --recency-probabilities r --output-file o --auxiliary-information-file x --log-file l --growth-rate 0.03 --num-cycles 3 --same-year-proportion 0.12 --alpha 0.5".split())
     c = from_args(a)
-    assert c.num_cycles == 3 and not c.fixed_weights() and c.log_level == 0
+    assert c.num_cycles == 3 and not c.fixed_weights() and c.log_level == 0 and c.max_batch is None
+    a.max_batch_size = 500
+    assert from_args(a).max_batch == 500
 
 
 def test_every_query_has_a_plan(spark):
