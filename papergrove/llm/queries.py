@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_wrapper, jaccard, media, mixing, ordinal, packing, repetition, tokenbin, toxicity, warc
+from . import html_wrapper, jaccard, media, merkle, mixing, ordinal, packing, patricia, repair, repetition, tokenbin, toxicity, warc
 from .runtime import prepare
 
 VOCABULARY = "word_bpe_49k.json"
@@ -62,7 +62,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(spark, docs, model).select("doc_id", "held_out", "score", "predicted", F.col("n_hits"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, op2_main_text, op3_repetition, op4_mixing, op5_token_files, op6_jaccard, op7_warc, op8_ordinal, op9_packing, op10_toxicity)}
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damaged_repairs(spark, table(spark, sf_dir, "conversations"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patricia.exact_dedup(spark, table(spark, sf_dir, "documents"), keep="largest")
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_manifest(spark, table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, op2_main_text, op3_repetition, op4_mixing, op5_token_files, op6_jaccard, op7_warc, op8_ordinal, op9_packing, op10_toxicity, op11_repair, op12_exact_dedup, op13_manifest)}
 
 OP6_SQL = r"""
 WITH RECURSIVE words AS (
@@ -97,4 +109,48 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN
 FROM coded
 """
 
-SQL: dict[str, str] = {"op6_jaccard": OP6_SQL, "op7_warc": OP7_SQL}
+OP12_SQL = """
+WITH text AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM text WINDOW same AS (PARTITION BY t)
+"""
+
+OP13_SQL = """
+WITH RECURSIVE field AS (
+  SELECT doc_id, lang, n_chars, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         coalesce(strlen(text) || ':' || text, '-') AS tail,
+         list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+                     lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, j: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc
+  FROM documents
+), leaf AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS h,
+         sha256(head || coalesce(strlen((n_chars + CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN 1 ELSE 0 END)::VARCHAR) || ':' || (n_chars + CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN 1 ELSE 0 END), '-') || tail) AS claim
+  FROM field
+), placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM leaf
+), node AS (
+  SELECT tree, 0 AS lvl, pos, h, n FROM placed
+  UNION ALL
+  SELECT tree, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM node WHERE n > 1 GROUP BY tree, lvl, pos // 2
+), top AS (
+  SELECT 0 AS lvl, tree AS pos, h, (SELECT count(DISTINCT tree) FROM placed) AS n FROM node WHERE n = 1
+  UNION ALL
+  SELECT lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM top WHERE n > 1 GROUP BY lvl, pos // 2
+), path AS (
+  SELECT doc_id, h AS leaf, tree, 0 AS lvl, pos, n, claim, '' AS siblings FROM placed
+  UNION ALL
+  SELECT p.doc_id, p.leaf, p.tree, p.lvl + 1, p.pos // 2, (p.n + 1) // 2,
+         sha256(CASE WHEN s.h IS NULL THEN p.claim WHEN p.pos % 2 = 1 THEN s.h || p.claim ELSE p.claim || s.h END), p.siblings || coalesce(s.h, '')
+  FROM path p LEFT JOIN node s ON s.tree = p.tree AND s.lvl = p.lvl AND s.pos = xor(p.pos, 1) WHERE p.n > 1
+), onward AS (
+  SELECT doc_id, leaf, tree, 0 AS lvl, tree AS pos, (SELECT any_value(n) FROM top WHERE lvl = 0) AS n, claim, siblings FROM path WHERE n = 1
+  UNION ALL
+  SELECT p.doc_id, p.leaf, p.tree, p.lvl + 1, p.pos // 2, (p.n + 1) // 2,
+         sha256(CASE WHEN s.h IS NULL THEN p.claim WHEN p.pos % 2 = 1 THEN s.h || p.claim ELSE p.claim || s.h END), p.siblings || coalesce(s.h, '')
+  FROM onward p LEFT JOIN top s ON s.lvl = p.lvl AND s.pos = xor(p.pos, 1) WHERE p.n > 1
+)
+SELECT o.doc_id, o.leaf, b.h AS subroot, r.h AS root, sha256(o.siblings) AS proof_sha256, o.claim AS folded_root, o.claim = r.h AS verified
+FROM onward o JOIN node b ON b.tree = o.tree AND b.n = 1 CROSS JOIN (SELECT h FROM top WHERE n = 1) r WHERE o.n = 1
+"""
+
+SQL: dict[str, str] = {"op12_exact_dedup": OP12_SQL, "op13_manifest": OP13_SQL, "op6_jaccard": OP6_SQL, "op7_warc": OP7_SQL}
