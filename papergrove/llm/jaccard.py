@@ -50,6 +50,10 @@ WIDTH, PIECE, CHUNK, BLOCK = 1 << 21, 1 << 15, 1 << 21, 32
 #: Entries of a list that is walked along with others at once, at most (speed alone); entries of a cell, about; sets of
 #: a group that the first walk's pairs are checked in, at most.
 SHORT, CELL, FAMILY = 16, 1024, 256
+#: Rows read at once by the two walks (their runs hold whole lists); entries of a part of a very long list, at most.
+ROWS, CROSS_ROWS, PART = 1 << 18, 1 << 16, 1 << 19
+#: Pairs that the second walk holds before they are written.
+PAIRS = 1 << 20
 
 SCAN = "doc_id long, t long, n int, k long, bits binary, piece int, counts binary"
 
@@ -269,26 +273,26 @@ def nearest(n: np.ndarray, pos: np.ndarray, key: np.ndarray, num: int, den: int,
     return partner, least, some
 
 
-def crossing(n: np.ndarray, pos: np.ndarray, num: int, den: int, bits: tuple[np.ndarray, np.ndarray], roots: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def crossing(n: np.ndarray, pos: np.ndarray, num: int, den: int, bits: tuple[np.ndarray, np.ndarray], roots: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All candidate pairs (as indices) of different roots in a cell, across sides only where there are two."""
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i, j, _, fits, same in blocks_that_fit(n, pos, num, den, bits, side):
         x, y = np.nonzero(fits & (roots[i][:, None] != roots[j][None, :]))
         x, y = i[x], j[y]
         keep = x < y if same else slice(None)
-        left.append(x[keep])
-        right.append(y[keep])
-    return np.concatenate(left), np.concatenate(right)
+        yield x[keep], y[keep]
 
 
-def _whole_lists(batches: Iterator[pa.RecordBatch], keys: int, rows: int) -> Iterator[pa.Table]:
-    """Rows sorted by their first `keys` columns, in runs that hold whole lists; a list of over `rows` is split."""
+def _whole_lists(batches: Iterator[pa.RecordBatch], keys: int, rows: int, split: bool = True) -> Iterator[pa.Table]:
+    """Rows sorted by their first `keys` columns, in runs of about `rows` that hold whole lists.
+
+    A list of more rows is split, or held whole however long it is.
+    """
     held: list[pa.RecordBatch] = []
-    n = 0
+    n, least = 0, rows
     for b in batches:
         held.append(b)
         n += len(b)
-        if n >= rows:
+        if n >= least:
             whole = pa.Table.from_batches(held).combine_chunks()
             last = np.ones(n, bool)
             for k in range(keys):
@@ -297,10 +301,12 @@ def _whole_lists(batches: Iterator[pa.RecordBatch], keys: int, rows: int) -> Ite
             cut = n - int(last.sum())  # the last list may go on
             if cut:
                 yield whole.slice(0, cut)
-                held, n = whole.slice(cut).combine_chunks().to_batches(), n - cut
-            else:
+                held, n, least = whole.slice(cut).combine_chunks().to_batches(), n - cut, rows
+            elif split:
                 yield whole
                 held, n = [], 0
+            else:
+                held, least = whole.to_batches(), 2 * n
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
@@ -311,7 +317,7 @@ def _lists(num: int, den: int):
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         going = None  # a list that was split, so that its parts did not all meet
-        for whole in _whole_lists(batches, 2, 1 << 18):
+        for whole in _whole_lists(batches, 2, ROWS):
             token, cell, at, key, p1, p2 = (whole.column(k).to_numpy() for k in range(6))
             last, rows = (token[-1], cell[-1]), len(token)
             new = np.ones(rows, bool)
@@ -324,7 +330,7 @@ def _lists(num: int, den: int):
             some, least, partner = cell > 0, np.full(len(token), 1 << 20, np.int32), np.full(len(token), -1)
             if going is not None:
                 some |= (token == going[0]) & (cell == going[1])
-            going = last if rows >= 1 << 18 and len(head) == 1 else going if going == last else None
+            going = last if rows >= ROWS and len(head) == 1 else going if going == last else None
             if going is not None:
                 some |= (token == last[0]) & (cell == last[1])
             # what no partner can reach at its position is of no use
@@ -372,34 +378,41 @@ PAIR = "h1 long, h2 long, h3 int, a long, b long"
 
 
 def _long_lists(num: int, den: int):
-    """Pairs of different roots of cells (CELLS, in this order), each pair once a task, with the blocks it is found in."""
+    """Pairs of different roots of cells (CELLS, in this order) with the blocks they are found in. No cell is cut."""
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in _whole_lists(batches, 2, 1 << 16):
+        for whole in _whole_lists(batches, 2, CROSS_ROWS, split=False):
             token, cell, side, n, pos, key, p1, p2, root = (whole.column(k).to_numpy() for k in range(len(CELLS)))
             n = n.astype(np.int64)
             head = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])))
             length = np.diff(np.append(head, len(token)))
-            left, right = [], []
+            place = (cell << 20) + (np.arange(len(token)) - np.repeat(head, length)) // BLOCK
+            left, right, held = [], [], 0
+
+            def pairs() -> Iterator[pa.RecordBatch]:
+                i, j = np.concatenate(left), np.concatenate(right)
+                swap = key[i] > key[j]
+                a, b = np.where(swap, j, i), np.where(swap, i, j)
+                order = np.lexsort((token[a], key[b], key[a]))
+                a, b = a[order], b[order]
+                new = np.ones(len(a), bool)
+                new[1:] = (key[a][1:] != key[a][:-1]) | (key[b][1:] != key[b][:-1])
+                a, b = a[new], b[new]
+                for k in range(0, len(a), 1 << 16):
+                    x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (token[x], place[x], (place[y] & 0xFFFFF).astype(np.int32), key[x], key[y])], ["h1", "h2", "h3", "a", "b"])
+
             for h, m in zip(head.tolist(), length.tolist()):
                 own = slice(h, h + m)
-                i, j = crossing(n[own], pos[own], num, den, (p1[own], p2[own]), root[own], side[own])
-                left.append(i + h)
-                right.append(j + h)
-            if not left:
-                continue
-            i, j = np.concatenate(left), np.concatenate(right)
-            place = (cell << 20) + (np.arange(len(token)) - np.repeat(head, length)) // BLOCK
-            swap = key[i] > key[j]
-            a, b = np.where(swap, j, i), np.where(swap, i, j)
-            order = np.lexsort((token[a], key[b], key[a]))
-            a, b = a[order], b[order]
-            new = np.ones(len(a), bool)
-            new[1:] = (key[a][1:] != key[a][:-1]) | (key[b][1:] != key[b][:-1])
-            a, b = a[new], b[new]
-            for k in range(0, len(a), 1 << 16):
-                x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (token[x], place[x], (place[y] & 0xFFFFF).astype(np.int32), key[x], key[y])], ["h1", "h2", "h3", "a", "b"])
+                for i, j in crossing(n[own], pos[own], num, den, (p1[own], p2[own]), root[own], side[own]):
+                    left.append(i + h)
+                    right.append(j + h)
+                    held += len(i)
+                    if held >= PAIRS:
+                        yield from pairs()
+                        left, right, held = [], [], 0
+            if held:
+                yield from pairs()
 
     return lists
 
@@ -409,11 +422,12 @@ def _crossed(spark: SparkSession, rows: DataFrame) -> DataFrame:
 
     Lists of one root are left out. top is a list's most frequent root; entries of it (side 0) only meet the others
     (side 1). Cells of even number hold these two; cells of odd number hold one or two parts of the others. Lists within
-    CELL are one cell. The parts of a longer list of m entries have m ** (2 / 3) entries, CELL at least, so that an entry
-    is copied at most m ** (1 / 3) times.
+    CELL are one cell. The parts of a longer list of m entries have m ** (2 / 3) entries, CELL at least and PART at most,
+    so that an entry is copied m ** (1 / 3) times or m / PART times, and a cell, which a task holds whole, has about
+    2 * PART rows at most.
     """
     lists = rows.groupBy("token", "root").count().groupBy(F.col("token").alias("t")).agg(F.max(F.struct("count", "root")).alias("most"), F.sum("count").alias("total"))
-    lists = lists.withColumn("rest", F.col("total") - F.col("most.count")).where("rest > 0").withColumn("part", F.greatest(F.lit(CELL), F.ceil(F.pow("total", F.lit(2 / 3)))))
+    lists = lists.withColumn("rest", F.col("total") - F.col("most.count")).where("rest > 0").withColumn("part", F.greatest(F.lit(CELL), F.least(F.lit(PART), F.ceil(F.pow("total", F.lit(2 / 3))))))
     lists = stage(spark, lists.select("t", F.col("most.root").alias("top"), "total", F.ceil(F.col("most.count") / F.col("part")).alias("tops"), F.ceil(F.col("rest") / F.col("part")).alias("rests")), "crossed")
     dealt = rows.join(small_or_not(lists, lists.count()), rows["token"] == lists["t"])
     h, is_top, whole = F.xxhash64("token", "k"), F.col("root") == F.col("top"), F.col("total") <= CELL

@@ -8,13 +8,13 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch handed to Python, and bytes where Spark knows that setting.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
-#: Rows of a side that is broadcast, at most (rows of a few numbers).
-BROADCAST_ROWS = 200_000
+#: Rows of a side that is broadcast, at most (rows of a few numbers), and bytes of one with wider rows.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -93,6 +93,12 @@ def small_or_not(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def small_in_bytes(df: DataFrame, width: Column) -> DataFrame:
+    """df marked for broadcast where its rows and their bytes (by `width`), both counted, are within the bounds."""
+    rows, size = df.agg(F.count("*"), F.sum(width.cast("long"))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Has the driver's cleaner delete the shuffle files that no plan refers to any more.
 

@@ -6,14 +6,16 @@ import random
 import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from papergrove.llm import merkle, patricia, queries, repair
+from papergrove.llm import html_wrapper, jaccard, merkle, patricia, queries, repair
 
-from test_llm import ODD, empty, odd
+from test_llm import ODD, brute_components, brute_match, empty, main_of, odd, skeleton
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]")
@@ -307,3 +309,79 @@ def test_manifest_of_odd_rows_the_table_and_none(spark):
     assert 0 < sum(not r[-1] for r in got) < len(got) / 3
     none = merkle.tampered_manifest(spark, empty(spark))
     assert none.columns == list(NAMES) and none.count() == 0
+
+
+# earlier operators: long cells, repeated headings, wide alignments
+
+
+def test_cells_are_never_cut(monkeypatch):
+    names = ["token", "cell", "at", "k", "p1"]
+    rows = [(1, 0, 0, 0, 0)] * 3 + [(9, 0, 0, i, 0) for i in range(20)] + [(9, 1, 0, 0, 0)] * 2
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[a : a + 2]]) for c in range(5)], names) for a in range(0, len(rows), 2)]
+    runs = [list(zip(*(c.to_pylist()[:] for c in x.columns))) for x in jaccard._whole_lists(iter(batches), 2, 4, split=False)]
+    assert [r for run in runs for r in run] == rows
+    assert all(len({k for k, run in enumerate(runs) if any(r[:2] == key for r in run)}) == 1 for key in ((1, 0), (9, 0), (9, 1)))
+
+
+@pytest.mark.parametrize("num,den", [(90, 100), (80, 100)])
+def test_no_link_is_lost_at_a_bound_of_eight_rows(spark, monkeypatch, num, den):
+    """Lists much longer than what a walk reads at once; the second walk must find what the first could not."""
+    for name, value in (("ROWS", 8), ("CROSS_ROWS", 8), ("CELL", 16), ("PAIRS", 5), ("BLOCK", 4)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng, rows = random.Random(num), []
+    for g in range(30):
+        base = [f"g{g}w{k}" for k in range(38)]
+        for _ in range(6):
+            w = list(base)
+            w[rng.randrange(len(w))] = f"x{rng.randrange(9)}"
+            rows.append((len(rows), "same three words " + " ".join(w)))
+    got = {r[0]: (r[1], r[2]) for r in jaccard.jaccard_components(spark, spark.createDataFrame(rows, "doc_id long, text string"), 3, num, den).collect()}
+    assert got == brute_components(rows, 3, num, den)
+
+
+def test_a_cell_over_the_bound_gives_the_pair_of_its_ends(monkeypatch):
+    m = 300
+    monkeypatch.setattr(jaccard, "CROSS_ROWS", 64)
+    bits = [np.uint64(0)] * m
+    cols = [np.full(m, 5), np.zeros(m, np.int64), np.zeros(m, np.int32), np.full(m, 30, np.int32), np.zeros(m, np.int32), np.arange(m), np.array([0] + [(1 << 40) - 1] * (m - 2) + [0]), np.array([0] + [(1 << 40) - 1] * (m - 2) + [0]), np.array([1] + [2] * (m - 2) + [3])]
+    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], jaccard.CELLS)
+    out = [r for b in jaccard._long_lists(90, 100)(whole.slice(a, 50) for a in range(0, m, 50)) for r in b.to_pylist()]
+    assert bits and [(r["a"], r["b"]) for r in out] == [(0, m - 1)]
+
+
+def test_repeated_headings_of_articles_stay(spark):
+    body = lambda k: f"<h1>Cake {k}</h1><h2>Ingredients</h2><p>Flour {k}, sugar {k} and butter {k}.</p><p>Notes</p><h2>Method</h2><p>Mix all of {k} well and bake it for {k} minutes.</p>"
+    pages = [f"<body><nav>Home</nav><div class=x>{body(k)}<p>Sign up now</p></div><footer>Imprint</footer>" for k in range(8)]
+    want = {k: f"Cake {k}\n\nIngredients\n\nFlour {k}, sugar {k} and butter {k}.\n\nNotes\n\nMethod\n\nMix all of {k} well and bake it for {k} minutes." for k in range(8)}
+    assert main_of(spark, pages) == want
+
+
+def test_alignment_of_differing_blocks_is_bounded():
+    import time
+
+    def page(n, tags):
+        return "".join(f"<div class=k{i}>" + "".join(f"<{tags[(i + j) % 3]} class=c{j}><p>{i}</p>" + f"<b></b><ul><li>x</ul>" * (j % 2) + f"</{tags[(i + j) % 3]}>" for j in range(n)) + "</div>" for i in range(n))
+
+    for n in (20, 60):
+        a, b = (html_wrapper.folded(html_wrapper.parse(page(n, t))).skeleton for t in (("section", "div", "article"), ("div", "section", "main")))
+        began = time.time()
+        to = html_wrapper.alignment(a, b)
+        assert time.time() - began < 2 and sum(x >= 0 for x in to) > n
+        hit = [x for x in to if x >= 0]
+        assert hit == sorted(set(hit))
+
+
+def test_greedy_matching_keeps_order_and_ancestry(monkeypatch):
+    monkeypatch.setattr(html_wrapper, "PAIRS", 0)
+    rng = random.Random(4)
+
+    def shape(depth):
+        return rng.choice("ab"), [shape(depth - 1) for _ in range(rng.randrange(4))] if depth else []
+
+    for _ in range(60):
+        x, y = ("r", [shape(3) for _ in range(3)]), ("r", [shape(3) for _ in range(3)])
+        a, b = html_wrapper.tree(skeleton(x)), html_wrapper.tree(skeleton(y))
+        size, pairs = html_wrapper.tree_match(a, b)
+        to = dict(pairs)
+        assert len(pairs) == size <= brute_match(x, y) and [q for _, q in pairs] == sorted(to.values())
+        assert all(a.names[p] == b.names[q] and (p == 0 or to[a.parents[p]] == b.parents[q]) for p, q in pairs)

@@ -492,7 +492,7 @@ def test_list_pairs_leave_out_no_link(seed, split):
     sets, side, roots = [sets[k] for k in order], side[order], np.array(order) % 3
     n = np.array([len(x) for x in sets])
     bits = tuple(np.array([jaccard.parity(x) for x in sets]).T.copy())
-    i, j = jaccard.crossing(n, np.zeros(25, np.int64), 80, 100, bits, roots, side)
+    i, j = (np.concatenate(v) for v in zip(*jaccard.crossing(n, np.zeros(25, np.int64), 80, 100, bits, roots, side), (np.zeros(0, np.int64),) * 2))
     got = set(zip(i.tolist(), j.tolist()))
     both = {0, 1} <= set(side.tolist())
     for a in range(25):
