@@ -9,11 +9,9 @@ words, by magnitude). A word's share of w . x does not depend on its neighbours,
 
 The model is fitted on the driver from at most `sample` labelled rows, taken in hash order of doc_id (a documented
 bound for the fit alone); every row of docs is scored on its whole text. Of ratings that differ for a doc_id the least
-counts, and of its texts the least, so a fit repeats. A word's shape feature is that of its first SHAPE runs of like
-characters, and its other-characters feature that of its first OTHERS distinct ones: so are the features defined, all
-words and all letters of a word count.
+counts, and of its texts the least, so a fit repeats. All characters of a word count, however long it is.
 
-Null and empty texts have no words and are scored by the whole-text features; repeated rows are scored each; without
+Null and empty texts have no words and are scored by the whole-text features; an empty table gives no rows; repeated rows are scored each; without
 labels of two grades, all rows get the one grade there is (or 0) and are kept. Further columns are ignored.
 """
 
@@ -32,9 +30,8 @@ from pyspark.sql import functions as F
 from .runtime import has, prepare
 
 BITS = 18
-#: Words remembered by a worker; beyond it the memory starts anew.
-MEMORY = 400_000
-SHAPE, OTHERS = 12, 8
+#: Bytes of words remembered by a worker, each with so many besides; beyond it the memory starts anew.
+MEMORY, WORD = 56 << 20, 140
 _GAPS = re.compile(r"[\t\n\v\f\r]")
 _RUN = re.compile(r"(.)\1+", re.S)
 _LETTERS = str.maketrans({c: "a" for c in "bcdefghijklmnopqrstuvwxyz"} | {c: "A" for c in "BCDEFGHIJKLMNOPQRSTUVWXYZ"} | {c: "9" for c in "012345678"})
@@ -49,7 +46,7 @@ def word_features(piece: str) -> tuple[int, ...]:
     core = "".join(c for c in piece if c.isalpha())
     shape = _RUN.sub(r"\1", "".join("a" if c.islower() else "A" if c.isupper() else c for c in piece).translate(_LETTERS))
     other = "".join(sorted({c for c in piece if not c.isalpha()}))
-    return _slot("word", core.lower()), _slot("shape", shape[:SHAPE]), _slot("other", other[:OTHERS])
+    return _slot("word", core.lower()), _slot("shape", shape), _slot("other", other)
 
 
 def text_features(text: str, words: list[str]) -> tuple[int, ...]:
@@ -83,6 +80,7 @@ class Ordinal:
     weights: np.ndarray
     thresholds: np.ndarray
     word: dict[str, float] = field(default_factory=dict, repr=False)
+    held: int = field(default=0, repr=False)
 
     def tails(self, score: float) -> np.ndarray:
         """P(grade >= k) for k from 1."""
@@ -93,11 +91,13 @@ class Ordinal:
         try:
             total = sum([known[w] for w in words])
         except KeyError:
-            if len(known) > MEMORY:
+            if self.held > MEMORY:
                 known.clear()
+                self.held = 0
             for w in words:
                 if w not in known:
                     known[w] = float(sum(self.weights[s] for s in word_features(w)))
+                    self.held += len(w) + WORD
             total = sum([known[w] for w in words])
         whole = sum(float(self.weights[s]) for s in text_features(text or "", words))
         return total / max(1, len(words)) + whole

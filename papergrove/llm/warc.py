@@ -5,10 +5,12 @@ normaliser inflates such a file once, in bounded memory, rewrites every record a
 sidecar index with a line for each record: offset, length, type, page_id. Readers seek to a member by the index.
 
 Records with equal payloads of at least `least` bytes are one response, that of the smallest page_id, and revisits of
-it. Payloads are compared by SHA-1, as in the format; only digests that occur twice are joined back.
+it. Payloads are compared by SHA-1, as in the format; only digests that occur twice are joined back, to digests first
+where they are many, so that no payload's copies meet in one task with their bodies.
 
 Null html is an empty payload; a null page_id is written as an empty field, and is response only where no row of its
-payload has a page_id; repeated rows of the smallest page_id are all responses; an empty table gives no rows.
+payload has a page_id; repeated rows of the smallest page_id are all responses; very long payloads are written in
+pieces and read whole, one at a time; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import file_system, has, prepare, small_or_not, stage, work_dir
+from . import runtime
+from .runtime import drop, file_system, has, prepare, stage, work_dir
 
 CHUNK = 1 << 20
 DATE = "1970-01-01T00:00:00Z"
@@ -161,7 +164,12 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str | None = N
     keyed = pages.select("page_id", "url", body.alias("body"), F.sha1(body).alias("sha1"))
     twice = keyed.where(F.length("body") >= least).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").select(F.col("sha1").alias("same"), "first")
     twice = stage(spark, twice, "payloads")
-    rows = keyed.join(small_or_not(twice, twice.count()), keyed["sha1"] == twice["same"], "left").select("page_id", "url", "body", "first")
+    n = twice.count()
+    if n <= runtime.BROADCAST_ROWS:
+        rows = keyed.join(F.broadcast(twice), keyed["sha1"] == twice["same"], "left").select("page_id", "url", "body", "first")
+    else:  # a payload may fill any share of the rows: digests alone meet it, bodies are dealt by page and digest
+        refers = keyed.select("page_id", "sha1").distinct().join(twice, F.col("sha1") == F.col("same")).select(F.col("page_id").alias("p"), "same", "first")
+        rows = keyed.join(refers, keyed["page_id"].eqNullSafe(refers["p"]) & (keyed["sha1"] == refers["same"]), "left").select("page_id", "url", "body", "first")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(folder)
@@ -182,7 +190,9 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str | None = N
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([n], pa.int64())], ["path", "records"])
         fs.delete_file(whole)
 
-    return stage(spark, rows.mapInArrow(write, "path string, records long"), "manifest")
+    manifest = stage(spark, rows.mapInArrow(write, "path string, records long"), "manifest")
+    drop(spark, twice)
+    return manifest
 
 
 def read_archives(manifest: DataFrame, group: int = 256) -> DataFrame:

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from papergrove.llm import html_wrapper, jaccard, merkle, patricia, queries, repair
+from papergrove.llm import html_wrapper, jaccard, media, merkle, ordinal, packing, patricia, queries, repair, runtime, tokenbin, warc
 
 from test_llm import ODD, brute_components, brute_match, empty, main_of, odd, skeleton
 
@@ -385,3 +385,72 @@ def test_greedy_matching_keeps_order_and_ancestry(monkeypatch):
         to = dict(pairs)
         assert len(pairs) == size <= brute_match(x, y) and [q for _, q in pairs] == sorted(to.values())
         assert all(a.names[p] == b.names[q] and (p == 0 or to[a.parents[p]] == b.parents[q]) for p, q in pairs)
+
+
+def test_one_payload_on_most_rows_meets_its_digest_first(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "BROADCAST_ROWS", -1)
+    rows = [(k, f"http://h/{k}", "" if k % 5 else f"<p>{k % 10}") for k in range(3, 203)] + [(None, "u", ""), (3, "again", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"same": F.lit("s"), "p": F.lit(1), "sha1": F.lit(2)})
+    got = warc.read_archives(warc.write_archives(spark, df)).collect()
+    first = {}
+    for d, _, h in rows:
+        if d is not None:
+            first[h] = min(d, first.get(h, d))
+    want = [(d, len(h), "response" if first[h] == d else "revisit", None if first[h] == d else first[h]) for d, _, h in rows]
+    assert sorted(map(repr, ((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got))) == sorted(map(repr, want))
+
+
+def test_a_word_is_hashed_whole():
+    a, b = ("aA" * 40 + x for x in ("9", "-"))
+    assert ordinal.word_features(a)[1] != ordinal.word_features(b)[1]
+    signs = "!#$%&()*+,-./:;<=>?@"
+    assert ordinal.word_features(signs)[2] != ordinal.word_features(signs + "~")[2]
+
+
+def test_remembered_words_are_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(ordinal, "MEMORY", 2000)
+    m = ordinal.Ordinal(np.arange(1 << ordinal.BITS, dtype=np.float32), np.array([0.0]))
+    want = [m.score(f"w{k} x") for k in range(50)]
+    assert len(m.word) < 50 and want == [ordinal.Ordinal(m.weights, m.thresholds).score(f"w{k} x") for k in range(50)]
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@given(st.lists(st.integers(1, 64), max_size=60), st.integers(1, 8), st.integers(4096, 12_000))
+@settings(max_examples=60, deadline=None)
+def test_pieces_go_to_the_bin_that_scores_best(rule, lengths, most_docs, attention):
+    lengths = sorted(lengths, reverse=True)
+    where, offset = packing.best_fit(np.array(lengths, np.int64), 64, most_docs, attention, rule)
+    state, caps = {}, (64, most_docs, attention)
+    for k, size in enumerate(lengths):  # ties go to any bin of the best score: each choice is held against its own state
+        need = (size, 1, size * size)
+
+        def score(free):
+            if rule == "norm":
+                return sum(w * ((f - n) / c) ** 2 for w, f, n, c in zip((1, 0.05, 0.05), free, need, caps))
+            return -sum(w * f * n / c / c for w, f, n, c in zip((1, 0.05, 0.05), free, need, caps))
+
+        fits = [score(f) for f in state.values() if all(x >= n for x, n in zip(f, need))]
+        own = int(where[k])
+        assert (own in state) == bool(fits)
+        if fits:
+            assert score(state[own]) <= min(fits) + 1e-12
+        free = state.get(own, caps)
+        assert offset[k] == 64 - free[0]
+        state[own] = tuple(f - n for f, n in zip(free, need))
+
+
+def test_texts_of_megabytes_are_taken_whole(spark):
+    rng = random.Random(1)
+    long = " ".join(f"w{rng.randrange(50_000)}" for _ in range(400_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " end"), (3, "short")], "doc_id long, text string")
+    media_rows = {r["doc_id"]: r for r in media.store_and_read(spark, docs).collect()}
+    assert media_rows[1]["n_bytes"] == len(long.encode())
+    ids = {r["doc_id"]: r for r in tokenbin.corpus_table(spark, docs, queries.VOCABULARY).collect()}
+    assert ids[2]["start"] == ids[1]["n_tokens"] and ids[3]["start"] == ids[1]["n_tokens"] + ids[2]["n_tokens"]
+    linked = {r["doc_id"]: r for r in jaccard.jaccard_components(spark, docs).collect()}
+    assert linked[2]["component_id"] == 1 and linked[2]["n_shingles"] == linked[1]["n_shingles"] + 1 and linked[3]["component_id"] == 3
+    model = ordinal.Ordinal(np.ones(1 << ordinal.BITS, np.float32), np.array([0.0]))
+    assert ordinal.classify(spark, docs, model).count() == 3
+    pieces = packing.pack_documents(spark, docs, queries.VOCABULARY).collect()
+    assert sum(r["length"] for r in pieces) == sum(r["n_tokens"] for r in ids.values())
+    assert {r["kept"] for r in patricia.exact_dedup(spark, docs, memory=1 << 16).collect()} == {True}
