@@ -25,14 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
     return (base or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared one."""
+    if "/papergrove/" in folder:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes tables that cut() wrote, which nothing reads any more."""
     for t in tables:
-        jvm, conf = t.sparkSession._jvm, t.sparkSession._jsparkSession.sessionState().newHadoopConf()
         for folder in {f.rpartition("/")[0] for f in t.inputFiles()}:
-            if "/papergrove/" in folder:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(conf).delete(path, True)
+            delete(t.sparkSession, folder)
 
 
 def cut(df: DataFrame, name: str, held: list[DataFrame] | None = None) -> DataFrame:
@@ -142,12 +146,14 @@ def components(spark: SparkSession, nodes: DataFrame, und: DataFrame) -> DataFra
     edges = cut(und.select(F.col("u").alias("a"), F.col("v").alias("b")).where("a <> b"), "edges")
     while edges.limit(1).count():
         step = cut(edges.groupBy("a").agg(F.min("b").alias("m")).where("m < a"), "step").toDF("from", "to")
+        before = roots
         roots = cut(roots.join(step, roots["component"] == step["from"], "left").select("id", F.coalesce("to", "component").alias("component")), "roots")
         s1, s2 = step.toDF("f1", "t1"), step.toDF("f2", "t2")
         moved = edges.join(s1, edges["a"] == s1["f1"], "left").join(s2, edges["b"] == s2["f2"], "left").select(F.coalesce("t1", "a").alias("a"), F.coalesce("t2", "b").alias("b"))
         was = edges
         edges = cut(moved.where("a <> b").distinct(), "edges")
-        drop(was)
+        drop(was, before, step)
+    drop(edges)
     return roots
 
 

@@ -20,6 +20,7 @@ from papergrove.operators import metrics as M
 from papergrove.operators import sampling as S
 from papergrove.operators import scores as C
 from papergrove.operators import trace as T
+from papergrove.operators.store import EdgeStore
 from papergrove.plans import er, simulate
 from papergrove.sources import fixture as X0
 from papergrove.sources import text
@@ -307,34 +308,59 @@ def hop_sizes(spark, sf):
 # Sampling and simulation
 
 
+def _store(spark, sf) -> EdgeStore:
+    """The store of the fixture's edges, written once an application."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _STORES:
+        _STORES[key] = EdgeStore(spark)
+        _STORES[key].add(X0.raw_edges(spark, sf), G.degrees(X0.raw_nodes(spark, sf), X0.raw_edges(spark, sf)))
+    return _STORES[key]
+
+
+_STORES: dict[tuple[str, str], EdgeStore] = {}
+
+
 def _epoch(spark, sf):
     n = X0.raw_nodes(spark, sf)
     nodes = simulate.with_fitness(spark, n, CFG)
-    return simulate.epoch(spark, nodes, X0.raw_edges(spark, sf), _n(n), YEAR, CFG, X0.bag(spark, sf), X0.recency(n, YEAR))
+    return simulate.epoch(spark, nodes, _store(spark, sf), _n(n), YEAR, CFG, X0.bag(spark, sf), X0.recency(n, YEAR), G.degrees(n, X0.raw_edges(spark, sf)))
+
+
+def _first(spark, sf) -> tuple[DataFrame, DataFrame, int, int, EdgeStore]:
+    """A year's agents, their first neighbourhoods and how many rows these have, the nodes, and the store."""
+    a, n, size = _agents(spark, sf)
+    a, store = G.cut(a, "agents"), _store(spark, sf)
+    first = G.cut(simulate.first_hop(a.select("id", F.col("generator").alias("g")), store, size), "first")
+    return a, first, first.count(), n, store
+
+
+def _quotas(spark, sf) -> tuple[DataFrame, int]:
+    """Quotas whose counts of second neighbourhoods stop at what an agent needs."""
+    a, first, count, n, store = _first(spark, sf)
+    inner = S.inner_quotas(a, first.groupBy("id").agg(F.count("*").alias("h1")), CFG.fully_random_citations)
+    rows = simulate.second_hop(first, inner.where("need > 0").select("id", "need"), store, count)
+    return S.outer_quotas(inner, S.capped_distinct(rows, "id", "v", "need", 20).select("id", F.col("n").alias("h2"))), n
 
 
 @query
 def citation_quota(spark, sf):
-    a, _, _ = _agents(spark, sf)
-    cand = simulate.candidates(a, G.both_ways(X0.raw_edges(spark, sf)))
-    q = S.quotas(a, simulate.sizes(cand), CFG.fully_random_citations)
-    return q.select("id", "reserved", "inside", "outside", "random")
+    return _quotas(spark, sf)[0].select("id", "reserved", "inside", "outside", "random")
 
 
 @query
 def weighted_topk(spark, sf):
     """For each agent as many of its neighbourhood as its out-degree, by popularity."""
-    a, _, _ = _agents(spark, sf)
+    a, first, count, n, store = _first(spark, sf)
     scores = C.normalised(G.degrees(X0.raw_nodes(spark, sf), X0.raw_edges(spark, sf)), "in_degree", "score").select(F.col("id").alias("node"), "score")
-    cand = simulate.candidates(a, G.both_ways(X0.raw_edges(spark, sf))).join(a.select("id", F.col("out_degree").alias("most")), "id").join(scores, "node")
-    rows = cand.withColumn("key", S.sampling_key(CFG.seed, F.col("id"), F.col("node"), F.col("score")))
+    most = a.select("id", F.col("out_degree").alias("most"))
+    cand = first.join(most, "id").select("id", F.col("n").alias("node"), "most").unionByName(simulate.second_hop(first, most, store, count).select("id", F.col("v").alias("node"), "most"))
+    rows = cand.join(G.small(scores, n), "node").withColumn("key", S.sampling_key(CFG.seed, F.col("id"), F.col("node"), F.col("score")))
     return S.top_by_key(rows, ["id"], "key", "node", "most", 20).select("id", "node")
 
 
 @query
 def uniform_fill(spark, sf):
-    a, n, _ = _agents(spark, sf)
-    q = S.quotas(a, simulate.sizes(simulate.candidates(a, G.both_ways(X0.raw_edges(spark, sf)))), CFG.fully_random_citations)
+    q, n = _quotas(spark, sf)
     need = G.cut(q.select("id", "generator", "random"), "need")
     return S.uniform_fill(spark, need, need.select("id", F.col("generator").alias("node")), n - 1, CFG.seed, CFG.slack)
 

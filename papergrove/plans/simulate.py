@@ -16,6 +16,7 @@ from papergrove.operators import agents as A
 from papergrove.operators import graph as G
 from papergrove.operators import sampling as S
 from papergrove.operators import scores as C
+from papergrove.operators.store import EdgeStore
 
 
 def final_size(nodes: int, rate: float, cycles: int) -> int:
@@ -32,64 +33,72 @@ def scored(nodes: DataFrame, degrees: DataFrame, recency: DataFrame, year: int)
     return both.join(C.recency_scores(nodes, recency, year), "id").select("id", "pa", "rec", "fit")
 
 
-def candidates(agents: DataFrame, und: DataFrame, held: list[DataFrame] | None = None) -> DataFrame:
-    """(id, node, hop): each agent's neighbourhood, expanded once for each distinct generator."""
-    found = G.hops(agents.select(F.col("generator").alias("g")).distinct(), und, held)
-    return agents.select("id", F.col("generator").alias("g")).join(found, "g").select("id", F.col("n").alias("node"), "hop")
+def first_hop(starts: DataFrame, store: EdgeStore, count: int | None = None) -> DataFrame:
+    """(id, g, n): the neighbours of each start's node g, each once."""
+    return store.expand(starts.select("id", "g"), "g", count).where("v <> g").select("id", "g", F.col("v").alias("n")).distinct()
 
 
-def sizes(cand: DataFrame) -> DataFrame:
-    return cand.groupBy("id").agg(F.count_if(F.col("hop") == 1).alias("h1"), F.count_if(F.col("hop") == 2).alias("h2"))
+def second_hop(first: DataFrame, among: DataFrame, store: EdgeStore, count: int) -> DataFrame:
+    """The neighbours v of first neighbours (id, g, n) of the ids of `among`, with its columns: a row for each way to v.
+
+    Neither g nor a first neighbour is among them. Nothing is written or gathered by id: what takes them (a bounded
+    count or sample) does so in the task that found them.
+    """
+    rows = store.expand(first.join(among, "id"), "n", count).where("v <> g")
+    near = first.select(F.col("id").alias("_i"), F.col("n").alias("_n"))
+    return rows.join(G.small(near, count), (F.col("id") == F.col("_i")) & (F.col("v") == F.col("_n")), "left_anti").drop("g", "n")
 
 
-def picked(cand: DataFrame, quota: DataFrame, scores: DataFrame, cfg: SimConfig, bound: int) -> DataFrame:
-    """(id, node, hop): the weighted sample of each agent's neighbourhood."""
-    rows = cand.join(quota.select("id", "inside", "outside", *A.WEIGHTS), "id").withColumn("most", F.when(F.col("hop") == 1, F.col("inside")).otherwise(F.col("outside"))).where("most > 0")
-    rows = rows.join(scores.withColumnRenamed("id", "node"), "node").withColumn("score", C.candidate_score())
-    rows = rows.withColumn("key", S.sampling_key(cfg.seed, F.col("id"), F.col("node"), F.col("score")))
-    return S.top_by_key(rows, ["id", "hop"], "key", "node", "most", bound).select("id", "node", "hop")
+def keyed(rows: DataFrame, node: str, scores: DataFrame, n: int, cfg: SimConfig) -> DataFrame:
+    """rows (id, weights, node) with the keys of a weighted sample by the scores of their nodes."""
+    rated = rows.join(G.small(scores.withColumnRenamed("id", "_s"), n), F.col(node) == F.col("_s")).withColumn("score", C.candidate_score())
+    return rated.select("id", F.col(node).alias("node"), "most", S.sampling_key(cfg.seed, F.col("id"), F.col(node), F.col("score")).alias("key"))
 
 
-def near(agents: DataFrame, size: int, und: DataFrame, scores: DataFrame, cfg: SimConfig, bound: int, held: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+def near(agents: DataFrame, size: int, store: EdgeStore, scores: DataFrame, n: int, cfg: SimConfig, bound: int, held: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     """The agents with their quotas, and (id, node, hop): what they cite of their neighbourhoods.
 
-    Neighbourhoods are the widest table of a year. They are written for about `max_batch` agents at once, those of one
-    generator together, and deleted when their agents have picked; draws go by ids, so batches change no result.
+    First neighbourhoods are written; second ones never are: their samples say how many each agent found, up to its
+    need, and that is all that quotas ask. With `max_batch`, about so many agents are worked on at once, those of one
+    generator together; draws go by ids, so batches change no result.
     """
     batches = math.ceil(size / cfg.max_batch) if cfg.max_batch else 1
-    if batches > 1:
-        agents, scores = G.cut(agents, "agents", held), G.cut(scores, "scores", held)
+    agents, scores = G.cut(agents, "agents", held), G.cut(scores, "scores", held)
     parts: list[tuple[DataFrame, DataFrame]] = []
     for b in range(batches):
         own = agents.where(F.pmod(F.xxhash64("generator"), F.lit(batches)) == b) if batches > 1 else agents
         wide: list[DataFrame] = []
-        cand = G.cut(candidates(own, und, wide), "candidates", wide)
-        quota = G.cut(S.quotas(own, sizes(cand), cfg.fully_random_citations), "quotas", held)
-        parts.append((quota, G.cut(picked(cand, quota, scores, cfg, bound), "picked", held)))
+        first = G.cut(first_hop(own.select("id", F.col("generator").alias("g")), store, size), "first", wide)
+        count = first.count()
+        inner = S.inner_quotas(own, first.groupBy("id").agg(F.count("*").alias("h1")), cfg.fully_random_citations)
+        one = first.join(inner.where("inside > 0").select("id", F.col("inside").alias("most"), *A.WEIGHTS), "id")
+        two = second_hop(first, inner.where("need > 0").select("id", F.col("need").alias("most"), *A.WEIGHTS), store, count)
+        found = S.top_by_key(keyed(one, "n", scores, n, cfg), ["id"], "key", "node", "most", bound).select("id", "node", F.lit(1).alias("hop"))
+        found = found.unionByName(S.top_by_key(keyed(two, "v", scores, n, cfg), ["id"], "key", "node", "most", bound).select("id", "node", F.lit(2).alias("hop")))
+        found = G.cut(found, "picked", held)
+        quota = S.outer_quotas(inner, found.where("hop = 2").groupBy("id").agg(F.count("*").alias("h2")))
+        parts.append((G.cut(quota, "quotas", held), found))
         G.drop(*wide)
-    if batches == 1:
-        return parts[0]
-    quota, found = (reduce(DataFrame.unionByName, p) for p in zip(*parts))
-    return G.cut(quota, "quotas", held), G.cut(found, "picked", held)
+    return tuple(reduce(DataFrame.unionByName, p) for p in zip(*parts))
 
 
-def epoch(spark: SparkSession, nodes: DataFrame, edges: DataFrame, n: int, year: int, cfg: SimConfig, bag: DataFrame, recency: DataFrame, degrees: DataFrame | None = None, held: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame, int]:
+def epoch(spark: SparkSession, nodes: DataFrame, store: EdgeStore, n: int, year: int, cfg: SimConfig, bag: DataFrame, recency: DataFrame, degrees: DataFrame, held: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame, int]:
     """A year's new edges (src, dst, kind), its agents with their quotas, and how many they are.
 
-    Degrees are counted from the edges unless the ones so far are given. The tables that edges and agents are read from
-    are added to `held`, for the caller to drop.
+    The store has the edges so far, which degrees count. The tables that edges and agents are read from are added to
+    `held`, for the caller to drop.
     """
     held = [] if held is None else held
     size = math.ceil(n * cfg.growth_rate)
     bag_stats = bag.agg(F.count("*"), F.max("out_degree")).first()
     agents = A.cohort(spark, n, size, cfg, bag, bag_stats[0])
-    scores = scored(nodes, degrees if degrees is not None else G.degrees(nodes, edges), recency, year)
-    quota, found = near(agents, size, G.both_ways(edges), scores, cfg, int(bag_stats[1] or 0), held)
+    scores = scored(nodes, degrees, recency, year)
+    quota, found = near(agents, size, store, scores, n, cfg, int(bag_stats[1] or 0), held)
     own = quota.where("same_year").select("id", (F.lit(n) + pick(cfg.seed, F.col("id"), size, "own")).alias("node"))
     if not cfg.allow_self_loop:
         own = own.where("node <> id")
     taken = found.select("id", "node").unionByName(quota.select("id", F.col("generator").alias("node")))
-    fill = S.uniform_fill(spark, quota, taken, n - int(cfg.last_node_excluded), cfg.seed, cfg.slack, held)
+    fill = S.uniform_fill(spark, quota, taken, n - int(cfg.last_node_excluded), cfg.seed, cfg.slack)
     out = quota.select(F.col("id").alias("src"), F.col("generator").alias("dst"), F.lit("generator").alias("kind"))
     out = out.union(own.select("id", "node", F.lit("same_year")))
     out = out.union(found.select("id", "node", F.when(F.col("hop") == 1, "one_hop").otherwise("two_hop")))
@@ -117,6 +126,8 @@ def run(spark: SparkSession, nodes: DataFrame, edges: DataFrame, cfg: SimConfig,
     edges = G.cut(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct().select("src", "dst", F.lit("seed").alias("kind"), F.lit(0).alias("cycle")), "edges")
     degrees = G.cut(G.degrees(nodes, edges), "degrees")
     n, first = nodes.agg(F.count("*"), F.max("year")).first()
+    store = EdgeStore(spark)
+    store.add(edges, degrees)
     for cycle in range(1, cfg.num_cycles + 1):
         year, held = first + cycle, []
         if cfg.model == "er-gnp":
@@ -126,7 +137,7 @@ def run(spark: SparkSession, nodes: DataFrame, edges: DataFrame, cfg: SimConfig,
             new = er.cohort_edges(spark, n, size, cfg)
             quota = spark.range(n, n + size).select("id", *[F.lit(None).cast(k).alias(c) for c, k in AGENT.items()])
         else:
-            new, quota, size = epoch(spark, nodes, edges.select("src", "dst"), n, year, cfg, bag, recency, degrees, held)
+            new, quota, size = epoch(spark, nodes, store, n, year, cfg, bag, recency, degrees, held)
         new = G.cut(new.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "kind").withColumn("cycle", F.lit(cycle)), "edges")
         edges = edges.unionByName(new)
         born = with_fitness(spark, quota.select("id", F.lit(year).alias("year")), cfg).withColumns({"cycle": F.lit(cycle), "type": F.lit(1)})
@@ -140,7 +151,9 @@ def run(spark: SparkSession, nodes: DataFrame, edges: DataFrame, cfg: SimConfig,
         nodes, was = nodes.unionByName(born), degrees
         none = F.lit(0).cast("long")
         degrees = G.cut(G.refresh_degrees(degrees.unionByName(born.select("id", none.alias("in_degree"), none.alias("out_degree"))), new), "degrees")
+        store.add(new, degrees)
         G.drop(was, *held)
         n += size
         log(f"year {year}: {size} nodes")
+    store.drop()
     return nodes, edges
