@@ -4,11 +4,16 @@
         --growth-rate 0.03 --num-cycles 3 --same-year-proportion 0.12
         --output-file ... --auxiliary-information-file ... --log-file ...
 
-The sinks are folders of part files in order, as Spark writes them; the log is a file of the driver.
+The sinks are one file each; the log is a file of the driver.
+
+    python -m papergrove report --sqlite a.sqlite "3y/1%" --sqlite b.sqlite "" --outdir out --prefix run --gpu H100
+
+makes the five reports of profiler databases, each with its label (empty: by the file's name).
 """
 
 from __future__ import annotations
 
+import argparse
 import sys
 import time
 
@@ -16,9 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papergrove.config import from_args, parser
+from papergrove.functions.hardware import DEVICES
 from papergrove.operators import graph as G
 from papergrove.operators import metrics as M
-from papergrove.plans import simulate
+from papergrove.plans import profile, simulate
 from papergrove.sources import text
 from papergrove.sources.log import DEBUG, Log
 
@@ -37,7 +43,24 @@ def grown(nodes: DataFrame, idmap: DataFrame, edges: DataFrame) -> tuple[DataFra
     return named, text.edge_frame(edges, ids)
 
 
+def report(argv: list[str], spark: SparkSession | None = None) -> list[str]:
+    """The reports of profiler databases; the paths of the files written."""
+    p = argparse.ArgumentParser(prog="papergrove report")
+    p.add_argument("--sqlite", nargs=2, action="append", required=True, metavar=("DATABASE", "LABEL"))
+    p.add_argument("--outdir", default=".")
+    p.add_argument("--prefix", default="profile")
+    p.add_argument("--gpu", choices=sorted(DEVICES), default="H100")
+    args = p.parse_args(argv)
+    spark = spark or SparkSession.builder.appName("papergrove").getOrCreate()
+    runs = {label or profile.label_of(spark, path): path for path, label in args.sqlite}
+    return profile.write(spark, runs, args.outdir, args.prefix, DEVICES[args.gpu])
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
+    argv = sys.argv[1:] if argv is None else argv
+    if argv[:1] == ["report"]:
+        report(argv[1:], spark)
+        return
     args = parser().parse_args(argv)
     cfg = from_args(args)
     spark = spark or SparkSession.builder.appName("papergrove").getOrCreate()
@@ -72,4 +95,4 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
 
 
 if __name__ == "__main__":
-    main(sys.argv[1:])
+    main()

@@ -9,9 +9,20 @@ from pyspark.sql import functions as F
 UNKNOWN_INT, UNKNOWN_DOUBLE, NO_GENERATOR = -9999, -9999.9, -1
 
 
+def _lenient(c: Column, kind: str) -> Column:
+    digits = F.regexp_extract(F.coalesce(c, F.lit("")), r"^[ \t]*([+-]?[0-9]+)", 1)
+    error = F.raise_error(F.concat(F.lit(f"over the range of {kind}: "), digits)).cast(kind)
+    return F.when(digits == "", F.lit(0).cast(kind)).otherwise(F.coalesce(digits.try_cast(kind), error))
+
+
 def lenient_int(c: Column) -> Column:
-    """The number a text begins with, after blanks and a sign; 0 where there is none."""
-    return F.coalesce(F.regexp_extract(c, r"^[ \t]*([+-]?[0-9]+)", 1).try_cast("int"), F.lit(0))
+    """The number a text begins with, after blanks and a sign; 0 where there is none, an error where it is too large."""
+    return _lenient(c, "int")
+
+
+def lenient_long(c: Column) -> Column:
+    """The same for ids, of 64 bits."""
+    return _lenient(c, "bigint")
 
 
 def clean_number(c: Column) -> Column:
@@ -54,10 +65,6 @@ def general(c: Column, digits: int = 10) -> Column:
     return F.when(c.isNull() | F.isnan(c), c.cast("string")).otherwise(F.concat(sign, F.when((exponent < -4) | (exponent >= digits), short).otherwise(strip(fixed))))
 
 
-def intensity(flops: Column, bytes_: Column) -> Column:
-    return F.coalesce(F.try_divide(flops.cast("double"), bytes_.cast("double")), F.lit(0.0))
-
-
 def elapsed(seconds: Column) -> Column:
     """d-h:m:s of whole seconds, as log lines have it."""
     s = seconds.cast("long")
@@ -68,5 +75,13 @@ def dash_for_none(c: Column) -> Column:
     return F.when(F.coalesce(c, F.lit(0)) == 0, "-").otherwise(c.cast("string"))
 
 
-def millions(c: Column) -> Column:
-    return F.when(F.abs(c) >= 1_000_000, F.concat(F.format_number(c / 1_000_000, 2), F.lit("M"))).otherwise(F.format_number(c, 0))
+def fixed(c: Column, digits: int) -> Column:
+    """A double with so many digits after the point, as C prints it by %.nf: the nearest to its exact value (17 digits)."""
+    return F.replace(F.format_number(c.cast("double"), digits), F.lit(","), F.lit(""))
+
+
+def by_magnitude(c: Column, most: Column) -> Column:
+    """A number as a report's column has it, whose largest amount tells the form: millions, whole or with two digits."""
+    double = c.cast("double")
+    text = F.when(most > 1e6, F.concat(fixed(double / 1e6, 2), F.lit("M"))).when(most > 1e3, fixed(double, 0)).otherwise(fixed(double, 2))
+    return F.when(c.isNull(), F.lit("")).otherwise(text)

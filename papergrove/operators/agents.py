@@ -86,10 +86,28 @@ def planted_ranges(plan: DataFrame) -> DataFrame:
     return plan.withColumn("hi", F.sum("count").over(w)).withColumn("lo", F.col("hi") - F.col("count"))
 
 
+def range_join(points: DataFrame, intervals: DataFrame, at: str, lo: str, hi: str) -> DataFrame:
+    """points with the intervals [lo, hi) that hold their whole number `at`, each pair once.
+
+    An interval is put in bins as wide as the power of two that is no less than its length, of which it touches two at
+    most; a point looks for it in one bin of each width there is, 64 at most. So wide intervals are not split into many
+    rows, and both sides meet by an equality, whatever their number.
+    """
+    length = F.col(hi) - F.col(lo)
+    level = F.when(length <= 1, F.lit(0)).otherwise(F.length(F.bin(length - 1)))
+    binned = intervals.where(f"`{lo}` < `{hi}`").withColumn("_level", level)
+    levels = [r[0] for r in binned.select("_level").distinct().collect()]  # a row a width
+    bins = lambda c: F.expr(f"shiftright({c}, _level)")
+    binned = binned.withColumn("_bin", F.explode(F.array_distinct(F.array(bins(f"CAST(`{lo}` AS BIGINT)"), bins(f"CAST(`{hi}` AS BIGINT) - 1")))))
+    found = points.withColumn("_l", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_b", F.expr(f"shiftright(CAST(`{at}` AS BIGINT), _l)"))
+    small_bins = small(binned, binned.count())
+    return found.join(small_bins, (F.col("_l") == F.col("_level")) & (F.col("_b") == F.col("_bin"))).where((F.col(at) >= F.col(lo)) & (F.col(at) < F.col(hi))).drop("_l", "_b", "_level", "_bin")
+
+
 def plant(agents: DataFrame, plan: DataFrame, cycle: int, size: int) -> DataFrame:
     """(id, line_no, lag, peak, dur) of the nodes a plan's line sets in a cycle (from 1)."""
     lines = planted_ranges(plan.where(F.col("year") == cycle))
     need = lines.agg(F.max("hi")).first()[0]
     if need is not None and need > size:
         raise ValueError(f"the plan of cycle {cycle} sets {need} nodes of {size}")
-    return agents.join(small(lines, lines.count()), (F.col("growth_idx") >= F.col("lo")) & (F.col("growth_idx") < F.col("hi"))).select("id", "line_no", "lag", "peak", "dur")
+    return range_join(agents, lines, "growth_idx", "lo", "hi").select("id", "line_no", "lag", "peak", "dur")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-#: Rows of a side that is broadcast, at most (rows of a few numbers).
-SMALL = 200_000
+#: Rows of a side that is broadcast, at most (rows of a few numbers), and bytes of one with wider rows.
+SMALL, SMALL_BYTES = 200_000, 64 << 20
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -17,6 +17,12 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= SMALL else df
 
 
+def small_in_bytes(df: DataFrame, width: Column) -> DataFrame:
+    """df marked for broadcast where its rows and their bytes (by `width`), both counted, are within the bounds."""
+    rows, size = df.agg(F.count("*"), F.sum(width.cast("long"))).first()
+    return F.broadcast(df) if rows <= SMALL and (size or 0) <= SMALL_BYTES else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir; where it is unset on one machine, the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None)

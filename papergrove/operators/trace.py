@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from papergrove.functions import hardware as H
 from papergrove.functions.names import copy_kind, kernel_name, kernel_name_kept
-from papergrove.operators.graph import small
+from papergrove.operators.graph import small_in_bytes
 
 
 def decode(df: DataFrame, names: DataFrame, ident: str, to: str, prefix: str = "") -> DataFrame:
     """df with the name of an id; the id itself, after a prefix, where there is no name."""
-    n = small(names.select(F.col("id").alias("_i"), F.col("value").alias("_v")), names.count())
+    n = small_in_bytes(names.select(F.col("id").alias("_i"), F.col("value").alias("_v")), F.length("_v"))
     return df.join(n, F.col(ident) == F.col("_i"), "left").withColumn(to, F.coalesce("_v", F.concat(F.lit(prefix), F.col(ident).cast("string")))).drop("_i", "_v")
 
 
@@ -42,6 +42,21 @@ def ranges(events: DataFrame, n: int) -> DataFrame:
     return s.orderBy(F.desc("total_ns"), "text").limit(n)
 
 
+def named_ranges(events: DataFrame, names: DataFrame, n: int = 20) -> DataFrame:
+    """By name: closed ranges, their time and mean; the n longest. events: (text_id, text, start, end).
+
+    A range goes by its text id, where it has one, else by its own text; an id's name is that of the table of texts
+    (id, value), or nvtx_ and the id where that has none.
+    """
+    closed = events.where("start IS NOT NULL AND end IS NOT NULL")
+    d = F.col("end") - F.col("start")
+    s = closed.groupBy("text_id", F.when(F.col("text_id").isNull(), F.col("text")).alias("own")).agg(F.count("*").alias("n"), F.sum(d).alias("total_ns"), F.avg(d).alias("avg_ns"))
+    top = s.orderBy(F.desc("total_ns"), "text_id", "own").limit(n)
+    named = top.join(names.select(F.col("id").alias("_i"), F.col("value").alias("_v")), F.col("text_id") == F.col("_i"), "left")
+    name = F.coalesce("_v", "own", F.concat(F.lit("nvtx_"), F.col("text_id").cast("string")))
+    return named.select(name.alias("name"), "n", "total_ns", "avg_ns").orderBy(F.desc("total_ns"), "name")
+
+
 def positive(df: DataFrame, column: str, names: dict[str, str]) -> DataFrame:
     """Rows with more than 0 of a column, and columns by their names for reports."""
     return df.where(F.col(column) > 0).withColumnsRenamed(names)
@@ -66,6 +81,11 @@ def share(total: str, *by: str) -> Column:
     return F.try_divide(100 * F.col(total).cast("double"), F.sum(F.col(total).cast("double")).over(Window.partitionBy(*by)))
 
 
+def rank_by(*order: Column) -> Column:
+    """The place in an order, from 1; for summaries, whose rows are few."""
+    return F.row_number().over(Window.orderBy(*order))
+
+
 def top_per_group(df: DataFrame, by: list[str], order: str, tie: str, n: int) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(F.col(order).desc(), F.col(tie))
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)

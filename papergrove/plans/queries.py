@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papergrove.config import SimConfig
@@ -21,7 +21,7 @@ from papergrove.operators import sampling as S
 from papergrove.operators import scores as C
 from papergrove.operators import trace as T
 from papergrove.operators.store import EdgeStore
-from papergrove.plans import er, simulate
+from papergrove.plans import er, profile, simulate
 from papergrove.sources import fixture as X0
 from papergrove.sources import text
 
@@ -53,14 +53,24 @@ def _r(name: str, digits: int = 9):
 # Ingest
 
 
+def _file(spark, name: str) -> str:
+    return f"{G.shared_dir(spark)}/papergrove/{name}-{uuid.uuid4().hex}.csv"
+
+
 @query
 def scan_nodelist(spark, sf):
-    return X0.raw_nodes(spark, sf)
+    """The nodes, from a file that the query writes."""
+    path = _file(spark, "nodes")
+    text.write_csv(X0.raw_nodes(spark, sf), path, ["#node", "year"])
+    return text.read_nodelist(spark, path).select(F.col("node").alias("id"), "year")
 
 
 @query
 def scan_edgelist(spark, sf):
-    return X0.raw_edges(spark, sf)
+    """The edges, from a file that the sink of edges writes."""
+    path = _file(spark, "edges")
+    text.write_edges(X0.raw_edges(spark, sf).toDF("source", "target"), path)
+    return text.read_edgelist(spark, path).toDF("src", "dst")
 
 
 @query
@@ -266,7 +276,9 @@ def agent_params(spark, sf):
 
 @query
 def fitness_cdf(spark, sf):
-    return A.fitness_cdf(spark, CFG.fitness_max, CFG.fitness_exponent).select("k", _r("hi", 10))
+    """The shares of peak values up to each, and the nodes that drew it."""
+    drawn = A.draw_fitness(spark, X0.raw_nodes(spark, sf), CFG).groupBy(F.col("fitness_peak").alias("k")).agg(F.count("*").alias("nodes"))
+    return A.fitness_cdf(spark, CFG.fitness_max, CFG.fitness_exponent).join(drawn, "k", "left").select("k", _r("hi", 10), F.coalesce("nodes", F.lit(0)).alias("nodes"))
 
 
 @query
@@ -278,7 +290,18 @@ def fitness_draw(spark, sf):
 def planted_nodes(spark, sf):
     _, n, size = _agents(spark, sf)
     rows = spark.range(n, n + size).select("id", (F.col("id") - n).alias("growth_idx"))
-    return A.plant(rows, X0.planted(spark), 1, size)
+    return A.plant(rows, X0.planted_lines(spark, sf), 1, size)
+
+
+@query
+def events_in_ranges(spark, sf):
+    """Launches and the ranges of other events they begin in: ranges of very different lengths."""
+    e = X0.table(spark, sf, "events")
+    i, u = F.col("event_id"), F.col("user_id")
+    lo = (i * 1000 + u * 7).cast("long")
+    spans = e.where("event_id % 3 > 0").select(i.alias("span"), lo.alias("lo"), (lo + F.when(i % 100 == 1, 20_000).otherwise(u % 40 * 50)).alias("hi"))
+    points = X0.kernels(spark, sf).select("event_id", (F.col("start") + F.col("event_id") % 17 * 90).alias("at"))
+    return A.range_join(points, spans, "at", "lo", "hi").select("event_id", "span")
 
 
 # Neighbourhood
@@ -401,7 +424,9 @@ def simulated_attributes(spark, sf):
 
 @query
 def final_graph_size(spark, sf):
-    return spark.createDataFrame([(c, simulate.final_size(491532, 0.03, c)) for c in (3, 10, 30)], "cycles int, nodes long")
+    """The nodes after some years of growth from those there are."""
+    n = _n(X0.raw_nodes(spark, sf))
+    return spark.createDataFrame([(c, simulate.final_size(n, 0.03, c)) for c in (3, 10, 30)], "cycles int, nodes long")
 
 
 @query
@@ -476,6 +501,26 @@ def api_summary(spark, sf):
     return s.select("name", "calls", "total_ns", _r("avg_ns", 6))
 
 
+@query
+def profiler_reports(spark, sf):
+    """The main figures of the five reports of a profiler database that the query writes, and its named ranges."""
+    path = X0.trace_database(spark, sf)
+    found = profile.session(spark, path, H.DEVICES["A30"])
+    row = lambda df, kind, place, name, n, ms, share: df.select(F.lit(kind).alias("report"), place.cast("int").alias("place"), name.cast("string").alias("name"), n.cast("long").alias("n"), F.round(ms.cast("double"), 6).alias("ms"), F.round(share.cast("double"), 6).alias("share"))
+    c, none = F.col, F.lit(None)
+    rows = [
+        row(found["kernels"], "kernels", c("place"), c("Kernel"), c("Launches"), c("Total_ms"), c("pct_GPU")),
+        row(found["occupancy"], "occupancy", c("place"), c("Limiter"), c("Regs"), c("Avg_ms"), c("ThOcc_pct")),
+        row(found["memcpy"], "memcpy", c("place"), c("Kind"), c("Ops"), c("Time_ms"), c("BW_GBs")),
+        row(found["summary"], "summary", F.lit(1), F.lit("session"), c("Kernel_launches"), c("Session_ms"), c("GPU_util_pct")),
+        row(found["summary"], "summary", F.lit(2), F.lit("copies"), none, c("Sync_ms"), c("Memcpy_ovh_pct")),
+        row(found["gpu_util"], "gpu_util", F.lit(1), F.lit(profile.label_of(spark, path)), none, none, c("GPU_util_pct")),
+        row(profile.ranges(spark, path), "ranges", none, c("name"), c("n"), c("total_ns") / 1e6, none),
+        row(profile.capture(spark, path), "capture", none, F.concat_ws("@", "command", "host"), none, none, none),
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query
 def sync_summary(spark, sf):
     k = X0.kernels(spark, sf).withColumn("sync", (F.col("event_id") % 4).cast("int"))
@@ -608,8 +653,9 @@ def divergence_summary(spark, sf):
 def report_cells(spark, sf):
     """Attributes with their defaults, and numbers as reports write them."""
     p = X0.table(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") % 3 > 0, F.col("p_size")).alias("size"), F.when(F.col("p_size") % 5 > 0, F.col("p_retailprice").cast("double")).alias("price"))
-    big = (F.col("p_partkey") * 12_345).cast("double")
-    return p.select("p_partkey", X.attribute_or(F.col("size"), X.UNKNOWN_INT).cast("int").alias("size"), X.attribute_or(F.col("price"), X.UNKNOWN_DOUBLE).alias("price"), X.dash_for_none(F.col("size")).alias("cell"), X.millions(big).alias("count"), X.elapsed(F.col("p_partkey") * 97).alias("elapsed"))
+    big, every = (F.col("p_partkey") * 12_345).cast("double"), Window.partitionBy((F.col("p_partkey") % 3).alias("column"))
+    big = F.when(F.col("p_partkey") % 3 == 0, big).when(F.col("p_partkey") % 3 == 1, F.col("p_partkey") * 2 + 0.5).otherwise((F.col("p_partkey") % 997) / F.lit(8.0))
+    return p.select("p_partkey", X.attribute_or(F.col("size"), X.UNKNOWN_INT).cast("int").alias("size"), X.attribute_or(F.col("price"), X.UNKNOWN_DOUBLE).alias("price"), X.dash_for_none(F.col("size")).alias("cell"), X.by_magnitude(big, F.max(F.abs(big)).over(every)).alias("count"), X.elapsed(F.col("p_partkey") * 97).alias("elapsed"))
 
 
 @query

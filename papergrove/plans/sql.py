@@ -181,9 +181,13 @@ SQL: dict[str, str] = {
     "same_year_flag": f"WITH {AGENTS} SELECT id, same_year FROM agents",
     "same_year_citation": f"WITH {AGENTS} SELECT id, n + {_p('id', chr(39) + 'own' + chr(39))} % delta AS cited FROM agents WHERE same_year",
     "agent_params": f"WITH {AGENTS} SELECT growth_idx, id, generator, same_year, out_degree, pa_weight, rec_weight, fit_weight, alpha FROM agents",
-    "fitness_cdf": f"WITH {CDF} SELECT k, round(hi, 10) AS hi FROM cdf",
+    "fitness_cdf": f"WITH {NODES}, {CDF}, {FIT_U}, hit AS (SELECT fitness_peak, count(*) AS n FROM peaks GROUP BY fitness_peak) SELECT k, round(hi, 10) AS hi, coalesce(n, 0) AS nodes FROM cdf LEFT JOIN hit ON fitness_peak = k",
     "fitness_draw": f"WITH {NODES}, {CDF}, {FIT_U} SELECT id, fitness_peak FROM peaks",
-    "planted_nodes": "WITH plan(line_no, lag, peak, dur, lo, hi) AS (VALUES (1, 0, 900, 5, 0, 3), (2, 2, 500, 3, 3, 5)), size AS (SELECT count(*) AS n FROM orders) SELECT n + g AS id, line_no, lag, peak, dur FROM size, (SELECT unnest(range(5)) AS g) JOIN plan ON g >= lo AND g < hi",
+    "planted_nodes": """WITH size AS (SELECT count(*) AS n FROM orders), lines AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS line_no, s_suppkey % 4 AS lag, 1 + s_suppkey * 37 % 1000 AS peak, 1 + s_suppkey % 6 AS dur, 1 + s_suppkey % 3 + s_suppkey % 2 AS c FROM supplier WHERE s_suppkey % 3 = 0),
+      plan AS (SELECT *, sum(c) OVER (ORDER BY line_no) - c AS lo, sum(c) OVER (ORDER BY line_no) AS hi FROM lines)
+      SELECT n + g AS id, line_no, lag, peak, dur FROM size, (SELECT unnest(range((SELECT max(hi) FROM plan)::BIGINT)) AS g) JOIN plan ON g >= lo AND g < hi""",
+    "events_in_ranges": f"""WITH {KERNEL}, span AS (SELECT event_id AS span, event_id * 1000 + user_id * 7 AS lo, event_id * 1000 + user_id * 7 + CASE WHEN event_id % 100 = 1 THEN 20000 ELSE user_id % 40 * 50 END AS hi FROM events WHERE event_id % 3 > 0)
+      SELECT event_id, span FROM (SELECT event_id, start + event_id % 17 * 90 AS p FROM kernel) k JOIN span ON p >= lo AND p < hi""",
     "one_hop": f"WITH {GRAPH}, {STARTS}, {HOPS} SELECT g, n FROM hops WHERE hop = 1",
     "two_hop": f"WITH {GRAPH}, {STARTS}, {HOPS} SELECT g, n FROM hops WHERE hop = 2",
     "hop_sizes": f"WITH {GRAPH}, {STARTS}, {HOPS} SELECT g, count(*) FILTER (hop = 1) AS h1, count(*) FILTER (hop = 2) AS h2 FROM hops GROUP BY g",
@@ -192,7 +196,7 @@ SQL: dict[str, str] = {
     "uniform_fill": f"WITH {GRAPH}, {AGENTS}, {QUOTA}, need AS (SELECT id, random FROM quota), taken AS (SELECT id, generator AS node FROM quota), {FILL % '((SELECT n FROM size) - 1)'} SELECT id, node FROM fill",
     "simulate_one_year": f"WITH {EPOCH} SELECT src, dst, kind FROM epoch",
     "epoch_edges": f"WITH {EPOCH} SELECT kind, count(*) AS edges FROM epoch GROUP BY kind",
-    "final_graph_size": "WITH RECURSIVE g(c, n) AS (SELECT 0, 491532::BIGINT UNION ALL SELECT c + 1, n + ceil(n * 0.03::DOUBLE)::BIGINT FROM g WHERE c < 30) SELECT c AS cycles, n AS nodes FROM g WHERE c IN (3, 10, 30)",
+    "final_graph_size": "WITH RECURSIVE g(c, n) AS (SELECT 0, count(*) FROM orders UNION ALL SELECT c + 1, n + ceil(n * 0.03::DOUBLE)::BIGINT FROM g WHERE c < 30) SELECT c AS cycles, n AS nodes FROM g WHERE c IN (3, 10, 30)",
     "er_gnp_edges": _gaps("0.001::DOUBLE"),
     "er_edges_per_node": _gaps("4::DOUBLE / n"),
     "simulate_second_year": _second_year(),
@@ -206,6 +210,16 @@ SQL: dict[str, str] = {
     "general_format": "SELECT l_orderkey, l_linenumber, printf('%.10g', round_even(l_extendedprice::DOUBLE * pow(10::DOUBLE, l_linenumber * 5 - 20) * CASE WHEN l_orderkey % 2 = 0 THEN -1 ELSE 1 END, 12)) AS text FROM lineitem",
     "trace_string_join": f"WITH {KERNEL} SELECT event_id, name, fin - start AS ns FROM kernel",
     "kernel_summary": f"WITH {KERNEL}, k AS (SELECT *, (fin - start)::DOUBLE AS d FROM kernel) SELECT name, count(*) AS calls, round(sum(d), 6) AS total_ns, round(avg(d), 6) AS avg_ns, round(min(d), 6) AS min_ns, round(max(d), 6) AS max_ns, round(avg(regs), 6) AS avg_regs, round(avg(block), 6) AS avg_block, round(avg(grid), 6) AS avg_grid FROM k GROUP BY name",
+    "profiler_reports": f"""WITH {LAUNCH}, k AS (SELECT name, any_value(short) AS short, count(*) AS n, sum(fin - start)::BIGINT AS ns, avg(fin - start) AS mean, floor(avg(regs))::BIGINT AS regs, floor(avg(block_x))::BIGINT AS block, floor(avg(shared_static))::BIGINT + floor(avg(shared_dynamic))::BIGINT AS shared FROM launch GROUP BY name),
+      kp AS (SELECT *, row_number() OVER (ORDER BY ns DESC, name) AS place, sum(ns) OVER () AS total FROM k), c AS (SELECT (event_id % 16)::INT AS kind, count(*) AS ops, sum(floor(abs(value) * 1000))::BIGINT AS bytes, sum(user_id % 50)::BIGINT AS ns FROM events GROUP BY 1),
+      one AS (SELECT (SELECT max(event_id) * 2000 FROM events)::DOUBLE AS session, (SELECT sum(ns) FROM k)::DOUBLE AS kernel, (SELECT sum(n) FROM k) AS launches, (SELECT sum(ns) FROM c)::DOUBLE AS copies, (SELECT sum(event_id % 7) FROM events)::DOUBLE AS sync)
+      SELECT 'kernels' AS report, place::INT AS place, short AS name, n, round(ns / 1e6::DOUBLE, 6) AS ms, round(round_even(100 * ns / total::DOUBLE, 2), 6) AS share FROM kp
+      UNION ALL SELECT 'occupancy', place, CASE WHEN regs > 40 THEN 'reg' WHEN shared > 0 THEN 'shmem' WHEN block < 64 THEN 'block' ELSE 'thr' END, regs, round(mean / 1e6::DOUBLE, 6), CASE WHEN block = 0 THEN 0 ELSE {_percent('regs', 'block', 'shared', 48, *DEVICE_ROW)} END FROM kp
+      UNION ALL SELECT 'memcpy', row_number() OVER (ORDER BY bytes DESC, kind), ['Unknown', 'H2D', 'D2H', 'H2A', 'A2H', 'A2A', 'A2D', 'D2A', 'D2D', 'H2H', 'P2P', 'UVM_H2D', 'UVM_D2H', 'UVM_D2D', 'kind14', 'kind15'][kind + 1], ops, round(ns / 1e6::DOUBLE, 6), round(CASE WHEN ns > 0 THEN bytes / ns::DOUBLE ELSE 0 END, 6) FROM c
+      UNION ALL SELECT 'summary', 1, 'session', launches, round(session / 1e6::DOUBLE, 6), round_even(kernel / (0.8::DOUBLE * session) * 100, 2) FROM one UNION ALL SELECT 'summary', 2, 'copies', NULL, round(sync / 1e6::DOUBLE, 6), round_even(copies / kernel * 100, 2) FROM one
+      UNION ALL SELECT 'gpu_util', 1, '3y/6%', NULL, NULL, round_even(kernel / session * 100, 2) FROM one
+      UNION ALL (SELECT 'ranges', NULL, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN concat('nvtx_', 900 + user_id % 3) ELSE concat('own', user_id % 2) END AS name, count(*), round(sum(user_id) / 1e6::DOUBLE, 6) AS ms, NULL FROM events WHERE event_id % 11 > 0 AND event_id % 9 > 0 GROUP BY 3 ORDER BY ms DESC, name LIMIT 20)
+      UNION ALL SELECT 'capture', NULL, 'grow --a b@node7', NULL, NULL, NULL""",
     "memcpy_summary": f"WITH {COPY} SELECT kind, {_KIND} AS name, count(*) AS ops, sum(bytes)::BIGINT AS bytes, sum(dur)::BIGINT AS total, round(avg(bytes), 6) AS mean, max(bytes) AS largest, round(CASE WHEN sum(dur) > 0 THEN sum(bytes)::DOUBLE / sum(dur)::DOUBLE ELSE 0 END, 6) AS bandwidth FROM copy GROUP BY kind",
     "memset_total": f"WITH {COPY} SELECT count(*) AS ops, coalesce(sum(bytes), 0)::BIGINT AS bytes, coalesce(sum(dur), 0)::BIGINT AS total FROM copy WHERE kind = 7",
     "api_summary": f"WITH {STRINGS}, calls AS (SELECT 1 + event_id % 9 AS name_id, event_id % 37 AS ns FROM events) SELECT coalesce(value, concat('api_', name_id)) AS name, count(*) AS calls, sum(ns)::BIGINT AS total_ns, round(avg(ns), 6) AS avg_ns FROM calls LEFT JOIN strings ON id = name_id GROUP BY name_id, value",
@@ -231,7 +245,7 @@ SQL: dict[str, str] = {
       r AS (SELECT kernel, CASE WHEN n <> 7 THEN q % 33 END AS active, CASE WHEN kernel <> 'AF' THEN q % 32 END AS pred_on, CASE WHEN kernel <> 'NO' THEN 50 + q END AS uniform, q + n AS targets, CASE WHEN n > 1 THEN floor(q / 3) END AS divergent, CASE WHEN kernel = 'RF' AND n = 2 THEN 0 WHEN kernel = 'NF' AND n = 2 THEN 0 ELSE x END AS w FROM b),
       g AS (SELECT kernel, count(*) AS launches, {_WMEAN.format(v='active', w='w')} AS a, {_WMEAN.format(v='pred_on', w='w')} AS p, {_WMEAN.format(v='uniform', w='w')} AS u, sum(coalesce(divergent, 0)) / sum(targets) * 100 AS d FROM r GROUP BY kernel)
       SELECT kernel, launches, round_even(a, 2) AS active_threads_per_warp, round_even(a / 32 * 100, 1) AS thread_util_pct, round_even(p, 2) AS pred_on_threads_per_warp, round_even(p / 32 * 100, 1) AS pred_util_pct, round_even(u, 1) AS branch_uniform_pct, round_even(coalesce(100 - u, d), 1) AS divergence_pct, round_even(d, 1) AS divergence_pct_recomputed FROM g""",
-    "report_cells": "WITH p AS (SELECT p_partkey, CASE WHEN p_size % 3 > 0 THEN p_size END AS size, CASE WHEN p_size % 5 > 0 THEN p_retailprice::DOUBLE END AS price, p_partkey * 12345 AS big, p_partkey * 97 AS s FROM part) SELECT p_partkey, coalesce(size, -9999)::INT AS size, coalesce(price, -9999.9::DOUBLE) AS price, coalesce(size::VARCHAR, '-') AS cell, CASE WHEN big >= 1000000 THEN concat(printf('%.2f', big / 1e6::DOUBLE), 'M') ELSE format('{:,}', big) END AS count, concat(s // 86400, '-', s // 3600 % 24, ':', s // 60 % 60, ':', s % 60) AS elapsed FROM p",
+    "report_cells": "WITH p AS (SELECT p_partkey, CASE WHEN p_size % 3 > 0 THEN p_size END AS size, CASE WHEN p_size % 5 > 0 THEN p_retailprice::DOUBLE END AS price, p_partkey % 3 AS kind, CASE p_partkey % 3 WHEN 0 THEN p_partkey * 12345 WHEN 1 THEN p_partkey * 2 + 0.5 ELSE (p_partkey % 997) / 8 END::DOUBLE AS big, p_partkey * 97 AS s FROM part) SELECT p_partkey, coalesce(size, -9999)::INT AS size, coalesce(price, -9999.9::DOUBLE) AS price, coalesce(size::VARCHAR, '-') AS cell, CASE WHEN max(abs(big)) OVER same > 1e6 THEN concat(printf('%.2f', big / 1e6::DOUBLE), 'M') WHEN max(abs(big)) OVER same > 1e3 THEN printf('%.0f', big) ELSE printf('%.2f', big) END AS count, concat(s // 86400, '-', s // 3600 % 24, ':', s // 60 % 60, ':', s % 60) AS elapsed FROM p WINDOW same AS (PARTITION BY kind)",
     "baseline_delta": f"WITH {METRIC}, m AS (SELECT kernel, scenario, avg(value) AS mean FROM metric GROUP BY ALL) SELECT m.kernel, m.scenario, round(m.mean, 9) AS mean, round(m.mean - b.mean, 9) AS delta FROM m LEFT JOIN m b ON b.kernel = m.kernel AND b.scenario = 'F'",
     "health_flags": f"WITH {KERNEL} SELECT event_id, {_percent('regs', 'block', 'shmem', 64, *H100)} < 25 AS low_occupancy, event_id % 20 < 10 AS low_bandwidth, grid / 132::DOUBLE < 1 AS few_waves, regs > 64 AS many_registers, event_id % 100 < 50 AS low_l2 FROM kernel",
     "clean_numeric": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN (1000 + o_orderkey % 1000)::DOUBLE + 0.5::DOUBLE END AS value FROM orders",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sqlite3
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +53,13 @@ def planted(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(1, 1, 0, 900, 5, 3), (1, 2, 2, 500, 3, 2), (2, 3, 0, 1000, 1, 4)], "year int, line_no int, lag int, peak int, dur int, count int")
 
 
+def planted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan of a line for each supplier, over three years."""
+    k = F.col("s_suppkey")
+    number = F.row_number().over(Window.partitionBy(k % 3).orderBy(k)).cast("int")
+    return table(spark, sf_dir, "supplier").select((1 + k % 3).cast("int").alias("year"), number.alias("line_no"), (k % 4).cast("int").alias("lag"), (1 + k * 37 % 1000).cast("int").alias("peak"), (1 + k % 6).cast("int").alias("dur"), (1 + k % 3 + k % 2).cast("int").alias("count"))
+
+
 def strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, value): a kernel's signature for each event type."""
     kinds = table(spark, sf_dir, "events").select("event_type").distinct()
@@ -114,3 +124,33 @@ def divergent_launches(spark: SparkSession, sf_dir: str) -> DataFrame:
         kernel.alias("kernel"), F.when(n != 7, q % 33).alias("active"), F.when(kernel != "AF", q % 32).alias("pred_on"), F.when(kernel != "NO", 50 + q).alias("uniform"),
         (q + n).alias("targets"), F.when(n > 1, F.floor(q / 3).cast("double")).alias("divergent"), F.when((kernel == "RF") & (n == 2), F.lit(None).cast("double")).when((kernel == "NF") & (n == 2), 0.0).otherwise(F.col("l_extendedprice").cast("double")).alias("duration"),
     )
+
+
+def trace_database(spark: SparkSession, sf_dir: str) -> str:
+    """A profiler database made of the events: launches, copies, ranges, waits, calls and the device. Its path."""
+    path = f"{tempfile.mkdtemp(prefix='papergrove-')}/trace-3y-6p.sqlite"  # the driver's: it is shipped from there
+    e, i, u = table(spark, sf_dir, "events"), F.col("event_id"), F.col("user_id")
+    kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").collect()]  # a row a type
+    known = F.create_map(*[x for k, s in enumerate(SIGNATURES) for x in (F.lit(s), F.lit(k + 1))])
+    types = F.create_map(*[x for k, t in enumerate(kinds) for x in (F.lit(t), F.lit(101 + k))])
+    launch = launches(spark, sf_dir).select(known[F.col("name")].cast("long"), "start", "end", "regs", "block_x", "grid_x", "shared_static", "shared_dynamic", "local")
+    copy = e.select((i % 16).cast("int"), F.floor(F.abs("value") * 1000).cast("long"), i * 100, i * 100 + u % 50)
+    text_id = F.when(i % 3 == 0, types[F.col("event_type")]).when(i % 3 == 1, (900 + u % 3).cast("int"))
+    ranges = e.select(text_id, F.when(i % 3 == 2, F.concat(F.lit("own"), (u % 2).cast("string"))), F.when(i % 11 > 0, i * 10), F.when(i % 9 > 0, i * 10 + u))
+    tables = {
+        "CUPTI_ACTIVITY_KIND_KERNEL": ("demangledName INTEGER, start INTEGER, end INTEGER, registersPerThread INTEGER, blockX INTEGER, gridX INTEGER, staticSharedMemory INTEGER, dynamicSharedMemory INTEGER, localMemoryPerThread INTEGER", launch),
+        "CUPTI_ACTIVITY_KIND_MEMCPY": ("copyKind INTEGER, bytes INTEGER, start INTEGER, end INTEGER", copy),
+        "NVTX_EVENTS": ("textId INTEGER, text TEXT, start INTEGER, end INTEGER", ranges),
+        "CUPTI_ACTIVITY_KIND_SYNCHRONIZATION": ("syncType INTEGER, start INTEGER, end INTEGER", e.select((i % 4).cast("int"), i, i + i % 7)),
+        "CUPTI_ACTIVITY_KIND_RUNTIME": ("nameId INTEGER, start INTEGER, end INTEGER", e.select((1 + i % 12).cast("int"), i, i + i % 37)),
+        "PROFILER_OVERHEAD": ("start INTEGER, end INTEGER", e.where(i % 4 == 0).select(i, i + i % 5)),
+        "ANALYSIS_DETAILS": ("duration INTEGER, startTime INTEGER, stopTime INTEGER", e.agg(F.max(i) * 2000, F.lit(0), F.lit(1))),
+        "StringIds": ("id INTEGER, value TEXT", spark.createDataFrame([(k + 1, s) for k, s in enumerate(SIGNATURES)] + [(101 + k, t) for k, t in enumerate(kinds)], "id int, value string")),
+        "TARGET_INFO_GPU": ("id INTEGER, memoryBandwidth INTEGER, maxWarpsPerSm INTEGER, maxShmemPerSm INTEGER, threadsPerWarp INTEGER", spark.createDataFrame([(0, 936_000_000_000, 48, 102_400, 32)], "a int, b long, c int, d int, e int")),
+        "META_DATA_CAPTURE": ("name TEXT, value TEXT", spark.createDataFrame([("PROCESS_0:ARGUMENT_0", "--a"), ("PROCESS_0:COMMAND", "grow"), ("PROCESS_0:ARGUMENT_1", "b"), ("DEVICE_DISPLAY_NAME", "node7")], "a string, b string")),
+    }
+    with sqlite3.connect(path) as c:
+        for name, (columns, rows) in tables.items():
+            c.execute(f"CREATE TABLE {name} ({columns})")
+            c.executemany(f"INSERT INTO {name} VALUES ({', '.join('?' * len(rows.columns))})", (tuple(r) for r in rows.toLocalIterator()))
+    return path

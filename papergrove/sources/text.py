@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import csv
+import uuid
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papergrove.functions.names import METRICS, file_agents, file_years
-from papergrove.functions.scalar import clean_number, general, lenient_int, node_type
+from papergrove.functions.scalar import clean_number, general, lenient_int, lenient_long, node_type
 from papergrove.operators.graph import dense_ids
 
 #: The header of the edge sink, the columns of the node sink, and what a seed has in them.
@@ -39,14 +42,14 @@ def read_edgelist(spark: SparkSession, path: str) -> DataFrame:
     """(source, target), repeated rows included; a first field that begins with # is a comment."""
     sep = sniff(spark, path)
     parts = F.split("line", "\\t" if sep == "\t" else sep)
-    return _lines(spark, path).select(lenient_int(parts[0]).alias("source"), lenient_int(F.get(parts, F.lit(1))).alias("target"))
+    return _lines(spark, path).select(lenient_long(parts[0]).alias("source"), lenient_long(F.get(parts, F.lit(1))).alias("target"))
 
 
 def read_nodelist(spark: SparkSession, path: str) -> DataFrame:
     """(node, year); of a repeated node the last row counts."""
     sep = sniff(spark, path)
     parts = F.split("line", "\\t" if sep == "\t" else sep)
-    rows = _lines(spark, path).select(lenient_int(parts[0]).alias("node"), lenient_int(F.get(parts, F.lit(1))).alias("year"), "at")
+    rows = _lines(spark, path).select(lenient_long(parts[0]).alias("node"), lenient_int(F.get(parts, F.lit(1))).alias("year"), "at")
     return rows.groupBy("node").agg(F.max_by("year", "at").alias("year"))
 
 
@@ -156,16 +159,62 @@ def edge_frame(edges: DataFrame, idmap: DataFrame) -> DataFrame:
     return edges.join(s, "src").join(d, "dst").select("source", "target")
 
 
-def write_edges(edges: DataFrame, path: str) -> None:
-    """CSV lines under the header `#source,target`, sorted by both: the header is a comment to the reader."""
-    head = edges.sparkSession.range(1).select(F.lit(0).alias("k"), F.lit(None).cast("long").alias("source"), F.lit(None).cast("long").alias("target"), F.lit(",".join(EDGE_HEADER)).alias("line"))
-    lines = edges.select(F.lit(1).alias("k"), F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target"), F.concat_ws(",", "source", "target").alias("line"))
-    head.unionByName(lines).orderBy("k", "source", "target").select("line").write.mode("overwrite").text(path)
+def join_parts(spark: SparkSession, folder: str, path: str, header: str | None = None) -> None:
+    """The part files of a folder, in their order, as one file under a header line; the folder is deleted.
+
+    A file system that can join files does so without moving a byte; elsewhere they are copied in buffers, never whole.
+    The file takes its name when it is complete.
+    """
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    Path = jvm.org.apache.hadoop.fs.Path
+    source, whole = Path(folder), Path(f"{path}.joining")
+    fs, to = source.getFileSystem(conf), Path(path).getFileSystem(conf)
+    parts = [f.getPath() for f in fs.listStatus(source) if f.getPath().getName().startswith("part-") and f.getLen()]
+    parts.sort(key=lambda p: int(p.getName().split("-")[1].split(".")[0]))
+
+    def begun():
+        out = to.create(whole, True)
+        if header is not None:
+            out.write(bytearray((header + "\n").encode()))
+        return out
+
+    begun().close()
+    if parts and not (header is not None and to.getUri().equals(fs.getUri()) and _concatenated(spark, to, whole, parts)):
+        out = begun()
+        for p in parts:
+            part = fs.open(p)
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+            part.close()
+        out.close()
+    to.delete(Path(path), True)
+    to.rename(whole, Path(path))
+    fs.delete(source, True)
+
+
+def _concatenated(spark: SparkSession, fs, whole, parts: list) -> bool:
+    """Whether the file system appended the parts to a file by itself."""
+    array = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Path, len(parts))
+    for k, p in enumerate(parts):
+        array[k] = p
+    try:
+        fs.concat(whole, array)
+        return True
+    except (Py4JJavaError, PySparkException):  # not every one can
+        return False
+
+
+def write_csv(df: DataFrame, path: str, header: list[str] | None = None) -> None:
+    """df, in its order, as one CSV file under its header: written in parts, which are then joined."""
+    spark = df.sparkSession
+    parts = f"{path}.parts-{uuid.uuid4().hex}"
+    df.write.option("emptyValue", "").csv(parts)
+    join_parts(spark, parts, path, ",".join(header or df.columns))
 
 
-def show_edges(edges: DataFrame, n: int = 20) -> None:
-    """The first edges in order, to the screen."""
-    edges.orderBy("src", "dst").show(n, truncate=False)
+def write_edges(edges: DataFrame, path: str) -> None:
+    """One CSV file under the header `#source,target`, sorted by both: the header is a comment to the reader."""
+    rows = edges.select(F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target"))
+    write_csv(rows.orderBy("source", "target"), path, list(EDGE_HEADER))
 
 
 def attribute_frame(nodes: DataFrame) -> DataFrame:
@@ -185,4 +234,5 @@ def attribute_frame(nodes: DataFrame) -> DataFrame:
 
 
 def write_attributes(nodes: DataFrame, path: str) -> None:
-    attribute_frame(nodes).orderBy("node_id").write.mode("overwrite").csv(path, header=True)
+    """One CSV file with header, sorted by node."""
+    write_csv(attribute_frame(nodes).orderBy("node_id"), path, NODE_HEADER)
