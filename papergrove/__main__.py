@@ -75,21 +75,21 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         start = nodes.count()
         log(f"final graph size is {simulate.final_size(start, cfg.growth_rate, cfg.num_cycles)}")
         years: list[tuple[str, float]] = []
-        last = [time.monotonic()]
+        last, phases = [time.monotonic()], G.Phases()
 
         def told(line: str) -> None:
             log(line)
             years.append((line.partition(":")[0], time.monotonic() - last[0]))
             last[0] = time.monotonic()
 
-        all_nodes, all_edges = simulate.run(spark, nodes, edges, cfg, G.cut(bag, "bag"), recency, planted, told)
+        all_nodes, all_edges = simulate.run(spark, nodes, edges, cfg, G.cut(bag, "bag"), recency, planted, told, phases)
         log("finished sim")
         named, out_edges = grown(all_nodes, idmap, all_edges)
         text.write_edges(out_edges, args.output_file)
         text.write_attributes(named, args.auxiliary_information_file)
         log("wrote graph")
         if years:
-            for line in M.epoch_report(spark, years, all_edges.where("cycle > 0").count()):
+            for line in M.epoch_report(spark, years, phases.rows):
                 log(line, DEBUG)
         log(f"E2E time for {cfg.num_cycles} cycles with growth rate {100 * cfg.growth_rate:g} % = {int(time.monotonic() - began)} seconds")
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -59,6 +61,30 @@ def cut(df: DataFrame, name: str, held: list[DataFrame] | None = None) -> DataFr
     return table
 
 
+class Phases:
+    """What a run's written steps took: (label, phase, seconds, rows), rows counted by the jobs that write them."""
+
+    def __init__(self) -> None:
+        self.label = ""
+        self.rows: list[tuple[str, str, float, int]] = []
+
+    def cut(self, df: DataFrame, name: str, held: list[DataFrame] | None = None, phase: str | None = None) -> DataFrame:
+        """cut(), timed and counted as a phase of the current label."""
+        seen, began = Observation(), time.monotonic()
+        table = cut(df.observe(seen, F.count(F.lit(1)).alias("n")), name, held)
+        self.rows.append((self.label, phase or name, time.monotonic() - began, seen.get["n"]))
+        return table
+
+    def last(self) -> int:
+        """The rows of the step that was written last."""
+        return self.rows[-1][3]
+
+    def timed(self, phase: str, work: Callable[[], None], rows: int = 0) -> None:
+        began = time.monotonic()
+        work()
+        self.rows.append((self.label, phase, time.monotonic() - began, rows))
+
+
 def dense_ids(ids: DataFrame, column: str = "id") -> DataFrame:
     """(orig_id, seq_id): dense numbers from 0 in ascending order of the id.
 

@@ -102,10 +102,21 @@ def breakdown(total: Column, *parts: Column) -> Column:
     return F.greatest(rest, F.lit(0.0))
 
 
-def epoch_report(spark: SparkSession, years: list[tuple[str, float]], edges: int) -> list[str]:
-    """Lines about a run's years (label, seconds): statistics, each year's share, and edges a second."""
-    rows = spark.createDataFrame(years, "phase string, seconds double")
+def epoch_report(spark: SparkSession, years: list[tuple[str, float]], phases: list[tuple[str, str, float, int]]) -> list[str]:
+    """Lines about a run's years (label, seconds) and their phases (label, phase, seconds, rows).
+
+    Statistics of the years; each year's share and what its phases leave of it; each phase's statistics and share; and
+    the edges of all years with their rate, as the phase that wrote them counted them.
+    """
+    rows, parts = spark.createDataFrame(years, "label string, seconds double"), spark.createDataFrame(phases, "label string, phase string, seconds double, rows long")
     s = rows.agg(*running_stats("seconds")).first()
     lines = [f"years: total={s['total']:.1f} s mean={s['mean']:.1f} std={s['std']:.1f} min={s['least']:.1f} max={s['largest']:.1f}"]
-    lines += [f"{r['phase']}: {r['seconds']:.1f} s ({r['percent'] or 0:.1f} %)" for r in distribution(rows, "phase", "seconds").orderBy("phase").collect()]
+    inside = parts.groupBy("label").agg(F.sum("seconds").alias("inside"), F.sum(F.when(F.col("phase") == "edges", F.col("rows"))).alias("edges"))
+    by_year = distribution(rows, "label", "seconds").join(inside, "label", "left").select("label", "seconds", "percent", breakdown(F.col("seconds"), F.coalesce("inside", F.lit(0.0))).alias("residual"), F.coalesce("edges", F.lit(0)).alias("edges")).orderBy("label")
+    for r in by_year.collect():  # a row a year
+        lines.append(f"{r['label']}: {r['seconds']:.1f} s ({r['percent'] or 0:.1f} %), {r['residual']:.1f} s residual, {r['edges']} edges")
+    by_phase = parts.groupBy("phase").agg(*running_stats("seconds"), F.sum("rows").alias("rows")).withColumn("percent", F.lit(100.0) * F.try_divide(F.col("total"), F.lit(s["total"] or 0.0)))
+    for r in by_phase.orderBy(F.desc("total"), "phase").collect():  # a row a phase
+        lines.append(f"phase {r['phase']}: {r['total']:.1f} s ({r['percent'] or 0:.1f} %) mean={r['mean']:.2f} std={r['std']:.2f} min={r['least']:.2f} max={r['largest']:.2f}, {r['rows']} rows")
+    edges = sum(n for _, phase, _, n in phases if phase == "edges")
     return [*lines, f"{edges} new edges, {edges / s['total'] if s['total'] else 0:.0f} a second"]

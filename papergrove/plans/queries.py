@@ -20,6 +20,7 @@ from papergrove.operators import metrics as M
 from papergrove.operators import sampling as S
 from papergrove.operators import scores as C
 from papergrove.operators import trace as T
+from papergrove.operators.kept import KeptStatistics
 from papergrove.operators.store import EdgeStore
 from papergrove.plans import er, profile, simulate
 from papergrove.sources import fixture as X0
@@ -198,6 +199,18 @@ def graph_statistics(spark, sf):
     return G.statistics(spark, X0.raw_nodes(spark, sf), X0.raw_edges(spark, sf))
 
 
+@query
+def statistics_by_year(spark, sf):
+    """The same report, kept over the years in which the nodes came."""
+    n, e = X0.raw_nodes(spark, sf), X0.raw_edges(spark, sf)
+    e = G.cut(e.join(n.select(F.col("id").alias("src"), "year"), "src"), "dated")
+    first = n.agg(F.min("year")).first()[0]
+    kept = KeptStatistics(spark, n.where(F.col("year") <= first).select("id"), e.where(F.col("year") <= first).select("src", "dst"))
+    for (year,) in n.select("year").distinct().where(F.col("year") > first).orderBy("year").collect():  # a row a year
+        kept.add(n.where(F.col("year") == year).select("id"), e.where(F.col("year") == year).select("src", "dst"))
+    return kept.report()
+
+
 @query
 def giant_component(spark, sf):
     g = G.giant_component(G.components(spark, X0.raw_nodes(spark, sf), G.undirected(X0.raw_edges(spark, sf))))

@@ -55,7 +55,7 @@ def keyed(rows: DataFrame, node: str, scores: DataFrame, n: int, cfg: SimConfig)
     return rated.select("id", F.col(node).alias("node"), "most", S.sampling_key(cfg.seed, F.col("id"), F.col(node), F.col("score")).alias("key"))
 
 
-def near(agents: DataFrame, size: int, store: EdgeStore, scores: DataFrame, n: int, cfg: SimConfig, bound: int, held: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+def near(agents: DataFrame, size: int, store: EdgeStore, scores: DataFrame, n: int, cfg: SimConfig, bound: int, held: list[DataFrame], phases: G.Phases) -> tuple[DataFrame, DataFrame]:
     """The agents with their quotas, and (id, node, hop): what they cite of their neighbourhoods.
 
     First neighbourhoods are written; second ones never are: their samples say how many each agent found, up to its
@@ -63,37 +63,37 @@ def near(agents: DataFrame, size: int, store: EdgeStore, scores: DataFrame, n: i
     generator together; draws go by ids, so batches change no result.
     """
     batches = math.ceil(size / cfg.max_batch) if cfg.max_batch else 1
-    agents, scores = G.cut(agents, "agents", held), G.cut(scores, "scores", held)
+    agents, scores = phases.cut(agents, "agents", held), phases.cut(scores, "scores", held)
     parts: list[tuple[DataFrame, DataFrame]] = []
     for b in range(batches):
         own = agents.where(F.pmod(F.xxhash64("generator"), F.lit(batches)) == b) if batches > 1 else agents
         wide: list[DataFrame] = []
-        first = G.cut(first_hop(own.select("id", F.col("generator").alias("g")), store, size), "first", wide)
-        count = first.count()
+        first = phases.cut(first_hop(own.select("id", F.col("generator").alias("g")), store, size), "first", wide, "neighbours")
+        count = phases.last()
         inner = S.inner_quotas(own, first.groupBy("id").agg(F.count("*").alias("h1")), cfg.fully_random_citations)
         one = first.join(inner.where("inside > 0").select("id", F.col("inside").alias("most"), *A.WEIGHTS), "id")
         two = second_hop(first, inner.where("need > 0").select("id", F.col("need").alias("most"), *A.WEIGHTS), store, count)
         found = S.top_by_key(keyed(one, "n", scores, n, cfg), ["id"], "key", "node", "most", bound).select("id", "node", F.lit(1).alias("hop"))
         found = found.unionByName(S.top_by_key(keyed(two, "v", scores, n, cfg), ["id"], "key", "node", "most", bound).select("id", "node", F.lit(2).alias("hop")))
-        found = G.cut(found, "picked", held)
+        found = phases.cut(found, "picked", held, "picks")
         quota = S.outer_quotas(inner, found.where("hop = 2").groupBy("id").agg(F.count("*").alias("h2")))
-        parts.append((G.cut(quota, "quotas", held), found))
+        parts.append((phases.cut(quota, "quotas", held), found))
         G.drop(*wide)
     return tuple(reduce(DataFrame.unionByName, p) for p in zip(*parts))
 
 
-def epoch(spark: SparkSession, nodes: DataFrame, store: EdgeStore, n: int, year: int, cfg: SimConfig, bag: DataFrame, recency: DataFrame, degrees: DataFrame, held: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame, int]:
+def epoch(spark: SparkSession, nodes: DataFrame, store: EdgeStore, n: int, year: int, cfg: SimConfig, bag: DataFrame, recency: DataFrame, degrees: DataFrame, held: list[DataFrame] | None = None, phases: G.Phases | None = None) -> tuple[DataFrame, DataFrame, int]:
     """A year's new edges (src, dst, kind), its agents with their quotas, and how many they are.
 
     The store has the edges so far, which degrees count. The tables that edges and agents are read from are added to
     `held`, for the caller to drop.
     """
-    held = [] if held is None else held
+    held, phases = [] if held is None else held, phases or G.Phases()
     size = math.ceil(n * cfg.growth_rate)
     bag_stats = bag.agg(F.count("*"), F.max("out_degree")).first()
     agents = A.cohort(spark, n, size, cfg, bag, bag_stats[0])
     scores = scored(nodes, degrees, recency, year)
-    quota, found = near(agents, size, store, scores, n, cfg, int(bag_stats[1] or 0), held)
+    quota, found = near(agents, size, store, scores, n, cfg, int(bag_stats[1] or 0), held, phases)
     own = quota.where("same_year").select("id", (F.lit(n) + pick(cfg.seed, F.col("id"), size, "own")).alias("node"))
     if not cfg.allow_self_loop:
         own = own.where("node <> id")
@@ -114,13 +114,14 @@ def with_fitness(spark: SparkSession, nodes: DataFrame, cfg: SimConfig) -> DataF
 AGENT = {"generator": "long", "out_degree": "int", "pa_weight": "double", "rec_weight": "double", "fit_weight": "double", "alpha": "double"}
 
 
-def run(spark: SparkSession, nodes: DataFrame, edges: DataFrame, cfg: SimConfig, bag: DataFrame, recency: DataFrame, planted: DataFrame | None = None, log: Callable[[str], None] = lambda text: None) -> tuple[DataFrame, DataFrame]:
+def run(spark: SparkSession, nodes: DataFrame, edges: DataFrame, cfg: SimConfig, bag: DataFrame, recency: DataFrame, planted: DataFrame | None = None, log: Callable[[str], None] = lambda text: None, phases: G.Phases | None = None) -> tuple[DataFrame, DataFrame]:
     """All cycles from nodes (id, year) with dense ids and edges (src, dst): the final nodes and edges.
 
     Nodes and edges have the cycle they came in (0: seed); nodes have their type, fitness and an agent's attributes
     (out_degree is as `assigned_out_degree`). Each cycle adds written tables; earlier ones are not written again.
-    Degrees are kept, and refreshed by a year's edges alone.
+    Degrees are kept, and refreshed by a year's edges alone. `phases` takes each year's times and counts.
     """
+    phases = phases or G.Phases()
     agent = {("assigned_out_degree" if c == "out_degree" else c): F.lit(None).cast(k) for c, k in AGENT.items()}
     nodes = G.cut(with_fitness(spark, nodes, cfg).withColumns({"cycle": F.lit(0), "type": F.lit(0), "planted_line": F.lit(None).cast("int"), **agent}), "nodes")
     edges = G.cut(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct().select("src", "dst", F.lit("seed").alias("kind"), F.lit(0).alias("cycle")), "edges")
@@ -130,6 +131,7 @@ def run(spark: SparkSession, nodes: DataFrame, edges: DataFrame, cfg: SimConfig,
     store.add(edges, degrees)
     for cycle in range(1, cfg.num_cycles + 1):
         year, held = first + cycle, []
+        phases.label = f"year {year}"
         if cfg.model == "er-gnp":
             from papergrove.plans import er
 
@@ -137,9 +139,9 @@ def run(spark: SparkSession, nodes: DataFrame, edges: DataFrame, cfg: SimConfig,
             new = er.cohort_edges(spark, n, size, cfg)
             quota = spark.range(n, n + size).select("id", *[F.lit(None).cast(k).alias(c) for c, k in AGENT.items()])
         else:
-            new, quota, size = epoch(spark, nodes, store, n, year, cfg, bag, recency, degrees, held)
-        new = G.cut(new.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "kind").withColumn("cycle", F.lit(cycle)), "edges")
-        edges = edges.unionByName(new)
+            new, quota, size = epoch(spark, nodes, store, n, year, cfg, bag, recency, degrees, held, phases)
+        new = phases.cut(new.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "kind").withColumn("cycle", F.lit(cycle)), "edges")
+        edges, made = edges.unionByName(new), phases.last()
         born = with_fitness(spark, quota.select("id", F.lit(year).alias("year")), cfg).withColumns({"cycle": F.lit(cycle), "type": F.lit(1)})
         born = born.join(quota.select("id", *AGENT).withColumnRenamed("out_degree", "assigned_out_degree"), "id")
         if planted is not None:
@@ -147,11 +149,11 @@ def run(spark: SparkSession, nodes: DataFrame, edges: DataFrame, cfg: SimConfig,
             born = born.join(own, "id", "left").withColumns({"fitness_lag": F.coalesce("lag", "fitness_lag"), "fitness_peak": F.coalesce("peak", "fitness_peak"), "fitness_duration": F.coalesce("dur", "fitness_duration"), "planted_line": F.col("line_no")})
         else:
             born = born.withColumn("planted_line", F.lit(None).cast("int"))
-        born = G.cut(born.select(*nodes.columns), "nodes")
+        born = phases.cut(born.select(*nodes.columns), "nodes")
         nodes, was = nodes.unionByName(born), degrees
         none = F.lit(0).cast("long")
-        degrees = G.cut(G.refresh_degrees(degrees.unionByName(born.select("id", none.alias("in_degree"), none.alias("out_degree"))), new), "degrees")
-        store.add(new, degrees)
+        degrees = phases.cut(G.refresh_degrees(degrees.unionByName(born.select("id", none.alias("in_degree"), none.alias("out_degree"))), new), "degrees")
+        phases.timed("store", lambda new=new, degrees=degrees: store.add(new, degrees), made)
         G.drop(was, *held)
         n += size
         log(f"year {year}: {size} nodes")

@@ -262,3 +262,4 @@ SQL: dict[str, str] = {
     "time_distribution": f"WITH {PHASE} SELECT phase, round(sum(seconds), 6) AS seconds, round(100 * sum(seconds) / sum(sum(seconds)) OVER (), 9) AS percent FROM phases GROUP BY phase",
     "pipeline_breakdown": f"WITH {PHASE}, p AS (SELECT sum(seconds) AS total, " + ", ".join(f"sum(seconds) FILTER (phase = 'phase{k}') AS p{k}" for k in (1, 2, 3)) + ", sum(bytes)::DOUBLE AS edges FROM phases) SELECT total, p1, p2, p3, greatest(total - p1 - p2 - p3, 0) AS unaccounted, round(coalesce(edges / total, 0), 6) AS rate FROM p",
 }
+SQL["statistics_by_year"] = SQL["graph_statistics"]

@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from papergrove.operators import graph as G
+from papergrove.operators import metrics as M
 from papergrove.operators import sampling as S
+from papergrove.operators.kept import KeptStatistics
 from papergrove.operators.store import EdgeStore, buckets_for
 from papergrove.plans import simulate
 
@@ -123,3 +125,34 @@ def test_fills_by_rank_are_one_plan(spark, tmp_path, monkeypatch):
     for r in S.uniform_fill(spark, a, a.select("id", F.col("id").alias("node")), 80, 7, 0).collect():
         got.setdefault(r["id"], set()).add(r["node"])
     assert all(len(v) == 60 and k not in v and max(v) < 80 and min(v) >= 0 for k, v in got.items())
+
+
+def test_kept_statistics_are_those_of_the_whole_graph(spark):
+    rng = random.Random(11)
+    nodes, edges, kept = list(range(20)), [(k, k // 2) for k in range(1, 12)], None
+    for year in range(4):
+        if year:
+            born = list(range(len(nodes), len(nodes) + 8))
+            new = sorted({(rng.choice(born), rng.choice(nodes + born)) for _ in range(14)} - set(edges))
+            kept.add(spark.createDataFrame([(b,) for b in born], "id long"), edges_of(spark, new))
+            nodes, edges = nodes + born, edges + new
+        else:
+            kept = KeptStatistics(spark, spark.createDataFrame([(k,) for k in nodes], "id long"), edges_of(spark, edges))
+        n, e = spark.createDataFrame([(k,) for k in nodes], "id long"), edges_of(spark, edges)
+        assert {r[0]: r[1] for r in kept.report().collect()} == pytest.approx({r[0]: r[1] for r in G.statistics(spark, n, e).collect()}, abs=1e-8)
+        assert {tuple(r) for r in kept.roots.collect()} == {tuple(r) for r in G.components(spark, n, G.undirected(e)).collect()}
+        assert sorted(map(tuple, kept.degrees.collect())) == sorted(map(tuple, G.degrees(n, e).collect()))
+    kept.drop()
+
+
+def test_phases_are_counted_by_the_jobs_that_write(spark):
+    phases = G.Phases()
+    phases.label = "year 1"
+    assert phases.cut(spark.range(50), "x", None, "edges").count() == 50 and phases.last() == 50
+    phases.timed("store", lambda: None, 7)
+    assert [(r[0], r[1], r[3]) for r in phases.rows] == [("year 1", "edges", 50), ("year 1", "store", 7)]
+    lines = M.epoch_report(spark, [("year 1", 4.0), ("year 2", 6.0)], [("year 1", "edges", 1.0, 50), ("year 1", "store", 2.0, 7), ("year 2", "edges", 3.0, 150)])
+    assert lines == [
+        "years: total=10.0 s mean=5.0 std=1.0 min=4.0 max=6.0", "year 1: 4.0 s (40.0 %), 1.0 s residual, 50 edges", "year 2: 6.0 s (60.0 %), 3.0 s residual, 150 edges",
+        "phase edges: 4.0 s (40.0 %) mean=2.00 std=1.00 min=1.00 max=3.00, 200 rows", "phase store: 2.0 s (20.0 %) mean=2.00 std=0.00 min=2.00 max=2.00, 7 rows", "200 new edges, 20 a second",
+    ]
