@@ -109,6 +109,41 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN
 FROM coded
 """
 
+OP11_SQL = """
+WITH RECURSIVE given AS (
+  SELECT conv_id, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS g, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
+), hashed AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(key) + 1), lambda i: ascii(substr(key, i, 1))::BIGINT)),
+                            lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, j: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 20 AS k FROM given
+), damaged AS (
+  SELECT g, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy FROM hashed WHERE k <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text), copy) AS i,
+         row_number() OVER (PARTITION BY g, role, text ORDER BY turn NULLS FIRST, copy) AS nth, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM damaged
+), judged AS (
+  SELECT g, i, turn, role, text, left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY g ORDER BY i) AS was, CASE WHEN bare = '' THEN 'blank' WHEN nth > 1 THEN 'copy' WHEN right(bare, 1) IN ('.', '!', '?') THEN 'fine' ELSE 'cut' END AS fault FROM placed
+), sums AS (
+  SELECT g, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'copy') AS duplicate, count(*) FILTER (fault = 'cut') AS truncated,
+         count(*) FILTER (was IS NOT NULL AND was || c NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY g
+), insertion(p, q, edits, lines) AS (
+  VALUES (0, 0, '', []::VARCHAR[]), (1, 1, '', []), (2, 2, '', []), (3, 3, '', []), (0, 2, 'I', ['user:']), (1, 2, 'I', ['user:']), (3, 2, 'I', ['user:']), (2, 3, 'I', ['assistant:']), (0, 3, 'II', ['user:', 'assistant:']), (1, 3, 'II', ['user:', 'assistant:'])
+), edit(p, q, c, op, cost) AS (
+  VALUES (0, 1, 's', 'K', 0), (0, 2, 'u', 'K', 0), (1, 2, 'u', 'K', 0), (3, 2, 'u', 'K', 0), (2, 3, 'a', 'K', 0), (0, 2, '', 'R', 1), (1, 2, '', 'R', 1), (3, 2, '', 'R', 1), (2, 3, '', 'R', 1), (0, 0, '', 'D', 2), (1, 1, '', 'D', 2), (2, 2, '', 'D', 2), (3, 3, '', 'D', 2)
+), step AS (
+  SELECT g, 0::BIGINT AS i, 0 AS phase, {'cost': 0, 'edits': '', 'lines': []::VARCHAR[]} AS best FROM sums
+  UNION ALL
+  SELECT s.g, s.i + 1, e.q, min({'cost': (s.best.cost + 5 * length(a.edits) + e.cost + CASE WHEN j.fault = 'cut' AND e.op <> 'D' THEN 5 ELSE 0 END)::INT, 'edits': s.best.edits || a.edits || e.op,
+    'lines': list_concat(s.best.lines, a.lines, CASE e.op WHEN 'D' THEN [] WHEN 'K' THEN [j.role || ':' || j.text] ELSE [CASE e.q WHEN 2 THEN 'user:' ELSE 'assistant:' END || j.text] END)})
+  FROM step s JOIN insertion a ON a.p = s.phase JOIN judged j ON j.g = s.g AND j.i = s.i + 1 JOIN edit e ON e.p = a.q AND (e.op <> 'K' OR e.c = j.c) AND (e.op = 'D' OR j.fault IN ('fine', 'cut')) GROUP BY s.g, s.i, e.q
+), done AS (
+  SELECT s.g, min({'cost': (s.best.cost + 5 * length(a.edits))::INT, 'edits': s.best.edits || a.edits, 'lines': list_concat(s.best.lines, a.lines)}) AS best
+  FROM step s JOIN sums USING (g) JOIN insertion a ON a.p = s.phase WHERE s.i = n AND a.q IN (0, 3) GROUP BY s.g
+)
+SELECT DISTINCT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.edits, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM given LEFT JOIN sums USING (g) LEFT JOIN done USING (g)
+"""
+
 OP12_SQL = """
 WITH text AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
@@ -153,4 +188,4 @@ SELECT o.doc_id, o.leaf, b.h AS subroot, r.h AS root, sha256(o.siblings) AS proo
 FROM onward o JOIN node b ON b.tree = o.tree AND b.n = 1 CROSS JOIN (SELECT h FROM top WHERE n = 1) r WHERE o.n = 1
 """
 
-SQL: dict[str, str] = {"op12_exact_dedup": OP12_SQL, "op13_manifest": OP13_SQL, "op6_jaccard": OP6_SQL, "op7_warc": OP7_SQL}
+SQL: dict[str, str] = {"op11_repair": OP11_SQL, "op12_exact_dedup": OP12_SQL, "op13_manifest": OP13_SQL, "op6_jaccard": OP6_SQL, "op7_warc": OP7_SQL}
