@@ -11,8 +11,10 @@ Documents are dealt to blocks of a source by hash, so a source of any size is sp
 ordered, and running sums of documents stay within one block. Without a budget, the least one at which every source
 has a full pass is taken, so no document is left out.
 
-Tokens by source are summed in Spark; the driver gets a row a source, and its plan is broadcast within the bound that
-holds for all small sides, else joined. A document's tokens are its white-space words, at least one. Null sources are a source of their own; null texts have
+Tokens by source are summed in Spark. Up to SOURCES sources the plan is made from their rows on the driver; of more, the
+driver gets sums over all sources at some exponents at once, narrows the exponent by these, and the plan is an
+expression over the table of sources. It is broadcast within the bound that holds for all small sides, else joined. A
+document's tokens are its white-space words, at least one. Null sources are a source of their own; null texts have
 one token; repeated rows are taken each; an empty table gives no rows.
 """
 
@@ -27,6 +29,10 @@ from pyspark.sql import functions as F
 from .runtime import small_or_not, stage
 
 
+#: Sources whose rows the driver takes, at most; and how a wider bisection goes: exponents a job, jobs.
+SOURCES, CELLS, ROUNDS = 4096, 32, 12
+
+
 def weights_at(shares: list[float], exponent: float) -> list[float]:
     raised = [q**exponent if q > 0 else 0.0 for q in shares]
     total = math.fsum(raised)
@@ -92,6 +98,54 @@ def source_plan(sources: list[tuple[str | None, int]], mix: Mix) -> list[tuple[s
     return out
 
 
+def _sums_at(sources: DataFrame, exponents: list[float], total: int) -> list[tuple[float, float]]:
+    """For each exponent the sum of the raised shares and the entropy of the weights, by one job over (source, tokens)."""
+    q = F.col("tokens").cast("double") / F.lit(float(total))
+    columns = []
+    for k, a in enumerate(exponents):
+        raised = F.pow(q, F.lit(a))
+        columns += [F.sum(raised).alias(f"s{k}"), F.sum(raised * F.lit(a) * F.ln(q)).alias(f"t{k}")]
+    r = sources.agg(*columns).first()
+    return [(r[f"s{k}"], math.log(r[f"s{k}"]) - r[f"t{k}"] / r[f"s{k}"]) for k in range(len(exponents))]
+
+
+def _narrowed(holds, low: float, high: float) -> float:
+    """The largest exponent that holds, for a condition on many at once that fails from some point on."""
+    if holds([high])[0]:
+        return high
+    for _ in range(ROUNDS):
+        grid = [low + (high - low) * k / CELLS for k in range(1, CELLS)]
+        ok = sum(1 for x in holds(grid) if x)
+        low, high = (grid[ok - 1] if ok else low), (grid[ok] if ok < len(grid) else high)
+    return low
+
+
+def wide_plan(sources: DataFrame, mix: Mix, n: int) -> DataFrame:
+    """source_plan() as a table, for any number of sources (source, tokens): the driver gets sums alone."""
+    r = sources.agg(F.sum("tokens"), F.min("tokens"), F.max("tokens")).first()
+    total, least, most = r[0], r[1] / r[0], r[2] / r[0]
+    a = 1.0
+    if mix.least_entropy is not None:
+        goal = mix.least_entropy * math.log(n)
+        a = _narrowed(lambda xs: [h >= goal - 1e-12 for _, h in _sums_at(sources, xs, total)], 0.0, 1.0)
+    if mix.most_passes is not None:
+        limit = mix.most_passes + 1e-9
+
+        def few(xs: list[float]) -> list[bool]:  # at exponents 1 - x
+            if mix.budget is None:
+                return [(least / most) ** -x <= limit for x in xs]
+            return [least**-x / s * mix.budget <= limit for x, (s, _) in zip(xs, _sums_at(sources, [1.0 - x for x in xs], total))]
+
+        if not few([1.0 - a])[0]:
+            a = 1.0 - _narrowed(few, 0.0, 1.0 - a)
+    (s, _), = _sums_at(sources, [a], total)
+    budget = mix.budget * total if mix.budget else total * s * most ** (1.0 - a)
+    q = F.col("tokens").cast("double") / F.lit(float(total))
+    weight = F.pow(q, F.lit(a)) / F.lit(s)
+    due = F.bround(weight * F.lit(float(budget))).cast("long")
+    return sources.select(F.col("source").alias("s"), F.col("tokens").alias("source_tokens"), weight.alias("weight"), F.floor(due / F.col("tokens")).cast("long").alias("passes"), F.pmod(due, F.col("tokens")).alias("rest"), F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.lit(float(mix.block_tokens)))).cast("long").alias("blocks"))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, source, tokens and a hash of the row, which equal rows share."""
     words = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^ \t\n\x0B\f\r]+"), F.lit(0)))
@@ -108,16 +162,21 @@ def layout(spark: SparkSession, docs: DataFrame, mix: Mix) -> tuple[DataFrame, D
     A source has at most one block taken in part: there, and only there, documents are ordered.
     """
     rows = stage(spark, _keyed(docs), "mix-rows")
-    sources = sorted(((r["source"], r["tokens"]) for r in rows.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
-    plan = spark.createDataFrame(source_plan(sources, mix), "s string, source_tokens long, weight double, passes long, rest long, blocks long")
-    dealt = rows.join(small_or_not(plan, len(sources)), F.col("source").eqNullSafe(F.col("s"))).withColumn("block", _block("_h", "blocks")).drop("s")
+    sums = stage(spark, rows.groupBy("source").agg(F.sum("tokens").alias("tokens")), "mix-sources")
+    n = sums.count()
+    if n <= SOURCES:
+        sources = sorted(((r["source"], r["tokens"]) for r in sums.collect()), key=lambda x: (x[0] is None, x[0] or ""))
+        plan = spark.createDataFrame(source_plan(sources, mix), "s string, source_tokens long, weight double, passes long, rest long, blocks long")
+    else:
+        plan = stage(spark, wide_plan(sums, mix, n), "mix-plan")
+    dealt = rows.join(small_or_not(plan, n), F.col("source").eqNullSafe(F.col("s"))).withColumn("block", _block("_h", "blocks")).drop("s")
     sums = dealt.groupBy("source", "block").agg(F.sum("tokens").alias("block_tokens"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
     passes = sums.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))).alias("epoch"))
     order = Window.partitionBy("source", "epoch").orderBy(F.xxhash64("source", "epoch", "block"), "block")
     placed = passes.withColumn("place", F.row_number().over(order).cast("long") - 1).withColumn("before", F.coalesce(F.sum("block_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     whole = (F.col("epoch") < F.col("passes")) | (F.col("before") + F.col("block_tokens") <= F.col("rest"))
     placed = stage(spark, placed.where(whole | (F.col("before") < F.col("rest"))).select(F.col("source").alias("s"), F.col("block").alias("b"), F.col("epoch").cast("int").alias("epoch"), "place", whole.alias("whole"), (F.col("rest") - F.col("before")).alias("room")), "mix-blocks")
-    cut = small_or_not(placed.where("NOT whole"), len(sources))  # a row a source at most
+    cut = small_or_not(placed.where("NOT whole"), n)  # a row a source at most
     inside = Window.partitionBy("source", "block").orderBy(F.xxhash64("_h", F.lit("order")), "doc_id", "_h").rowsBetween(Window.unboundedPreceding, -1)
     in_cut = dealt.join(cut, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
     units = in_cut.groupBy("doc_id", "_h", "source", "block", "epoch", "place", "room").agg(F.sum("tokens").alias("unit"))

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from papergrove.llm import html_wrapper, jaccard, media, merkle, ordinal, packing, patricia, queries, repair, runtime, tokenbin, warc
+from papergrove.llm import html_wrapper, jaccard, media, merkle, mixing, ordinal, packing, patricia, queries, repair, runtime, tokenbin, warc
 
 from test_llm import ODD, brute_components, brute_match, empty, main_of, odd, skeleton
 
@@ -454,3 +454,24 @@ def test_texts_of_megabytes_are_taken_whole(spark):
     pieces = packing.pack_documents(spark, docs, queries.VOCABULARY).collect()
     assert sum(r["length"] for r in pieces) == sum(r["n_tokens"] for r in ids.values())
     assert {r["kept"] for r in patricia.exact_dedup(spark, docs, memory=1 << 16).collect()} == {True}
+
+
+@pytest.mark.parametrize("mix", [mixing.Mix(), mixing.Mix(0.99, 1.5, None), mixing.Mix(0.5, 3.0, 0.7), mixing.Mix(None, None, 2.0), mixing.Mix(0.9999, None, None)])
+def test_the_plan_of_many_sources_is_that_of_few(spark, mix):
+    """The same bisection, by sums over all sources in Spark; a source has a third of all tokens."""
+    rng = random.Random(4)
+    sources = [(None, 700), ("hot", 60_000), *[(f"s{k}", rng.randrange(1, 90)) for k in range(3000)]]
+    want = {r[0]: r for r in mixing.source_plan(sources, mix)}
+    got = {r["s"]: r for r in mixing.wide_plan(spark.createDataFrame(sources, "source string, tokens long"), mix, len(sources)).collect()}
+    assert set(got) == set(want)
+    for name, (_, tokens, weight, passes, rest, blocks) in want.items():
+        r = got[name]
+        assert r["weight"] == pytest.approx(weight, rel=1e-9) and r["blocks"] == blocks and abs((r["passes"] * tokens + r["rest"]) - (passes * tokens + rest)) <= 1
+
+
+def test_a_hundred_thousand_sources_are_mixed(spark):
+    docs = spark.range(100_500).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id").cast("string"))).alias("source"), F.lit("a b c").alias("text"))
+    drawn, plan = mixing.mixed(spark, docs, mixing.Mix(0.95, 1.5, None))
+    assert plan.count() == 67_001
+    by = {r["doc_id"]: r["n"] for r in drawn.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert len(by) == 100_500 and max(by.values()) <= 2
