@@ -29,7 +29,9 @@ Words are cut after lower-casing A to Z; shingles and sets are compared as 64-bi
 
 Null and empty texts have the empty set, linked with nothing (component_id is the document's own doc_id). Rows with a
 null doc_id take part like all others; component_id is the least doc_id that is not null. Repeated rows are kept, and
-rows that share a doc_id but not the text are documents of their own.
+rows that share a doc_id but not the text are documents of their own. A very long text is one set like others, whole; an
+empty table gives no rows. What is written on the way is deleted when it has been read, but for the tables that the
+result itself is read from.
 """
 
 from __future__ import annotations
@@ -417,7 +419,7 @@ def _long_lists(num: int, den: int):
     return lists
 
 
-def _crossed(spark: SparkSession, rows: DataFrame) -> DataFrame:
+def _crossed(spark: SparkSession, rows: DataFrame, held: list[DataFrame] | None = None) -> DataFrame:
     """Entries (token, k, n, pos, p1, p2, root) dealt to cells so that all pairs of different roots of a list meet.
 
     Lists of one root are left out. top is a list's most frequent root; entries of it (side 0) only meet the others
@@ -429,6 +431,8 @@ def _crossed(spark: SparkSession, rows: DataFrame) -> DataFrame:
     lists = rows.groupBy("token", "root").count().groupBy(F.col("token").alias("t")).agg(F.max(F.struct("count", "root")).alias("most"), F.sum("count").alias("total"))
     lists = lists.withColumn("rest", F.col("total") - F.col("most.count")).where("rest > 0").withColumn("part", F.greatest(F.lit(CELL), F.least(F.lit(PART), F.ceil(F.pow("total", F.lit(2 / 3))))))
     lists = stage(spark, lists.select("t", F.col("most.root").alias("top"), "total", F.ceil(F.col("most.count") / F.col("part")).alias("tops"), F.ceil(F.col("rest") / F.col("part")).alias("rests")), "crossed")
+    if held is not None:
+        held.append(lists)  # for the caller to drop
     dealt = rows.join(small_or_not(lists, lists.count()), rows["token"] == lists["t"])
     h, is_top, whole = F.xxhash64("token", "k"), F.col("root") == F.col("top"), F.col("total") <= CELL
     dealt = dealt.withColumn("own", F.when(whole, F.lit(0)).when(is_top, F.pmod(h, "tops")).otherwise(F.pmod(h, "rests")).cast("long"))
@@ -606,16 +610,17 @@ def set_links(spark: SparkSession, docs: DataFrame, size: int, num: int, den: in
     rows = rows.join(small_or_not(linked, linked.count()), rows["k"] == linked["id"], "left").select("token", "k", "n", "pos", "p1", "p2", F.coalesce("top", "k").alias("root"))
     rows = stage(spark, rows, "rooted")
     drop(spark, lists, near, many)
-    crossed = _crossed(spark, rows).repartition("token", "cell").sortWithinPartitions(*CELLS).mapInArrow(_long_lists(num, den), PAIR)
+    held: list[DataFrame] = []
+    crossed = _crossed(spark, rows, held).repartition("token", "cell").sortWithinPartitions(*CELLS).mapInArrow(_long_lists(num, den), PAIR)
     pairs = stage(spark, crossed.groupBy("a", "b").agg(F.min(F.struct(*PLACE)).alias("home")).select("home.*", "a", "b"), "pairs")
-    drop(spark, rows)
-    pairs = likely(spark, sets, pairs, num, den)
-    two = checked(spark, docs, sets, pairs, size, num, den)
+    drop(spark, rows, *held)
+    close = likely(spark, sets, pairs, num, den)
+    two = checked(spark, docs, sets, close, size, num, den)
     more = components(spark, joined_to(two, roots)).toDF("root", "top")
     ends = roots.join(more, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
     alone = more.join(roots, more["root"] == roots["id"], "left_anti").select(F.col("root").alias("id"), F.col("top").alias("root"))
     found = stage(spark, ends.unionByName(alone), "found")
-    drop(spark, one, two, pairs, roots, more)
+    drop(spark, one, two, pairs, close, roots, more)
     return meta.drop("bits"), sets, found
 
 
@@ -628,6 +633,7 @@ def _classed(spark: SparkSession, docs: DataFrame, size: int, num: int, den: int
     many = meta.where("n > 0").groupBy("k").count().where("count > 1").select("k")  # equal sets without a link to others
     copies = many.join(inside, "k", "left_anti").join(sets, "k").select("k", F.col("k").alias("root"), "least")
     inside = stage(spark, inside.unionByName(copies), "inside")
+    drop(spark, sets, roots)
     return meta.where("n > 0").join(small_or_not(inside, inside.count()), "k", "left").unionByName(meta.where("n = 0").select("*", F.lit(None).cast("bigint").alias("root"), F.lit(None).cast("bigint").alias("least")))
 
 

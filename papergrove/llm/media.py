@@ -2,6 +2,9 @@
 
 Decoded arrays are (height, width, channels), 8-bit. Area resizing averages the exact (fractional) source area of
 each target cell with an integral image, strip by strip of rows, so memory stays bounded for tall images.
+
+Null and empty texts are one padded row; equal texts, repeated rows included, have equal values; very long texts are
+stored whole; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations

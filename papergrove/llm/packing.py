@@ -10,7 +10,8 @@ A full piece is a sequence of its own. The others are packed in groups of about
 bounds a task's memory and keeps results the same when a task runs again; a group leaves on average less than one
 sequence partly filled. No piece is dropped.
 
-Null texts are empty documents of one end id; repeated rows are packed each; an empty table gives no rows; null
+Null texts are empty documents of one end id; repeated rows are packed each; very long texts are cut into
+full pieces and a rest, none lost; an empty table gives no rows; null
 doc_ids are packed like others.
 """
 

@@ -9,7 +9,8 @@ union covers no more than a share of its words and the longest repeat is no long
 A run holds texts of about 2 MB, or one longer text whole. Its memory is a rank of four bytes a word for each
 doubling, that is for the logarithm of its longest repeat: some 25 times the text at worst, where all of it repeats.
 
-Null and empty texts have no words and fail the base rule; repeated rows are judged each; further columns are ignored.
+Null and empty texts have no words and fail the base rule; repeated rows are judged each; an empty table gives no rows;
+further columns are ignored.
 """
 
 from __future__ import annotations

@@ -19,7 +19,7 @@ ALIKE of SIGNATURE, which tells a similarity of about 0.4: variants of one text
 would pass for terms. Every row is scored on its whole text, in time linear in it.
 
 Null and empty texts have no hits and get the score of a text without any; repeated rows are scored each; a null doc_id
-is not held out and has no label; without toxic and clean labels every score is 0. Further columns are ignored.
+is not held out and has no label; without toxic and clean labels every score is 0; an empty table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from papergrove.llm import html_wrapper, jaccard, media, merkle, mixing, ordinal, packing, patricia, queries, repair, runtime, tokenbin, warc
+from papergrove.llm import html_wrapper, jaccard, media, merkle, mixing, ordinal, packing, patricia, queries, repair, runtime, tokenbin, toxicity, warc
 
 from test_llm import ODD, brute_components, brute_match, empty, main_of, odd, skeleton
 
@@ -475,3 +475,11 @@ def test_a_hundred_thousand_sources_are_mixed(spark):
     assert plan.count() == 67_001
     by = {r["doc_id"]: r["n"] for r in drawn.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
     assert len(by) == 100_500 and max(by.values()) <= 2
+
+
+def test_toxicity_of_an_empty_table(spark):
+    docs, labels = (queries.table(spark, SF, t) for t in ("documents", "labels"))
+    model = toxicity.train(spark, docs, labels)
+    assert toxicity.toxicity(spark, empty(spark), model).count() == 0
+    none = toxicity.train(spark, empty(spark), labels)
+    assert {r["score"] for r in toxicity.toxicity(spark, odd(spark), none).collect()} == {0.0}
