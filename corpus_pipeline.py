@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from papergrove.llm import jaccard, mixing, ordinal, packing, repetition
 from papergrove.llm.queries import SEQUENCE, VOCABULARY
-from papergrove.llm.runtime import prepare, stage
+from papergrove.llm.runtime import drop, prepare, stage
 
 #: No document is left out by mixing; the most repeated source is seen this often at most.
 MIX = mixing.Mix(least_entropy=0.95, most_passes=1.5, budget=None)
@@ -78,8 +78,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder; each is written as Parquet and read again."""
-    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of a folder; each is written as Parquet, read again, and deleted after the next."""
+    docs, was = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, step in STAGES:
-        docs = stage(spark, step(spark, docs, sf_dir), name)
+        docs, last = stage(spark, step(spark, docs, sf_dir), name), was
+        if last is not None:
+            drop(spark, last)
+        was = docs
     return docs
