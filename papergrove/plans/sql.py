@@ -137,14 +137,32 @@ def _gaps(p: str) -> str:
     SELECT src, dst::BIGINT AS dst FROM gaps WHERE dst < n"""
 
 
-def _second_year() -> str:
-    """The year after a simulated one: its tables follow from the first year's, whose names get a 1."""
+def _year(k: int, last: int, peaks: dict[int, str] | None = None) -> str:
+    """The tables of the k-th simulated year, which follow from those of the year before; all but the last year's names
+    get the year's number. `peaks` has what fitness is in a year where it is not the drawn peak."""
+    text = EPOCH
+    if k > 1:
+        was, year = str(k - 1), 2001 + k
+        text = text.replace(NODES, f"nodes AS (SELECT id, year FROM nodes{was} UNION ALL SELECT id, {year - 1} FROM agents{was})").replace(EDGES, f"edges AS (SELECT src, dst FROM edges{was} UNION SELECT src, dst FROM epoch{was})")
+        text = text.replace(RECENCY + ", ", "").replace("recency r ON", "recency1 r ON").replace("2002 - year", f"{year} - year").replace(SIZE, SIZE.replace("FROM orders", "FROM nodes"))
+    text = text.replace("k AS fitness_peak", f"{(peaks or {}).get(k, 'k')} AS fitness_peak")
+    if k == last:
+        return text
     names = [*re.findall(r"([a-z_][a-z_0-9]*)(?:\([a-z, ]+\))? AS \(", EPOCH), "first", "second"]
     known = re.compile(r"'[^']*'|\b(?:" + "|".join(sorted(set(names), key=len, reverse=True)) + r")\b")
-    before = known.sub(lambda m: m[0] if m[0].startswith("'") else m[0] + "1", EPOCH)
-    after = EPOCH.replace(NODES, "nodes AS (SELECT id, year FROM nodes1 UNION ALL SELECT id, 2002 FROM agents1)").replace(EDGES, "edges AS (SELECT src, dst FROM edges1 UNION SELECT src, dst FROM epoch1)")
-    after = after.replace(RECENCY + ", ", "").replace("recency r ON", "recency1 r ON").replace("2002 - year", "2003 - year").replace(SIZE, SIZE.replace("FROM orders", "FROM nodes"))
-    return f"WITH {before}, {after} SELECT src, dst, kind FROM epoch"
+    return known.sub(lambda m: m[0] if m[0].startswith("'") else f"{m[0]}{k}", text)
+
+
+def _second_year() -> str:
+    return f"WITH {_year(1, 2)}, {_year(2, 2)} SELECT src, dst, kind FROM epoch"
+
+
+def _three_years() -> str:
+    """With the fixture's planted nodes: what a line sets is 1 before its lag."""
+    first = "WHEN year = 2002 AND id - (SELECT n FROM size1) < 3 THEN 900 WHEN year = 2002 AND id - (SELECT n FROM size1) < 5 THEN"
+    peaks = {2: f"CASE {first} 1 ELSE k END", 3: f"CASE {first} 500 WHEN year = 2003 AND id - (SELECT n FROM size2) < 4 THEN 1000 ELSE k END"}
+    parts = " UNION ALL ".join(f"SELECT {k} AS cycle, kind, count(*) AS edges FROM epoch{k if k < 3 else ''} GROUP BY kind" for k in (1, 2, 3))
+    return f"WITH {', '.join(_year(k, 3, peaks) for k in (1, 2, 3))} SELECT 0 AS cycle, 'seed' AS kind, count(*) AS edges FROM edges1 UNION ALL {parts}"
 
 
 SQL: dict[str, str] = {
@@ -200,6 +218,7 @@ SQL: dict[str, str] = {
     "er_gnp_edges": _gaps("0.001::DOUBLE"),
     "er_edges_per_node": _gaps("4::DOUBLE / n"),
     "simulate_second_year": _second_year(),
+    "simulate_three_years": _three_years(),
     "simulated_attributes": f"""WITH {EPOCH}, born AS (SELECT id, {_u('id', chr(39) + 'fitness' + chr(39))} AS u FROM agents), total AS (SELECT src, count(*) AS c FROM epoch GROUP BY src)
       SELECT a.id * 2 AS node_id, 2002 AS year, '0.3333333333' AS pa_weight, k AS fit_peak_value, '0.5' AS alpha, t.c AS out_degree, a.out_degree AS assigned_out_degree, 0 AS planted_nodes_line_number, (a.generator * 2)::VARCHAR AS generator_node_string
       FROM agents a JOIN born b ON b.id = a.id JOIN cdf ON u > lo AND (u <= hi OR k = 1000) JOIN total t ON t.src = a.id""",

@@ -156,3 +156,17 @@ def test_phases_are_counted_by_the_jobs_that_write(spark):
         "years: total=10.0 s mean=5.0 std=1.0 min=4.0 max=6.0", "year 1: 4.0 s (40.0 %), 1.0 s residual, 50 edges", "year 2: 6.0 s (60.0 %), 3.0 s residual, 150 edges",
         "phase edges: 4.0 s (40.0 %) mean=2.00 std=1.00 min=1.00 max=3.00, 200 rows", "phase store: 2.0 s (20.0 %) mean=2.00 std=0.00 min=2.00 max=2.00, 7 rows", "200 new edges, 20 a second",
     ]
+
+
+def test_degrees_of_a_stream(spark, tmp_path):
+    """Edges that arrive in files: the table the stream keeps is that of all edges."""
+    from papergrove.streaming.edges import running_degrees
+
+    rows = [(k, k // 3) for k in range(1, 30)]
+    for k in range(3):
+        edges_of(spark, rows[k::3]).write.mode("append").parquet(str(tmp_path / "in"))
+    arriving = spark.readStream.schema("src long, dst long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = running_degrees(arriving).writeStream.outputMode("complete").format("memory").queryName("degrees_seen").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert len(run.recentProgress) > 1
+    assert sorted(map(tuple, spark.table("degrees_seen").collect())) == sorted(map(tuple, degrees_of(spark, rows).collect()))
