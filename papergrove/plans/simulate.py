@@ -6,7 +6,7 @@ import math
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papergrove.config import SimConfig
@@ -26,11 +26,17 @@ def final_size(nodes: int, rate: float, cycles: int) -> int:
     return nodes
 
 
-def scored(nodes: DataFrame, degrees: DataFrame, recency: DataFrame, year: int) -> DataFrame:
-    """(id, pa, rec, fit) of every node; nodes have fitness_lag, fitness_peak, fitness_duration, degrees in_degree."""
-    raw = nodes.join(degrees.select("id", "in_degree"), "id").withColumn("raw_fit", fitness_at(F.lit(year) - F.col("year"), F.col("fitness_lag"), F.col("fitness_peak"), F.col("fitness_duration")))
-    both = C.normalised(C.normalised(raw, "in_degree", "pa"), "raw_fit", "fit")
-    return both.join(C.recency_scores(nodes, recency, year), "id").select("id", "pa", "rec", "fit")
+def scored(nodes: DataFrame, degrees: DataFrame, recency: DataFrame, year: int, held: list[DataFrame], phases: G.Phases) -> DataFrame:
+    """(id, pa, rec, fit) of every node; nodes have fitness_lag, fitness_peak, fitness_duration, degrees in_degree.
+
+    What scores are made of is written once, by node; all that is summed over nodes is then in one row an age.
+    """
+    age = F.lit(year) - F.col("year")
+    raw = nodes.join(degrees.select("id", "in_degree"), "id").withColumns({"age": age, "fitness": fitness_at(age, F.col("fitness_lag"), F.col("fitness_peak"), F.col("fitness_duration"))})
+    raw = phases.cut(raw.select("id", "age", C.raised("in_degree").alias("x"), C.raised("fitness").alias("y")), "scores", held)
+    by_age = raw.groupBy("age").agg(F.count("*").alias("n"), F.sum("x").alias("xs"), F.sum("y").alias("ys"))
+    rated = phases.cut(C.rated_ages(by_age, recency).select("age", "rec", *[F.sum(c).over(Window.partitionBy()).alias(c) for c in ("xs", "ys")]), "ages", held)  # a row an age
+    return raw.join(F.broadcast(rated), "age").select("id", (F.col("x") / F.col("xs")).alias("pa"), "rec", (F.col("y") / F.col("ys")).alias("fit"))
 
 
 def first_hop(starts: DataFrame, store: EdgeStore, count: int | None = None) -> DataFrame:
@@ -63,7 +69,7 @@ def near(agents: DataFrame, size: int, store: EdgeStore, scores: DataFrame, n: i
     generator together; draws go by ids, so batches change no result.
     """
     batches = math.ceil(size / cfg.max_batch) if cfg.max_batch else 1
-    agents, scores = phases.cut(agents, "agents", held), phases.cut(scores, "scores", held)
+    agents = phases.cut(agents, "agents", held)
     parts: list[tuple[DataFrame, DataFrame]] = []
     for b in range(batches):
         own = agents.where(F.pmod(F.xxhash64("generator"), F.lit(batches)) == b) if batches > 1 else agents
@@ -92,7 +98,7 @@ def epoch(spark: SparkSession, nodes: DataFrame, store: EdgeStore, n: int, year:
     size = math.ceil(n * cfg.growth_rate)
     bag_stats = bag.agg(F.count("*"), F.max("out_degree")).first()
     agents = A.cohort(spark, n, size, cfg, bag, bag_stats[0])
-    scores = scored(nodes, degrees, recency, year)
+    scores = scored(nodes, degrees, recency, year, held, phases)
     quota, found = near(agents, size, store, scores, n, cfg, int(bag_stats[1] or 0), held, phases)
     own = quota.where("same_year").select("id", (F.lit(n) + pick(cfg.seed, F.col("id"), size, "own")).alias("node"))
     if not cfg.allow_self_loop:

@@ -39,9 +39,12 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-degrees to draw from: (pos, out_degree)."""
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("orig_id"), (5 + F.col("p_size") % 16).cast("int").alias("out_degree"))
-    return dense_ids(part, "orig_id").join(part, "orig_id").select(F.col("seq_id").cast("long").alias("pos"), "out_degree")
+    """Out-degrees to draw from: (pos, out_degree). Written once an application."""
+    key = spark.sparkContext.applicationId, f"{sf_dir}:bag"
+    if key not in _WRITTEN:
+        part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("orig_id"), (5 + F.col("p_size") % 16).cast("int").alias("out_degree"))
+        _WRITTEN[key] = cut(dense_ids(part, "orig_id").join(part, "orig_id").select(F.col("seq_id").cast("long").alias("pos"), "out_degree"), "bag")
+    return _WRITTEN[key]
 
 
 def recency(nodes: DataFrame, year: int) -> DataFrame:
