@@ -25,6 +25,7 @@ from papergrove.functions.hardware import DEVICES
 from papergrove.operators import graph as G
 from papergrove.operators import metrics as M
 from papergrove.plans import profile, simulate
+from papergrove.sources import log as lines
 from papergrove.sources import text
 from papergrove.sources.log import DEBUG, Log
 
@@ -71,9 +72,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         nodes = G.cut(listed.join(idmap, F.col("node") == F.col("orig_id")).select(F.col("seq_id").alias("id"), "year"), "seeds")
         edges = G.cut(G.encode_edges(text.read_edgelist(spark, args.edgelist).toDF("src", "dst"), idmap), "seed-edges")
         bag, recency, planted = text.read_bag(spark, args.out_degree_bag), text.read_recency(spark, args.recency_probabilities), text.read_planted(spark, args.planted_nodes or None)
-        log("loaded graph")
+        log(lines.LOADED)
         start = nodes.count()
-        log(f"final graph size is {simulate.final_size(start, cfg.growth_rate, cfg.num_cycles)}")
+        log(lines.GROWN.format(simulate.final_size(start, cfg.growth_rate, cfg.num_cycles)))
         years: list[tuple[str, float]] = []
         last, phases = [time.monotonic()], G.Phases()
 
@@ -83,15 +84,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             last[0] = time.monotonic()
 
         all_nodes, all_edges = simulate.run(spark, nodes, edges, cfg, G.cut(bag, "bag"), recency, planted, told, phases)
-        log("finished sim")
+        log(lines.FINISHED)
         named, out_edges = grown(all_nodes, idmap, all_edges)
         text.write_edges(out_edges, args.output_file)
         text.write_attributes(named, args.auxiliary_information_file)
-        log("wrote graph")
+        log(lines.WROTE)
         if years:
             for line in M.epoch_report(spark, years, phases.rows):
                 log(line, DEBUG)
-        log(f"E2E time for {cfg.num_cycles} cycles with growth rate {100 * cfg.growth_rate:g} % = {int(time.monotonic() - began)} seconds")
+        log(lines.TOOK.format(cfg.num_cycles, 100 * cfg.growth_rate, int(time.monotonic() - began)))
 
 
 if __name__ == "__main__":

@@ -46,7 +46,7 @@ def _flag(text: str) -> bool:
 
 def parser() -> argparse.ArgumentParser:
     """The 22 options of a run, a seed, and the random-graph model. Options about devices have no effect; without a
-    largest batch, all agents of a year are one."""
+    largest batch, all agents of a year are one. The names of the options are fixed values: scripts call them."""
     p = argparse.ArgumentParser(prog="papergrove")
     for name in ("edgelist", "nodelist", "out-degree-bag", "recency-probabilities", "output-file", "auxiliary-information-file", "log-file"):
         p.add_argument(f"--{name}", required=True)

@@ -78,6 +78,36 @@ METRICS = {
 }
 
 
+#: The name of the derived sum of instructions, and the columns of metric reports by category: short name
+#: of a metric and its label, in order.
+INSTRUCTIONS = "Total Pred-ON Insts (Divergence Proxy)"
+LABELS = {
+    "OCCUPANCY": [
+        ("achieved_occ_pct", "Achieved Occupancy (%)"),
+        ("th_occ_pct", "Theoretical Occupancy (%)"),
+        ("waves_sm", "Waves per SM"),
+        ("regs", "Registers / Thread"),
+        ("block_size", "Block Size"),
+        ("grid_size", "Grid Size"),
+        ("thread_count", "Total Threads"),
+        ("shmem_dyn_B", "Dynamic Shared Mem / Block (B)"),
+        ("shmem_B", "Static Shared Mem / Block (B)"),
+    ],
+    "MEMORY BANDWIDTH": [
+        ("dram_bw_pct", "DRAM BW Util (% peak)"),
+        ("dram_bytes", "DRAM Bytes Transferred"),
+        ("sm_throughput_pct", "SM Throughput (% peak)"),
+        ("l2_hit_pct", "L2 Read Hit Rate (%)"),
+        ("duration_ns", "Kernel Duration (ns)"),
+    ],
+    "WARP DIVERGENCE (proxy)": [
+        ("fp32_insts", "FP32 Pred-ON Insts"),
+        ("fp64_insts", "FP64 Pred-ON Insts"),
+        ("insts", INSTRUCTIONS),
+    ],
+}
+
+
 def _chosen(rules: list[tuple[Column, Column]], otherwise: Column) -> Column:
     return reduce(lambda out, r: F.when(r[0], r[1]).otherwise(out), reversed(rules), otherwise)
 

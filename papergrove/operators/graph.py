@@ -141,14 +141,21 @@ def adjacency(und: DataFrame) -> DataFrame:
     return und.groupBy("u").agg(F.sort_array(F.collect_list("v")).alias("neighbours"))
 
 
-def csr_offsets(deg: DataFrame) -> DataFrame:
-    """(id, offset, degree): out-degrees before a node in the order of ids; sums by block of ids, then within."""
-    block = F.floor(F.col("id") / 4096).cast("long")
-    rows = deg.select("id", F.col("out_degree").cast("long").alias("degree"), block.alias("b"))
-    sums = rows.groupBy("b").agg(F.sum("degree").alias("t"))
-    base = sums.select("b", (F.sum("t").over(Window.orderBy("b")) - F.col("t")).alias("base"))  # a row for 4096 nodes
-    inside = Window.partitionBy("b").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.join(base, "b").select("id", (F.col("base") + F.sum("degree").over(inside) - F.col("degree")).alias("offset"), "degree")
+def csr_offsets(deg: DataFrame, block: int = 4096) -> DataFrame:
+    """(id, offset, degree): out-degrees before a node in the order of ids.
+
+    Sums go by blocks of ids and by blocks of blocks: one task orders a row for every block ** 2 ids, all others a block.
+    """
+    def upto(c: str):
+        return Window.partitionBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    of = lambda c: F.floor(F.col(c) / block).cast("long")
+    rows = deg.select("id", F.col("out_degree").cast("long").alias("degree"), of("id").alias("b"))
+    sums = rows.groupBy("b").agg(F.sum("degree").alias("t")).withColumn("bb", of("b"))
+    tops = sums.groupBy("bb").agg(F.sum("t").alias("tt"))
+    tops = tops.select("bb", (F.sum("tt").over(Window.orderBy("bb")) - F.col("tt")).alias("top"))  # a row for block ** 2 ids
+    base = sums.join(tops, "bb").select("b", (F.col("top") + F.sum("t").over(upto("bb").orderBy("b")) - F.col("t")).alias("base"))
+    return rows.join(base, "b").select("id", (F.col("base") + F.sum("degree").over(upto("b").orderBy("id")) - F.col("degree")).alias("offset"), "degree")
 
 
 def hops(starts: DataFrame, und: DataFrame, held: list[DataFrame] | None = None) -> DataFrame:

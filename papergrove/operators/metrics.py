@@ -5,12 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from papergrove.functions.names import LABELS, kernel_name_by_part
+from papergrove.functions.scalar import by_magnitude
+
 
 def pivot_mean(m: DataFrame, metrics: list[str], by: tuple[str, ...] = ("kernel",)) -> DataFrame:
     """A row a group, a column a known metric: its mean."""
     return m.where(F.col("metric").isin(metrics)).groupBy(*by).pivot("metric", metrics).agg(F.avg("value"))
 
 
+def metric_table(m: DataFrame, category: str) -> DataFrame:
+    """(source, years, agents, kernel) and a category's metrics by their labels, as text; m is of metric files.
+
+    Means by kernel's short name. Both kinds of predicated instructions give their sum (a missing one counts as 0).
+    Columns that no row has are left out; the largest amount of a column tells the form of its numbers.
+    """
+    by = ("source", "years", "agents", "kernel")
+    known = [n for columns in LABELS.values() for n, _ in columns if n != "insts"]
+    wide = pivot_mean(m.withColumn("kernel", kernel_name_by_part(F.col("kernel"))), known, by)
+    wide = wide.withColumn("insts", F.coalesce("fp32_insts", F.lit(0.0)) + F.coalesce("fp64_insts", F.lit(0.0)))
+    seen = wide.agg(*[F.count(n).alias(n) for n in known]).first().asDict()  # one row
+    seen["insts"] = min(seen["fp32_insts"], seen["fp64_insts"])
+    every = Window.partitionBy()  # a row a kernel and file
+    cells = [by_magnitude(F.col(n), F.max(F.abs(F.col(n))).over(every)).alias(label) for n, label in LABELS[category] if seen[n]]
+    return wide.select(*by, *cells).orderBy("years", "agents", "kernel")
+
+
 def pivot_sum(df: DataFrame, by: str, kind: str, value: str, kinds: list, order: str) -> DataFrame:
     """A row a group, a column a kind: its sum, or 0; place is the group's in the order in which groups are first seen."""
     first = df.groupBy(by).agg(F.min(order).alias("_first"))

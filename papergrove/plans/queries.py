@@ -119,6 +119,15 @@ def metric_files_pivot(spark, sf):
     return p.select("source", "years", "agents", "kernel", *[_r(n, 6) for n in N.METRICS.values()]).orderBy("years", "agents", "kernel")
 
 
+@query
+def metric_report(spark, sf):
+    """Two categories of the files' metrics, as reports write them."""
+    files = _metric_files(spark, sf)
+    rows = [M.metric_table(files, c) for c in ("WARP DIVERGENCE (proxy)", "MEMORY BANDWIDTH")]
+    long = [t.select("source", "years", "agents", "kernel", F.explode(F.map_from_arrays(F.array(*map(F.lit, t.columns[4:])), F.array(*[F.col(f"`{c}`") for c in t.columns[4:]]))).alias("label", "cell")) for t in rows]
+    return long[0].unionByName(long[1])
+
+
 @query
 def scenario_names(spark, sf):
     m = X0.metrics(spark, sf)

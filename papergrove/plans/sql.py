@@ -282,3 +282,6 @@ SQL: dict[str, str] = {
     "pipeline_breakdown": f"WITH {PHASE}, p AS (SELECT sum(seconds) AS total, " + ", ".join(f"sum(seconds) FILTER (phase = 'phase{k}') AS p{k}" for k in (1, 2, 3)) + ", sum(bytes)::DOUBLE AS edges FROM phases) SELECT total, p1, p2, p3, greatest(total - p1 - p2 - p3, 0) AS unaccounted, round(coalesce(edges / total, 0), 6) AS rate FROM p",
 }
 SQL["statistics_by_year"] = SQL["graph_statistics"]
+SQL["metric_report"] = f"""WITH {FILES}, wide AS (SELECT source, years, agents, kernel, avg(value) FILTER (metric = 'fp32_insts') AS a, avg(value) FILTER (metric = 'fp64_insts') AS b, avg(value) FILTER (metric = 'dram_bw_pct') AS c, avg(value) FILTER (metric = 'dram_bytes') AS d, avg(value) FILTER (metric = 'duration_ns') AS e FROM files GROUP BY ALL),
+  long AS (SELECT source, years, agents, kernel, unnest(['FP32 Pred-ON Insts', 'FP64 Pred-ON Insts', 'Total Pred-ON Insts (Divergence Proxy)', 'DRAM BW Util (% peak)', 'DRAM Bytes Transferred', 'Kernel Duration (ns)']) AS label, unnest([a, b, coalesce(a, 0) + coalesce(b, 0), c, d, e]) AS x FROM wide)
+  SELECT source, years, agents, kernel, label, CASE WHEN x IS NULL THEN '' WHEN max(abs(x)) OVER same > 1e6 THEN concat(printf('%.2f', x / 1e6::DOUBLE), 'M') WHEN max(abs(x)) OVER same > 1e3 THEN printf('%.0f', x) ELSE printf('%.2f', x) END AS cell FROM long WINDOW same AS (PARTITION BY label)"""

@@ -9,6 +9,10 @@ from typing import TextIO
 ERROR, INFO, DEBUG = -1, 0, 1
 MARKS = {INFO: "[INFO]", DEBUG: "[DEBUG]", ERROR: "[ERROR]"}
 
+#: Lines of the program that scripts look for in its log.
+LOADED, GROWN, FINISHED, WROTE = "loaded graph", "final graph size is {}", "finished sim", "wrote graph"
+TOOK = "E2E time for {} cycles with growth rate {:g} % = {} seconds"
+
 
 def prefix(level: int, seconds: float) -> str:
     """[LEVEL][d-h:m:s](t=Ns) of whole seconds."""

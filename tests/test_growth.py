@@ -170,3 +170,11 @@ def test_degrees_of_a_stream(spark, tmp_path):
     run.awaitTermination()
     assert len(run.recentProgress) > 1
     assert sorted(map(tuple, spark.table("degrees_seen").collect())) == sorted(map(tuple, degrees_of(spark, rows).collect()))
+
+
+@pytest.mark.parametrize("block", [2, 3, 4096])
+def test_offsets_are_sums_of_what_is_before(spark, block):
+    rows = [(k * 7 % 101, k % 5) for k in range(60)]
+    deg = spark.createDataFrame(rows, "id long, out_degree int")
+    got = {r["id"]: (r["offset"], r["degree"]) for r in G.csr_offsets(deg, block).collect()}
+    assert got == {i: (sum(d for j, d in rows if j < i), d) for i, d in rows}
