@@ -217,6 +217,13 @@ def write_edges(edges: DataFrame, path: str) -> None:
     write_csv(rows.orderBy("source", "target"), path, list(EDGE_HEADER))
 
 
+def show_edges(edges: DataFrame, n: int | None = None) -> None:
+    """Edges (src, dst) in order to the screen, a line each; some at a time where n is None, so all can be shown."""
+    rows = edges.select("src", "dst").orderBy("src", "dst")
+    for r in (rows if n is None else rows.limit(n)).toLocalIterator():
+        print(f"{r['src']}-{r['dst']}")
+
+
 def attribute_frame(nodes: DataFrame) -> DataFrame:
     """The 15 columns of the node sink, by name; seeds have -1 and no_generators, agents 0 where no plan has them.
 

@@ -137,3 +137,9 @@ def test_one_command_from_a_database_to_its_reports(spark, tmp_path):
     bare = profile.session(spark, path, H.DEVICES["A30"])
     assert bare["memcpy"].count() == 0 and bare["summary"].first()["Memcpy_ovh_pct"] == 0 and bare["kernels"].count() == 10
     assert profile.ranges(spark, path).count() == profile.calls(spark, path).count() == 0 and profile.capture(spark, path).first()["host"] == "unknown"
+
+
+def test_edges_on_the_screen(spark, capsys):
+    text.show_edges(spark.createDataFrame([(2, 1), (1, 9), (1, 3)], "src long, dst long"))
+    text.show_edges(spark.createDataFrame([(2, 1), (1, 9), (1, 3)], "src long, dst long"), 1)
+    assert capsys.readouterr().out == "1-3\n1-9\n2-1\n1-3\n"
