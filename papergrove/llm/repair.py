@@ -304,6 +304,7 @@ def damaged_repairs(spark: SparkSession, conversations: DataFrame) -> DataFrame:
     hashes = repaired(rows, plans).select("conv_id", "place", "role", "text").mapInArrow(_hashed, "conv_id long, repaired_sha256 string")
     counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
     every = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), *[F.lit(0).cast("long").alias(c) for c in counts], F.lit("").alias("audit"), F.lit("").alias("repaired_sha256")).distinct()
+    # every conversation has a row of nothings; what is found is more than that, so that one grouping joins all three
     found = plans.withColumn("repaired_sha256", F.lit("")).unionByName(hashes.select("conv_id", *[F.lit(0).cast("long").alias(c) for c in counts], F.lit("").alias("audit"), "repaired_sha256"))
     parts = every.unionByName(found).groupBy("conv_id").agg(*[F.max(c).alias(c) for c in (*counts, "audit", "repaired_sha256")])
     return parts.withColumn("repaired_sha256", F.when(F.col("repaired_sha256") == "", F.sha2(F.lit(""), 256)).otherwise(F.col("repaired_sha256")))

@@ -483,3 +483,12 @@ def test_toxicity_of_an_empty_table(spark):
     assert toxicity.toxicity(spark, empty(spark), model).count() == 0
     none = toxicity.train(spark, empty(spark), labels)
     assert {r["score"] for r in toxicity.toxicity(spark, odd(spark), none).collect()} == {0.0}
+
+
+def test_what_near_copies_share_stays(spark):
+    """Half of a host's contents are variants of one article; the paragraphs they share, the last too, are content."""
+    near = [f"<article><h1>Flood in town</h1><p>The river rose by {k} metres over night and took {k} bridges along.</p><p>Schools stay shut.</p></article>" for k in range(6)]
+    other = [f"<article><h1>Story {k}</h1><p>Something else altogether happened at place {k}, says one.</p><p>End {k}.</p></article>" for k in range(5)]
+    pages = [f"<body><nav>Home</nav>{a}<footer>Imprint</footer>" for a in near + other]
+    got = main_of(spark, pages)
+    assert [got[k].split("\n\n") for k in range(6)] == [["Flood in town", f"The river rose by {k} metres over night and took {k} bridges along.", "Schools stay shut."] for k in range(6)]
