@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -9,6 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from papergrove import __main__ as program
 from papergrove.config import SimConfig
 from papergrove.functions import hardware as H
 from papergrove.functions import names as N
@@ -24,7 +26,7 @@ from papergrove.operators.kept import KeptStatistics
 from papergrove.operators.store import EdgeStore
 from papergrove.plans import er, profile, simulate
 from papergrove.sources import fixture as X0
-from papergrove.sources import text
+from papergrove.sources import tables, text
 
 CFG = SimConfig()
 YEAR = 2002
@@ -74,6 +76,66 @@ def scan_edgelist(spark, sf):
     return text.read_edgelist(spark, path).toDF("src", "dst")
 
 
+def _lines_file(spark, name: str, rows: DataFrame, header: str | None = None) -> str:
+    """rows (at, line), in the order of `at`, as one file."""
+    path = _file(spark, name)
+    rows.orderBy("at").select("line").write.text(f"{path}.parts")
+    text.join_parts(spark, f"{path}.parts", path, header)
+    return path
+
+
+@query
+def scan_delimited(spark, sf):
+    """The edges from three files, each with its own delimiter and line ends, comments and blank lines."""
+    e, out = X0.raw_edges(spark, sf), []
+    for k, (name, sep, end) in enumerate((("comma", ",", ""), ("tab", "\t", "\r"), ("blank", " ", "\r"))):
+        line = F.concat(F.when(F.col("dst") % 50 == 1, F.concat(F.lit("# "), "dst")).when(F.col("dst") % 50 == 2, F.lit(" ")).otherwise(F.concat_ws(sep, "src", "dst")), F.lit(end))
+        path = _lines_file(spark, name, e.where(F.col("src") % 3 == k).select(F.struct("src", "dst").alias("at"), line.alias("line")), f"#source{sep}target")
+        out.append(text.read_edgelist(spark, path).select(F.lit(name).alias("file"), "source", "target"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _bag_file(spark, rows: DataFrame) -> str:
+    """Rows (at, out_degree) as a bag's file."""
+    return _lines_file(spark, "bag", rows.select("at", F.concat_ws(",", "at", "out_degree").alias("line")), "#index,out_degree")
+
+
+@query
+def scan_bag(spark, sf):
+    """Out-degrees, from a file that the query writes: its index has gaps and does not count."""
+    rows = X0.table(spark, sf, "part").select((F.col("p_partkey") * 3 + 1).alias("at"), (5 + F.col("p_size") % 16).alias("out_degree"))
+    return text.read_bag(spark, _bag_file(spark, rows))
+
+
+@query
+def scan_recency(spark, sf):
+    """Probabilities by age from a file with a line for each node: the last line of an age counts."""
+    line = F.concat_ws(",", F.lit(YEAR) - F.col("year"), F.lit(1.0) / (F.col("id") % 97 + 1).cast("double"))
+    path = _lines_file(spark, "recency", X0.raw_nodes(spark, sf).select(F.col("id").alias("at"), line.alias("line")), "#age,probability")
+    return text.read_recency(spark, path)
+
+
+@query
+def scan_planted(spark, sf):
+    """A plan of a line for each supplier, by its place in a file; blanks before numbers, some lines without a count."""
+    k = F.col("s_suppkey")
+    fields = [1 + k % 3, F.concat(F.lit(" "), k % 4), 1 + k * 37 % 1000, 1 + k % 6, F.when(k % 5 > 0, 1 + k % 4)]
+    rows = X0.table(spark, sf, "supplier").select(k.alias("at"), F.concat_ws(",", *[f.cast("string") for f in fields]).alias("line"))
+    return text.read_planted(spark, _lines_file(spark, "planted", rows))
+
+
+@query
+def scan_wide_metrics(spark, sf):
+    """A raw metric file by the names of its columns: numbers with commas, rows cut short, a metric it lacks."""
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    name = F.concat(F.lit("k<"), "l_returnflag", F.lit(", "), "l_linestatus", F.lit(">"))
+    time = F.format_number(F.col("l_quantity").cast("double") * 1000 + 0.5, 2)
+    line = F.concat_ws(",", quoted(F.col("l_linenumber").cast("string")), quoted(name), "l_orderkey", quoted(time), F.when(F.col("l_linenumber") < 7, F.col("l_linenumber").cast("string")))
+    rows = X0.table(spark, sf, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("at"), line.alias("line"))
+    path = _lines_file(spark, "raw", rows, '"ID","Kernel Name","m.key","m.time","m.lines"')
+    return text.read_wide_csv(spark, path, {"m.key": "key", "m.time": "time", "m.lines": "lines", "m.none": "none"})
+
+
 @query
 def dense_ids(spark, sf):
     return G.dense_ids(X0.table(spark, sf, "customer").select((F.col("c_custkey") * 3).alias("id")))
@@ -365,10 +427,10 @@ def _store(spark, sf) -> EdgeStore:
 _STORES: dict[tuple[str, str], EdgeStore] = {}
 
 
-def _epoch(spark, sf):
+def _epoch(spark, sf, cfg: SimConfig = CFG):
     n = X0.raw_nodes(spark, sf)
-    nodes = simulate.with_fitness(spark, n, CFG)
-    return simulate.epoch(spark, nodes, _store(spark, sf), _n(n), YEAR, CFG, X0.bag(spark, sf), X0.recency(n, YEAR), G.degrees(n, X0.raw_edges(spark, sf)))
+    nodes = simulate.with_fitness(spark, n, cfg)
+    return simulate.epoch(spark, nodes, _store(spark, sf), _n(n), YEAR, cfg, X0.bag(spark, sf), X0.recency(n, YEAR), G.degrees(n, X0.raw_edges(spark, sf)))
 
 
 def _first(spark, sf) -> tuple[DataFrame, DataFrame, int, int, EdgeStore]:
@@ -415,6 +477,28 @@ def simulate_one_year(spark, sf):
     return _epoch(spark, sf)[0]
 
 
+@query
+def batched_year(spark, sf):
+    """The same year by batches of about a quarter of its agents."""
+    return _epoch(spark, sf, SimConfig(max_batch=-(-_n(X0.raw_nodes(spark, sf)) * 3 // 400)))[0]
+
+
+@query
+def program_year(spark, sf):
+    """A year by the program, from files to files: the edges of its sink, those it was given among them."""
+    n = X0.raw_nodes(spark, sf)
+    nodes, edges, grown, attributes = (_file(spark, x) for x in ("nodes", "edges", "grown", "attributes"))
+    text.write_csv(n, nodes, ["#node", "year"])
+    text.write_edges(X0.raw_edges(spark, sf).toDF("source", "target"), edges)
+    bag = _bag_file(spark, X0.bag(spark, sf).withColumnRenamed("pos", "at"))
+    recency = _lines_file(spark, "recency", X0.recency(n, YEAR).select(F.col("age").alias("at"), F.concat_ws(",", "age", "prob").alias("line")), "#age,probability")
+    options = {"edgelist": edges, "nodelist": nodes, "out-degree-bag": bag, "recency-probabilities": recency, "output-file": grown, "auxiliary-information-file": attributes, "log-file": os.devnull}
+    options |= {"growth-rate": CFG.growth_rate, "num-cycles": 1, "same-year-proportion": CFG.same_year_proportion, "alpha": CFG.alpha}
+    options |= {"preferential-weight": CFG.preferential_weight, "recency-weight": CFG.recency_weight, "fitness-weight": CFG.fitness_weight, "seed": CFG.seed}
+    program.main([x for k, v in options.items() for x in (f"--{k}", str(v))], spark)
+    return text.read_edgelist(spark, grown)
+
+
 @query
 def epoch_edges(spark, sf):
     return _epoch(spark, sf)[0].groupBy("kind").agg(F.count("*").alias("edges"))
@@ -473,6 +557,30 @@ def sink_edges(spark, sf):
     return text.edge_frame(X0.raw_edges(spark, sf), ids).select(F.concat_ws(",", "source", "target").alias("line"))
 
 
+def _numbered(spark, path: str) -> DataFrame:
+    """The lines of a file and their places from 0."""
+    rows = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at"))
+    return rows.join(G.dense_ids(rows.select("at"), "at"), F.col("at") == F.col("orig_id")).select(F.col("seq_id").alias("line_no"), F.col("value").alias("line"))
+
+
+@query
+def sink_edge_file(spark, sf):
+    """The edge sink's one file, line by line: its header, then the edges in order."""
+    path = _file(spark, "edges")
+    text.write_edges(X0.raw_edges(spark, sf).toDF("source", "target"), path)
+    return _numbered(spark, path)
+
+
+@query
+def paper_table(spark, sf):
+    """A report as a paper's table, line by line."""
+    rows = X0.table(spark, sf, "lineitem").groupBy(F.concat_ws("_", "l_returnflag", "l_linestatus").alias("flag_status"))
+    rows = rows.agg(F.count("*").alias("lines"), F.sum(F.col("l_quantity").cast("double")).alias("quantity"), F.max(F.when(F.col("l_returnflag") == "N", F.col("l_linenumber"))).alias("most")).orderBy("flag_status")
+    path = _file(spark, "table")
+    text.write_lines(spark, path, tables.latex(rows, "Lines by flag", "tab:flags").splitlines())
+    return _numbered(spark, path)
+
+
 @query
 def sink_attributes(spark, sf):
     n = simulate.with_fitness(spark, X0.raw_nodes(spark, sf), CFG).join(G.degrees(X0.raw_nodes(spark, sf), X0.raw_edges(spark, sf)), "id")
@@ -643,6 +751,14 @@ def memcpy_kind_decode(spark, sf):
     return X0.copies(spark, sf).select("kind").distinct().withColumn("name", N.copy_kind(F.col("kind")))
 
 
+@query
+def memcpy_by_code(spark, sf):
+    """Copies of every code there is, and of one without a name."""
+    code = (F.col("l_linenumber") + F.col("l_orderkey") % 2 * 7).cast("int")
+    rows = X0.table(spark, sf, "lineitem").select(F.when(F.col("l_orderkey") % 10 == 1, 0).otherwise(code).alias("kind"), F.floor("l_extendedprice").cast("long").alias("bytes"))
+    return rows.groupBy("kind", N.copy_kind(F.col("kind")).alias("name")).agg(F.count("*").alias("ops"), F.sum("bytes").alias("bytes"))
+
+
 # Metrics
 
 NAMES = [f"m{k}" for k in range(1, 8)]

@@ -116,7 +116,7 @@ def _limiter(regs: str, block: str, shared: str, *limits: int) -> str:
 
 H100, DEVICE_ROW, RTX, H100_LIMITS = (2048, 32, 65536, 256), (1536, 32, 102400, 256), (1536, 24, 102400, 128), (2048, 32, 233472, 128)
 MEMORY, THREADS = "(shared_static + shared_dynamic)", "(block_x * block_y)"
-_KIND = "CASE kind WHEN 0 THEN 'Unknown' WHEN 1 THEN 'H2D' WHEN 2 THEN 'D2H' WHEN 3 THEN 'H2A' WHEN 4 THEN 'A2H' WHEN 5 THEN 'A2A' WHEN 6 THEN 'A2D' WHEN 7 THEN 'D2A' WHEN 8 THEN 'D2D' WHEN 9 THEN 'H2H' WHEN 10 THEN 'P2P' ELSE concat('kind', kind) END"
+_KIND = "CASE kind WHEN 0 THEN 'Unknown' WHEN 1 THEN 'H2D' WHEN 2 THEN 'D2H' WHEN 3 THEN 'H2A' WHEN 4 THEN 'A2H' WHEN 5 THEN 'A2A' WHEN 6 THEN 'A2D' WHEN 7 THEN 'D2A' WHEN 8 THEN 'D2D' WHEN 9 THEN 'H2H' WHEN 10 THEN 'P2P' WHEN 11 THEN 'UVM_H2D' WHEN 12 THEN 'UVM_D2H' WHEN 13 THEN 'UVM_D2D' ELSE concat('kind', kind) END"
 _WMEAN = "CASE WHEN count(*) FILTER ({v} IS NOT NULL AND coalesce({w}, 0) = 0) = 0 THEN sum({v} * {w}) / sum({w}) FILTER ({v} IS NOT NULL) ELSE avg({v}) END"
 METRIC_NAMES = "['achieved_occ_pct', 'dram_bw_pct', 'fp32_insts', 'fp64_insts', 'dram_bytes', 'duration_ns']"
 FILES = f"""files AS (SELECT CASE l_linestatus WHEN 'F' THEN 'run-3y-1p-details.csv' ELSE 'run-10y-5p-details.csv' END AS source, CASE l_linestatus WHEN 'F' THEN 3 ELSE 10 END AS years, CASE l_linestatus WHEN 'F' THEN 1 ELSE 5 END AS agents,
@@ -168,6 +168,13 @@ def _three_years() -> str:
 SQL: dict[str, str] = {
     "scan_nodelist": f"WITH {NODES} SELECT * FROM nodes",
     "scan_edgelist": f"WITH {EDGES} SELECT src, dst FROM edges",
+    "scan_delimited": f"WITH {EDGES} SELECT ['comma', 'tab', 'blank'][src % 3 + 1] AS file, src AS source, dst AS target FROM edges WHERE dst % 50 NOT IN (1, 2)",
+    "scan_bag": f"WITH {BAG} SELECT pos, out_degree FROM bag",
+    "scan_recency": f"WITH {NODES} SELECT (2002 - year)::INT AS age, arg_max(1::DOUBLE / (id % 97 + 1)::DOUBLE, id) AS prob FROM nodes GROUP BY 1",
+    "scan_planted": """SELECT (1 + s_suppkey % 3)::INT AS year, row_number() OVER (ORDER BY s_suppkey)::INT AS line_no, (s_suppkey % 4)::INT AS lag, (1 + s_suppkey * 37 % 1000)::INT AS peak, (1 + s_suppkey % 6)::INT AS dur,
+  CASE WHEN s_suppkey % 5 > 0 THEN 1 + s_suppkey % 4 ELSE 0 END::INT AS count FROM supplier""",
+    "scan_wide_metrics": """SELECT concat('k<', l_returnflag, ', ', l_linestatus, '>') AS kernel, l_orderkey::DOUBLE AS key, l_quantity::DOUBLE * 1000 + 0.5::DOUBLE AS time, l_linenumber::DOUBLE AS lines, NULL::DOUBLE AS none
+  FROM lineitem WHERE l_linenumber < 7""",
     "dense_ids": "SELECT c_custkey * 3 AS orig_id, row_number() OVER (ORDER BY c_custkey) - 1 AS seq_id FROM customer",
     "edge_encode_join": f"WITH {EDGES} SELECT DISTINCT src * 2 AS src, dst * 2 AS dst FROM edges JOIN orders s ON s.o_orderkey = src JOIN orders d ON d.o_orderkey = dst WHERE s.o_orderstatus <> 'P' AND d.o_orderstatus <> 'P'",
     "node_type_decode": f"WITH {NODES} SELECT id, CASE id % 3 WHEN 0 THEN 'seed' WHEN 1 THEN 'agent' ELSE 'undefined' END AS type FROM nodes",
@@ -217,12 +224,20 @@ SQL: dict[str, str] = {
     "final_graph_size": "WITH RECURSIVE g(c, n) AS (SELECT 0, count(*) FROM orders UNION ALL SELECT c + 1, n + ceil(n * 0.03::DOUBLE)::BIGINT FROM g WHERE c < 30) SELECT c AS cycles, n AS nodes FROM g WHERE c IN (3, 10, 30)",
     "er_gnp_edges": _gaps("0.001::DOUBLE"),
     "er_edges_per_node": _gaps("4::DOUBLE / n"),
+    "batched_year": f"WITH {EPOCH} SELECT src, dst, kind FROM epoch",
+    "program_year": f"WITH {EPOCH} SELECT src::BIGINT AS source, dst::BIGINT AS target FROM edges UNION ALL SELECT src, dst FROM epoch",
     "simulate_second_year": _second_year(),
     "simulate_three_years": _three_years(),
     "simulated_attributes": f"""WITH {EPOCH}, born AS (SELECT id, {_u('id', chr(39) + 'fitness' + chr(39))} AS u FROM agents), total AS (SELECT src, count(*) AS c FROM epoch GROUP BY src)
       SELECT a.id * 2 AS node_id, 2002 AS year, '0.3333333333' AS pa_weight, k AS fit_peak_value, '0.5' AS alpha, t.c AS out_degree, a.out_degree AS assigned_out_degree, 0 AS planted_nodes_line_number, (a.generator * 2)::VARCHAR AS generator_node_string
       FROM agents a JOIN born b ON b.id = a.id JOIN cdf ON u > lo AND (u <= hi OR k = 1000) JOIN total t ON t.src = a.id""",
     "sink_edges": f"WITH {EDGES} SELECT concat(src * 10 + 3, ',', dst * 10 + 3) AS line FROM edges",
+    "sink_edge_file": f"WITH {EDGES} SELECT 0::BIGINT AS line_no, '#source,target' AS line UNION ALL SELECT row_number() OVER (ORDER BY src, dst), concat(src, ',', dst) FROM edges",
+    "paper_table": r"""WITH found AS (SELECT concat(l_returnflag, '\_', l_linestatus) AS name, count(*) AS lines, sum(l_quantity::DOUBLE) AS quantity, max(CASE WHEN l_returnflag = 'N' THEN l_linenumber END) AS most FROM lineitem GROUP BY 1),
+cells AS (SELECT 2 AS part, row_number() OVER (ORDER BY name) AS k, concat(name, ' & ', format('{:,}', lines), ' & ', format('{:,.2f}', quantity), ' & ', coalesce(format('{:,}', most), '-'), ' \\') AS line FROM found),
+parts AS (SELECT 1 AS part, unnest(range(8)) AS k, unnest(['\begin{table}[t]', '\centering', '\caption{Lines by flag}', '\label{tab:flags}', '\begin{tabular}{lrrr}', '\hline', 'flag\_status & lines & quantity & most \\', '\hline']) AS line
+  UNION ALL SELECT * FROM cells UNION ALL SELECT 3, unnest(range(3)), unnest(['\hline', '\end{tabular}', '\end{table}']))
+SELECT row_number() OVER (ORDER BY part, k) - 1 AS line_no, line FROM parts""",
     "sink_attributes": f"""WITH {GRAPH}, {CDF}, {FIT_U} SELECT d.id AS node_id, CASE WHEN s THEN 'seed' ELSE 'agent' END AS type, year, CASE WHEN s THEN '-1' ELSE printf('%.10g', 1 / (d.id::DOUBLE + 1)) END AS pa_weight, CASE WHEN s THEN '-1' ELSE printf('%.10g', d.id::DOUBLE / 1e9) END AS rec_weight, CASE WHEN s THEN '-1' ELSE '0.25' END AS fit_weight,
       0 AS fit_lag_duration, fitness_peak AS fit_peak_value, 1000 AS fit_peak_duration, CASE WHEN s THEN '-1' ELSE ['0', '0.5', '1'][d.id % 3 + 1] END AS alpha, in_degree, out_degree, CASE WHEN s THEN -1 ELSE 7 END AS assigned_out_degree, CASE WHEN s THEN -1 WHEN d.id % 10 = 1 THEN 2 ELSE 0 END AS planted_nodes_line_number, CASE WHEN s THEN 'no_generators' ELSE (d.id + 1)::VARCHAR END AS generator_node_string
       FROM (SELECT *, id % 2 = 0 AS s FROM deg) d JOIN peaks p ON p.id = d.id""",
@@ -256,6 +271,7 @@ SQL: dict[str, str] = {
     "topn_per_group": f"WITH {COPY}, s AS (SELECT run, kind, sum(bytes)::BIGINT AS bytes FROM copy GROUP BY run, kind) SELECT run, kind, bytes, row_number() OVER (PARTITION BY run ORDER BY bytes DESC, kind) AS rank FROM s QUALIFY rank <= 3",
     "custom_order": "SELECT event_type, count(*) AS n, CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 99 END AS place FROM events GROUP BY event_type",
     "cmdline_join": "SELECT l_orderkey, string_agg(concat('--p', l_partkey), ' ' ORDER BY l_linenumber, concat('--p', l_partkey)) AS command FROM lineitem GROUP BY l_orderkey",
+    "memcpy_by_code": f"WITH coded AS (SELECT CASE WHEN l_orderkey % 10 = 1 THEN 0 ELSE l_linenumber + l_orderkey % 2 * 7 END::INT AS kind, floor(l_extendedprice)::BIGINT AS bytes FROM lineitem) SELECT kind, {_KIND} AS name, count(*) AS ops, sum(bytes)::BIGINT AS bytes FROM coded GROUP BY kind",
     "memcpy_kind_decode": f"WITH {COPY} SELECT DISTINCT kind, {_KIND} AS name FROM copy",
     "metric_pivot": f"WITH {METRIC} SELECT kernel, " + ", ".join(f"round(avg(value) FILTER (metric = 'm{k}'), 9) AS m{k}" for k in range(1, 8)) + " FROM metric GROUP BY kernel",
     "memcpy_pivot": f"WITH {COPY}, c AS (SELECT * FROM copy WHERE kind <> 3 OR run <> 'R') SELECT run, row_number() OVER (ORDER BY min(pos)) AS place, " + ", ".join(f"coalesce(sum(bytes) FILTER (kind = {k}), 0)::BIGINT AS k{k}" for k in (1, 2, 3)) + " FROM c GROUP BY run",

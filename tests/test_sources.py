@@ -3,9 +3,11 @@
 import random
 import sqlite3
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from papergrove import registry
 from papergrove.functions import hardware as H
 from papergrove.functions import scalar as X
 from papergrove.operators import agents as A
@@ -143,3 +145,35 @@ def test_edges_on_the_screen(spark, capsys):
     text.show_edges(spark.createDataFrame([(2, 1), (1, 9), (1, 3)], "src long, dst long"))
     text.show_edges(spark.createDataFrame([(2, 1), (1, 9), (1, 3)], "src long, dst long"), 1)
     assert capsys.readouterr().out == "1-3\n1-9\n2-1\n1-3\n"
+
+
+@pytest.mark.parametrize("name", ["scan_delimited", "scan_bag", "scan_recency", "scan_planted", "scan_wide_metrics", "sink_edge_file", "paper_table", "memcpy_by_code", "batched_year", "program_year"])
+def test_files_written_and_read_equal_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("orders", "lineitem", "part", "supplier"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    found = registry.QUERIES[name](spark, SF)
+    wanted = con.execute(registry.SQL[name])
+    assert sorted(found.columns) == sorted(d[0] for d in wanted.description)
+    rows = found.select(*[d[0] for d in wanted.description]).collect()
+    assert rows and sorted(map(str, map(tuple, rows))) == sorted(map(str, wanted.fetchall()))
+
+
+def test_parameter_files_with_odd_lines(spark, tmp_path):
+    def file(name, content):
+        (tmp_path / name).write_bytes(content)
+        return str(tmp_path / name)
+
+    bag = text.read_bag(spark, file("bag", b"#index,out_degree\r\n9,3\r\n\r\n1, 4\r\n5\r\n"))
+    assert sorted(map(tuple, bag.collect())) == [(0, 3), (1, 4), (2, 0)]  # in file order; a missing field is 0
+    recency = text.read_recency(spark, file("recency", b"#age,probability\n1,0.5\n2,x\n1,0.25\n"))
+    assert sorted(map(tuple, recency.collect())) == [(1, 0.25), (2, None)]
+    plan = text.read_planted(spark, file("plan", b"1,0,900,5,3\n2,-1, 7,1\n"))
+    assert sorted(map(tuple, plan.collect())) == [(1, 1, 0, 900, 5, 3), (2, 2, -1, 7, 1, 0)]
+    assert text.read_planted(spark, file("none", b"")).count() == 0 and text.read_planted(spark, None).count() == 0
+    assert text.read_bag(spark, file("only", b"#index,out_degree\n")).count() == 0
+    for sep in (",", "\t", " "):
+        edges = text.read_edgelist(spark, file(f"e{ord(sep)}", f"#a{sep}b\n3000000000{sep}1\n\n#{sep}\n7{sep}2\n7{sep}2\n".encode()))
+        assert sorted(map(tuple, edges.collect())) == [(7, 2), (7, 2), (3_000_000_000, 1)]
+    with pytest.raises(ValueError, match="no delimiter"):
+        text.read_edgelist(spark, file("bare", b"7\n8\n"))
