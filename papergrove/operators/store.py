@@ -41,10 +41,11 @@ class EdgeStore:
     def add(self, edges: DataFrame, degrees: DataFrame | None = None) -> None:
         """Appends edges (src, dst). degrees (id, in_degree, out_degree), with these edges in, tell the hubs."""
         if degrees is not None:
-            hubs = cut(degrees.where(F.col("in_degree") + F.col("out_degree") > self.hub).select(F.col("id").alias("h")), "hubs")
-            if self.hubs is not None:
-                drop(self.hubs)
-            self.hubs, self.n_hubs = hubs, hubs.count()
+            hubs, was = degrees.where(F.col("in_degree") + F.col("out_degree") > self.hub).select(F.col("id").alias("h")), self.hubs
+            self.n_hubs = hubs.count()
+            self.hubs = cut(hubs, "hubs") if self.n_hubs else None  # mostly there are none to write
+            if was is not None:
+                drop(was)
         self._write(self._celled(both_ways(edges)))
         if self.runs > self.most_runs:
             self.merge()
