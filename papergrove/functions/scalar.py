@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,17 +53,23 @@ def fitness_at(age: Column, lag: Column, peak: Column, duration: Column) -> Colu
     return F.when(age < lag, F.lit(1)).when(age <= lag + duration, peak).otherwise(F.floor(peak.cast("double") / F.pow(since, F.lit(3.0))).cast("int"))
 
 
+def round_even(c: Column, digits: int) -> Column:
+    """A double at so many digits after the point, half to even, in doubles as SQL does it: a zero keeps its sign."""
+    scaled = F.rint(c * F.lit(10.0**digits)) / F.lit(10.0**digits)
+    return F.when(F.abs(scaled) < float("inf"), scaled).otherwise(c)
+
+
 def general(c: Column, digits: int = 10) -> Column:
-    """A double as C prints it by %.10g: that many significant digits, no zeros at the end, an exponent where it is short."""
-    e = F.format_string(f"%.{digits - 1}e", c)  # sign, a digit, the others, the exponent
-    sign, exponent = F.when(e.startswith("-"), "-").otherwise(""), F.regexp_extract(e, r"e([+-]\d+)$", 1).cast("int")
-    figures = F.regexp_replace(F.regexp_extract(e, r"^-?([0-9.]+)e", 1), r"\.", "")
-    head, tail = F.substring(figures, F.lit(1), exponent + 1), F.substring(figures, exponent + 2, F.lit(digits))
-    fixed = F.when(exponent < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), figures)).otherwise(F.concat(head, F.lit("."), tail))
-    strip = lambda x: F.regexp_replace(x, r"\.?0*$", "")
-    mantissa = F.concat(F.substring(figures, 1, 1), F.lit("."), F.substring(figures, 2, digits))
-    short = F.concat(strip(mantissa), F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), F.when(F.abs(exponent) < 10, "0").otherwise(""), F.abs(exponent).cast("string"))
-    return F.when(c.isNull() | F.isnan(c), c.cast("string")).otherwise(F.concat(sign, F.when((exponent < -4) | (exponent >= digits), short).otherwise(strip(fixed))))
+    """A double as C prints it by %.10g: so many significant digits of its exact value, half to even.
+
+    Java's formats round the shortest digits that tell a double apart, half up, so a tie and what is almost one differ.
+    """
+
+    @F.arrow_udf("string")
+    def printed(v: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else "NaN" if x != x else f"{x:.{digits}g}" for x in v.to_pylist()], pa.string())
+
+    return printed(c)
 
 
 def elapsed(seconds: Column) -> Column:

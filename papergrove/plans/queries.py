@@ -593,7 +593,7 @@ def sink_attributes(spark, sf):
 def general_format(spark, sf):
     """Doubles of all magnitudes as text."""
     x = F.col("l_extendedprice").cast("double") * F.pow(F.lit(10.0), (F.col("l_linenumber") * 5 - 20).cast("double")) * F.when(F.col("l_orderkey") % 2 == 0, -1).otherwise(1)
-    return X0.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", X.general(F.bround(x, 12)).alias("text"))
+    return X0.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", X.general(X.round_even(x, 12)).alias("text"))
 
 
 # Trace
