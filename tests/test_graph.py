@@ -3,6 +3,7 @@ import io
 import math
 import re
 from dataclasses import replace
+from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
@@ -364,3 +365,22 @@ def test_every_query_has_a_plan(spark):
     for name in ("degrees", "kernel_summary", "metric_pivot", "planted_nodes", "sink_attributes"):
         assert __spark_entry__.queries()[name](spark, SF).count() > 0
     assert {n for n in __spark_entry__.oracle_sql()} <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("x", [1 / 32768, 3 / 32768, -1 / 32768, 0.12345678905, 1234567890.5, 1234567891.5, 1.00000000005, 8.5e-6 + 5e-16])
+def test_ties_are_printed_by_their_exact_value(spark, x):
+    assert value(spark, X.general(F.lit(x))) == (f"{x:.10g}",)
+
+
+def test_rounding_in_doubles_keeps_the_sign_of_zero(spark):
+    got = value(spark, *[X.general(X.round_even(F.lit(x), 12)) for x in (-1e-13, 1e-13, 2.5e-12, 3.5e-12, -2.5e-12, 1e300, float("nan"))])
+    assert got == ("-0", "0", "2e-12", "4e-12", "-2e-12", "1e+300", "NaN")
+
+
+def test_gaps_of_a_rare_edge_are_those_of_sql(spark):
+    n, size = 9_000_000, 3000
+    p = 4 / n
+    got = er.gnp_edges(spark, n, size, p, SimConfig().seed)
+    draws = [(src, [(int(hashlib.md5(f"7:{src}:gap:{j}".encode()).hexdigest()[:8], 16) + 1) / 2**32 for j in range(60)]) for src in range(n, n + size)]
+    want = [(src, at) for src, us in draws for at in [a - 1 for a in accumulate(math.floor(math.log(u) / math.log(1 - p)) + 1 for u in us)] if at < n]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
