@@ -1,6 +1,7 @@
 import hashlib
 import io
 import math
+import os
 import re
 from dataclasses import replace
 from itertools import accumulate
@@ -373,8 +374,9 @@ def test_ties_are_printed_by_their_exact_value(spark, x):
 
 
 def test_rounding_in_doubles_keeps_the_sign_of_zero(spark):
-    got = value(spark, *[X.general(X.round_even(F.lit(x), 12)) for x in (-1e-13, 1e-13, 2.5e-12, 3.5e-12, -2.5e-12, 1e300, float("nan"))])
-    assert got == ("-0", "0", "2e-12", "4e-12", "-2e-12", "1e+300", "NaN")
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate((-1e-13, 1e-13, 2.5e-12, 3.5e-12, -2.5e-12, 1e300, float("nan")))], "k int, x double")
+    got = [r[0] for r in rows.orderBy("k").select(X.general(X.round_even(F.col("x"), 12))).collect()]
+    assert got == ["-0", "0", "2e-12", "4e-12", "-2e-12", "1e+300", "NaN"]
 
 
 def test_gaps_of_a_rare_edge_are_those_of_sql(spark):
@@ -384,3 +386,11 @@ def test_gaps_of_a_rare_edge_are_those_of_sql(spark):
     draws = [(src, [(int(hashlib.md5(f"7:{src}:gap:{j}".encode()).hexdigest()[:8], 16) + 1) / 2**32 for j in range(60)]) for src in range(n, n + size)]
     want = [(src, at) for src, us in draws for at in [a - 1 for a in accumulate(math.floor(math.log(u) / math.log(1 - p)) + 1 for u in us)] if at < n]
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_a_written_table_is_not_broadcast_by_the_bytes_of_its_file(spark):
+    flat = [F.lit(k).alias(f"c{k}") for k in range(12)]
+    many = G.cut(spark.range(900_000).select("id", F.lit(2000).alias("year"), *flat), "many")
+    assert sum(os.path.getsize(f.removeprefix("file://")) for f in many.inputFiles()) < 10 << 20
+    plan = many.join(many.select("id").withColumn("x", F.col("id") + 1), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
