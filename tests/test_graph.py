@@ -394,3 +394,10 @@ def test_a_written_table_is_not_broadcast_by_the_bytes_of_its_file(spark):
     assert sum(os.path.getsize(f.removeprefix("file://")) for f in many.inputFiles()) < 10 << 20
     plan = many.join(many.select("id").withColumn("x", F.col("id") + 1), "id")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_a_task_takes_a_share_of_fixed_size(spark):
+    wide = G.cut(spark.range(3_000_000).select("id", F.md5(F.col("id").cast("string")).alias("text")), "wide")
+    few = spark.range(100).select("id", F.lit("x").alias("text"))
+    tasks = lambda df: df.groupBy("text").agg(F.count("*").alias("n")).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks(wide) > 4 >= tasks(few)  # the session has 4 partitions
