@@ -21,9 +21,8 @@
 Per host there is a row of the wrapper (reference, figures by slot, template texts); counts are summed by Spark over
 all pages, so a host of any size is spread. Wrappers are broadcast where their counted number and bytes allow it, else
 joined by host. Parsing is linear and uses no recursion. Equal subtrees are matched by hash; the others by the exact
-matching, whose cost is the product of their trees, as long as it compares no more than PAIRS pairs of nodes over the
-whole of two skeletons. Beyond that, and for two lists of children whose product is over CELLS, lists are matched by
-their equal subtrees first, then by name between those, and only what matched is gone into: that is linear.
+matching at any size. Its cost is the product of the different subtrees of two skeletons that share names, and of two
+lists of children; of a list's alignment about CELLS sums are held, whatever its length.
 
 Null and empty pages have the empty text; pages whose url has no host share the host ""; repeated rows are extracted
 each; an empty table gives no rows; further columns are ignored.
@@ -34,9 +33,8 @@ from __future__ import annotations
 import html as entities
 import re
 from array import array
-from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -77,8 +75,9 @@ LEAST_PAGES, LEAST_SHARE = 3, 0.5
 ALWAYS = 0.9
 #: Of the region's figures, what a slot beside it needs: the share of distinct texts, and of new text.
 LIKE_REGION, NOTABLE = 0.9, 0.03
-#: Two lists of children are aligned exactly up to this product of their lengths, and two skeletons up to so many pairs.
-CELLS, PAIRS = 4_000_000, 20_000
+#: For speed and memory alone: sums of an alignment held at once, about; lists of so few pairs are weighed without arrays;
+#: parts that the rows of a longer one are cut into.
+CELLS, PAIRS, PARTS = 4_000_000, 64, 32
 #: Bytes of skeletons whose alignments a worker remembers.
 REMEMBERED = 64 << 20
 
@@ -292,126 +291,183 @@ def tree(skeleton: str) -> Tree:
     return Tree(names, parents, kids, sizes, shapes)
 
 
-def _aligned(weights: np.ndarray) -> list[tuple[int, int]]:
-    """The heaviest set of pairs in order, of rows and columns."""
-    n, m = weights.shape
-    best = np.zeros((n + 1, m + 1), np.int64)
-    for i in range(n):
-        best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + weights[i]))
-    out, i, j = [], n, m
-    while i and j:
-        if best[i, j] == best[i - 1, j]:
-            i -= 1
-        elif best[i, j] == best[i, j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            out.append((i, j))
+def _next(best: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """From the best sums of the rows so far, by number of columns, those with one more row."""
+    out = np.zeros(len(best), np.int64)
+    out[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + weights))
+    return out
+
+
+def _aligned(row: Callable[[int], np.ndarray], n: int, m: int) -> list[tuple[int, int]]:
+    """The heaviest set of pairs in order, of n rows and m columns; row(i) gives the weights of a row.
+
+    Beyond CELLS only the sums before every part of the rows are held, and parts are made again, the last one first.
+    """
+    out: list[tuple[int, int]] = []
+
+    def back(lo: int, hi: int, top: np.ndarray, j: int) -> int:
+        best, step = [top[: j + 1]], 1
+        if hi - lo > PARTS and (hi - lo) * (j + 1) > CELLS:
+            step = -(-(hi - lo) // PARTS)
+            now = best[0]
+            for i in range(lo, lo + (hi - lo - 1) // step * step):
+                now = _next(now, row(i)[:j])
+                if (i + 1 - lo) % step == 0:
+                    best.append(now)
+            for k in reversed(range(len(best))):
+                j = back(lo + k * step, min(hi, lo + (k + 1) * step), best[k], j) if j else 0
+            return j
+        for i in range(lo, hi):
+            best.append(_next(best[-1], row(i)[: len(top[: j + 1]) - 1]))
+        i = hi - lo
+        while i and j:
+            if best[i][j] == best[i - 1][j]:
+                i -= 1
+            elif best[i][j] == best[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((lo + i, j))
+        return j
+
+    back(0, n, np.zeros(m + 1, np.int64), m)
     return out[::-1]
 
 
-def _by_shape(a: Tree, b: Tree, x: list[int], y: list[int]) -> list[tuple[int, int]]:
-    """For very long lists: equal subtrees in order, and between them equal names in order."""
-
-    def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        ends, at, before = [], [], []
-        for k, (_, j) in enumerate(pairs):
-            d = bisect_left(ends, j)
-            ends[d : d + 1] = [j]
-            at[d : d + 1] = [k]
-            before.append(at[d - 1] if d else -1)
-        out, k = [], at[-1] if at else -1
-        while k >= 0:
-            out.append(pairs[k])
-            k = before[k]
-        return out[::-1]
-
-    def paired(left: list, right: list, lo: int, hi: int, lo2: int, hi2: int) -> list[tuple[int, int]]:
-        places = defaultdict(list)
-        for j in range(hi2 - 1, lo2 - 1, -1):
-            places[right[j]].append(j)
-        return increasing([(i, places[left[i]].pop()) for i in range(lo, hi) if places.get(left[i])])
-
-    same = paired([a.shapes[k] for k in x], [b.shapes[k] for k in y], 0, len(x), 0, len(y))
-    named_x, named_y, out, i, j = [a.names[k] for k in x], [b.names[k] for k in y], [], 0, 0
-    for p, q in [*same, (len(x), len(y))]:
-        out += paired(named_x, named_y, i, p, j, q) + [(p, q)]
-        i, j = p + 1, q + 1
-    return out[:-1]
+class Matching:
+    """Weights of the largest matchings of subtrees; a pair of different subtrees is weighed once, wherever it stands.
+
+    Subtrees of one name without a common name among their children match by their roots alone and are not gone into.
+    """
+
+    def __init__(self, a: Tree, b: Tree):
+        ids: dict[bytes, int] = {}
+        self.a, self.b = a, b
+        self.of_a, self.of_b = ([ids.setdefault(s, len(ids)) for s in t.shapes] for t in (a, b))
+        self.below_a, self.below_b = ([frozenset(t.names[k] for k in kids) for kids in t.kids] for t in (a, b))
+        self.found: dict[int, int] = {}
+
+    def key(self, x: int, y: int) -> int:
+        return self.of_a[x] * (len(self.of_a) + len(self.of_b)) + self.of_b[y]
+
+    def weight(self, x: int, y: int) -> int | None:
+        """Of two subtrees; None if not weighed yet."""
+        if self.a.names[x] != self.b.names[y]:
+            return 0
+        if self.of_a[x] == self.of_b[y]:
+            return self.a.sizes[x]
+        return 1 if self.below_a[x].isdisjoint(self.below_b[y]) else self.found.get(self.key(x, y))
+
+    def lists(self, x: int, y: int) -> tuple[list[tuple[int, int]], list[int], list[int]]:
+        """Equal children at both ends, in pairs, and the others of both."""
+        left, right = self.a.kids[x], self.b.kids[y]
+        head, short = 0, min(len(left), len(right))
+        while head < short and self.of_a[left[head]] == self.of_b[right[head]]:
+            head += 1
+        tail = 0
+        while tail < short - head and self.of_a[left[-1 - tail]] == self.of_b[right[-1 - tail]]:
+            tail += 1
+        m, n = len(left) - tail, len(right) - tail
+        return [*zip(left[:head], right[:head]), *zip(left[m:], right[n:])], left[head:m], right[head:n]
+
+    def alike(self, right: list[int]) -> tuple[dict[int, int], Callable[[int], set[int]]]:
+        """The number of each different subtree of a list, and which of them share a child's name with a node of a."""
+        number: dict[int, int] = {}
+        by_name: dict[tuple[str, str], set[int]] = defaultdict(set)
+        for q in right:
+            if self.of_b[q] not in number:
+                number[self.of_b[q]] = len(number)
+                for below in self.below_b[q]:
+                    by_name[self.b.names[q], below].add(q)
+        return number, lambda p: set().union(*(by_name.get((self.a.names[p], below), ()) for below in self.below_a[p]))
+
+    def open(self, x: int, y: int) -> Iterator[tuple[int, int]]:
+        """Pairs of children that must be weighed before their parents."""
+        _, left, right = self.lists(x, y)
+        if len(left) * len(right) <= PAIRS:
+            yield from ((p, q) for p in left for q in right if self.weight(p, q) is None)
+        elif left and right:
+            _, sharing = self.alike(right)
+            for p in {self.of_a[p]: p for p in left}.values():
+                yield from ((p, q) for q in sharing(p) if self.weight(p, q) is None)
+
+    def rows(self, left: list[int], right: list[int]) -> Callable[[int], np.ndarray]:
+        number, sharing = self.alike(right)
+        of = np.array([number[self.of_b[q]] for q in right])
+        first = {self.of_b[q]: q for q in reversed(right)}
+        named: dict[str, list[int]] = defaultdict(list)
+        for shape, v in number.items():
+            named[self.b.names[first[shape]]].append(v)
+        held: dict[int, np.ndarray] = {}
+
+        def row(i: int) -> np.ndarray:
+            p = left[i]
+            if (out := held.get(self.of_a[p])) is None:
+                out = np.zeros(len(number), np.int64)
+                out[named.get(self.a.names[p], [])] = 1
+                for q in sharing(p):
+                    out[number[self.of_b[q]]] = self.weight(p, q)
+                if len(held) * len(number) <= CELLS:
+                    held[self.of_a[p]] = out
+            return out[of]
+
+        return row
+
+    def best(self, x: int, y: int) -> int:
+        """The weight of two nodes whose children are weighed."""
+        same, left, right = self.lists(x, y)
+        total = 1 + sum(self.a.sizes[p] for p, _ in same)
+        if len(left) * len(right) <= PAIRS:
+            best = [0] * (len(right) + 1)
+            for p in left:
+                now = [0]
+                for j, q in enumerate(right):
+                    now.append(max(best[j + 1], now[j], best[j] + self.weight(p, q)))
+                best = now
+            return total + best[-1]
+        if not (left and right):
+            return total
+        row, best = self.rows(left, right), np.zeros(len(right) + 1, np.int64)
+        for i in range(len(left)):
+            best = _next(best, row(i))
+        return total + int(best[-1])
+
+    def size(self) -> int:
+        """The weight of both roots; all that it needs is weighed."""
+        stack = [(0, 0, self.open(0, 0))] if self.weight(0, 0) is None else []
+        while stack:
+            x, y, pairs = stack[-1]
+            if (pair := next(pairs, None)) is not None:
+                stack.append((*pair, self.open(*pair)))
+            else:
+                stack.pop()
+                self.found[self.key(x, y)] = self.best(x, y)
+        return self.weight(0, 0)
+
+    def pairs(self) -> list[tuple[int, int]]:
+        out, stack = [], [(0, 0)]
+        while stack:
+            x, y = stack.pop()
+            if self.of_a[x] == self.of_b[y]:
+                out += [(x + k, y + k) for k in range(self.a.sizes[x])]
+                continue
+            out.append((x, y))
+            same, left, right = self.lists(x, y)
+            stack += same
+            if left and right and not self.below_a[x].isdisjoint(self.below_b[y]):
+                stack += [(left[i], right[j]) for i, j in _aligned(self.rows(left, right), len(left), len(right))]
+        return sorted(out)
 
 
 def tree_match(a: Tree, b: Tree) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching: size of the largest matching that keeps order and ancestry, and the matched pairs.
 
-    Over PAIRS pairs of nodes it is the matching by shape and name at all levels, which need not be the largest.
+    It is the same exact matching for trees of any size.
     """
     if a.names[0] != b.names[0]:
         return 0, []
-    exact = _matched(a, b, PAIRS)
-    return exact if exact is not None else _matched(a, b, None)
-
-
-def _matched(a: Tree, b: Tree, most: int | None) -> tuple[int, list[tuple[int, int]]] | None:
-    """The matching if it takes no more than `most` pairs (else None); without a bound that by shape and name."""
-    spent = 0
-    weight: dict[tuple[int, int], int] = {}
-    chosen: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    stack = [(0, 0, False)]
-    while stack:
-        x, y, ready = stack.pop()
-        if not ready:
-            if (x, y) in weight:
-                continue
-            if a.shapes[x] == b.shapes[y]:
-                weight[x, y] = a.sizes[x]
-                continue
-            stack.append((x, y, True))
-            left, right = a.kids[x], b.kids[y]
-            head, short = 0, min(len(left), len(right))
-            while head < short and a.shapes[left[head]] == b.shapes[right[head]]:
-                head += 1
-            tail = 0
-            while tail < short - head and a.shapes[left[-1 - tail]] == b.shapes[right[-1 - tail]]:
-                tail += 1
-            inner = left[head : len(left) - tail], right[head : len(right) - tail]
-            outer = [*zip(left[:head], right[:head]), *zip(left[len(left) - tail :], right[len(right) - tail :])]
-            chosen[x, y] = outer
-            weight.update((p, a.sizes[p[0]]) for p in outer)
-            if most is None or len(inner[0]) * len(inner[1]) > CELLS:
-                found = [(inner[0][i], inner[1][j]) for i, j in _by_shape(a, b, *inner)]
-                chosen[x, y] = outer + found
-                stack += [(*p, False) for p in found]
-            else:
-                by_name = defaultdict(list)
-                for q in inner[1]:
-                    by_name[b.names[q]].append(q)
-                spent += sum(len(by_name[a.names[p]]) for p in inner[0])
-                if spent > most:
-                    return None
-                stack += [(p, q, False) for p in inner[0] for q in by_name[a.names[p]]]
-            continue
-        left, right, known = a.kids[x], b.kids[y], chosen[x, y]
-        used_a, used_b = {p for p, _ in known}, {q for _, q in known}
-        p_left, p_right = [k for k in left if k not in used_a], [k for k in right if k not in used_b]
-        if most is not None and len(p_left) * len(p_right) <= CELLS and p_left and p_right:
-            w = np.zeros((len(p_left), len(p_right)), np.int64)
-            at = defaultdict(list)
-            for j, q in enumerate(p_right):
-                at[b.names[q]].append(j)
-            for i, p in enumerate(p_left):
-                for j in at[a.names[p]]:
-                    w[i, j] = weight.get((p, p_right[j]), 0)
-            known += [(p_left[i], p_right[j]) for i, j in _aligned(w)]
-        weight[x, y] = 1 + sum(weight[p] for p in known)
-    pairs, stack2 = [], [(0, 0)]
-    while stack2:
-        x, y = stack2.pop()
-        if (x, y) in chosen:
-            pairs.append((x, y))
-            stack2 += chosen[x, y]
-        else:  # equal subtrees
-            pairs += [(x + k, y + k) for k in range(a.sizes[x])]
-    return weight[0, 0], sorted(pairs)
+    found = Matching(a, b)
+    return found.size(), found.pairs()
 
 
 class Alignments(dict):

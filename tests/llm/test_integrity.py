@@ -387,6 +387,17 @@ def test_greedy_matching_keeps_order_and_ancestry(monkeypatch):
         assert all(a.names[p] == b.names[q] and (p == 0 or to[a.parents[p]] == b.parents[q]) for p, q in pairs)
 
 
+def test_large_trees_are_matched_exactly(monkeypatch):
+    """Over 20,000 pairs of nodes the matching once was one by equal subtrees and names."""
+    rng = random.Random(7)
+    x, y = (("r", [(rng.choice("ab"), [(rng.choice("cdef"), []) for _ in range(rng.randrange(6))]) for _ in range(300)]) for _ in "xy")
+    a, b = html_wrapper.tree(skeleton(x)), html_wrapper.tree(skeleton(y))
+    size, pairs = html_wrapper.tree_match(a, b)
+    assert size == len(pairs) == brute_match(x, y)
+    monkeypatch.setattr(html_wrapper, "CELLS", 1000)  # the rows of the alignment are cut into parts: the same pairs
+    assert html_wrapper.tree_match(a, b) == (size, pairs)
+
+
 def test_one_payload_on_most_rows_meets_its_digest_first(spark, monkeypatch):
     monkeypatch.setattr(runtime, "BROADCAST_ROWS", -1)
     rows = [(k, f"http://h/{k}", "" if k % 5 else f"<p>{k % 10}") for k in range(3, 203)] + [(None, "u", ""), (3, "again", "")]
