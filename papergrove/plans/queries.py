@@ -634,7 +634,7 @@ def api_summary(spark, sf):
 @query
 def profiler_reports(spark, sf):
     """The main figures of the five reports of a profiler database that the query writes, and its named ranges."""
-    path = X0.trace_database(spark, sf)
+    path = X0.trace_parts(spark, sf)
     found = profile.session(spark, path, H.DEVICES["A30"])
     row = lambda df, kind, place, name, n, ms, share: df.select(F.lit(kind).alias("report"), place.cast("int").alias("place"), name.cast("string").alias("name"), n.cast("long").alias("n"), F.round(ms.cast("double"), 6).alias("ms"), F.round(share.cast("double"), 6).alias("share"))
     c, none = F.col, F.lit(None)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import sqlite3
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from papergrove.operators.graph import cut, dense_ids, settle
+from papergrove.operators.graph import cut, dense_ids, settle, shared_dir
+from papergrove.sources.sqlite import write_parts
 
 _WRITTEN: dict[tuple[str, str], DataFrame] = {}
 
@@ -130,9 +132,8 @@ def divergent_launches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def trace_database(spark: SparkSession, sf_dir: str) -> str:
-    """A profiler database made of the events: launches, copies, ranges, waits, calls and the device. Its path."""
-    path = f"{tempfile.mkdtemp(prefix='papergrove-')}/trace-3y-6p.sqlite"  # the driver's: it is shipped from there
+def trace_tables(spark: SparkSession, sf_dir: str) -> dict[str, tuple[str, DataFrame]]:
+    """Declared columns and rows of a profiler database's tables: launches, copies, ranges, waits, calls and the device."""
     e, i, u = table(spark, sf_dir, "events"), F.col("event_id"), F.col("user_id")
     kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").collect()]  # a row a type
     known = F.create_map(*[x for k, s in enumerate(SIGNATURES) for x in (F.lit(s), F.lit(k + 1))])
@@ -141,7 +142,7 @@ def trace_database(spark: SparkSession, sf_dir: str) -> str:
     copy = e.select((i % 16).cast("int"), F.floor(F.abs("value") * 1000).cast("long"), i * 100, i * 100 + u % 50)
     text_id = F.when(i % 3 == 0, types[F.col("event_type")]).when(i % 3 == 1, (900 + u % 3).cast("int"))
     ranges = e.select(text_id, F.when(i % 3 == 2, F.concat(F.lit("own"), (u % 2).cast("string"))), F.when(i % 11 > 0, i * 10), F.when(i % 9 > 0, i * 10 + u))
-    tables = {
+    return {
         "CUPTI_ACTIVITY_KIND_KERNEL": ("demangledName INTEGER, start INTEGER, end INTEGER, registersPerThread INTEGER, blockX INTEGER, gridX INTEGER, staticSharedMemory INTEGER, dynamicSharedMemory INTEGER, localMemoryPerThread INTEGER", launch),
         "CUPTI_ACTIVITY_KIND_MEMCPY": ("copyKind INTEGER, bytes INTEGER, start INTEGER, end INTEGER", copy),
         "NVTX_EVENTS": ("textId INTEGER, text TEXT, start INTEGER, end INTEGER", ranges),
@@ -153,8 +154,20 @@ def trace_database(spark: SparkSession, sf_dir: str) -> str:
         "TARGET_INFO_GPU": ("id INTEGER, memoryBandwidth INTEGER, maxWarpsPerSm INTEGER, maxShmemPerSm INTEGER, threadsPerWarp INTEGER", spark.createDataFrame([(0, 936_000_000_000, 48, 102_400, 32)], "a int, b long, c int, d int, e int")),
         "META_DATA_CAPTURE": ("name TEXT, value TEXT", spark.createDataFrame([("PROCESS_0:ARGUMENT_0", "--a"), ("PROCESS_0:COMMAND", "grow"), ("PROCESS_0:ARGUMENT_1", "b"), ("DEVICE_DISPLAY_NAME", "node7")], "a string, b string")),
     }
+
+
+def trace_database(spark: SparkSession, sf_dir: str) -> str:
+    """A profiler database made of the events, as one file that the driver writes: for small tables. Its path."""
+    path = f"{tempfile.mkdtemp(prefix='papergrove-')}/trace-3y-6p.sqlite"  # the driver's: it is shipped from there
     with sqlite3.connect(path) as c:
-        for name, (columns, rows) in tables.items():
+        for name, (columns, rows) in trace_tables(spark, sf_dir).items():
             c.execute(f"CREATE TABLE {name} ({columns})")
             c.executemany(f"INSERT INTO {name} VALUES ({', '.join('?' * len(rows.columns))})", (tuple(r) for r in rows.toLocalIterator()))
     return path
+
+
+def trace_parts(spark: SparkSession, sf_dir: str) -> str:
+    """The same in parts that tasks write, for tables of any size. Its path."""
+    path = f"{shared_dir(spark)}/papergrove/database-{uuid.uuid4().hex}/trace-3y-6p.sqlite"
+    write_parts(spark, path, trace_tables(spark, sf_dir))
+    return path

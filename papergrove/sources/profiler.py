@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import sqlite3
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papergrove.functions.hardware import Hardware, from_device_row
 from papergrove.functions.scalar import fixed
-from papergrove.sources.sqlite import local_path, sqlite_table, table_exists
+from papergrove.sources.sqlite import sqlite_table, table_exists, table_names
 from papergrove.sources.text import write_csv
 
 __all__ = ["hardware", "register_all", "report_frame", "sqlite_table", "table_exists", "write_reports"]
@@ -24,8 +22,7 @@ def hardware(spark: SparkSession, path: str, preset: Hardware) -> Hardware:
 
 def register_all(spark: SparkSession, path: str) -> list[str]:
     """Every table of a database as a temporary view."""
-    with sqlite3.connect(f"file:{local_path(spark, path)[0]}?mode=ro", uri=True) as c:
-        names = [r[0] for r in c.execute("SELECT name FROM sqlite_master WHERE type = 'table'")]
+    names = table_names(spark, path)
     for n in names:
         sqlite_table(spark, path, n).createOrReplaceTempView(n)
     return names

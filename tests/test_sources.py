@@ -14,7 +14,7 @@ from papergrove.operators import agents as A
 from papergrove.operators import graph as G
 from papergrove.operators import trace as T
 from papergrove.plans import profile
-from papergrove.sources import fixture, text
+from papergrove.sources import fixture, sqlite, text
 from papergrove.sources.sqlite import sqlite_table
 
 SF = "/root/testdata/sf0.001"
@@ -47,6 +47,23 @@ def test_database_is_read_in_partitions(spark, tmp_path):
         sqlite_table(spark, path, "t", ["z"])
 
 
+def test_tasks_write_and_read_a_database_in_parts(spark, tmp_path, monkeypatch):
+    """The rows of a database that is made of tables do not go through the driver."""
+    monkeypatch.setattr(sqlite, "PART_ROWS", 7)
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", None)
+    path = fixture.trace_parts(spark, SF)
+    n = spark.read.parquet(f"{SF}/events.parquet").count()
+    assert spark.read.parquet(f"{path}/NVTX_EVENTS").count() >= n / 7 and sqlite_table(spark, path, "NVTX_EVENTS").count() == n
+    assert sqlite_table(spark, path, "absent") is None and "StringIds" in sqlite.table_names(spark, path)
+    rows = [(k, None if k % 5 == 0 else k / 2, f"é{k}", bytearray([k % 256])) for k in range(50)]
+    sqlite.write_parts(spark, f"{tmp_path}/d", {"t": ("a INTEGER, b REAL, c TEXT, d BLOB", spark.createDataFrame(rows, "x int, y double, z string, w binary")), "none": ("a INTEGER", spark.createDataFrame([], "a int"))})
+    t = sqlite_table(spark, f"{tmp_path}/d", "t", ["a", "b", "c", "d"])
+    assert t.dtypes == [("a", "bigint"), ("b", "double"), ("c", "string"), ("d", "binary")] and sorted(map(tuple, t.collect())) == rows
+    assert sqlite_table(spark, f"{tmp_path}/d", "t", ["c"]).columns == ["c"] and sqlite_table(spark, f"{tmp_path}/d", "none").count() == 0
+    with pytest.raises(ValueError):
+        sqlite_table(spark, f"{tmp_path}/d", "t", ["z"])
+
+
 def test_sinks_are_one_file_byte_by_byte(spark, tmp_path):
     out = tmp_path / "e.csv"
     rows = [(a * 3_000_000_000, b) for a in range(30) for b in range(5)]
