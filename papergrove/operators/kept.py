@@ -20,7 +20,7 @@ class KeptStatistics:
         self.spark = spark
         self.degrees = G.cut(G.degrees(nodes, edges), "kept-degrees")
         self.histogram = G.cut(self.degrees.groupBy("in_degree", "out_degree").agg(F.count("*").alias("nodes")), "kept-histogram")
-        self.roots = G.components(spark, nodes, G.both_ways(edges))
+        self.roots = G.components(spark, nodes, edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
         self.sizes = G.cut(self.roots.groupBy("component").agg(F.count("*").alias("size")), "kept-sizes")
 
     def add(self, born: DataFrame, edges: DataFrame) -> None:
@@ -40,7 +40,7 @@ class KeptStatistics:
         s, d = roots.toDF("src", "a"), roots.toDF("dst", "b")
         links = G.cut(edges.join(s, "src").join(d, "dst").where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "links", held)
         ends = links.select(F.col("u").alias("id")).union(links.select("v")).distinct()
-        merged = G.components(self.spark, ends, links.union(links.select("v", "u"))).where("id <> component").toDF("was", "to")
+        merged = G.components(self.spark, ends, links).where("id <> component").toDF("was", "to")
         name = F.coalesce("to", "component").alias("component")
         roots = roots.join(merged, roots["component"] == merged["was"], "left").select("id", name)
         sizes = self.sizes.unionByName(fresh.select("component", one.alias("size")))

@@ -178,3 +178,28 @@ def test_offsets_are_sums_of_what_is_before(spark, block):
     deg = spark.createDataFrame(rows, "id long, out_degree int")
     got = {r["id"]: (r["offset"], r["degree"]) for r in G.csr_offsets(deg, block).collect()}
     assert got == {i: (sum(d for j, d in rows if j < i), d) for i, d in rows}
+
+
+def test_components_keep_an_edge_once_and_read_the_nodes_once(spark, monkeypatch):
+    rng, written = random.Random(5), []
+    pairs = [(a, b) for a, b in ((rng.randrange(90), rng.randrange(90)) for _ in range(70))] + [(k + 1, k) for k in range(100, 130)] + [(7, 7), (100, 101)]
+    up = {k: k for k in range(131)}
+
+    def top(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a, b in pairs:
+        up[max(top(a), top(b))] = min(top(a), top(b))
+    cut = G.cut
+
+    def counted(df, name, *rest):
+        table = cut(df, name, *rest)
+        written.append((name, table.count()))
+        return table
+
+    monkeypatch.setattr(G, "cut", counted)
+    found = G.components(spark, spark.range(131), spark.createDataFrame(pairs, "u long, v long"))
+    assert {r["id"]: r["component"] for r in found.collect()} == {k: top(k) for k in range(131)}
+    assert written[0][1] <= len(pairs) and [n for name, n in written if name == "roots"] == [131]
