@@ -13,13 +13,15 @@ A document's set is its distinct word shingles. The join runs over distinct sets
    that t needs bounds the positions, so the rest of a block is skipped (index-level skipping). Parity bits that differ
    bound the sets' difference from below, so pairs that cannot link are not written.
    The first walk, inside cells, gives each set's nearest earlier one over all its lists (earlier: by size, then key),
-   and the entries that have any partner left. One pair a set is checked. The second walk takes these entries with the
-   component of their set: lists of one component are done; in the others, every pair of different components is
-   checked. All links between components are seen; those inside one change nothing. The second splits a long list into
+   and the entries that have any partner left. One pair a set is checked. The next walks take these entries with the
+   component of their set: lists of one component are done. In the others each set asks for one set of another component
+   (the nearest, then others near by), and these walks go on while many of such pairs are links, so that a large group of near copies
+   becomes one component by a row a set and walk, not a row a pair. The last walk checks every pair of components that
+   still differ. All links between components are seen; those inside one change nothing. These walks split a long list into
    its most frequent component and the rest, and walks parts of the one against parts of the other, and of the rest
-   against itself. Its pairs must also pass by longer parity bits, as many as shingles, before texts are fetched.
-4. A pair is checked in a group: the first walk's by the earlier set (in parts of FAMILY sets at most), the second's by
-   blocks of 32 by 32 list entries, at the least shared list. There every set is held as its difference from the
+   against itself. Their pairs must also pass by longer parity bits, as many as shingles, before texts are fetched.
+4. A pair is checked in a group: those of one a set by the set asked for (in parts of FAMILY sets at most), the last
+   walk's by blocks of 32 by 32 list entries, at the least shared list. There every set is held as its difference from the
    group's first set, and an overlap is derived from the two differences alone; pairs that links found in the group
    already connect are not checked (answer-level skipping).
 5. Links join sets to components by contraction to the least neighbour, each round a written table.
@@ -54,8 +56,8 @@ WIDTH, PIECE, CHUNK, BLOCK = 1 << 21, 1 << 15, 1 << 21, 32
 SHORT, CELL, FAMILY = 16, 1024, 256
 #: Rows read at once by the two walks (their runs hold whole lists); entries of a part of a very long list, at most.
 ROWS, CROSS_ROWS, PART = 1 << 18, 1 << 16, 1 << 19
-#: Pairs that the second walk holds before they are written.
-PAIRS = 1 << 20
+#: Pairs that the last walk holds before they are written; links of a walk of one pair a set, at least, for another one.
+PAIRS, LEAST_LINKS = 1 << 20, 64
 
 SCAN = "doc_id long, t long, n int, k long, bits binary, piece int, counts binary"
 
@@ -284,6 +286,29 @@ def crossing(n: np.ndarray, pos: np.ndarray, num: int, den: int, bits: tuple[np.
         yield x[keep], y[keep]
 
 
+def other_root(n: np.ndarray, pos: np.ndarray, key: np.ndarray, num: int, den: int, bits: tuple[np.ndarray, np.ndarray], roots: np.ndarray, side: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry of a cell one candidate of a different root (-1: none), and its value, the least of those it has.
+
+    In turn 0 that is the nearest by differing bits; in later ones each set seems farther by a number of its own below 8,
+    another in each turn, so that an entry whose nearest was a false candidate asks for others.
+    """
+    last = np.iinfo(np.int64).max
+    least, partner = np.full(len(n), last), np.full(len(n), -1)
+    with np.errstate(over="ignore"):
+        order = (mix(key.view(np.uint64) + np.uint64(turn)) >> np.uint64(24)).astype(np.int64)  # 40 bits
+    for i, j, d, fits, same in blocks_that_fit(n, pos, num, den, bits, side):
+        x, y = np.nonzero(fits & (roots[i][:, None] != roots[j][None, :]))
+        far = d[x, y].astype(np.int64)
+        for own, other in ((i[x], j[y]), (j[y], i[x])):
+            value = (far + (order[other] & 7 if turn else 0) << 40) + order[other]
+            falling = np.argsort(-value, kind="stable")  # of what is set more than once the last stays
+            found, to = np.full(len(n), last), np.full(len(n), -1)
+            found[own[falling]], to[own[falling]] = value[falling], other[falling]
+            better = found < least
+            least[better], partner[better] = found[better], to[better]
+    return partner, least
+
+
 def _whole_lists(batches: Iterator[pa.RecordBatch], keys: int, rows: int, split: bool = True) -> Iterator[pa.Table]:
     """Rows sorted by their first `keys` columns, in runs of about `rows` that hold whole lists.
 
@@ -419,6 +444,29 @@ def _long_lists(num: int, den: int):
     return lists
 
 
+def _one_each(num: int, den: int, turn: int):
+    """For each set of the cells (CELLS, in this order) of a run one of another root (x, y), with other_root()'s value."""
+
+    def one_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in _whole_lists(batches, 2, CROSS_ROWS, split=False):
+            token, cell, side, n, pos, key, p1, p2, root = (whole.column(k).to_numpy() for k in range(len(CELLS)))
+            n, pos = n.astype(np.int64), pos.astype(np.int64)
+            head = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])))
+            least, partner = np.zeros(len(n), np.int64), np.full(len(n), -1)
+            for h, m in zip(head.tolist(), np.diff(np.append(head, len(token))).tolist()):
+                own = slice(h, h + m)
+                to, least[own] = other_root(n[own], pos[own], key[own], num, den, (p1[own], p2[own]), root[own], side[own], turn)
+                partner[own] = np.where(to >= 0, to + h, -1)
+            x = np.flatnonzero(partner >= 0)
+            order = x[np.lexsort((key[partner[x]], least[x], key[x]))]
+            first = order[np.append(True, key[order][1:] != key[order][:-1])] if len(order) else order
+            for k in range(0, len(first), 1 << 16):
+                f = first[k : k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(key[f]), pa.array(key[partner[f]]), pa.array(least[f])], ["x", "y", "d"])
+
+    return one_each
+
+
 def _crossed(spark: SparkSession, rows: DataFrame, held: list[DataFrame] | None = None) -> DataFrame:
     """Entries (token, k, n, pos, p1, p2, root) dealt to cells so that all pairs of different roots of a list meet.
 
@@ -580,6 +628,27 @@ def joined_to(links: DataFrame, roots: DataFrame) -> DataFrame:
     return out.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
 
 
+def merged(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """(id, root) of all ends when the roots (id, root) have gone to those of `more` (id, root)."""
+    more = more.toDF("root", "top")
+    ends = roots.join(more, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+    alone = more.join(roots, more["root"] == roots["id"], "left_anti").select(F.col("root").alias("id"), F.col("top").alias("root"))
+    return ends.unionByName(alone)
+
+
+def _rooted(rows: DataFrame, of: str, roots: DataFrame) -> DataFrame:
+    """rows (token, k, n, pos, p1, p2) with the root that `roots` (id, root) have for the column `of`, else that itself."""
+    linked = roots.toDF("id", "top")
+    return rows.join(small_or_not(linked, linked.count()), rows[of] == linked["id"], "left").select("token", "k", "n", "pos", "p1", "p2", F.coalesce("top", of).alias("root"))
+
+
+def by_family(spark: SparkSession, near: DataFrame) -> DataFrame:
+    """Pairs (PLACE, a, b) of near (a, b), one a set, in groups by b of about FAMILY sets at most."""
+    many = stage(spark, near.groupBy("b").count().where(F.col("count") > FAMILY).select(F.col("b").alias("h"), F.ceil(F.col("count") / FAMILY).alias("parts")), "many")
+    part = F.coalesce(F.pmod(F.xxhash64("a"), "parts"), F.lit(0)).cast("long")
+    return near.join(small_or_not(many, many.count()), near["b"] == many["h"], "left").select(F.col("b").alias("h1"), part.alias("h2"), F.lit(0).alias("h3"), "a", "b")
+
+
 def set_links(spark: SparkSession, docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The documents (doc_id, t, n, k), the sets (k, id, t, least: its least doc_id, n, bits) and (id, root) of linked keys k.
 
@@ -597,30 +666,46 @@ def set_links(spark: SparkSession, docs: DataFrame, size: int, num: int, den: in
     lists = stage(spark, entries.mapInArrow(_lists(num, den), "x long, y long, d int, token long, n int, pos int, p1 long, p2 long"), "lists")
     free_shuffles(spark)  # that of all entries is the largest
 
-    near = lists.where("y IS NOT NULL").groupBy("x").agg(F.min(F.struct("d", "y")).alias("m")).select(F.col("x").alias("a"), F.col("m.y").alias("b"))
-    near = stage(spark, near, "near")
-    many = stage(spark, near.groupBy("b").count().where(F.col("count") > FAMILY).select(F.col("b").alias("h"), F.ceil(F.col("count") / FAMILY).alias("parts")), "many")
-    part = F.coalesce(F.pmod(F.xxhash64("a"), "parts"), F.lit(0)).cast("long")
-    pairs = near.join(small_or_not(many, many.count()), near["b"] == many["h"], "left").select(F.col("b").alias("h1"), part.alias("h2"), F.lit(0).alias("h3"), "a", "b")
-    one = checked(spark, docs, sets, pairs, size, num, den)
-    roots = components(spark, one)
+    def nearest_of(found: DataFrame) -> DataFrame:
+        least = found.groupBy("x").agg(F.min(F.struct("d", "y")).alias("m"))
+        return stage(spark, least.select(F.col("x").alias("a"), F.col("m.y").alias("b")), "near")
 
-    linked = roots.toDF("id", "top")
+    near = nearest_of(lists.where("y IS NOT NULL"))
+    one = checked(spark, docs, sets, by_family(spark, near), size, num, den)
+    roots = components(spark, one)
     rows = lists.where("y IS NULL").select("token", F.col("x").alias("k"), "n", "pos", "p1", "p2")
-    rows = rows.join(small_or_not(linked, linked.count()), rows["k"] == linked["id"], "left").select("token", "k", "n", "pos", "p1", "p2", F.coalesce("top", "k").alias("root"))
-    rows = stage(spark, rows, "rooted")
-    drop(spark, lists, near, many)
-    held: list[DataFrame] = []
+    rows = stage(spark, _rooted(rows, "k", roots), "rooted")
+    drop(spark, lists, near, one)
+
+    turn, more = 0, True
+    while more:  # one pair a set, while that joins many
+        held: list[DataFrame] = []
+        crossed = _crossed(spark, rows, held).repartition("token", "cell").sortWithinPartitions(*CELLS)
+        near = nearest_of(crossed.mapInArrow(_one_each(num, den, turn), "x long, y long, d long"))
+        wanted = by_family(spark, near)
+        close = likely(spark, sets, wanted, num, den)
+        two = checked(spark, docs, sets, close, size, num, den)
+        links, asked = two.count(), near.count()
+        more, turn = links >= max(LEAST_LINKS, asked // 8), turn + 1
+        if links:
+            step = components(spark, joined_to(two, roots))
+            was = roots, rows, step
+            lists = held[0].select(F.col("t").alias("token"))  # lists of one root are done
+            rows = rows.join(small_or_not(lists, lists.count()), "token", "left_semi")
+            rows = stage(spark, _rooted(rows, "root", step), "rooted")
+            roots = stage(spark, merged(roots, step), "found")
+            drop(spark, *was)
+        drop(spark, near, close, two, *held)
+
+    held = []
     crossed = _crossed(spark, rows, held).repartition("token", "cell").sortWithinPartitions(*CELLS).mapInArrow(_long_lists(num, den), PAIR)
     pairs = stage(spark, crossed.groupBy("a", "b").agg(F.min(F.struct(*PLACE)).alias("home")).select("home.*", "a", "b"), "pairs")
     drop(spark, rows, *held)
     close = likely(spark, sets, pairs, num, den)
     two = checked(spark, docs, sets, close, size, num, den)
-    more = components(spark, joined_to(two, roots)).toDF("root", "top")
-    ends = roots.join(more, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
-    alone = more.join(roots, more["root"] == roots["id"], "left_anti").select(F.col("root").alias("id"), F.col("top").alias("root"))
-    found = stage(spark, ends.unionByName(alone), "found")
-    drop(spark, one, two, pairs, close, roots, more)
+    step = components(spark, joined_to(two, roots))
+    found = stage(spark, merged(roots, step), "found")
+    drop(spark, two, pairs, close, roots, step)
     return meta.drop("bits"), sets, found
 
 

@@ -459,6 +459,28 @@ def test_components_are_those_of_brute_force(spark, monkeypatch, size, num, den,
     assert got == brute_components(rows, size, num, den)
 
 
+def test_jaccard_asks_a_row_a_set_and_not_a_row_a_pair(spark, monkeypatch):
+    base = [f"w{k}" for k in range(300)]
+    rows = [(i, " ".join(base[:i] + [f"m{i}"] + base[i + 1 :])) for i in range(1, 201)]  # near copies of each other
+    for j in range(30):  # linked with all of these, not with each other, and smaller, so that no earlier set is near
+        words = base[:299]
+        for k in range(4):
+            words[5 + j + 70 * k] = f"l{j}.{k}"
+        rows.append((1000 + j, " ".join(words)))
+    written, stage = {}, jaccard.stage
+    monkeypatch.setattr(jaccard, "LEAST_LINKS", 8)
+
+    def counted(spark, df, name, *more):
+        table = stage(spark, df, name, *more)
+        written.setdefault(name, []).append(table.count())
+        return table
+
+    monkeypatch.setattr(jaccard, "stage", counted)
+    got = jaccard.jaccard_components(spark, spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()
+    assert len(got) == 230 and {r["component_id"] for r in got} == {1}
+    assert max(written["pairs"] + written["near"]) <= 230  # 30 by 200 pairs before
+
+
 def test_jaccard_on_odd_rows(spark):
     got = jaccard.jaccard_components(spark, odd(spark)).collect()
     assert len(got) == len(ODD) and {r["component_id"] for r in got if r["doc_id"] in (1, 7)} == {1} and {r["n_shingles"] for r in got if r["doc_id"] in (2, 3, 4)} == {0}
