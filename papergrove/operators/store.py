@@ -99,3 +99,21 @@ class EdgeStore:
 def buckets_for(edges: int, rows: int = 4 << 20) -> int:
     """Buckets that hold about `rows` rows of edges in both directions each."""
     return max(1, math.ceil(2 * edges / rows))
+
+
+def sized(spark: SparkSession, edges: int) -> int:
+    """Buckets of a store that begins with so many edges: the session's shuffle partitions, or more where these would hold
+    over about a million rows each, which a task sorts in memory."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets_for(edges, 1 << 20))
+
+
+def crowded(edges: DataFrame, hub: int = 1 << 20, cells: int = 1 << 16) -> DataFrame:
+    """(id, in_degree, out_degree) of some nodes, all that have more than `hub` degrees among them.
+
+    Ends are first counted by cells of their hash, `cells` rows a task at most; only the nodes of cells of more than
+    `hub` ends are counted one by one, so that the edges of the others are not shuffled for it.
+    """
+    ends = edges.select(F.col("dst").alias("id"), F.lit(1).cast("long").alias("i"), F.lit(0).cast("long").alias("o"))
+    ends = ends.union(edges.select("src", F.lit(0).cast("long"), F.lit(1).cast("long"))).withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(cells)))
+    full = [r["cell"] for r in ends.groupBy("cell").count().where(F.col("count") > hub).select("cell").collect()]  # `cells` at most
+    return ends.where(F.col("cell").isin(full) if full else F.lit(False)).groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))

@@ -16,7 +16,7 @@ from papergrove.operators import agents as A
 from papergrove.operators import graph as G
 from papergrove.operators import sampling as S
 from papergrove.operators import scores as C
-from papergrove.operators.store import EdgeStore
+from papergrove.operators.store import EdgeStore, sized
 
 
 def final_size(nodes: int, rate: float, cycles: int) -> int:
@@ -133,7 +133,7 @@ def run(spark: SparkSession, nodes: DataFrame, edges: DataFrame, cfg: SimConfig,
     edges = G.cut(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct().select("src", "dst", F.lit("seed").alias("kind"), F.lit(0).alias("cycle")), "edges")
     degrees = G.cut(G.degrees(nodes, edges), "degrees")
     n, first = nodes.agg(F.count("*"), F.max("year")).first()
-    store = EdgeStore(spark)
+    store = EdgeStore(spark, sized(spark, edges.count()))
     store.add(edges, degrees)
     for cycle in range(1, cfg.num_cycles + 1):
         year, held = first + cycle, []

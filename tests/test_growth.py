@@ -11,7 +11,7 @@ from papergrove.operators import graph as G
 from papergrove.operators import metrics as M
 from papergrove.operators import sampling as S
 from papergrove.operators.kept import KeptStatistics
-from papergrove.operators.store import EdgeStore, buckets_for
+from papergrove.operators.store import EdgeStore, buckets_for, crowded, sized
 from papergrove.plans import simulate
 
 
@@ -64,6 +64,14 @@ def test_edges_of_ten_years_are_not_shuffled(spark):
     store.drop()
 
 
+def test_buckets_grow_with_the_edges_and_only_crowded_cells_are_counted(spark):
+    assert sized(spark, 100) == 4 and sized(spark, 100_000_000) == 191
+    rows = [(k, 0) for k in range(1, 60)] + [(7, k) for k in range(100, 130)] + [(1, 2)]
+    got = {r["id"]: (r["in_degree"], r["out_degree"]) for r in crowded(edges_of(spark, rows), 25, 1 << 12).collect()}
+    assert got[0] == (59, 0) and got[7] == (0, 31) and len(got) < 10
+    assert crowded(edges_of(spark, rows), 1000).count() == 0
+
+
 def test_first_and_second_neighbours_by_agent(spark):
     rows = [(1, 2), (2, 3), (3, 4), (1, 5), (5, 3), (5, 6), (6, 1), (7, 7)]
     store = EdgeStore(spark, 2)
