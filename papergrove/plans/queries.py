@@ -77,9 +77,9 @@ def scan_edgelist(spark, sf):
 
 
 def _lines_file(spark, name: str, rows: DataFrame, header: str | None = None) -> str:
-    """rows (at, line), in the order of `at`, as one file."""
+    """rows (at, line), in the order of `at`, as one file; rows (line) in any order."""
     path = _file(spark, name)
-    rows.orderBy("at").select("line").write.text(f"{path}.parts")
+    (rows.orderBy("at") if "at" in rows.columns else rows).select("line").write.text(f"{path}.parts")
     text.join_parts(spark, f"{path}.parts", path, header)
     return path
 
@@ -131,7 +131,7 @@ def scan_wide_metrics(spark, sf):
     name = F.concat(F.lit("k<"), "l_returnflag", F.lit(", "), "l_linestatus", F.lit(">"))
     time = F.format_number(F.col("l_quantity").cast("double") * 1000 + 0.5, 2)
     line = F.concat_ws(",", quoted(F.col("l_linenumber").cast("string")), quoted(name), "l_orderkey", quoted(time), F.when(F.col("l_linenumber") < 7, F.col("l_linenumber").cast("string")))
-    rows = X0.table(spark, sf, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("at"), line.alias("line"))
+    rows = X0.table(spark, sf, "lineitem").select(line.alias("line"))  # their order is not read
     path = _lines_file(spark, "raw", rows, '"ID","Kernel Name","m.key","m.time","m.lines"')
     return text.read_wide_csv(spark, path, {"m.key": "key", "m.time": "time", "m.lines": "lines", "m.none": "none"})
 

@@ -18,6 +18,8 @@ from papergrove.operators.graph import dense_ids
 EDGE_HEADER = ("#source", "target")
 NODE_HEADER = ["node_id", "type", "year", "pa_weight", "rec_weight", "fit_weight", "fit_lag_duration", "fit_peak_value", "fit_peak_duration", "alpha", "in_degree", "out_degree", "assigned_out_degree", "planted_nodes_line_number", "generator_node_string"]
 SEED, NO_GENERATOR = "-1", "no_generators"
+#: Lines in which the header of a metric file is looked for before all are read.
+HEAD = 1000
 #: Names that the column of kernels goes by.
 KERNEL_COLUMNS = ["Kernel Name", "Kernel Name ", "Function Name"]
 
@@ -86,10 +88,12 @@ def _table(spark: SparkSession, path: str, needed: list[str]) -> DataFrame:
     number of fields are skipped.
     """
     lines = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff|\r$", "").alias("line"), F.monotonically_increasing_id().alias("at"))
-    heads = lines
-    for n in needed:
-        heads = heads.where(F.contains("line", F.lit(n)))
-    head = heads.orderBy("at").limit(1).collect()
+    def first_head(of: DataFrame) -> list:
+        for n in needed:
+            of = of.where(F.contains("line", F.lit(n)))
+        return of.orderBy("at").limit(1).collect()
+
+    head = first_head(lines.where(F.col("at") < HEAD).limit(HEAD)) or first_head(lines)  # mostly without reading all
     if not head:
         raise ValueError(f"no line of {path} has the columns {', '.join(needed)}")
     names = next(csv.reader([head[0]["line"]]))

@@ -194,3 +194,14 @@ def test_parameter_files_with_odd_lines(spark, tmp_path):
         assert sorted(map(tuple, edges.collect())) == [(7, 2), (7, 2), (3_000_000_000, 1)]
     with pytest.raises(ValueError, match="no delimiter"):
         text.read_edgelist(spark, file("bare", b"7\n8\n"))
+
+
+def test_a_metric_file_needs_no_order_and_its_header_may_be_late(spark, monkeypatch):
+    from papergrove.plans import queries
+
+    rows = spark.createDataFrame([(f'"k{k}","{k},000.5"',) for k in range(20)], "line string")
+    for late, header in ((False, '"Kernel Name","m"'), (True, 'a\nb\nc\n"Kernel Name","m"')):
+        monkeypatch.setattr(text, "HEAD", 2)
+        path = queries._lines_file(spark, "raw", rows, header)
+        got = sorted((r["Kernel Name"], r["m"]) for r in text._table(spark, path, ["Kernel Name"]).collect())
+        assert got == sorted((f"k{k}", f"{k},000.5") for k in range(20)), late
