@@ -642,9 +642,13 @@ def _rooted(rows: DataFrame, of: str, roots: DataFrame) -> DataFrame:
     return rows.join(small_or_not(linked, linked.count()), rows[of] == linked["id"], "left").select("token", "k", "n", "pos", "p1", "p2", F.coalesce("top", of).alias("root"))
 
 
-def by_family(spark: SparkSession, near: DataFrame) -> DataFrame:
-    """Pairs (PLACE, a, b) of near (a, b), one a set, in groups by b of about FAMILY sets at most."""
+def by_family(spark: SparkSession, near: DataFrame, held: list[DataFrame]) -> DataFrame:
+    """Pairs (PLACE, a, b) of near (a, b), one a set, in groups by b of about FAMILY sets at most.
+
+    The table they are read from beside near is added to `held`, for the caller to drop.
+    """
     many = stage(spark, near.groupBy("b").count().where(F.col("count") > FAMILY).select(F.col("b").alias("h"), F.ceil(F.col("count") / FAMILY).alias("parts")), "many")
+    held.append(many)
     part = F.coalesce(F.pmod(F.xxhash64("a"), "parts"), F.lit(0)).cast("long")
     return near.join(small_or_not(many, many.count()), near["b"] == many["h"], "left").select(F.col("b").alias("h1"), part.alias("h2"), F.lit(0).alias("h3"), "a", "b")
 
@@ -671,18 +675,19 @@ def set_links(spark: SparkSession, docs: DataFrame, size: int, num: int, den: in
         return stage(spark, least.select(F.col("x").alias("a"), F.col("m.y").alias("b")), "near")
 
     near = nearest_of(lists.where("y IS NOT NULL"))
-    one = checked(spark, docs, sets, by_family(spark, near), size, num, den)
+    held: list[DataFrame] = []
+    one = checked(spark, docs, sets, by_family(spark, near, held), size, num, den)
     roots = components(spark, one)
     rows = lists.where("y IS NULL").select("token", F.col("x").alias("k"), "n", "pos", "p1", "p2")
     rows = stage(spark, _rooted(rows, "k", roots), "rooted")
-    drop(spark, lists, near, one)
+    drop(spark, lists, near, one, *held)
 
     turn, more = 0, True
     while more:  # one pair a set, while that joins many
-        held: list[DataFrame] = []
+        held = []
         crossed = _crossed(spark, rows, held).repartition("token", "cell").sortWithinPartitions(*CELLS)
         near = nearest_of(crossed.mapInArrow(_one_each(num, den, turn), "x long, y long, d long"))
-        wanted = by_family(spark, near)
+        wanted = by_family(spark, near, held)
         close = likely(spark, sets, wanted, num, den)
         two = checked(spark, docs, sets, close, size, num, den)
         links, asked = two.count(), near.count()
