@@ -6,6 +6,7 @@ import re
 from dataclasses import replace
 from itertools import accumulate
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from papergrove.config import SimConfig, from_args, parser
 from papergrove.functions import hardware as H
 from papergrove.functions import names as N
 from papergrove.functions import scalar as X
+from papergrove.functions.draws import draws
 from papergrove.operators import agents as A
 from papergrove.operators import graph as G
 from papergrove.operators import metrics as M
@@ -354,6 +356,21 @@ def test_random_graph_by_gaps_is_that_of_a_plain_walk(spark):
     assert sorted(map(tuple, got)) == sorted(gap_walk(1500, 45, 0.001, SimConfig().seed))
 
 
+def test_random_graph_is_neither_dealt_nor_written(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(G, "shared_dir", lambda _: tmp_path.as_uri())
+    for n, size, p in ((3000, 4, 0.4), (95, 12, 0.3)):  # 1,200 draws a node; ids of two and of three digits
+        got = er.gnp_edges(spark, n, size, p, 5)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, got.collect())) == sorted(gap_walk(n, size, p, 5))
+    assert not list(tmp_path.iterdir())
+
+
+@pytest.mark.parametrize("seed, ids, tag, lo, hi", [(7, [5, 9], "gap:", 0, 10), (-4, [54000123], "abcdefg", 123456, 123460), (1, [100, 999], "", 10, 90), (2**31, [10**18], "x", 10**9, 10**9 + 2), (1, [1], "x" * 50, 0, 10)])
+def test_draws_as_arrays_are_those_of_md5(seed, ids, tag, lo, hi):
+    want = [[(int(hashlib.md5(f"{seed}:{k}:{tag}{j}".encode()).hexdigest()[:8], 16) + 1) / 2**32 for j in range(lo, hi)] for k in ids]
+    assert draws(seed, tag)(np.array(ids), lo, hi).tolist() == want
+
+
 def test_command_line():
     a = parser().parse_args("--edgelist e --nodelist n --out-degree-bag b --recency-probabilities r --output-file o --auxiliary-information-file x --log-file l --growth-rate 0.03 --num-cycles 3 --same-year-proportion 0.12 --alpha 0.5".split())
     c = from_args(a)
